@@ -7,6 +7,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.session import ship_package
+
 #: The white space of the contracts (space, tab to carriage return), ASCII letters.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,13 +30,28 @@ def with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     return df.withColumns(outputs)
 
 
+TEXT_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare_workers(spark, rows: int = TEXT_ROWS) -> None:
+    """Send the package to the workers; from now on, Python stages of this session get at most ``rows`` rows an Arrow batch.
+
+    Spark counts a batch in rows, and reads the setting when the plan runs; a batch of very
+    long texts has to fit in a worker's memory. A lower setting is left as it is.
+    """
+    ship_package(spark)
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 @contextmanager
 def arrow_batches(spark, rows: int):
-    """Plan Python stages with at most ``rows`` rows an Arrow batch, so that a batch of very long texts fits."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """As ``prepare_workers``, with the batches bounded for what is run inside only."""
+    ship_package(spark)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)

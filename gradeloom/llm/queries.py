@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import line_dedup, url_filters
+from gradeloom.llm import line_dedup, packing, sentencepieces, url_filters, vector_search
+from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.sources.tables import table
 
 URL_RULES = [
@@ -17,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k_inner_product(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
@@ -28,14 +34,42 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentencepieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
+    return sentencepieces.with_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
+
+
 QUERIES = {
+    "op1_vector_search": op1_vector_search,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
+    "op7_sentencepieces": op7_sentencepieces,
+    "op10_packing": op10_packing,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op1_vector_search": """
+        WITH usable AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op2_line_dedup": f"""
         WITH cut AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
