@@ -30,6 +30,11 @@ def with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     return df.withColumns(outputs)
 
 
+def crc_fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
 TEXT_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import line_dedup, packing, sentencepieces, url_filters, vector_search
+from gradeloom.llm import language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
+from gradeloom.llm.common import crc_fold
 from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.sources.tables import table
 
@@ -34,12 +35,28 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    model = language_mixture.fit_languages(docs.filter(~held_out))
+    found = language_mixture.identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "other_share")
+
+
 def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = sentencepieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
     return sentencepieces.with_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
@@ -49,7 +66,9 @@ QUERIES = {
     "op1_vector_search": op1_vector_search,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
+    "op5_language_id": op5_language_id,
     "op7_sentencepieces": op7_sentencepieces,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
