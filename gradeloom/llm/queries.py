@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
+from gradeloom.llm import fingerprints, language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
 from gradeloom.llm.common import crc_fold
 from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.sources.tables import table
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "other_share")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = sentencepieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op7_sentencepieces": op7_sentencepieces,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
