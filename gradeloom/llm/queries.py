@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import fingerprints, language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
+from gradeloom.llm import fingerprints, html_text, language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
 from gradeloom.llm.common import crc_fold
 from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.sources.tables import table
@@ -35,6 +35,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_fold(F.col("doc_id"), 3) == 1
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_vector_search": op1_vector_search,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentencepieces": op7_sentencepieces,
