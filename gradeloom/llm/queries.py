@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import fingerprints, html_text, language_mixture, line_dedup, packing, sentencepieces, toxicity, url_filters, vector_search
+from gradeloom.llm import fingerprints, html_text, language_mixture, line_dedup, ngram_join, packing, sentencepieces, toxicity, url_filters, vector_search
 from gradeloom.llm.common import crc_fold
 from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.sources.tables import table
@@ -58,6 +58,11 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.with_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_components(docs, ngram_join.Likeness(words=4, percent=85))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 5) == 0
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentencepieces": op7_sentencepieces,
+    "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
