@@ -53,6 +53,10 @@ class Likeness:
     words: int
     percent: int
 
+    def __post_init__(self) -> None:
+        if not (1 <= self.words < len(_ODD) and 1 <= self.percent <= 100):
+            raise ValueError(f"1 to {len(_ODD) - 1} words, 1 to 100 percent: {self}")
+
     def needed(self, n: Column) -> Column:
         """ceil(percent * n / 100)"""
         return F.floor((n * self.percent + 99) / 100).cast("int")

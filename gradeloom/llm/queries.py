@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
