@@ -1,4 +1,350 @@
-"""The registered queries of the assessment jobs, with their SQL."""
+"""The registered queries of the assessment jobs, with their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables hold no handwriting and no marks, so each query runs its job on a table of the
+same shape: an order stands for a submission, an order line for a mark, a conversation for
+an answer's pages, a document for an answer, a part for a question bank item.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeloom.functions.text import C_KEYWORDS, C_PARTS, C_TOKENS
+from gradeloom.operators import answers, feedback, grading, reports
+from gradeloom.session import shared_dir, ship_package
+from gradeloom.sources import pages, sinks
+from gradeloom.sources.tables import table
+
+NEWEST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+BANDS = [("A", 300000.0, 1e12), ("B", 200000.0, 300000.0), ("C", 100000.0, 200000.0), ("D", 0.0, 100000.0)]
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = [F.col(c).desc() for c in NEWEST]
+    return grading.latest_mark(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], newest)
+
+
+def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grading.weighted_score(latest_lines(spark, sf_dir), ["l_orderkey"], "l_quantity", 1 + F.col("l_linenumber"), 40.0)
+
+
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's nation and region: a submission with its section and subject."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def p00_flagship_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = order_scores(spark, sf_dir).join(placed_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    return reports.score_rollup(scores, ["r_name", "n_name"], "score")
+
+
+def p01_scan_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page files are written from ``pages`` first, one folder for each host's last label."""
+    source = table(spark, sf_dir, "pages").select(F.coalesce("html", F.lit("")).alias("value"), F.regexp_extract("url", r"://[^/?#]*\.([a-z]+)", 1).alias("assessment"))
+    directory = _scratch(spark, "page-files")
+    source.write.partitionBy("assessment").text(directory)
+    files = pages.scan_page_images(spark, directory, "part-*")
+    return files.groupBy("assessment").agg(F.sum("length").alias("n_bytes"), F.sum(F.octet_length("content")).alias("n_read"))
+
+
+def p02_write_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders are graded and written; then one partition is graded again."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    directory = _scratch(spark, "grades")
+    sinks.write_grades(orders, directory, "o_orderpriority")
+    again = orders.filter(F.col("o_orderpriority") == "1-URGENT").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    sinks.write_grades(again, directory, "o_orderpriority")
+    back = spark.read.parquet(directory)
+    return back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+def p03_export_feedback_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = feedback.feedback_text(latest_lines(spark, sf_dir), ["l_orderkey"], "l_linenumber", F.col("l_quantity") < 25, _message())
+    directory = _scratch(spark, "feedback")
+    sinks.export_feedback_json(listed, directory)
+    return spark.read.schema("l_orderkey bigint, feedback string, n_missed bigint").json(directory)
+
+
+def _recognise(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stands for a recogniser: it reads the bytes' length."""
+    size = batch["content"].map(len)
+    return pd.DataFrame({"page_id": batch["page_id"], "text": size.astype(str), "confidence": 1 / (1 + size / 1000)})
+
+
+def p04_transcribe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    images = table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return pages.transcribe_pages(images, _recognise, "page_id long, text string, confidence double")
+
+
+def p05_missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    expected = turns.groupBy("conv_id").agg(F.max("turn").alias("expected"))
+    got = turns.filter(~((F.col("conv_id") % 7 == 0) & (F.col("turn") == 1)))
+    return answers.missing_pages(got, expected, ["conv_id"], "turn", "expected")
+
+
+def p06_assemble_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = answers.assemble_answers(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    return whole.select("conv_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "n_pages")
+
+
+def p07_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return answers.review_queue(docs, 5, "source", "n_chars", "doc_id").select("source", "doc_id", "n_chars", F.col("place").cast("bigint").alias("place"))
+
+
+def p08_normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = answers.normalize_answers(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", fold_case=False)
+    return docs.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def p09_c_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.c_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+def _key(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("p_type").agg(F.min("p_name").alias("key_text"))
+
+
+def p10_grade_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    return grading.grade_exact(parts, _key(parts), "p_type", "p_name", "key_text").select("p_partkey", "p_type", "mark")
+
+
+def p11_grade_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    return grading.grade_edit_distance(parts, _key(parts), "p_type", "p_name", "key_text").select("p_partkey", "p_type", "credit")
+
+
+def p12_rubric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return grading.rubric_coverage(docs, items, "doc_id", "text", "item_id", "passage", n=8, min_share=0.5)
+
+
+def p13_grade_by_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return grading.grade_by_exemplar(vectors.filter("vec_id % 5 = 0"), vectors.filter("vec_id % 5 <> 0"), 5, "vec_id", "embedding", "label")
+
+
+def p14_latest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def p15_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_scores(spark, sf_dir)
+
+
+def p16_grade_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grading.grade_bands(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", BANDS)
+
+
+def p17_score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_rollup(placed_orders(spark, sf_dir), ["r_name", "n_name"], "o_totalprice")
+
+
+def p18_score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_distribution(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+
+
+def p18b_score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_bins(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 25000.0)
+
+
+def p19_rank_students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = placed_orders(spark, sf_dir).select("o_orderkey", "c_nationkey", "o_totalprice")
+    return reports.rank_students(orders, "c_nationkey", "o_totalprice", "o_orderkey")
+
+
+def p20_item_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.item_analysis(latest_lines(spark, sf_dir), "l_orderkey", "l_partkey", "l_quantity")
+
+
+def p21_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return reports.agreement(pairs, (F.col("n_chars") >= 500).cast("int"), F.col("quality"))
+
+
+def p22_cutoff_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return reports.cutoff_sweep(pairs, "n_chars", "quality")
+
+
+def p23_ungraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ungraded(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def p24_attempt_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return reports.attempt_delta(orders, "o_custkey", "o_totalprice", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+def _message():
+    return F.concat(F.lit("question "), F.col("l_linenumber").cast("string"), F.lit(": see part "), F.col("l_partkey").cast("string"))
+
+
+def p25_feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.feedback_text(latest_lines(spark, sf_dir), ["l_orderkey"], "l_linenumber", F.col("l_quantity") < 25, _message())
+
+
+def p26_common_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.common_faults(latest_lines(spark, sf_dir), "l_linenumber", "l_partkey", F.col("l_quantity") < 25, 5)
+
+
+QUERIES = {name: job for name, job in list(globals().items()) if name[:1] == "p" and name[1:3].isdigit()}
+
+_LATEST = """latest AS (
+    SELECT * FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1)"""
+_SCORES = """scores AS (
+    SELECT l_orderkey, sum(least(l_quantity, 40.0) * (1 + l_linenumber)) / nullif(sum(40.0 * (1 + l_linenumber)), 0) AS score
+    FROM latest GROUP BY l_orderkey)"""
+_PLACED = """placed AS (
+    SELECT o_orderkey, o_totalprice, c_nationkey, n_name, r_name FROM orders
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_FEEDBACK = f"""
+    WITH {_LATEST}
+    SELECT l_orderkey, string_agg('question ' || l_linenumber || ': see part ' || l_partkey, '; ' ORDER BY l_linenumber) AS feedback,
+           count(*) AS n_missed
+    FROM latest WHERE l_quantity < 25 GROUP BY l_orderkey"""
+_KEYED = "keyed AS (SELECT p_partkey, p_type, p_name, min(p_name) OVER (PARTITION BY p_type) AS key_text FROM part)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _grams(source: str, key: str) -> str:
+    words = f"SELECT {key}, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM {source}"
+    starts = f"SELECT {key}, words, unnest(range(1, len(words) - 6)) AS i FROM ({words}) WHERE len(words) >= 8"
+    return f"SELECT DISTINCT {key}, array_to_string(words[i:i+7], ' ') AS gram FROM ({starts})"
+
+
+SQL = {
+    "p00_flagship_score_report": f"""
+        WITH {_LATEST}, {_SCORES}, {_PLACED}
+        SELECT r_name, n_name, count(*) AS n, avg(score) AS mean_score,
+               CAST(grouping(r_name) AS INTEGER) AS all_r_name, CAST(grouping(n_name) AS INTEGER) AS all_n_name
+        FROM scores JOIN placed ON l_orderkey = o_orderkey GROUP BY ROLLUP (r_name, n_name)""",
+    "p01_scan_page_images": """
+        SELECT assessment, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(n) AS BIGINT) AS n_read FROM (
+            SELECT regexp_extract(url, '://[^/?#]*\\.([a-z]+)', 1) AS assessment, octet_length(encode(coalesce(html, ''))) + 1 AS n FROM pages)
+        GROUP BY assessment""",
+    "p02_write_grades": """
+        SELECT o_orderpriority, count(*) AS n, sum(o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS total
+        FROM orders GROUP BY o_orderpriority""",
+    "p03_export_feedback_json": _FEEDBACK,
+    "p04_transcribe_pages": """
+        SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS text,
+               1 / (1 + CAST(octet_length(encode(coalesce(html, ''))) AS DOUBLE) / 1000) AS confidence FROM pages""",
+    "p05_missing_pages": """
+        WITH wanted AS (SELECT conv_id, unnest(range(1, max(turn) + 1)) AS turn FROM conversations GROUP BY conv_id),
+             got AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1))
+        SELECT conv_id, turn FROM wanted ANTI JOIN got USING (conv_id, turn)""",
+    "p06_assemble_answers": """
+        SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY turn, text), '')) AS text_md5, count(text) AS n_pages
+        FROM conversations GROUP BY conv_id""",
+    "p07_review_queue": """
+        SELECT source, doc_id, n_chars, place FROM (
+            SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS place FROM documents)
+        WHERE place <= 5""",
+    "p08_normalize_answer": f"""
+        WITH cut AS (
+            SELECT doc_id, array_to_string([CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') THEN ' ' ELSE x END
+                                            FOR x IN regexp_extract_all(text, {_quoted(C_PARTS)})], '') AS kept FROM documents
+        ), short AS (SELECT doc_id, trim(regexp_replace(kept, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM cut)
+        SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM short""",
+    "p09_c_token_counts": f"""
+        WITH cut AS (SELECT doc_id, regexp_extract_all(text, {_quoted(C_TOKENS)}) AS tokens FROM documents)
+        SELECT doc_id, CAST(len([x FOR x IN tokens IF regexp_matches(x, '^[A-Za-z_]')]) AS BIGINT) AS identifiers,
+               CAST(len([x FOR x IN tokens IF x IN ({", ".join(map(_quoted, C_KEYWORDS))})]) AS BIGINT) AS keywords,
+               CAST(len([x FOR x IN tokens IF regexp_matches(x, '^[0-9]')]) AS BIGINT) AS numbers,
+               CAST(len([x FOR x IN tokens IF regexp_matches(x, '^[^A-Za-z0-9_]')]) AS BIGINT) AS punctuation
+        FROM cut""",
+    "p10_grade_exact": f"WITH {_KEYED} SELECT p_partkey, p_type, CASE WHEN p_name = key_text THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mark FROM keyed",
+    "p11_grade_edit_distance": f"""
+        WITH {_KEYED}
+        SELECT p_partkey, p_type,
+               greatest(0.0::DOUBLE, 1 - coalesce(levenshtein(p_name, key_text)::DOUBLE / nullif(greatest(length(p_name), length(key_text)), 0), 0.0)) AS credit
+        FROM keyed""",
+    "p12_rubric_coverage": f"""
+        WITH items AS ({_grams("benchmark", "item_id")}), found AS ({_grams("documents", "doc_id")}),
+             totals AS (SELECT item_id, count(*) AS grams_total FROM items GROUP BY item_id)
+        SELECT doc_id, item_id, grams_total, count(*) AS grams_found, count(*)::DOUBLE / grams_total AS share
+        FROM found JOIN items USING (gram) JOIN totals USING (item_id)
+        GROUP BY doc_id, item_id, grams_total HAVING count(*)::DOUBLE / grams_total >= 0.5""",
+    "p13_grade_by_exemplar": """
+        WITH near AS (
+            SELECT q.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id
+                       ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS place
+            FROM embeddings q JOIN embeddings e ON q.vec_id % 5 = 0 AND e.vec_id % 5 <> 0
+        ), votes AS (SELECT vec_id, label, count(*) AS votes FROM near WHERE place <= 5 GROUP BY vec_id, label)
+        SELECT vec_id, label AS predicted, votes FROM votes
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) = 1""",
+    "p14_latest_mark": f"WITH {_LATEST} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM latest",
+    "p15_weighted_score": f"WITH {_LATEST}, {_SCORES} SELECT l_orderkey, score FROM scores",
+    "p16_grade_bands": f"""
+        SELECT o_orderkey, o_totalprice,
+               CASE {" ".join(f"WHEN o_totalprice >= {low:.1f} AND o_totalprice < {high:.1f} THEN '{name}'" for name, low, high in BANDS)} END AS band
+        FROM orders""",
+    "p17_score_rollup": f"""
+        WITH {_PLACED}
+        SELECT r_name, n_name, count(*) AS n, avg(o_totalprice) AS mean_score,
+               CAST(grouping(r_name) AS INTEGER) AS all_r_name, CAST(grouping(n_name) AS INTEGER) AS all_n_name
+        FROM placed GROUP BY ROLLUP (r_name, n_name)""",
+    "p18_score_distribution": """
+        SELECT o_orderpriority, count(o_totalprice) AS n, min(o_totalprice) AS least, quantile_cont(o_totalprice, 0.25) AS q1,
+               quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS most,
+               stddev_samp(o_totalprice) AS sd, avg(o_totalprice) AS mean_score
+        FROM orders GROUP BY o_orderpriority""",
+    "p18b_score_bins": "SELECT o_orderpriority, CAST(floor(o_totalprice / 25000.0) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY ALL",
+    "p19_rank_students": f"""
+        WITH {_PLACED}
+        SELECT o_orderkey, c_nationkey, o_totalprice, rank() OVER best AS place, dense_rank() OVER best AS dense_place,
+               percent_rank() OVER best AS percent_place, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS quarter
+        FROM placed WINDOW best AS (PARTITION BY c_nationkey ORDER BY o_totalprice DESC)""",
+    "p20_item_analysis": f"""
+        WITH {_LATEST}, rest AS (
+            SELECT l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) - l_quantity AS others FROM latest
+        ), varied AS (
+            SELECT l_partkey FROM rest GROUP BY l_partkey HAVING min(l_quantity) < max(l_quantity) AND min(others) < max(others)
+        ), fits AS (SELECT l_partkey, corr(l_quantity, others) AS discrimination FROM rest SEMI JOIN varied USING (l_partkey) GROUP BY l_partkey)
+        SELECT l_partkey, n, difficulty, discrimination
+        FROM (SELECT l_partkey, count(*) AS n, avg(l_quantity) AS difficulty FROM rest GROUP BY l_partkey) LEFT JOIN fits USING (l_partkey)""",
+    "p21_agreement": """
+        WITH pairs AS (SELECT CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS a, quality AS b FROM labels JOIN documents USING (doc_id)
+                       WHERE n_chars IS NOT NULL AND quality IS NOT NULL),
+        c AS (SELECT count(*) FILTER (WHERE a = 0 AND b = 0) AS n00, count(*) FILTER (WHERE a = 0 AND b = 1) AS n01,
+                     count(*) FILTER (WHERE a = 1 AND b = 0) AS n10, count(*) FILTER (WHERE a = 1 AND b = 1) AS n11, count(*)::DOUBLE AS n FROM pairs),
+        r AS (SELECT *, (n00 + n11) / n AS agreement, ((n10 + n11) * (n01 + n11) + (n00 + n01) * (n00 + n10)) / (n * n) AS chance FROM c)
+        SELECT n00, n01, n10, n11, agreement, (agreement - chance) / nullif(1 - chance, 0) AS kappa FROM r""",
+    "p22_cutoff_sweep": """
+        WITH counted AS (SELECT n_chars AS cutoff, count(*) AS n, sum(quality) AS good FROM labels JOIN documents USING (doc_id) GROUP BY n_chars)
+        SELECT cutoff, CAST(sum(n) OVER above AS BIGINT) AS flagged, (sum(good) OVER above)::DOUBLE / (sum(n) OVER above)::DOUBLE AS precision
+        FROM counted WINDOW above AS (ORDER BY cutoff DESC ROWS UNBOUNDED PRECEDING)""",
+    "p23_ungraded": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
+    "p24_attempt_delta": """
+        SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER w AS attempt, o_totalprice - lag(o_totalprice) OVER w AS change,
+               max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS best
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+    "p25_feedback_text": _FEEDBACK,
+    "p26_common_faults": f"""
+        WITH {_LATEST}, counted AS (SELECT l_linenumber, l_partkey, count(*) AS n_missed FROM latest WHERE l_quantity < 25 GROUP BY ALL)
+        SELECT l_linenumber, l_partkey, n_missed, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY n_missed DESC, l_partkey) AS place FROM counted)
+        WHERE place <= 5""",
+}
