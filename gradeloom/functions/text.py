@@ -48,7 +48,7 @@ def word_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def edit_credit(answer: Column, key: Column) -> Column:
-    """1 for equal texts, less with every slip, 0 at the least; two empty texts are equal."""
-    longer = F.greatest(F.length(answer), F.length(key))
-    share = F.levenshtein(answer, key) / F.nullif(longer, F.lit(0))
-    return F.greatest(F.lit(0.0), 1 - F.coalesce(share.cast("double"), F.when(answer.isNotNull() & key.isNotNull(), F.lit(0.0))))
+    """1 for equal texts, less with every slip, 0 at the least; null where either is missing."""
+    longer = F.greatest(F.length(answer), F.length(key), F.lit(1))
+    credit = F.greatest(F.lit(0.0), 1 - F.levenshtein(answer, key) / longer)
+    return F.when(answer.isNotNull() & key.isNotNull(), credit)

@@ -279,7 +279,7 @@ SQL = {
     "p11_grade_edit_distance": f"""
         WITH {_KEYED}
         SELECT p_partkey, p_type,
-               greatest(0.0::DOUBLE, 1 - coalesce(levenshtein(p_name, key_text)::DOUBLE / nullif(greatest(length(p_name), length(key_text)), 0), 0.0)) AS credit
+               greatest(0.0::DOUBLE, 1 - levenshtein(p_name, key_text)::DOUBLE / greatest(length(p_name), length(key_text), 1)) AS credit
         FROM keyed""",
     "p12_rubric_coverage": f"""
         WITH items AS ({_grams("benchmark", "item_id")}), found AS ({_grams("documents", "doc_id")}),
