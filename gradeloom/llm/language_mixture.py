@@ -109,12 +109,12 @@ def expectation_maximisation(chance: np.ndarray, weight: np.ndarray, starts: np.
     return shares, np.add.reduceat(weight * np.log(np.maximum(mixed, 1e-30)), starts)
 
 
-def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's proportions (0 outside the chosen set), and whether it holds a letter."""
+def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's proportions (0 outside the chosen set), its likeliest single language, and whether it holds a letter."""
     owner, buckets, has_letter = trigrams(texts)
-    shares = np.zeros((len(texts), len(model.probability)), np.float32)
-    if not len(owner):
-        return shares, has_letter & False
+    shares, likeliest = np.zeros((len(texts), len(model.probability)), np.float32), np.zeros(len(texts), np.int64)
+    if not len(owner) or not model.languages:
+        return shares, likeliest, has_letter & False
     keys, counts = np.unique(owner * BUCKETS + buckets, return_counts=True)
     docs, weight = keys // BUCKETS, counts.astype(np.float32)
     starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
@@ -136,17 +136,16 @@ def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nda
         gained = likelihood - PENALTY * (size - 1) * np.log(total + 1) / 2
         better = gained > best
         best_shares[better], best[better] = found[better], gained[better]
-    shares[docs[starts]] = best_shares
-    return shares, has_letter
+    shares[docs[starts]], likeliest[docs[starts]] = best_shares, alone[:, :-1].argmax(axis=1)
+    return shares, likeliest, has_letter
 
 
 def identify_frames(frames: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd.DataFrame]:
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     for frame in frames:
-        shares, known = mixtures(frame["_text"].tolist(), model)
-        known = known & (len(model.languages) > 0)
-        own = shares[:, :-1] if len(model.languages) else np.zeros((len(frame), 1))
-        pred = np.where(known, own.argmax(axis=1), len(model.languages))
+        shares, likeliest, known = mixtures(frame["_text"].tolist(), model)
+        own = np.column_stack([shares[:, :-1], np.zeros(len(frame))])
+        pred = np.where(known, np.where(own.max(axis=1) > 0, own.argmax(axis=1), likeliest), len(model.languages))
         yield frame.drop(columns="_text").assign(
             lang_pred=names[pred],
             score=np.where(known, own.max(axis=1), 0.0).clip(0, 1).astype(float),
@@ -162,8 +161,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep_text: bool =
     """Adds ``lang_pred score other_share lang_mix``.
 
     ``lang_pred`` is the learned language with the largest share of the document (the first
-    by name on a tie) and ``score`` that share; ``und`` and 0 for a text that is null or has
-    no letter. ``other_share`` is the background's share, ``lang_mix`` the chosen set. Only
+    by name on a tie) and ``score`` that share. Where the background alone explains a text
+    best it is the likeliest language, with score 0; ``und`` and 0 for a text that is null or
+    has no letter. ``other_share`` is the background's share, ``lang_mix`` the chosen set. Only
     the text decides; whole texts are read. Repeated rows get equal results; an input column
     named like an output is replaced, others stay (``text`` with ``keep_text``). An empty
     table gives an empty result; with nothing learned every row is ``und``.

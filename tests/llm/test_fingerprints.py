@@ -1,0 +1,74 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from gradeloom.llm import fingerprints
+from gradeloom.llm.fingerprints import SketchSet, digests, edited_text, fingerprint_documents
+
+
+def digest_set(text):
+    keys, _ = digests([text])
+    assert len(set(keys.tolist())) == len(keys)
+    return set(keys.tolist())
+
+
+def likeness(a, b):
+    a, b = digest_set(a), digest_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def random_texts(n, seed=3):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(300)]
+    out = ["", " ", "\n", "one", "é" * 500, "same " * 400, "x\ny\nz"]
+    return out + [rng.choice([" ", "\n"]).join(rng.choices(words, k=rng.randint(1, 300))) for _ in range(n)]
+
+
+def test_peeling_recovers_the_difference_at_any_size():
+    texts = random_texts(60)
+    sketches = SketchSet(texts)
+    rng = np.random.default_rng(1)
+    left, right = rng.integers(0, len(texts), 400), rng.integers(0, len(texts), 400)
+    got = sketches.likeness(left, right)
+    assert got.tolist() == pytest.approx([likeness(texts[a], texts[b]) for a, b in zip(left, right, strict=True)])
+
+
+def test_a_word_changed_leaves_the_rest():
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40))
+    assert likeness(text, text.replace("w20x5", "other")) > 0.95
+    assert likeness(text, text + "\n") > 0.95 and likeness(text, text) == 1
+
+
+def test_operator_equals_brute_force(spark):
+    texts = random_texts(40)
+    rows = [(i * 7 % 101, t, "x") for i, t in enumerate(texts)] + [(200, None, "x"), (None, "no id", "x"), (150, texts[20], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(5)
+    got = {r["doc_id"]: r for r in fingerprint_documents(df).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0]))
+    for (i, t, _), (_, following, _) in zip(order, [*order[1:], order[0]], strict=True):
+        t, following = t or "", following or ""
+        edited = edited_text(t, following)
+        assert got[i]["n_chars"] == len(t)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i]["near_edited"] == pytest.approx(likeness(t, edited))
+        assert got[i]["near_next"] == pytest.approx(likeness(t, following))
+    assert got[150]["fingerprint"] == got[20 * 7 % 101]["fingerprint"] != got[21 * 7 % 101]["fingerprint"]
+    assert fingerprint_documents(df.limit(0)).count() == 0
+
+
+def test_single_and_repeated_rows(spark):
+    one = fingerprint_documents(spark.createDataFrame([(5, "abcdefgh ijkl")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    twice = fingerprint_documents(spark.createDataFrame([(5, "same text"), (5, "same text"), (6, "b")], "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in twice) == [5, 5, 6]
+
+
+def test_buckets_follow_bounds(spark):
+    bounds = [3, 5, 9, 12, 40, 41, 77]
+    df = spark.createDataFrame([(x,) for x in range(-2, 90)], "k long")
+    for n in range(len(bounds) + 1):
+        got = [r[0] for r in df.select(fingerprints.bucket_of(df.k, bounds[:n])).collect()]
+        assert got == [sum(b <= x for b in bounds[:n]) for x in range(-2, 90)]
