@@ -51,12 +51,12 @@ def text_words(text: str) -> set[str]:
 
 
 def feature_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many distinct words of each sampled text fall in each bucket."""
+    """The distinct buckets of each sampled text, as bytes of 32-bit numbers."""
     for frame in frames:
         rows = []
         for text in frame["text"]:
             found = [x for word in text_words(text) for x in word_features(word)]
-            rows.append(np.unique(np.array(found, np.int32)))
+            rows.append(np.unique(np.array(found, np.int32)).tobytes())
         yield frame[["positive"]].assign(features=rows)
 
 
@@ -149,8 +149,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     unlabelled = known.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(max_unlabelled)
     sample = positive.select("doc_id", F.lit(True).alias("positive")).unionByName(unlabelled.select("doc_id", F.lit(False).alias("positive")))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")  # bounded by the parameters
-    found = texts.select("positive", "text").mapInPandas(feature_frames, "positive boolean, features array<int>").toPandas()
-    rows = {kind: found["features"][found["positive"] == kind].tolist() for kind in (True, False)}
+    found = texts.select("positive", "text").mapInPandas(feature_frames, "positive boolean, features binary").collect()
+    rows = {kind: [np.frombuffer(x["features"], np.int32) for x in found if x["positive"] == kind] for kind in (True, False)}
     return fit_numpy(rows[True], rows[False], prior)
 
 
