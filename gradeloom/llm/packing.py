@@ -3,7 +3,7 @@
 Every document is tokenised and cut into pieces: full ones as long as a sequence, each
 of which is a sequence of its own, and a rest. Only the histogram of the rests' lengths,
 with at most ``size`` rows, goes to the driver. There the lengths are placed longest
-first, each into the packing patterns with the least room that still holds it, so many
+first, each into the shortest packs, those with the most room, so many
 at a time as the histogram has; what comes out is a list of patterns with counts. The
 pieces then find their place in the patterns by their rank among the pieces of the same
 length. Ranks are made in two steps (within small groups, then over the groups' counts),
@@ -135,14 +135,15 @@ def cut_pieces(frames: Iterator[pd.DataFrame], path: str, size: int, end_id: int
             for start in range(0, tokens, size):
                 piece = ids[4 * start : 4 * (start + size)]
                 rows.append((doc_id, row_key, start, len(piece) // 4, zlib.crc32(piece), tokens))
-        yield pd.DataFrame(rows, columns=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def packing_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in the order of their places) and how many sequences follow each.
 
-    Lengths go longest first. A length's pieces take the open patterns with the least room
-    that holds one, as many as there are sequences of them, or open new sequences.
+    Lengths go longest first, each piece to the shortest pack there is: a length takes the open
+    patterns with the most room, as many pieces as there are sequences of them. Where not even
+    those hold one, new sequences are opened.
     """
     open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms: list[int] = []  # sorted
@@ -160,15 +161,18 @@ def packing_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[i
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):
-                put((length,), left, size - length)
+            if not rooms or rooms[-1] < length:  # nothing holds it: fill new sequences one after the other
+                each = size // length
+                if left >= each:
+                    put((length,) * each, left // each, size - each * length)
+                if left % each:
+                    put((length,) * (left % each), 1, size - left % each * length)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = open_at[room].pop()
             if not open_at[room]:
                 del open_at[room]
-                rooms.pop(at)
+                rooms.pop()
             used = min(left, count)
             if used < count:
                 put(pattern, count - used, room)
@@ -223,8 +227,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
     """
     spark = docs.sparkSession
     prepare_workers(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
-    cut = texts.mapInPandas(lambda frames: cut_pieces(frames, path, size, end_id), "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long")
+    # The id travels as text: pandas would round large numbers next to nulls.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
+    cut = texts.mapInPandas(lambda frames: cut_pieces(frames, path, size, end_id), "doc_id string, row_key long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(cut, "pieces")
     rests = pieces.filter(F.col("length") < size)
     histogram = {row["length"]: row["count"] for row in rests.groupBy("length").count().collect()}  # size rows at most
@@ -236,9 +241,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
             sequence, offset = held.value.find(frame["length"].to_numpy(), frame["rank"].to_numpy())
             yield frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=sequence, offset=offset)
 
-    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    columns = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     placed = ranked(rests, sum(histogram.values())).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(place, columns)
     full = pieces.filter(F.col("length") == size)
     n_full = full.count()
     numbered = ranked(full, n_full).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + places.sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(numbered)
+    return placed.unionByName(numbered).withColumn("doc_id", F.col("doc_id").cast("long"))
