@@ -29,6 +29,8 @@ PARTS = 3
 FIRST_CELLS, GROWTH = 4, 4
 #: One word in so many ends a piece of a long paragraph.
 WORDS_PER_PIECE = 4
+#: The first words of a text are pieces of their own, so that short texts have several.
+OWN_WORDS = 16
 #: A piece has so many words at most; a longer word than LONG_WORD is cut at one character in so many.
 LONGEST_PIECE, LONG_WORD, CHARS_PER_PART = 16, 48, 16
 #: Documents dealt to one task, about.
@@ -80,7 +82,9 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(begins)
     words = run_hashes(mixed, starts)
     line_end = np.logical_or.reduceat(codes == 10, starts)
-    ends = line_end | ((words >> np.uint64(40)) % np.uint64(WORDS_PER_PIECE) == 0)
+    text_starts = np.flatnonzero(first[starts])
+    in_text = np.arange(len(words)) - np.repeat(text_starts, np.diff(np.append(text_starts, len(words))))
+    ends = line_end | ((words >> np.uint64(40)) % np.uint64(WORDS_PER_PIECE) == 0) | (in_text < OWN_WORDS)
     fresh = first[starts] | np.append(True, ends[:-1])
     piece_starts = np.flatnonzero(fresh)
     place = np.arange(len(words)) - np.repeat(piece_starts, np.diff(np.append(piece_starts, len(words))))
@@ -201,7 +205,7 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> pd.Da
     prints = sketches.fingerprints()
     return pd.DataFrame(
         {
-            "doc_id": pd.array(ids, dtype="Int64"),
+            "doc_id": ids,
             "n_chars": [len(x) for x in texts],
             "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited],
             "fingerprint": prints[:n],
@@ -217,9 +221,9 @@ def sketch_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: tuple | None = None
     for frame in frames:
         ids, texts, following = [], [], []
-        for row in zip(frame["bucket"], frame["doc_id"].astype(object), frame["text"], frame["is_next"], strict=True):
+        for row in zip(frame["bucket"], frame["doc_id"], frame["text"], frame["is_next"], strict=True):
             if held is not None and held[0] == row[0] and not held[3]:
-                ids.append(None if pd.isna(held[1]) else int(held[1]))
+                ids.append(held[1])
                 texts.append(held[2])
                 following.append(row[2])
             held = row
@@ -278,4 +282,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     places = F.when(F.col("key") == first_of[F.col("bucket")], F.array(own, ahead)).otherwise(F.array(own))
     dealt = keyed.withColumn("bucket", bucket.cast("int")).select("doc_id", "key", "text", F.explode(places).alias("place"))
     rows = dealt.select("place.bucket", "place.is_next", "key", "doc_id", "text").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "is_next", "key", "text")
-    return rows.select("bucket", "doc_id", "text", "is_next").mapInPandas(sketch_frames, schema)
+    # The id travels as text: pandas would round large numbers next to nulls.
+    sent = rows.select("bucket", F.col("doc_id").cast("string").alias("doc_id"), "text", "is_next")
+    found = sent.mapInPandas(sketch_frames, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
