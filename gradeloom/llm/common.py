@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.session import ship_package
 
@@ -35,6 +36,19 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def map_texts(docs: DataFrame, rest: list[str], added: list[T.StructField], frames) -> DataFrame:
+    """Run ``frames`` over the columns ``rest`` and ``_text`` (null: empty), in batches of pandas.
+
+    Whole numbers travel as text: pandas would round large ones next to nulls.
+    """
+    kept = docs.select(rest).schema.fields
+    whole = {f.name for f in kept if isinstance(f.dataType, T.LongType)}
+    sent = [F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in rest]
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in kept] + added)
+    out = docs.select(*sent, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(frames, schema)
+    return out.select(*[F.col(c).cast("long").alias(c) if c in whole else F.col(c) for c in rest], *[f.name for f in added])
+
+
 TEXT_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import prepare_workers
+from gradeloom.llm.common import map_texts, prepare_workers
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -173,6 +173,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep_text: bool =
     held = spark.sparkContext.broadcast(model)  # languages x buckets floats
     added = ("lang_pred", "score", "other_share", "lang_mix")
     rest = [c for c in docs.columns if c not in added and (keep_text or c != "text")]
-    schema = T.StructType([*docs.select(rest).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("other_share", T.DoubleType()), T.StructField("lang_mix", MIX)])
-    texts = docs.select(*rest, F.coalesce("text", F.lit("")).alias("_text"))
-    return texts.mapInPandas(lambda frames: identify_frames(frames, held.value), schema)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("other_share", T.DoubleType()), T.StructField("lang_mix", MIX)]
+    return map_texts(docs, rest, fields, lambda frames: identify_frames(frames, held.value))

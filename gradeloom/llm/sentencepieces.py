@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
-from gradeloom.llm.common import prepare_workers, with_outputs
+from gradeloom.llm.common import map_texts, prepare_workers, with_outputs
 
 SPACE = "▁"
 #: Piece types of the model format.
@@ -174,9 +174,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """
     prepare_workers(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
-    schema = docs.select(rest).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
-    texts = docs.select(*rest, F.coalesce("text", F.lit("")).alias("_text"))
-    return texts.mapInPandas(lambda frames: encode_frames(frames, path), schema)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return map_texts(docs, rest, fields, lambda frames: encode_frames(frames, path))
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:

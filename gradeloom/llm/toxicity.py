@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import prepare_workers
+from gradeloom.llm.common import map_texts, prepare_workers
 
 #: Bounds of the sample: confirmed toxic rows, and rows taken without their label.
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
-FEATURE_BITS = 18
+FEATURE_BITS = 22
 PREFIXES = (4, 5, 6)
-#: A feature takes part if this many sampled positives hold it, and if its rates and the prior make a
-#: text that holds it toxic with this chance at least.
-MIN_POSITIVES, MIN_CHANCE = 8, 0.55
+#: A feature takes part if so many sampled positives hold it, and that share of them, and if its rates
+#: and the prior make a text that holds it toxic with this chance at least.
+MIN_POSITIVES, MIN_SHARE, MIN_CHANCE = 8, 0.01, 0.55
 STEPS, RATE, DECAY, TOLERANCE = 400, 0.05, 3e-5, 0.01
 KEPT_WORDS = 400_000
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -97,7 +97,7 @@ def fit_numpy(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     in_p = np.bincount(np.concatenate(positive), minlength=n_features)
     in_u = np.bincount(np.concatenate([np.empty(0, np.int32), *unlabelled]), minlength=n_features)
     chance = prior * (in_p / len(positive)) / ((in_u + 1) / (len(unlabelled) + 1))
-    chosen = np.flatnonzero((in_p >= min(MIN_POSITIVES, len(positive))) & (chance >= MIN_CHANCE))
+    chosen = np.flatnonzero((in_p >= min(max(MIN_POSITIVES, MIN_SHARE * len(positive)), len(positive))) & (chance >= MIN_CHANCE))
     place = np.full(n_features, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -165,11 +165,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = Fals
     prepare_workers(spark)
     held = spark.sparkContext.broadcast(model)  # 2 ** FEATURE_BITS weights at most
     rest = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
-    schema = T.StructType([*docs.select(rest).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             scores = held.value.score(frame["_text"].tolist())
             yield frame.drop(columns="_text").assign(score=scores, predicted=(scores >= 0.5).astype(np.int32))
 
-    return docs.select(*rest, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(score, schema)
+    return map_texts(docs, rest, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], score)
