@@ -35,7 +35,9 @@ CHUNK = 1 << 16
 #: The longest prefixes share so many n-grams.
 MAX_MATCHES = 4
 #: Rounds in which documents are compared with pivots only.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+#: An n-gram's rows of one label are many from here on.
+LARGE_LABEL = 64
 #: Bits of the filter that tells which texts to read again for comparison.
 FILTER_BITS = 23
 _HASH_BITS = 54
@@ -61,6 +63,11 @@ class Likeness:
         """ceil(percent * n / 100)"""
         return F.floor((n * self.percent + 99) / 100).cast("int")
 
+    def overlap(self, left: int | Column, right: int | Column) -> int | Column:
+        """How much two sets of these sizes share at least if they are linked."""
+        total = (left + right) * self.percent + (99 + self.percent)
+        return F.floor(total / (100 + self.percent)).cast("int") if isinstance(total, Column) else total // (100 + self.percent)
+
     def linked(self, shared: np.ndarray, together: np.ndarray) -> np.ndarray:
         return 100 * shared >= self.percent * together
 
@@ -179,12 +186,17 @@ def rank_table(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(1.0 + counts) * 2000).astype(np.uint16)
 
 
-def best_matches(rank: np.ndarray, size: int, base: int, usual: float) -> int:
-    """The number of shared n-grams to ask for, by estimated cost: rows met, and sets to compare."""
+def best_matches(rank: np.ndarray, size: int, usual: float, like: Likeness) -> int:
+    """The number of shared n-grams to ask for, by estimated cost: rows met, and sets to compare.
+
+    A partner of the same size stands for all: it shares the first of them by then.
+    """
+    base = size - like.overlap(size, size) + 1
     most = min(MAX_MATCHES, size - base + 1, len(rank) - base + 1)
+    if most <= 1:
+        return 1
     met = np.cumsum(np.maximum(np.exp2(rank[: base + most - 1] / 2000.0) - usual, 0.0) + 1e-3)
-    costs = [met[base + l - 2] * (1 + size / (64 * l)) for l in range(1, most + 1)]
-    return 1 + int(np.argmin(costs)) if costs else 1
+    return 1 + int(np.argmin([met[base + m - 2] * (1 + size / (256 * m)) for m in range(1, most + 1)]))
 
 
 def prefix_frames(frames: Iterator[pd.DataFrame], ranks: np.ndarray, usual: float, like: Likeness) -> Iterator[pd.DataFrame]:
@@ -205,8 +217,8 @@ def prefix_frames(frames: Iterator[pd.DataFrame], ranks: np.ndarray, usual: floa
                 longest = min(size, base + MAX_MATCHES - 1)
                 tokens.append(grams[at : at + longest].astype(np.int64) if size else np.empty(0, np.int64))
                 if size:
-                    need[i] = best_matches(rank[at : at + longest], size, base, usual)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "size": sizes, "class_id": of_class, "need": need, "tokens": tokens}).astype({"doc_id": "Int64"})
+                    need[i] = best_matches(rank[at : at + longest], size, usual, like)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "size": sizes, "class_id": of_class, "need": need, "tokens": tokens})
 
 
 def set_frames(frames: Iterator[pd.DataFrame], held: np.ndarray, words: int) -> Iterator[pd.DataFrame]:
@@ -287,28 +299,52 @@ def mixed_tokens(rows: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
-    """Each class with the pivot of its n-grams: the first by hash among sets of about its size."""
-    width = -math.log(like.percent / 100)
+    """Each class with the pivot of its n-grams, among sets of about its size.
+
+    First that is the one that holds the n-gram earliest in its order, and so has the fewest
+    rare n-grams of its own: the middle of a group of near copies. Then it is the first by hash.
+    """
+    width = -math.log(like.percent / 100) + 1e-9
     banded = rows.withColumn("band", F.floor(F.log("size") / width + turn / 2).cast("int"))
-    order = F.xxhash64(F.lit(turn), "class_id")
+    order = F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "class_id"))
     pivots = banded.groupBy("token", "band").agg(F.min_by(F.struct("class_id", "size", "label"), order).alias("pivot"))
     met = banded.join(pivots, ["token", "band"]).filter((F.col("label") != F.col("pivot.label")) & (F.least("size", "pivot.size") * 100 >= F.greatest("size", "pivot.size") * like.percent))
     counted = met.groupBy(F.col("class_id").alias("left"), F.col("pivot.class_id").alias("right")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return counted.filter((F.col("n") >= 2) | (F.col("size") <= 8)).select("left", "right")
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str], like: Likeness, once: bool) -> DataFrame:
+    """Rows of ``a`` and ``b`` that share an n-gram early enough, as ``left right need``.
+
+    Left is the larger set. If a pair shares ``overlap`` n-grams, the first ``need`` of them
+    stand no later than ``size - overlap + need - 1`` in either.
+    """
+    columns = [c for c in a.columns if c not in keys]
+    joined = a.join(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns]), keys)
+    ahead = F.struct("size", "class_id") > F.struct(F.col("b_size"), F.col("b_class_id"))
+    need = F.when(ahead, F.col("need")).otherwise(F.col("b_need"))
+    shared = like.overlap(F.col("size"), F.col("b_size"))
+    fits = (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * like.percent) & (F.col("pos") < F.col("size") - shared + need) & (F.col("b_pos") < F.col("b_size") - shared + need)
+    apart = F.col("label") != F.col("b_label") if "label" in columns else F.lit(True)
+    found = joined.filter(fits & apart & (ahead | F.lit(not once)))
+    left, right = F.when(ahead, F.col("class_id")).otherwise(F.col("b_class_id")), F.when(ahead, F.col("b_class_id")).otherwise(F.col("class_id"))
+    return found.select(left.alias("left"), right.alias("right"), need.alias("need"))
+
+
 def remaining_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs across labels that share as many prefix n-grams as the larger one asks for.
+    """All pairs across labels that share as many early n-grams as the larger set asks for.
 
-    Labels meet first, then their rows: the rows of one label never meet each other.
+    Where many rows of one label hold an n-gram, labels meet first and then their rows, so
+    that the rows of one label do not meet each other.
     """
-    sides = rows.select("token", "label").distinct()
-    meets = sides.join(sides.withColumnRenamed("label", "other"), "token").filter("label != other")
-    larger = rows.select("token", "label", F.col("class_id").alias("left"), F.col("size").alias("left_size"), F.col("level").alias("left_level"), "need").filter("left_level <= need")
-    smaller = rows.select("token", F.col("label").alias("other"), F.col("class_id").alias("right"), F.col("size").alias("right_size"), F.col("level").alias("right_level"))
-    ahead = (F.col("right_size") < F.col("left_size")) | ((F.col("right_size") == F.col("left_size")) & (F.col("right") < F.col("left")))
-    fits = F.col("right_size") * 100 >= F.col("left_size") * like.percent
-    met = meets.join(larger, ["token", "label"]).join(smaller, ["token", "other"]).filter(ahead & fits & (F.col("right_level") <= F.col("need")))
+    rows = rows.select("token", "label", "class_id", "size", "need", "pos")
+    large = materialize(rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_LABEL).select("token", "label"), "large-labels")
+    light, heavy = rows.join(large, ["token", "label"], "left_anti"), rows.join(large, ["token", "label"], "left_semi")
+    meets = large.join(large.withColumnRenamed("label", "other"), "token").filter("label < other")
+    first = heavy.join(meets, ["token", "label"]).drop("label")
+    second = heavy.join(meets.select("token", F.col("label").alias("_label"), F.col("other").alias("label")), ["token", "label"]).select("token", F.col("label").alias("other"), "class_id", "size", "need", "pos", F.col("_label"))
+    met = _met(light, light, ["token"], like, once=True).unionByName(_met(heavy, light, ["token"], like, once=False))
+    met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False))
     return met.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("left", "right")
 
 
@@ -329,15 +365,17 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     counts = count_sketch(texts.select("text"), like.words)
     ranks = spark.sparkContext.broadcast(rank_table(counts))  # 2 ** SKETCH_BITS numbers
     usual = float(np.median(counts)) + 1
-    found = texts.mapInPandas(lambda frames: prefix_frames(frames, ranks.value, usual, like), "doc_id long, size long, class_id long, need int, tokens array<long>")
-    prefixes = materialize(found, "prefixes")
+    # The id travels as text: pandas would round large numbers next to nulls.
+    sent = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = sent.mapInPandas(lambda frames: prefix_frames(frames, ranks.value, usual, like), "doc_id string, size long, class_id long, need int, tokens array<long>")
+    prefixes = materialize(found.withColumn("doc_id", F.col("doc_id").cast("long")), "prefixes")
     usable = prefixes.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     nodes = materialize(usable.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = usable.select("class_id", "doc_id").join(nodes.filter("copies > 1").select("class_id", "first_doc"), "class_id").filter("doc_id != first_doc").select("class_id", "doc_id").distinct()
     base = F.col("size") - like.needed(F.col("size")) + 1
     single = usable.join(copies, ["class_id", "doc_id"], "left_anti")
     rows = single.select("class_id", F.col("size").cast("int").alias("size"), "need", base.cast("int").alias("base"), F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.select("token", "class_id", "size", "need", F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("level"))
+    rows = rows.filter(F.col("pos") < F.col("base") + MAX_MATCHES - 1).select("token", "class_id", "size", "need", "pos")
     common = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-tokens")
     shared = materialize(rows.join(common, "token", "left_semi"), "shared-rows")
     links, labels = None, None

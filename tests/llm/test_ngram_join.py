@@ -69,7 +69,7 @@ def test_equals_brute_force(spark, seed, n, percent):
 def test_no_pivots_and_one_pivot_round_agree(spark, monkeypatch):
     docs = corpus(9, 120)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for rounds in (0, 1):
+    for rounds in (0, 2):
         monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", rounds)
         assert sorted(map(tuple, jaccard_components(df, Likeness(3, 70)).collect())) == brute_components(docs, 3, 70)
 
@@ -105,6 +105,16 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_prefix_matches_cost():
-    rank = np.floor(np.log2(1.0 + np.array([1, 1, 900, 900, 900])) * 2000).astype(np.uint16)
-    assert ngram_join.best_matches(rank, 400, 2, 1.0) == 1  # longer prefixes meet frequent n-grams
-    assert ngram_join.best_matches(np.full(5, rank[2]), 400, 2, 1.0) > 1  # all are frequent: share more
+    like = Likeness(4, 85)
+    rank = np.floor(np.log2(1.0 + np.array([1] * 33 + [900] * 21)) * 2000).astype(np.uint16)
+    assert like.overlap(400, 400) == 368 and 400 - 368 + 1 == 33
+    assert ngram_join.best_matches(rank, 400, 1.0, like) == 1  # longer prefixes meet frequent n-grams
+    assert ngram_join.best_matches(np.full(54, rank[-1]), 400, 1.0, like) > 1  # all are frequent: share more
+
+
+@pytest.mark.parametrize("large", [1, 2])
+def test_large_labels_meet_others(spark, monkeypatch, large):
+    docs = corpus(11, 140)
+    monkeypatch.setattr(ngram_join, "LARGE_LABEL", large)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, Likeness(3, 75)).collect())) == brute_components(docs, 3, 75)
