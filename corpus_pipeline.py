@@ -20,10 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: without a letter, or mostly of what no language explains."""
+    """Drops documents in no language: without a letter, or of what no language explains by nine tenths."""
     model = language_mixture.fit_languages(docs)
     found = language_mixture.identify_languages(docs.select(COLUMNS), model, keep_text=True)
-    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.5)).select(COLUMNS)
+    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,22 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+#: Code points that numpy steps work on at once, but for longer single texts.
+BATCH_CHARS = 400_000
+
+
+def text_slices(texts: list[str], rows: int = 512) -> Iterator[slice]:
+    """Consecutive parts of the list with about ``BATCH_CHARS`` code points and ``rows`` texts at most."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if i > start and (held + len(text) > BATCH_CHARS or i - start >= rows):
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def map_texts(docs: DataFrame, rest: list[str], added: list[T.StructField], frames) -> DataFrame:
     """Run ``frames`` over the columns ``rest`` and ``_text`` (null: empty), in batches of pandas.
 

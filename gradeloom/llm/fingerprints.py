@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import prepare_workers
+from gradeloom.llm.common import BATCH_CHARS, prepare_workers
 
 PARTS = 3
 #: Cells in each part of the smallest sketch; a retry has GROWTH times as many.
@@ -220,12 +220,16 @@ def sketch_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come in order within a bucket; its last one is the next bucket's first, for its text alone."""
     held: tuple | None = None
     for frame in frames:
-        ids, texts, following = [], [], []
+        ids, texts, following, chars = [], [], [], 0
         for row in zip(frame["bucket"], frame["doc_id"], frame["text"], frame["is_next"], strict=True):
             if held is not None and held[0] == row[0] and not held[3]:
                 ids.append(held[1])
                 texts.append(held[2])
                 following.append(row[2])
+                chars += len(held[2])
+                if chars > BATCH_CHARS:
+                    yield fingerprint_rows(ids, texts, following)
+                    ids, texts, following, chars = [], [], [], 0
             held = row
         if ids:
             yield fingerprint_rows(ids, texts, following)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import map_texts, prepare_workers
+from gradeloom.llm.common import map_texts, prepare_workers, text_slices
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -71,9 +71,11 @@ class LanguageModel:
 def count_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, np.ndarray] = {}
     for frame in frames:
-        for lang, texts in frame.groupby("lang")["text"]:
-            _, buckets, _ = trigrams(texts.tolist())
-            counts[lang] = counts.get(lang, 0) + np.bincount(buckets, minlength=BUCKETS)
+        for lang, group in frame.groupby("lang")["text"]:
+            texts = group.tolist()
+            for part in text_slices(texts):
+                _, buckets, _ = trigrams(texts[part])
+                counts[lang] = counts.get(lang, 0) + np.bincount(buckets, minlength=BUCKETS)
     for lang, found in counts.items():
         at = np.flatnonzero(found)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": found[at]})
@@ -143,7 +145,11 @@ def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nda
 def identify_frames(frames: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd.DataFrame]:
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     for frame in frames:
-        shares, likeliest, known = mixtures(frame["_text"].tolist(), model)
+        texts = frame["_text"].tolist()
+        found = [mixtures(texts[part], model) for part in text_slices(texts)]
+        if not found:
+            continue
+        shares, likeliest, known = (np.concatenate(x) for x in zip(*found, strict=True))
         own = np.column_stack([shares[:, :-1], np.zeros(len(frame))])
         pred = np.where(known, np.where(own.max(axis=1) > 0, own.argmax(axis=1), likeliest), len(model.languages))
         yield frame.drop(columns="_text").assign(

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import prepare_workers
+from gradeloom.llm.common import prepare_workers, text_slices
 from gradeloom.llm.fingerprints import mix, run_hashes
 from gradeloom.session import materialize
 
@@ -129,9 +129,9 @@ def class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (mix(sums[0] + sizes.astype(np.uint64) * _ODD[3]) ^ sums[1]).astype(np.int64)
 
 
-def batches(frame: pd.DataFrame, rows: int = 512) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(frame), rows):
-        yield frame.iloc[start : start + rows]
+def batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for part in text_slices(frame["text"].tolist()):
+        yield frame.iloc[part]
 
 
 def sketch_slot(grams: np.ndarray) -> np.ndarray:

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
-from gradeloom.llm.common import map_texts, prepare_workers, with_outputs
+from gradeloom.llm.common import map_texts, prepare_workers, text_slices, with_outputs
 
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Distinct words that a worker remembers; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -160,8 +160,10 @@ class PieceCodec:
 def encode_frames(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
         codec = PieceCodec.of(path)
-        ids = codec.encode(frame["_text"].tolist())
-        yield frame.drop(columns="_text").assign(ids=ids, decoded=codec.decode(ids))
+        texts = frame["_text"].tolist()
+        for part in text_slices(texts):
+            ids = codec.encode(texts[part])
+            yield frame.iloc[part].drop(columns="_text").assign(ids=ids, decoded=codec.decode(ids))
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ PREFIXES = (4, 5, 6)
 #: and the prior make a text that holds it toxic with this chance at least.
 MIN_POSITIVES, MIN_SHARE, MIN_CHANCE = 8, 0.01, 0.55
 STEPS, RATE, DECAY, TOLERANCE = 400, 0.05, 3e-5, 0.01
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
