@@ -101,11 +101,10 @@ def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) ->
         place = np.arange(len(here)) - np.flatnonzero(run)[np.cumsum(run) - 1]
         here = here[place % 2 == 0]
         old = ranks[here]
-        # A merge first meets what stands to its right before that is merged itself.
-        meets = np.flatnonzero(here + 2 < len(symbols))
-        meets = meets[word[here[meets] + 2] == word[here[meets]]]
+        # Where the symbol to the right is merged as well, a merge first meets it as it was.
+        close = np.flatnonzero((np.diff(here) == 2) & (word[here[:-1]] == word[here[1:]]))
         hasty = np.zeros(len(here), bool)
-        hasty[meets] = table.find(merged[here[meets]], symbols[here[meets] + 2])[0] <= old[meets]
+        hasty[close] = table.find(merged[here[close]], symbols[here[close] + 2])[0] <= old[close]
         symbols[here] = merged[here]
         keep = np.ones(len(symbols), bool)
         keep[here + 1] = False
@@ -117,7 +116,7 @@ def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) ->
             ranks[at], merged[at] = table.find(symbols[at], symbols[at + 1])
             ranks[at[word[at] != word[at + 1]]] = NO_PAIR
         ranks[-1] = NO_PAIR
-        hasty |= (new > 0) & (ranks[np.maximum(new - 1, 0)] <= old)
+        hasty |= (ranks[new] <= old) | ((new > 0) & (ranks[np.maximum(new - 1, 0)] <= old))
         if hasty.any():
             again = np.unique(word[new[hasty]])
             one_by_one.append(again)
