@@ -33,7 +33,7 @@ from gradeloom.session import materialize
 #: Pieces of one length that are ranked by one sort.
 RANK_GROUP = 50_000
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 450_000
+KEPT_WORDS = 550_000
 _encoders: dict[str, WordEncoder] = {}
 
 
