@@ -5,11 +5,13 @@ page of the host holds it; tokens with equal vectors form an equivalence class.
 of tokens that every page holds just once is the host's template, and classes that occur
 with others in equal numbers nest in its parts. What stands between the template's tokens
 is a slot. Slots whose text keeps coming back from page to page belong to the template
-too (menus, notices, adverts); the others hold the pages' own text.
+too (menus, notices, adverts); slots whose texts are nearly all different, on a host with
+enough pages to tell, hold the pages' own text. That holds inside an article too.
 
 Vectors are not gathered: two sums of hashes of (page, number) stand for one, so that
-a host with very many pages needs no large group. What HTML itself says (navigation,
-forms, scripts, comments, names of classes) decides where a host has too few pages.
+a host with very many pages needs no large group. What HTML itself says (articles,
+navigation, forms, names of classes) decides only where a host has too few pages to tell
+for a slot; what is never shown as text (scripts, comments, options) is left out anyway.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from gradeloom.session import materialize
 
 #: A slot is the template's if so many of its texts are seen and each distinct one comes back this often.
 MIN_TEXTS, MIN_REPEATS = 8, 4
+#: A slot holds own text if its host has so many pages and so large a share of its texts is distinct.
+#: So few repeats in so many pages are not to be had from a list of a hundred notices.
+OWN_PAGES, OWN_SHARE = 32, 0.9
 #: Templates are sent to every task up to so many rows, and joined by host beyond.
 BROADCAST_ROWS = 50_000
 
@@ -38,7 +43,8 @@ BROADCAST_ROWS = 50_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
 RAW = frozenset("script style textarea title xmp".split())
-LEFT_OUT = frozenset("aside button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label legend map menu nav noscript object optgroup option output script select style svg template textarea title video audio".split())
+HIDDEN = frozenset("audio canvas datalist embed frame frameset head iframe input map noscript object optgroup option script select style svg template textarea title video".split())
+LEFT_OUT = frozenset("aside button dialog fieldset footer form label legend menu nav output".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Names of classes, ids and roles of what isn't main text.
 NAMES = (
@@ -56,17 +62,18 @@ MAX_DEPTH = 40
 
 
 class Element:
-    __slots__ = ("depth", "main", "out", "path", "tag")
+    __slots__ = ("depth", "hidden", "main", "out", "path", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool, depth: int):
-        self.tag, self.path, self.out, self.main, self.depth = tag, path, out, main, depth
+    def __init__(self, tag: str, path: str, out: bool, main: bool, depth: int, hidden: bool = False):
+        self.tag, self.path, self.out, self.main, self.depth, self.hidden = tag, path, out, main, depth, hidden
 
 
 def read_page(page: str) -> Iterator[tuple[str, Element, str]]:
     """("open", element, ""), ("text", element, text) and ("break", element, "") in page order.
 
     Ends that are left out are put in: a paragraph ends before the next block, an element
-    with its parent. ``out`` marks what HTML says is no main text, ``main`` what it says is.
+    with its parent. ``out`` marks what HTML says is no main text, ``main`` what it says is,
+    ``hidden`` what is not shown as text.
     """
     stack = [Element("", "", False, False, 0)]
     at = 0
@@ -101,7 +108,7 @@ def read_page(page: str) -> Iterator[tuple[str, Element, str]]:
         main = parent.main or tag in ("article", "main")
         out = parent.out or tag in LEFT_OUT or (tag == "header" and not parent.main) or (names != "" and tag not in ("html", "body") and _left_out_name.search(names) is not None)
         path = f"{parent.path}/{tag}" + (f".{_digits.sub('#', names)}" if names else "")
-        element = Element(tag, path if parent.depth < MAX_DEPTH else parent.path, out, main, parent.depth + 1)
+        element = Element(tag, path if parent.depth < MAX_DEPTH else parent.path, out, main, parent.depth + 1, parent.hidden or tag in HIDDEN)
         yield "open", element, ""
         if tag == "br":
             yield "text", parent, " "
@@ -136,7 +143,7 @@ def observe_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for kind, element, text in read_page(page):
                 if kind == "open":
                     tokens[element.path] += 1
-                elif kind == "text" and not element.out and (short := squeezed(text)):
+                elif kind == "text" and not element.hidden and (short := squeezed(text)):
                     rows.append((host, "text", element.path, page_key, text_digest(short), 1))
             rows += [(host, "token", path, page_key, 0, n) for path, n in tokens.items()]
             rows.append((host, "page", "", page_key, 0, 1))
@@ -154,7 +161,8 @@ def equivalence_classes(seen: DataFrame) -> DataFrame:
 
 
 def deduce_templates(seen: DataFrame) -> DataFrame:
-    """One row for each slot of each host: ``host slot own``, own being false for the template's.
+    """One row for each slot of each host: ``host slot own``, own being false for the template's
+    and null where the host's pages do not tell.
 
     Template tokens are the class of what every page holds once. A nested class (two tokens
     at least, with one vector) hangs below the deepest template token on its path, and so
@@ -172,40 +180,57 @@ def deduce_templates(seen: DataFrame) -> DataFrame:
     steps = F.split("path", "/")
     above = by_path.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))))
     deepest = above.join(template, ["host", "slot"]).groupBy("host", "path", "texts", "distinct_texts").agg(F.max_by("slot", F.length("slot")).alias("slot"))
+    summed = deepest.groupBy("host", "slot").agg(F.sum("texts").alias("texts"), F.sum("distinct_texts").alias("distinct_texts")).join(hosts, "host")
     repeats = (F.col("texts") >= MIN_TEXTS) & (F.col("texts") >= MIN_REPEATS * F.col("distinct_texts"))
-    return deepest.groupBy("host", "slot").agg(F.sum("texts").alias("texts"), F.sum("distinct_texts").alias("distinct_texts")).select("host", "slot", (~repeats).alias("own"))
+    differs = (F.col("host_pages") >= OWN_PAGES) & (F.col("texts") >= OWN_PAGES) & (F.col("distinct_texts") >= OWN_SHARE * F.col("texts"))
+    return summed.select("host", "slot", F.when(repeats, F.lit(False)).when(differs, F.lit(True)).alias("own"))
 
 
-def slot_of(path: str, slots: dict[str, bool]) -> bool:
-    """Whether the deepest slot on the path holds the pages' own text."""
+def slot_of(path: str, slots: dict[str, bool | None]) -> bool | None:
+    """Whether the deepest slot on the path holds the pages' own text; None if that is not known."""
     while path:
         if path in slots:
             return slots[path]
         path = path.rpartition("/")[0]
-    return True
+    return None
 
 
-def main_text(page: str, slots: dict[str, bool]) -> str:
-    """The page's own blocks; those in an article or a main element if the page has one."""
-    blocks: list[tuple[bool, bool, str]] = []
+def main_text(page: str, slots: dict[str, bool | None]) -> str:
+    """The page's own blocks by its host's slots.
+
+    Where a slot is not known, HTML's hints decide: what they leave out goes, and if the page
+    has blocks in an article or a main element, so does what stands outside. A block is
+    template only if all of it is. A page with nothing but template is read by the hints alone.
+    """
+    blocks: list[tuple[bool, bool | None, str]] = []
     parts: list[str] = []
-    kind_of = (False, False)
+    kind_of: tuple[bool, bool | None] | None = None
 
     def close() -> None:
-        if parts:
-            if text := squeezed("".join(parts)):
-                blocks.append((*kind_of, text))
-            parts.clear()
+        nonlocal kind_of
+        if kind_of:
+            blocks.append((*kind_of, squeezed("".join(parts))))
+        parts.clear()
+        kind_of = None
 
     for kind, element, text in read_page(page):
         if kind == "break":
             close()
-        elif kind == "text" and not element.out:
-            if not parts:
-                kind_of = (element.main, element.main or slot_of(element.path, slots))
+        elif kind == "text" and not element.hidden:
+            own = slot_of(element.path, slots)
+            if element.out and not own:
+                continue
+            if text.isspace() or ("&" in text and not squeezed(text)):
+                pass  # white space tells nothing
+            elif not kind_of:
+                kind_of = (element.main, own)
+            elif kind_of[1] is not True and own is not False:
+                kind_of = (kind_of[0], own)
             parts.append(text)
     close()
-    chosen = [text for main, _, text in blocks if main] or [text for _, own, text in blocks if own] or [text for _, _, text in blocks]
+    in_main = any(main and own is not False for main, own, _ in blocks)
+    chosen = [text for main, own, text in blocks if own or (own is None and (main or not in_main))]
+    chosen = chosen or [text for main, _, text in blocks if main] or [text for _, _, text in blocks]
     return "\n\n".join(chosen)
 
 

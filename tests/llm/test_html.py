@@ -83,3 +83,21 @@ def test_edges(spark):
     found = {(r["page_id"], r["n_chars"]) for r in got.collect()}
     assert got.count() == len(rows) and found == {(1, 0), (2, 0), (3, 12), (4, 12), (5, 499_999)}
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_slots_decide_inside_and_beside_articles(spark):
+    """Teasers and notices in an article come back from page to page; the text beside it does not."""
+    page = "<body><article><h2>Read this too</h2></article><div class=widget><p>Text {0}, own words</p><p>More of {0}</p></div></body>"
+    assert extracted(spark, [page.format(i) for i in range(40)]) == [f"Text {i}, own words\n\nMore of {i}" for i in range(40)]
+    page = "<body><article><h1>Title {0}</h1><p><b>By:</b> writer {0}</p><div>Buy now!</div></article></body>"
+    assert extracted(spark, [page.format(i) for i in range(40)]) == [f"Title {i}\n\nBy: writer {i}" for i in range(40)]
+
+
+def test_hints_decide_where_pages_are_few(spark):
+    page = "<body><article><p>Text {0}</p></article><div>Beside {0}</div><aside>Aside {0}</aside></body>"
+    assert extracted(spark, [page.format(i) for i in range(5)]) == [f"Text {i}" for i in range(5)]
