@@ -8,6 +8,7 @@ is a slot. Slots whose text keeps coming back from page to page belong to the te
 too (menus, notices, adverts); slots whose texts are nearly all different, on a host with
 enough pages to tell, hold the pages' own text. That holds inside an article too.
 
+Pages of a host with the same texts in the same order are copies and count once.
 Vectors are not gathered: two sums of hashes of (page, number) stand for one, so that
 a host with very many pages needs no large group. What HTML itself says (articles,
 navigation, forms, names of classes) decides only where a host has too few pages to tell
@@ -135,18 +136,26 @@ def text_digest(text: str) -> int:
 
 
 def observe_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page: its tokens with their numbers, its texts by path, and itself."""
+    """For each page: its tokens with their numbers, its texts by path, and itself.
+
+    The row of kind "page" has a digest of all texts in their order.
+    """
     for frame in frames:
         rows = []
         for host, page_key, page in zip(frame["host"], frame["page_key"], frame["html"], strict=True):
             tokens: Counter = Counter()
+            texts: Counter = Counter()
+            said = hashlib.blake2b(digest_size=8)
             for kind, element, text in read_page(page):
                 if kind == "open":
                     tokens[element.path] += 1
                 elif kind == "text" and not element.hidden and (short := squeezed(text)):
-                    rows.append((host, "text", element.path, page_key, text_digest(short), 1))
+                    digest = text_digest(short)
+                    texts[element.path, digest] += 1
+                    said.update(digest.to_bytes(8, "little", signed=True))
+            rows += [(host, "text", path, page_key, digest, n) for (path, digest), n in texts.items()]
             rows += [(host, "token", path, page_key, 0, n) for path, n in tokens.items()]
-            rows.append((host, "page", "", page_key, 0, 1))
+            rows.append((host, "page", "", page_key, int.from_bytes(said.digest(), "little", signed=True), 1))
         yield pd.DataFrame(rows, columns=["host", "kind", "path", "page_key", "digest", "n"])
 
 
@@ -160,6 +169,12 @@ def equivalence_classes(seen: DataFrame) -> DataFrame:
     return seen.filter(F.col("kind") == "token").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("occurrences"), F.struct(F.sum(low).alias("low"), F.sum(high).alias("high")).alias("vector"))
 
 
+def distinct_pages(seen: DataFrame) -> DataFrame:
+    """The rows of one page, that with the smallest key, for all that say the same on a host."""
+    first = seen.filter(F.col("kind") == "page").groupBy("host", "digest").agg(F.min("page_key").alias("page_key")).select("host", "page_key")
+    return seen.join(first, ["host", "page_key"], "left_semi").dropDuplicates(["host", "kind", "path", "page_key", "digest"])
+
+
 def deduce_templates(seen: DataFrame) -> DataFrame:
     """One row for each slot of each host: ``host slot own``, own being false for the template's
     and null where the host's pages do not tell.
@@ -247,9 +262,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     prepare_workers(spark)
     source = F.coalesce("html", F.lit(""))
     host = url_host(F.col("url"))
-    observed = pages.select(host.alias("host"), F.xxhash64("url", "html").alias("page_key"), source.alias("html"))
+    observed = pages.select(host.alias("host"), F.xxhash64(source).alias("page_key"), source.alias("html"))
     seen = materialize(observed.mapInPandas(observe_frames, "host string, kind string, path string, page_key long, digest long, n int"), "page-tokens")
-    slots = materialize(deduce_templates(seen), "templates")
+    slots = materialize(deduce_templates(materialize(distinct_pages(seen), "distinct-pages")), "templates")
     templates = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "own"))).alias("_slots"))
     if slots.count() <= BROADCAST_ROWS:
         templates = F.broadcast(templates)

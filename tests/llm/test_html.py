@@ -101,3 +101,11 @@ def test_slots_decide_inside_and_beside_articles(spark):
 def test_hints_decide_where_pages_are_few(spark):
     page = "<body><article><p>Text {0}</p></article><div>Beside {0}</div><aside>Aside {0}</aside></body>"
     assert extracted(spark, [page.format(i) for i in range(5)]) == [f"Text {i}" for i in range(5)]
+
+
+def test_copies_of_pages_count_once(spark):
+    """A page with many copies, some with a comment of their own, makes no template of the text that they share."""
+    page = "<body><div class=one>Start</div><div class=two><h1>Title {0}</h1><p>Text {0}</p></div><div class=three>Call us now</div></body>"
+    numbers = [*range(10), *[99] * 200]
+    pages = [page.format(i) + "<!-- {} -->".format(at % 3) for at, i in enumerate(numbers)]
+    assert extracted(spark, pages) == [f"Title {i}\n\nText {i}" for i in numbers]
