@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import edit_credit, word_ngrams
-from gradeloom.session import ship_package
+from gradeloom.session import materialize, ship_package
 
-#: Marked examples that a task holds at a time.
+#: Marked examples, and vectors, that a task holds at a time.
 EXEMPLAR_BLOCK = 4096
+#: Vectors whose scores against a block are held at once.
+SCORED_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def grade_exact(answers: DataFrame, key: DataFrame, on: str, answer: str, key_text: str, full_mark: float = 1.0) -> DataFrame:
@@ -40,45 +43,72 @@ def rubric_coverage(answers: DataFrame, rubric: DataFrame, answer_key: str, answ
     return found.join(totals, item_key).select(answer_key, item_key, "grams_total", "grams_found", share.alias("share")).filter(F.col("share") >= min_share)
 
 
+def _pack(frames: Iterator[pd.DataFrame], block_rows: int) -> Iterator[pd.DataFrame]:
+    """Rows of ``key label v`` as blocks of up to ``block_rows`` rows, sorted by key; keys are text, for nulls."""
+
+    def packed(rows: list) -> pd.DataFrame:
+        known = np.array([key is not None for key, _, _ in rows])
+        keys = np.array([int(key) if key is not None else 0 for key, _, _ in rows], np.int64)
+        order = np.lexsort((keys, known))  # null first, as in Spark's windows
+        labels = np.array([np.nan if label is None else label for _, label, _ in rows], np.float64)
+        matrix = np.array([v for _, _, v in rows], dtype=np.float64)
+        return pd.DataFrame([{name: x[order].tobytes() for name, x in (("keys", keys), ("known", known), ("labels", labels), ("vectors", matrix))}])
+
+    waiting: list = []
+    for frame in frames:
+        labels = [None if pd.isna(x) else x for x in frame["label"]]
+        for row in zip(frame["key"], labels, frame["v"], strict=True):
+            waiting.append(row)
+            if len(waiting) == block_rows:
+                yield packed(waiting)
+                waiting = []
+    if waiting:
+        yield packed(waiting)
+
+
+def _nearest(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """For each pair of blocks: every vector's best ``k`` of the block of examples."""
+
+    def whole(row: dict, side: str) -> tuple:
+        keys = pd.arrays.IntegerArray(np.frombuffer(row[f"{side}keys"], np.int64).copy(), ~np.frombuffer(row[f"{side}known"], bool))
+        return keys, np.frombuffer(row[f"{side}vectors"], np.float64).reshape(len(keys), -1)
+
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            keys, vectors = whole(row, "")
+            near_keys, matrix = whole(row, "near_")
+            labels = pd.array(np.frombuffer(row["near_labels"], np.float64), dtype="Int64")
+            for start in range(0, len(keys), SCORED_ROWS):
+                scores = vectors[start : start + SCORED_ROWS] @ matrix.T
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                rows, flat = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
+                yield pd.DataFrame({"key": keys[start + rows], "near_key": near_keys[flat], "near_label": labels[flat], "score": scores[rows, flat]})
+
+
 def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """The label that most of the ``k`` most similar marked examples bear.
 
     Similarity is the dot product; ties go to the smaller key, and among labels with as many
-    votes to the smaller label. Examples are sent in blocks of fixed size, each of which gives
-    every vector its best ``k``; more examples mean more blocks, not larger ones.
+    votes to the smaller label. Tasks pack both tables into blocks of fixed size, one row
+    each, and meet one pair of blocks at a time; each pair gives every vector its best ``k``.
+    Nothing of either table goes to the driver, but for tables so small that Spark broadcasts them.
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    total = exemplars.count()
-    blocks = max(1, -(-total // EXEMPLAR_BLOCK))
-    numbered = exemplars.select(F.col(key).alias("near_key"), F.col(vector).alias("v"), F.col(label).alias("near_label"), (F.pmod(F.xxhash64(key), F.lit(blocks))).alias("block"))
-
-    def nearest(held: pd.DataFrame):
-        order = held.sort_values("near_key")
-        keys, labels = order["near_key"].to_numpy(), order["near_label"].to_numpy()
-        matrix = np.array(order["v"].tolist(), dtype=np.float64)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                scores = np.array(frame["v"].tolist(), dtype=np.float64) @ matrix.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(frame)), best.shape[1])
-                flat = best.ravel()
-                yield pd.DataFrame({"key": frame["key"].to_numpy()[rows], "near_key": keys[flat], "near_label": labels[flat], "score": scores[rows, flat]})
-
-        return run
-
-    source = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    found = None
-    for b in range(blocks):
-        held = numbered.filter(F.col("block") == b).toPandas()
-        if len(held):
-            part = source.mapInPandas(nearest(held), "key long, near_key long, near_label int, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return source.select(F.col("key").alias(key), F.lit(None).cast("int").alias("predicted")).limit(0)
+    block_rows = EXEMPLAR_BLOCK
+
+    def blocks(rows: DataFrame, labels: Column, prefix: str) -> DataFrame:
+        sent = rows.select(F.col(key).cast("string").alias("key"), labels.cast("int").alias("label"), F.col(vector).alias("v"))
+        packed = materialize(sent.mapInPandas(lambda frames: _pack(frames, block_rows), "keys binary, known binary, labels binary, vectors binary"), "blocks")
+        return packed.select(*[F.col(c).alias(prefix + c) for c in packed.columns])
+
+    pairs = blocks(vectors, F.lit(None), "").drop("labels").crossJoin(blocks(exemplars, F.col(label), "near_"))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "4")  # rows of megabytes
+    try:
+        found = materialize(pairs.mapInPandas(lambda frames: _nearest(frames, k), "key long, near_key long, near_label int, score double"), "nearest")
+    finally:
+        spark.conf.set(_BATCH, before)
     near = Window.partitionBy("key").orderBy(F.col("score").desc(), "near_key")
     votes = found.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k).groupBy("key", "near_label").agg(F.count(F.lit(1)).alias("votes"))
     top = Window.partitionBy("key").orderBy(F.col("votes").desc(), "near_label")

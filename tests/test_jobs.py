@@ -86,6 +86,26 @@ def test_exemplars_in_blocks_equal_one_block(spark, monkeypatch):
     assert none.count() == 0
 
 
+def test_exemplars_stay_in_tasks(spark, monkeypatch):
+    """No table is collected to the driver, and null keys and labels and large keys are kept."""
+    points = [(None if i == 20 else 2**60 + i, [float(i % 7), float(i % 5), 1.0], None if i % 3 == 0 else i % 3) for i in range(60)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "n int, id long, v array<double>, lab int")
+
+    def no_collect(self, *args):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(type(df), "toPandas", no_collect)
+    monkeypatch.setattr(grading, "EXEMPLAR_BLOCK", 11)
+    got = rows(grading.grade_by_exemplar(df.filter("n < 10"), df.filter("n >= 10"), 5, "id", "v", "lab"), "id", "predicted", "votes")
+    expected = []
+    for key, v, _ in points[:10]:
+        near = sorted(points[10:], key=lambda p: (-sum(a * b for a, b in zip(v, p[1], strict=True)), p[0] is not None, p[0]))[:5]
+        votes = [(-sum(p[2] == label for p in near), label is not None, label or 0, label) for label in {p[2] for p in near}]
+        best = min(votes)
+        expected.append((key, best[3], -best[0]))
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
 def test_rubric_shares(spark):
     docs = spark.createDataFrame([(1, "One two THREE four; one two three four"), (2, "nothing"), (3, None)], "d int, t string")
     items = spark.createDataFrame([(7, "one two three four five")], "i int, p string")
