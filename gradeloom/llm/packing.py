@@ -34,6 +34,9 @@ from gradeloom.session import materialize
 RANK_GROUP = 50_000
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 550_000
+#: Unicode's White_Space; Python's split() also cuts at U+001C to U+001F, which the tokenizer keeps.
+KEPT_CONTROLS = "\x1c\x1d\x1e\x1f"
+_words_of = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -112,7 +115,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [text.split() for text in texts]
+        split = [_words_of(text) if any(x in text for x in KEPT_CONTROLS) else text.split() for text in texts]
         missing = set().union(*split).difference(self.words) if split else set()
         if len(self.words) + len(missing) > KEPT_WORDS:
             self.words.clear()

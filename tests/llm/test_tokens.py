@@ -130,3 +130,14 @@ def test_pack_documents(spark):
     assert max(at.values()) <= 16
     assert sorted(at) == list(range(len(at)))
     assert pack_documents(df.limit(0), WORDS).count() == 0
+
+
+def test_every_control_and_space_equals_the_library():
+    """Python's white space and the tokenizer's differ in U+001C to U+001F."""
+    from tokenizers import Tokenizer
+
+    signs = [*map(chr, range(0xA1)), *"\u1680\u180e\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"]
+    texts = [form.format(x) for x in signs for form in ("a{0}b", "{0}", " {0} a{0}{0} 1", "\x1c{0}é \x1f")]
+    tokenizer = Tokenizer.from_file(WORDS)
+    own = WordEncoder(WORDS).encode(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
