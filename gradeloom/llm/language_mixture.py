@@ -5,7 +5,7 @@ texts. A document's trigrams are taken as draws from a mixture of languages, and
 uniform background for what is in none of them; expectation-maximisation estimates the
 proportions, for all documents of a batch at once. The set of languages is chosen by
 penalised likelihood: each further language must gain more than half the logarithm of the
-number of trigrams, times ``PENALTY``.
+number of trigrams, times ``PENALTY``. Nothing else bounds the size of the set.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.05
 MAX_LANGUAGES = 500
-MAX_SET = 4
+#: Sets of up to so many are tried for every text, larger ones as long as the last one gained.
+TRIED_SIZES = 4
 EM_STEPS = 12
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -131,13 +132,20 @@ def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nda
     full, _ = expectation_maximisation(chance, weight, starts, sizes, np.full((n, k), 1 / k, np.float32))
     full[np.arange(n), first] = 2  # the best single one belongs to every set
     order = np.argsort(-full, axis=1, kind="stable")
-    for size in range(2, min(MAX_SET, k) + 1):
-        start = np.zeros((n, k), np.float32)
-        np.put_along_axis(start, order[:, :size], 1 / size, axis=1)
-        found, likelihood = expectation_maximisation(chance, weight, starts, sizes, start)
-        gained = likelihood - PENALTY * (size - 1) * np.log(total + 1) / 2
-        better = gained > best
-        best_shares[better], best[better] = found[better], gained[better]
+    at, part, part_weight, part_starts, part_sizes = np.arange(n), chance, weight, starts, sizes  # the texts that are still tried
+    for size in range(2, k + 1):
+        start = np.zeros((len(at), k), np.float32)
+        np.put_along_axis(start, order[at, :size], 1 / size, axis=1)
+        found, likelihood = expectation_maximisation(part, part_weight, part_starts, part_sizes, start)
+        gained = likelihood - PENALTY * (size - 1) * np.log(total[at] + 1) / 2
+        better = gained > best[at]
+        best_shares[at[better]], best[at[better]] = found[better], gained[better]
+        if size >= TRIED_SIZES:
+            if not better.any():
+                break
+            rows = np.repeat(better, part_sizes)
+            at, part, part_weight, part_sizes = at[better], part[rows], part_weight[rows], part_sizes[better]
+            part_starts = np.append(0, np.cumsum(part_sizes)[:-1])
     shares[docs[starts]], likeliest[docs[starts]] = best_shares, alone[:, :-1].argmax(axis=1)
     return shares, likeliest, has_letter
 

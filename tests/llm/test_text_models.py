@@ -119,3 +119,15 @@ def test_folds(spark):
     import zlib
 
     assert [r[0] for r in df.select(crc_fold(F.col("doc_id"), 3)).collect()] == [zlib.crc32(b"7") % 3, 0]
+
+
+def test_a_text_of_six_languages(spark):
+    rng = random.Random(6)
+    words = {f"l{i}": ["".join(rng.choices(letters, k=5)) for _ in range(8)] for i, letters in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzßæ"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate([*words] * 20)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = [" ".join(w for lang in sorted(words)[:n] for w in rng.choices(words[lang], k=40)) for n in (6, 2, 5)]
+    shares, _, _ = mixtures(mixed, model)
+    for row, n in zip(shares, (6, 2, 5), strict=True):
+        assert np.flatnonzero(row > 0).tolist() == list(range(n))
+        assert np.abs(row[:n] - 1 / n).max() < 0.03
