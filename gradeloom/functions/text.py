@@ -13,6 +13,9 @@ C_KEYWORDS = (
 ).split()
 #: String and character literals, comments, and all the rest.
 C_PARTS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|[^"\'/]+|["\'/]'
+C_IDENTIFIER, C_PUNCTUATION = r"[A-Za-z_][A-Za-z0-9_]*", r"[!-/:-@\[-^`{-~]"
+#: Numbers begin where no identifier goes on; those with a fraction hold a point that is no punctuation.
+C_NUMBER, C_FRACTION = r"(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?", r"(?<![A-Za-z0-9_])[0-9]+\.[0-9]+"
 C_TOKENS = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[!-/:-@\[-^`{-~]"
 
 
@@ -28,8 +31,9 @@ def normalize_answer(text: Column, fold_case: bool = True) -> Column:
     return F.lower(short) if fold_case else short
 
 
-def c_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(C_TOKENS), F.lit(0))
+def c_identifiers(text: Column) -> Column:
+    """Keywords and names. They are among the tokens wherever they stand: a number takes no letter."""
+    return F.regexp_extract_all(text, F.lit(C_IDENTIFIER), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
@@ -38,13 +42,14 @@ def words_of(text: Column) -> Column:
 
 
 def word_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``key gram``: every run of ``n`` words of each text, joined by spaces.
+    """``key gram1 gram2``: every run of ``n`` words of each text, as two 64-bit digests.
 
     The words are found once for each text, before the rows are multiplied.
     """
     words = df.select(key, words_of(F.col(text)).alias("_words")).filter(F.size("_words") >= n)
     placed = words.select(key, "_words", F.explode(F.sequence(F.lit(1), F.size("_words") - (n - 1))).alias("_at"))
-    return placed.select(key, F.array_join(F.slice("_words", F.col("_at"), F.lit(n)), " ").alias("gram"))
+    grams = placed.select(key, F.slice("_words", F.col("_at"), F.lit(n)).alias("_gram"))
+    return grams.select(key, F.xxhash64("_gram").alias("gram1"), F.xxhash64(F.lit("second"), "_gram").alias("gram2"))
 
 
 def edit_credit(answer: Column, key: Column) -> Column:

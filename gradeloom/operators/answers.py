@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import C_KEYWORDS, c_tokens, normalize_answer
+from gradeloom.functions.text import C_FRACTION, C_IDENTIFIER, C_KEYWORDS, C_NUMBER, C_PUNCTUATION, c_identifiers, normalize_answer
 
 
 def missing_pages(transcripts: DataFrame, expected: DataFrame, keys: list[str], page: str, count: str) -> DataFrame:
@@ -35,16 +33,10 @@ def normalize_answers(df: DataFrame, col: str, fold_case: bool = True) -> DataFr
 
 def c_token_counts(df: DataFrame, col: str) -> DataFrame:
     """Counts of identifiers (keywords among them), keywords, numbers and punctuation."""
-    tokens = c_tokens(F.col(col))
-
-    def count(fits: Callable[[Column], Column]) -> Column:
-        return F.size(F.filter(tokens, fits)).cast("bigint")
-
-    return df.withColumns(
-        {
-            "identifiers": count(lambda x: F.rlike(x, F.lit("^[A-Za-z_]"))),
-            "keywords": count(lambda x: x.isin(C_KEYWORDS)),
-            "numbers": count(lambda x: F.rlike(x, F.lit("^[0-9]"))),
-            "punctuation": count(lambda x: F.rlike(x, F.lit("^[^A-Za-z0-9_]"))),
-        }
-    )
+    text = F.col(col)
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+
+    keywords = F.size(F.filter(c_identifiers(text), lambda x: x.isin(C_KEYWORDS))).cast("bigint")
+    return df.withColumns({"identifiers": count(C_IDENTIFIER), "keywords": keywords, "numbers": count(C_NUMBER), "punctuation": count(C_PUNCTUATION) - count(C_FRACTION)})

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.functions.text import edit_credit, word_ngrams
 from gradeloom.session import materialize, ship_package
@@ -20,93 +21,100 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def grade_exact(answers: DataFrame, key: DataFrame, on: str, answer: str, key_text: str, full_mark: float = 1.0) -> DataFrame:
-    """Full marks where the answer equals its key; no mark where there is no key."""
-    right = F.when(F.col(answer) == F.col(key_text), F.lit(full_mark)).otherwise(F.lit(0.0))
-    return answers.join(key, on).withColumn("mark", right)
+    """Full marks where the answer equals its key; no mark (null) where there is no key.
+
+    A missing answer to a question with a key gets 0. The key should hold a question once.
+    """
+    right = F.when(F.col(answer) == F.col(key_text), F.lit(full_mark)).when(F.col(key_text).isNotNull(), F.lit(0.0))
+    return answers.join(key, on, "left").withColumn("mark", right)
 
 
 def grade_edit_distance(answers: DataFrame, key: DataFrame, on: str, answer: str, key_text: str) -> DataFrame:
-    """Partial credit by edit distance, for answers with slips of recognition."""
-    return answers.join(key, on).withColumn("credit", edit_credit(F.col(answer), F.col(key_text)))
+    """Partial credit by edit distance, for answers with slips of recognition; null without answer or key."""
+    return answers.join(key, on, "left").withColumn("credit", edit_credit(F.col(answer), F.col(key_text)))
 
 
 def rubric_coverage(answers: DataFrame, rubric: DataFrame, answer_key: str, answer: str, item_key: str, passage: str, n: int, min_share: float) -> DataFrame:
     """How much of each criterion's word n-grams an answer holds, from ``min_share`` on.
 
-    The answers' n-grams are joined with the rubric's as soon as they are made; Spark sends
-    the rubric to every task while it is small enough, and shuffles both sides by hash beyond.
+    N-grams travel as 128-bit digests. The answers' are joined with the rubric's as soon as
+    they are made, and made distinct after that; Spark sends the rubric to every task while it
+    is small enough, and shuffles both sides by digest beyond.
     """
+    digest = ["gram1", "gram2"]
     items = word_ngrams(rubric, item_key, passage, n).distinct()
     totals = items.groupBy(item_key).agg(F.count(F.lit(1)).alias("grams_total"))
-    found = word_ngrams(answers, answer_key, answer, n).join(items, "gram").groupBy(answer_key, item_key).agg(F.count_distinct("gram").alias("grams_found"))
+    met = word_ngrams(answers, answer_key, answer, n).join(items, digest).select(answer_key, item_key, *digest).distinct()
+    found = met.groupBy(answer_key, item_key).agg(F.count(F.lit(1)).alias("grams_found"))
     share = F.col("grams_found") / F.col("grams_total")
     return found.join(totals, item_key).select(answer_key, item_key, "grams_total", "grams_found", share.alias("share")).filter(F.col("share") >= min_share)
 
 
-def _pack(frames: Iterator[pd.DataFrame], block_rows: int) -> Iterator[pd.DataFrame]:
-    """Rows of ``key label v`` as blocks of up to ``block_rows`` rows, sorted by key; keys are text, for nulls."""
+def _pack(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``key label v`` as blocks of up to ``block_rows`` rows, sorted by key, null first as in Spark's windows."""
 
-    def packed(rows: list) -> pd.DataFrame:
-        known = np.array([key is not None for key, _, _ in rows])
-        keys = np.array([int(key) if key is not None else 0 for key, _, _ in rows], np.int64)
-        order = np.lexsort((keys, known))  # null first, as in Spark's windows
-        labels = np.array([np.nan if label is None else label for _, label, _ in rows], np.float64)
-        matrix = np.array([v for _, _, v in rows], dtype=np.float64)
-        return pd.DataFrame([{name: x[order].tobytes() for name, x in (("keys", keys), ("known", known), ("labels", labels), ("vectors", matrix))}])
+    def packed(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+        keys, labels, vectors = zip(*sorted(rows, key=lambda row: (row[0] is not None, row[0])), strict=True)
+        columns = [pa.array([list(x)], pa.list_(schema.field(name).type)) for name, x in (("key", keys), ("label", labels))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([np.array(vectors, np.float64).tobytes()], pa.binary())], names=["keys", "labels", "vectors"])
 
-    waiting: list = []
-    for frame in frames:
-        labels = [None if pd.isna(x) else x for x in frame["label"]]
-        for row in zip(frame["key"], labels, frame["v"], strict=True):
-            waiting.append(row)
-            if len(waiting) == block_rows:
-                yield packed(waiting)
-                waiting = []
-    if waiting:
-        yield packed(waiting)
+    waiting: dict[int, list] = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "label", "v")), strict=True):
+            held = waiting.setdefault(len(row[2]), [])
+            held.append(row)
+            if len(held) == block_rows:
+                yield packed(waiting.pop(len(row[2])), schema)
+    for held in waiting.values():
+        yield packed(held, schema)
 
 
-def _nearest(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks: every vector's best ``k`` of the block of examples."""
-
-    def whole(row: dict, side: str) -> tuple:
-        keys = pd.arrays.IntegerArray(np.frombuffer(row[f"{side}keys"], np.int64).copy(), ~np.frombuffer(row[f"{side}known"], bool))
-        return keys, np.frombuffer(row[f"{side}vectors"], np.float64).reshape(len(keys), -1)
-
-    for frame in frames:
-        for row in frame.to_dict("records"):
-            keys, vectors = whole(row, "")
-            near_keys, matrix = whole(row, "near_")
-            labels = pd.array(np.frombuffer(row["near_labels"], np.float64), dtype="Int64")
+    for batch in batches:
+        for row in range(batch.num_rows):
+            keys, near_keys, labels = (batch.column(c)[row].values for c in ("keys", "near_keys", "near_labels"))
+            vectors, matrix = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(n, -1) for c, n in (("vectors", len(keys)), ("near_vectors", len(near_keys))))
             for start in range(0, len(keys), SCORED_ROWS):
                 scores = vectors[start : start + SCORED_ROWS] @ matrix.T
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows, flat = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
-                yield pd.DataFrame({"key": keys[start + rows], "near_key": near_keys[flat], "near_label": labels[flat], "score": scores[rows, flat]})
+                at, flat = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
+                found = [keys.take(pa.array(start + at)), near_keys.take(pa.array(flat)), labels.take(pa.array(flat)), pa.array(scores[at, flat])]
+                yield pa.RecordBatch.from_arrays(found, names=["key", "near_key", "near_label", "score"])
 
 
 def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """The label that most of the ``k`` most similar marked examples bear.
 
     Similarity is the dot product; ties go to the smaller key, and among labels with as many
-    votes to the smaller label. Tasks pack both tables into blocks of fixed size, one row
-    each, and meet one pair of blocks at a time; each pair gives every vector its best ``k``.
-    Nothing of either table goes to the driver, but for tables so small that Spark broadcasts them.
+    votes to the smaller label. Null vectors, vectors with null components and empty ones take
+    no part on either side, and vectors of different lengths never meet; a vector that meets
+    no example has no row. Keys and labels may be of any type that sorts. Tasks pack both
+    tables into blocks of fixed size, one row each, and meet one pair of blocks at a time;
+    each pair gives every vector its best ``k``. Nothing of either table goes to the driver,
+    but for tables so small that Spark broadcasts them.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     block_rows = EXEMPLAR_BLOCK
+    key_type, label_type = exemplars.schema[key].dataType, exemplars.schema[label].dataType
 
     def blocks(rows: DataFrame, labels: Column, prefix: str) -> DataFrame:
-        sent = rows.select(F.col(key).cast("string").alias("key"), labels.cast("int").alias("label"), F.col(vector).alias("v"))
-        packed = materialize(sent.mapInPandas(lambda frames: _pack(frames, block_rows), "keys binary, known binary, labels binary, vectors binary"), "blocks")
-        return packed.select(*[F.col(c).alias(prefix + c) for c in packed.columns])
-
-    pairs = blocks(vectors, F.lit(None), "").drop("labels").crossJoin(blocks(exemplars, F.col(label), "near_"))
+        known = rows.filter(F.coalesce(F.size(vector) > 0, F.lit(False)) & F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False)))
+        sent = known.select(F.col(key).cast(key_type).alias("key"), labels.cast(label_type).alias("label"), F.col(vector).alias("v"))
+        schema = T.StructType([T.StructField("keys", T.ArrayType(key_type)), T.StructField("labels", T.ArrayType(label_type)), T.StructField("vectors", T.BinaryType())])
+        packed = materialize(sent.mapInArrow(lambda batches: _pack(batches, block_rows), schema), "blocks")
+        dim = (F.octet_length("vectors") / (8 * F.size("keys"))).cast("int")
+        return packed.select("*", dim.alias("dim")).select(*[F.col(c).alias(prefix + c) for c in [*packed.columns, "dim"]])
+
+    pairs = blocks(vectors, F.lit(None), "").drop("labels").crossJoin(blocks(exemplars, F.col(label), "near_")).filter("dim = near_dim")
+    schema = T.StructType([T.StructField("key", key_type), T.StructField("near_key", key_type), T.StructField("near_label", label_type), T.StructField("score", T.DoubleType())])
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "4")  # rows of megabytes
     try:
-        found = materialize(pairs.mapInPandas(lambda frames: _nearest(frames, k), "key long, near_key long, near_label int, score double"), "nearest")
+        found = materialize(pairs.mapInArrow(lambda batches: _nearest(batches, k), schema), "nearest")
     finally:
         spark.conf.set(_BATCH, before)
     near = Window.partitionBy("key").orderBy(F.col("score").desc(), "near_key")
@@ -122,9 +130,12 @@ def latest_mark(marks: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def weighted_score(marks: DataFrame, keys: list[str], mark: str, weight: Column, cap: float) -> DataFrame:
-    """Weighted total of marks up to ``cap``, over the most there could be."""
-    got = F.sum(F.least(F.col(mark), F.lit(cap)) * weight)
-    return marks.groupBy(*keys).agg((got / F.nullif(F.sum(F.lit(cap) * weight), F.lit(0.0))).alias("score"))
+    """Weighted total of marks up to ``cap``, over the most there could be.
+
+    A missing mark earns nothing and its question still counts; null where no weight is left.
+    """
+    earned = F.when(F.col(mark).isNull(), F.lit(0.0)).otherwise(F.least(F.col(mark), F.lit(cap)))
+    return marks.groupBy(*keys).agg((F.sum(earned * weight) / F.nullif(F.sum(F.lit(cap) * weight), F.lit(0.0))).alias("score"))
 
 
 def grade_bands(scores: DataFrame, score: str, bands: list[tuple[str, float, float]]) -> DataFrame:

@@ -59,6 +59,13 @@ def p01_scan_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("assessment").agg(F.sum("length").alias("n_bytes"), F.sum(F.octet_length("content")).alias("n_read"))
 
 
+def p01b_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation stands for a page file; files of other names have no keys."""
+    name = F.when(F.col("turn") % 4 == 3, F.lit("cover.png")).otherwise(F.concat_ws("_", F.col("conv_id"), F.col("turn") % 3, F.concat(F.col("turn"), F.lit(".png"))))
+    files = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("file:/scans/batch_1/"), name).alias("path"))
+    return pages.with_page_keys(files).drop("path")
+
+
 def p02_write_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders are graded and written; then one partition is graded again."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
@@ -77,6 +84,11 @@ def p03_export_feedback_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("l_orderkey bigint, feedback string, n_missed bigint").json(directory)
 
 
+def p03b_feedback_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = feedback.feedback_text(latest_lines(spark, sf_dir), ["l_orderkey"], "l_linenumber", F.col("l_quantity") < 25, _message())
+    return sinks.feedback_json(listed, "l_orderkey")
+
+
 def _recognise(batch: pd.DataFrame) -> pd.DataFrame:
     """Stands for a recogniser: it reads the bytes' length."""
     size = batch["content"].map(len)
@@ -164,6 +176,10 @@ def p18b_score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.score_bins(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 25000.0)
 
 
+def p18c_score_distribution_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_distribution(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", exact=False)
+
+
 def p19_rank_students(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = placed_orders(spark, sf_dir).select("o_orderkey", "c_nationkey", "o_totalprice")
     return reports.rank_students(orders, "c_nationkey", "o_totalprice", "o_orderkey")
@@ -200,6 +216,13 @@ def p25_feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.feedback_text(latest_lines(spark, sf_dir), ["l_orderkey"], "l_linenumber", F.col("l_quantity") < 25, _message())
 
 
+def p25b_feedback_from_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part's name is the rubric's message; parts of one brand have none."""
+    rubric = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#13'").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("revise "), F.col("p_name")).alias("message"))
+    marked = feedback.with_messages(latest_lines(spark, sf_dir), rubric, ["l_partkey"], "message")
+    return feedback.feedback_text(marked, ["l_orderkey"], "l_linenumber", F.col("l_quantity") < 25, F.col("message"))
+
+
 def p26_common_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.common_faults(latest_lines(spark, sf_dir), "l_linenumber", "l_partkey", F.col("l_quantity") < 25, 5)
 
@@ -211,7 +234,7 @@ _LATEST = """latest AS (
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1)"""
 _SCORES = """scores AS (
-    SELECT l_orderkey, sum(least(l_quantity, 40.0) * (1 + l_linenumber)) / nullif(sum(40.0 * (1 + l_linenumber)), 0) AS score
+    SELECT l_orderkey, sum(CASE WHEN l_quantity IS NULL THEN 0 ELSE least(l_quantity, 40.0) END * (1 + l_linenumber)) / nullif(sum(40.0 * (1 + l_linenumber)), 0) AS score
     FROM latest GROUP BY l_orderkey)"""
 _PLACED = """placed AS (
     SELECT o_orderkey, o_totalprice, c_nationkey, n_name, r_name FROM orders
@@ -221,7 +244,8 @@ _FEEDBACK = f"""
     SELECT l_orderkey, string_agg('question ' || l_linenumber || ': see part ' || l_partkey, '; ' ORDER BY l_linenumber) AS feedback,
            count(*) AS n_missed
     FROM latest WHERE l_quantity < 25 GROUP BY l_orderkey"""
-_KEYED = "keyed AS (SELECT p_partkey, p_type, p_name, min(p_name) OVER (PARTITION BY p_type) AS key_text FROM part)"
+_KEYED = """keys AS (SELECT p_type, min(p_name) AS key_text FROM part GROUP BY p_type),
+    keyed AS (SELECT p_partkey, p_type, p_name, key_text FROM part LEFT JOIN keys USING (p_type))"""
 
 
 def _quoted(text: str) -> str:
@@ -244,10 +268,16 @@ SQL = {
         SELECT assessment, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(n) AS BIGINT) AS n_read FROM (
             SELECT regexp_extract(url, '://[^/?#]*\\.([a-z]+)', 1) AS assessment, octet_length(encode(coalesce(html, ''))) + 1 AS n FROM pages)
         GROUP BY assessment""",
+    "p01b_page_keys": """
+        SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN CAST(conv_id AS VARCHAR) END AS submission,
+               CASE WHEN turn % 4 <> 3 THEN CAST(turn % 3 AS INTEGER) END AS question, CASE WHEN turn % 4 <> 3 THEN CAST(turn AS INTEGER) END AS page_no
+        FROM conversations""",
     "p02_write_grades": """
         SELECT o_orderpriority, count(*) AS n, sum(o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS total
         FROM orders GROUP BY o_orderpriority""",
     "p03_export_feedback_json": _FEEDBACK,
+    "p03b_feedback_json": f"""
+        SELECT l_orderkey, '{{"l_orderkey":' || l_orderkey || ',"feedback":' || to_json(feedback) || ',"n_missed":' || n_missed || '}}' AS value FROM ({_FEEDBACK})""",
     "p04_transcribe_pages": """
         SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS text,
                1 / (1 + CAST(octet_length(encode(coalesce(html, ''))) AS DOUBLE) / 1000) AS confidence FROM pages""",
@@ -275,11 +305,11 @@ SQL = {
                CAST(len([x FOR x IN tokens IF regexp_matches(x, '^[0-9]')]) AS BIGINT) AS numbers,
                CAST(len([x FOR x IN tokens IF regexp_matches(x, '^[^A-Za-z0-9_]')]) AS BIGINT) AS punctuation
         FROM cut""",
-    "p10_grade_exact": f"WITH {_KEYED} SELECT p_partkey, p_type, CASE WHEN p_name = key_text THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mark FROM keyed",
+    "p10_grade_exact": f"WITH {_KEYED} SELECT p_partkey, p_type, CASE WHEN p_name = key_text THEN 1.0::DOUBLE WHEN key_text IS NOT NULL THEN 0.0::DOUBLE END AS mark FROM keyed",
     "p11_grade_edit_distance": f"""
         WITH {_KEYED}
-        SELECT p_partkey, p_type,
-               greatest(0.0::DOUBLE, 1 - levenshtein(p_name, key_text)::DOUBLE / greatest(length(p_name), length(key_text), 1)) AS credit
+        SELECT p_partkey, p_type, CASE WHEN p_name IS NOT NULL AND key_text IS NOT NULL THEN
+               greatest(0.0::DOUBLE, 1 - levenshtein(p_name, key_text)::DOUBLE / greatest(length(p_name), length(key_text), 1)) END AS credit
         FROM keyed""",
     "p12_rubric_coverage": f"""
         WITH items AS ({_grams("benchmark", "item_id")}), found AS ({_grams("documents", "doc_id")}),
@@ -311,6 +341,12 @@ SQL = {
                quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS most,
                stddev_samp(o_totalprice) AS sd, avg(o_totalprice) AS mean_score
         FROM orders GROUP BY o_orderpriority""",
+    # The sketch is exact while a group has fewer rows than its accuracy, 10,000.
+    "p18c_score_distribution_sketched": """
+        SELECT o_orderpriority, count(o_totalprice) AS n, min(o_totalprice) AS least, quantile_disc(o_totalprice, 0.25) AS q1,
+               quantile_disc(o_totalprice, 0.5) AS median, quantile_disc(o_totalprice, 0.75) AS q3, max(o_totalprice) AS most,
+               stddev_samp(o_totalprice) AS sd, avg(o_totalprice) AS mean_score
+        FROM orders GROUP BY o_orderpriority""",
     "p18b_score_bins": "SELECT o_orderpriority, CAST(floor(o_totalprice / 25000.0) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY ALL",
     "p19_rank_students": f"""
         WITH {_PLACED}
@@ -319,7 +355,7 @@ SQL = {
         FROM placed WINDOW best AS (PARTITION BY c_nationkey ORDER BY o_totalprice DESC)""",
     "p20_item_analysis": f"""
         WITH {_LATEST}, rest AS (
-            SELECT l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) - l_quantity AS others FROM latest
+            SELECT l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) - l_quantity AS others FROM latest WHERE l_quantity IS NOT NULL
         ), varied AS (
             SELECT l_partkey FROM rest GROUP BY l_partkey HAVING min(l_quantity) < max(l_quantity) AND min(others) < max(others)
         ), fits AS (SELECT l_partkey, corr(l_quantity, others) AS discrimination FROM rest SEMI JOIN varied USING (l_partkey) GROUP BY l_partkey)
@@ -333,7 +369,8 @@ SQL = {
         r AS (SELECT *, (n00 + n11) / n AS agreement, ((n10 + n11) * (n01 + n11) + (n00 + n01) * (n00 + n10)) / (n * n) AS chance FROM c)
         SELECT n00, n01, n10, n11, agreement, (agreement - chance) / nullif(1 - chance, 0) AS kappa FROM r""",
     "p22_cutoff_sweep": """
-        WITH counted AS (SELECT n_chars AS cutoff, count(*) AS n, sum(quality) AS good FROM labels JOIN documents USING (doc_id) GROUP BY n_chars)
+        WITH counted AS (SELECT n_chars AS cutoff, count(*) AS n, sum(quality) AS good FROM labels JOIN documents USING (doc_id)
+                         WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY n_chars)
         SELECT cutoff, CAST(sum(n) OVER above AS BIGINT) AS flagged, (sum(good) OVER above)::DOUBLE / (sum(n) OVER above)::DOUBLE AS precision
         FROM counted WINDOW above AS (ORDER BY cutoff DESC ROWS UNBOUNDED PRECEDING)""",
     "p23_ungraded": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
@@ -342,6 +379,11 @@ SQL = {
                max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS best
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "p25_feedback_text": _FEEDBACK,
+    "p25b_feedback_from_rubric": f"""
+        WITH {_LATEST}, marked AS (
+            SELECT l_orderkey, l_linenumber, 'revise ' || p_name AS message FROM latest
+            LEFT JOIN (SELECT * FROM part WHERE p_brand <> 'Brand#13') ON l_partkey = p_partkey WHERE l_quantity < 25)
+        SELECT l_orderkey, coalesce(string_agg(message, '; ' ORDER BY l_linenumber), '') AS feedback, count(*) AS n_missed FROM marked GROUP BY l_orderkey""",
     "p26_common_faults": f"""
         WITH {_LATEST}, counted AS (SELECT l_linenumber, l_partkey, count(*) AS n_missed FROM latest WHERE l_quantity < 25 GROUP BY ALL)
         SELECT l_linenumber, l_partkey, n_missed, place FROM (

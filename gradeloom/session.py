@@ -29,12 +29,14 @@ def build_session(app: str, cpus: int | str = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only a session without one
-    (tests, local runs) gets a temporary folder.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only a local session without
+    one (tests) gets a temporary folder; elsewhere executors would not see each other's files.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gradeloom-"))
     return context.getCheckpointDir()
 
@@ -45,10 +47,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the tasks that it ran, not the table, and
     later stages know the table's true size.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, label).write(df, "table")
+
+
+class Scratch:
+    """Tables of one operator call in a folder of its own below the shared one."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialize``; the name must be new in this folder."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, neither a result nor another table's lineage."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 _shipped: set[str] = set()

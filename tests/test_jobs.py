@@ -172,3 +172,86 @@ def test_regrading_keeps_other_partitions(spark, tmp_path):
 def test_feedback_object(spark):
     df = spark.createDataFrame([(1, "see")], "s int, feedback string")
     assert sinks.feedback_json(df, "s").first()["value"] == '{"s":1,"feedback":"see"}'
+
+
+def test_missing_mark_earns_nothing(spark):
+    marks = spark.createDataFrame([(1, None), (1, 10.0), (2, None)], "s int, m double")
+    assert rows(grading.weighted_score(marks, ["s"], "m", F.lit(1.0), 40.0), "s", "score") == [(1, 0.125), (2, 0.0)]
+
+
+def test_answers_without_a_key_have_no_mark(spark):
+    given = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "q int, t string")
+    key = spark.createDataFrame([(1, "a"), (2, "x"), (4, "y")], "q int, k string")
+    assert rows(grading.grade_exact(given, key, "q", "t", "k"), "q", "mark") == [(1, 1.0), (2, 0.0), (3, None), (4, 0.0)]
+    assert rows(grading.grade_edit_distance(given, key, "q", "t", "k"), "q", "credit") == [(1, 1.0), (2, 0.0), (3, None), (4, None)]
+
+
+def test_exemplars_without_a_vector_take_no_part(spark):
+    points = [("a", [1.0, 0.0], "x"), ("b", None, "y"), ("c", [1.0, None], "y"), ("d", [], "y"), ("e", [1.0, 0.0, 5.0], "y"), ("f", [0.5, 0.0], "z")]
+    df = spark.createDataFrame(points, "id string, v array<double>, lab string")
+    got = rows(grading.grade_by_exemplar(df, df.filter("id <> 'f'"), 1, "id", "v", "lab"), "id", "predicted", "votes")
+    assert got == [("a", "x", 1), ("e", "y", 1), ("f", "x", 1)]
+
+
+def test_cutoffs_without_scores(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.0, 1), (None, 1), (3.0, None)], "x double, h int")
+    assert rows(reports.cutoff_sweep(df, "x", "h"), "cutoff", "flagged", "precision") == [(1.0, 3, pytest.approx(2 / 3)), (2.0, 2, 0.5)]
+    assert reports.cutoff_sweep(df.limit(0), "x", "h").count() == 0
+
+
+def test_places_with_ties_and_nulls_equal_windows(spark):
+    from pyspark.sql import Window
+
+    data = [(s, x, i) for i, (s, x) in enumerate([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), (None, 3.0), (None, 3.0), ("b", 5.0), *[("c", float(i % 9)) for i in range(50)]])]
+    df = spark.createDataFrame(data, "s string, x double, k int")
+    best, settled = Window.partitionBy("s").orderBy(F.col("x").desc()), Window.partitionBy("s").orderBy(F.col("x").desc(), "k")
+    expected = df.select("s", "x", "k", F.rank().over(best).alias("place"), F.dense_rank().over(best).alias("dense_place"), F.percent_rank().over(best).alias("percent_place"), F.ntile(4).over(settled).alias("quarter"))
+    assert sorted(map(repr, map(tuple, reports.rank_students(df, "s", "x", "k").collect()))) == sorted(map(repr, map(tuple, expected.collect())))
+
+
+def test_quartiles_of_missing_scores(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", None), (None, 7.0), ("c", None)], "g string, x double")
+    got = {r["g"]: (r["n"], r["q1"], r["median"], r["q3"]) for r in reports.score_distribution(df, "g", "x").collect()}
+    assert got == {"a": (3, 1.5, 2.0, 3.0), None: (1, 7.0, 7.0, 7.0), "c": (0, None, None, None)}
+
+
+def test_numbers_and_points(spark):
+    df = spark.createDataFrame([("x1.5 1.2.3 10for a10 3e5 .5",)], "t string")
+    got = answers.c_token_counts(df, "t").first()
+    # x1 . 5 | 1.2 . 3 | 10 for | a10 | 3 e5 | . 5
+    assert (got["identifiers"], got["keywords"], got["numbers"], got["punctuation"]) == (4, 1, 6, 3)
+
+
+def test_messages_of_the_rubric(spark):
+    marks = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.0), (2, 3, 0.0), (3, 1, 9.0)], "s int, c int, m double")
+    rubric = spark.createDataFrame([(1, "use braces"), (2, "free memory")], "c int, message string")
+    got = feedback.feedback_text(feedback.with_messages(marks, rubric, ["c"], "message"), ["s"], "c", F.col("m") < 5, F.col("message"))
+    assert rows(got, "s", "feedback", "n_missed") == [(1, "use braces; free memory", 2), (2, "", 1)]
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    from gradeloom.session import Scratch
+
+    scratch = Scratch(spark, "t")
+    kept, gone = scratch.write(spark.range(3), "kept"), scratch.write(spark.range(4), "gone")
+    assert gone.count() == 4
+    scratch.drop("gone")
+    assert kept.count() == 3 and gone.inputFiles()
+    with pytest.raises(Exception, match=r"(?i)not.exist|not found"):
+        spark.read.parquet(f"{scratch.folder}/gone").count()
+
+
+def test_a_cluster_names_its_shared_folder(spark, monkeypatch):
+    from gradeloom import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
