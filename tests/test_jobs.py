@@ -241,7 +241,7 @@ def test_scratch_tables_are_deleted(spark, tmp_path):
         spark.read.parquet(f"{scratch.folder}/gone").count()
 
 
-def test_a_cluster_names_its_shared_folder(spark, monkeypatch):
+def test_a_cluster_names_its_shared_folder():
     from gradeloom import session
 
     class Context:
@@ -251,7 +251,7 @@ def test_a_cluster_names_its_shared_folder(spark, monkeypatch):
             return None
 
     class Session:
-        sparkContext, conf = Context(), spark.conf
+        sparkContext, conf = Context(), {}
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(Session())
