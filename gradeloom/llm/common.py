@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeloom.session import ship_package
 
@@ -27,9 +29,41 @@ def digest_columns(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)
 
 
+class Carried:
+    """A table whose columns have names that clash with nothing.
+
+    The ``needed`` columns keep the names that the operator asks for, all others are ``c0``,
+    ``c1`` and so on by their place, so a caller's column may be called anything. ``rest`` has
+    (name here, caller's name) of the columns that come back: all but those named like an
+    output, in any case of letters, since Spark does not tell cases apart.
+    """
+
+    def __init__(self, df: DataFrame, needed: list[str], outputs: list[str]):
+        places = {}
+        for name in needed:
+            fits = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+            if len(fits) != 1:
+                raise ValueError(f"one column {name} is needed, the table has {df.columns}")
+            places[fits[0]] = name
+        ids = [places.get(i, f"c{i}") for i in range(len(df.columns))]
+        replaced = {x.lower() for x in outputs}
+        self.df = df.toDF(*ids)
+        self.rest = [(x, c) for x, c in zip(ids, df.columns, strict=True) if c.lower() not in replaced]
+
+    def without(self, *names: str) -> list[tuple[str, str]]:
+        return [(x, c) for x, c in self.rest if x not in names]
+
+
+def named(df: DataFrame, rest: list[tuple[str, str]], outputs: list[str]) -> DataFrame:
+    """The caller's columns under their own names, then the outputs."""
+    return df.select(*[F.col(x).alias(c) for x, c in rest], *outputs)
+
+
 def with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
-    """Add output columns; an input column of the same name gives way."""
-    return df.withColumns(outputs)
+    """Add output columns made from ``df``'s own; a column of the same name, in any case of letters, gives way."""
+    replaced = {x.lower() for x in outputs}
+    kept = [c for c in df.columns if c.lower() not in replaced]
+    return df.select(*[df[f"`{c}`"] for c in kept], *[value.alias(name) for name, value in outputs.items()])
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
@@ -41,11 +75,11 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 BATCH_CHARS = 400_000
 
 
-def text_slices(texts: list[str], rows: int = 512) -> Iterator[slice]:
-    """Consecutive parts of the list with about ``BATCH_CHARS`` code points and ``rows`` texts at most."""
+def text_slices(texts: list[str], rows: int = 512, chars: int = BATCH_CHARS) -> Iterator[slice]:
+    """Consecutive parts of the list with about ``chars`` code points and ``rows`` texts at most."""
     start = held = 0
     for i, text in enumerate(texts):
-        if i > start and (held + len(text) > BATCH_CHARS or i - start >= rows):
+        if i > start and (held + len(text) > chars or i - start >= rows):
             yield slice(start, i)
             start, held = i, 0
         held += len(text)
@@ -53,37 +87,39 @@ def text_slices(texts: list[str], rows: int = 512) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def map_texts(docs: DataFrame, rest: list[str], added: list[T.StructField], frames) -> DataFrame:
-    """Run ``frames`` over the columns ``rest`` and ``_text`` (null: empty), in batches of pandas.
+def map_texts(docs: DataFrame, added: list[T.StructField], results: Callable[[list[str]], list], keep_text: bool = False) -> DataFrame:
+    """The documents with the columns ``added`` that ``results`` gives for each part of their texts (null: empty).
 
-    Whole numbers travel as text: pandas would round large ones next to nulls.
+    ``text`` itself comes back with ``keep_text`` only. All other columns pass through Arrow as
+    they are; one named like an added one gives way.
     """
-    kept = docs.select(rest).schema.fields
-    whole = {f.name for f in kept if isinstance(f.dataType, T.LongType)}
-    sent = [F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in rest]
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in kept] + added)
-    out = docs.select(*sent, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(frames, schema)
-    return out.select(*[F.col(c).cast("long").alias(c) if c in whole else F.col(c) for c in rest], *[f.name for f in added])
-
+    names = [f.name for f in added]
+    held = Carried(docs, ["text"], names)
+    rest = held.without() if keep_text else held.without("text")
+    sent = held.df.select(*[x for x, _ in rest], F.coalesce("text", F.lit("")).alias("_text"))
+    schema = T.StructType([*sent.drop("_text").schema.fields, *added])
+    types = [to_arrow_type(f.dataType) for f in added]
 
-TEXT_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            for part in text_slices(texts):
+                own = batch.slice(part.start, part.stop - part.start)
+                found = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(results(texts[part]), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *found], names=schema.names)
 
+    return named(sent.mapInArrow(run, schema), rest, names)
 
-def prepare_workers(spark, rows: int = TEXT_ROWS) -> None:
-    """Send the package to the workers; from now on, Python stages of this session get at most ``rows`` rows an Arrow batch.
 
-    Spark counts a batch in rows, and reads the setting when the plan runs; a batch of very
-    long texts has to fit in a worker's memory. A lower setting is left as it is.
-    """
-    ship_package(spark)
-    if int(spark.conf.get(_BATCH)) > rows:
-        spark.conf.set(_BATCH, str(rows))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
 def arrow_batches(spark, rows: int):
-    """As ``prepare_workers``, with the batches bounded for what is run inside only."""
+    """Arrow batches of so many rows at most for what is run inside; for rows of megabytes.
+
+    Elsewhere Spark's own bound holds, 64 MB a batch (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
     ship_package(spark)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(rows))
@@ -91,3 +127,33 @@ def arrow_batches(spark, rows: int):
         yield
     finally:
         spark.conf.set(_BATCH, before)
+
+
+#: What a word and its ids take besides their own letters and bytes, about.
+ENTRY_BYTES = 200
+
+
+class Remembered:
+    """What a worker remembers of words, bounded by bytes: when one half is full, the older half goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit // 2, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of the words that are not known; the known ones are in ``new`` from here on."""
+        unknown = words.difference(self.new)
+        again = unknown.intersection(self.old)
+        if again:
+            self.learn(list(again), [self.old[x] for x in again])
+        return list(unknown.difference(again))
+
+    def learn(self, words: list[str], values: list[bytes]) -> None:
+        self.new.update(zip(words, values, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, values)) + ENTRY_BYTES * len(words)
+
+    def settle(self) -> None:
+        """Call when a batch is done: its words need not be known any more."""
+        if self.held > self.limit:
+            self.old, self.new, self.held = self.new, {}, 0

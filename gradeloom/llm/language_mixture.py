@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import map_texts, prepare_workers, text_slices
+from gradeloom.llm.common import BATCH_CHARS, Carried, map_texts, text_slices
+from gradeloom.session import ship_package
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -29,6 +30,8 @@ MAX_LANGUAGES = 500
 #: Sets of up to so many are tried for every text, larger ones as long as the last one gained.
 TRIED_SIZES = 4
 EM_STEPS = 12
+#: Likelihoods (trigrams x languages) that a worker holds at once, about.
+BATCH_LIKELIHOODS = 8_000_000
 PENALTY = 2.0
 UNKNOWN = "und"
 
@@ -82,18 +85,30 @@ def count_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": found[at]})
 
 
+def packed_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's counts as one row for each language."""
+    for frame in frames:
+        for lang, group in frame.groupby("lang"):
+            yield pd.DataFrame({"lang": [lang], "buckets": [group["bucket"].to_numpy(np.int32).tobytes()], "counts": [group["n"].to_numpy(np.int64).tobytes()]})
+
+
 def fit_languages(labelled: DataFrame) -> LanguageModel:
-    """Learn from all rows with a text and a ``lang``; counts are bounded by languages x buckets."""
-    prepare_workers(labelled.sparkSession)
-    rows = labelled.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """Learn from all rows with a text and a ``lang``.
+
+    The driver gets one number for each language and bucket at most, ``MAX_LANGUAGES`` x
+    ``BUCKETS``; as many go out to every task, so more languages than that are an error.
+    """
+    ship_package(labelled.sparkSession)
+    held = Carried(labelled, ["text", "lang"], []).df
+    rows = held.select("text", F.col("lang").cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counted = rows.mapInPandas(count_frames, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()
-    languages = sorted(table["lang"].unique())
+    found = counted.mapInPandas(packed_counts, "lang string, buckets binary, counts binary").collect()
+    languages = sorted({row["lang"] for row in found})
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")
-    counts = np.zeros((len(languages) + 1, BUCKETS))
-    counts[pd.Index(languages).get_indexer(table["lang"]), table["bucket"]] = table["n"]
-    smoothed = counts + SMOOTHING
+    smoothed = np.full((len(languages) + 1, BUCKETS), SMOOTHING)
+    for row in found:
+        smoothed[languages.index(row["lang"]), np.frombuffer(row["buckets"], np.int32)] += np.frombuffer(row["counts"], np.int64)
     smoothed[-1] = 1
     return LanguageModel(languages, (smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32))
 
@@ -150,22 +165,19 @@ def mixtures(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nda
     return shares, likeliest, has_letter
 
 
-def identify_frames(frames: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd.DataFrame]:
+def identify(texts: list[str], model: LanguageModel) -> list[list]:
+    """``lang_pred score other_share lang_mix`` of each text; few texts at a time if there are many languages."""
     names = np.array([*model.languages, UNKNOWN], dtype=object)
-    for frame in frames:
-        texts = frame["_text"].tolist()
-        found = [mixtures(texts[part], model) for part in text_slices(texts)]
-        if not found:
-            continue
-        shares, likeliest, known = (np.concatenate(x) for x in zip(*found, strict=True))
-        own = np.column_stack([shares[:, :-1], np.zeros(len(frame))])
-        pred = np.where(known, np.where(own.max(axis=1) > 0, own.argmax(axis=1), likeliest), len(model.languages))
-        yield frame.drop(columns="_text").assign(
-            lang_pred=names[pred],
-            score=np.where(known, own.max(axis=1), 0.0).clip(0, 1).astype(float),
-            other_share=np.where(known, shares[:, -1], 0.0).clip(0, 1).astype(float),
-            lang_mix=[[{"lang": names[j], "share": float(row[j])} for j in np.flatnonzero(row[:-1] > 0)] for row in shares],
-        )
+    chars = min(BATCH_CHARS, BATCH_LIKELIHOODS // len(model.probability))
+    shares, likeliest, known = (np.concatenate(x) for x in zip(*[mixtures(texts[part], model) for part in text_slices(texts, chars=chars)], strict=True))
+    own = np.column_stack([shares[:, :-1], np.zeros(len(texts))])
+    pred = np.where(known, np.where(own.max(axis=1) > 0, own.argmax(axis=1), likeliest), len(model.languages))
+    return [
+        names[pred].tolist(),
+        np.where(known, own.max(axis=1), 0.0).clip(0, 1).astype(float),
+        np.where(known, shares[:, -1], 0.0).clip(0, 1).astype(float),
+        [[{"lang": names[j], "share": float(row[j])} for j in np.flatnonzero(row[:-1] > 0)] for row in shares],
+    ]
 
 
 MIX = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
@@ -179,13 +191,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep_text: bool =
     best it is the likeliest language, with score 0; ``und`` and 0 for a text that is null or
     has no letter. ``other_share`` is the background's share, ``lang_mix`` the chosen set. Only
     the text decides; whole texts are read. Repeated rows get equal results; an input column
-    named like an output is replaced, others stay (``text`` with ``keep_text``). An empty
+    named like an output, in any case of letters, is replaced, others stay (``text`` with ``keep_text``). An empty
     table gives an empty result; with nothing learned every row is ``und``.
     """
     spark = docs.sparkSession
-    prepare_workers(spark)
+    ship_package(spark)
     held = spark.sparkContext.broadcast(model)  # languages x buckets floats
-    added = ("lang_pred", "score", "other_share", "lang_mix")
-    rest = [c for c in docs.columns if c not in added and (keep_text or c != "text")]
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("other_share", T.DoubleType()), T.StructField("lang_mix", MIX)]
-    return map_texts(docs, rest, fields, lambda frames: identify_frames(frames, held.value))
+    return map_texts(docs, fields, lambda texts: identify(texts, held.value), keep_text)

@@ -11,19 +11,20 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
-from gradeloom.llm.common import map_texts, prepare_workers, text_slices, with_outputs
+from gradeloom.llm.common import Remembered, map_texts, with_outputs
+from gradeloom.session import ship_package
 
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct words that a worker remembers; beyond that it starts anew.
-KEPT_WORDS = 400_000
+#: Bytes of words and their ids that a worker remembers.
+KEPT_BYTES = 128 << 20
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -104,7 +105,7 @@ class PieceCodec:
         self.surface_at = np.append(0, np.cumsum(self.surface_size))[:-1]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.starts_with_space = np.array([p.startswith(SPACE) for p in self.pieces])
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(KEPT_BYTES)
 
     @classmethod
     def of(cls, path: str) -> PieceCodec:
@@ -129,18 +130,17 @@ class PieceCodec:
             flat, strange = np.repeat(flat, sizes), np.repeat(strange, sizes)
             data = "".join(map(chr, codes.tolist())).encode("utf-8", "surrogatepass")
             flat[strange] = self.byte_ids[np.frombuffer(data, np.uint8)]
-        self.known.update(zip(words, sliced(flat.astype(np.int32), counts), strict=True))
+        self.known.learn(words, sliced(flat.astype(np.int32), counts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words_of(" " + text) if text else [] for text in texts]
-        missing = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(missing) > KEPT_WORDS:
-            self.known.clear()
-            missing = set().union(*split)
+        missing = self.known.missing(set().union(*split))
         if missing:
-            self._learn(sorted(missing))
-        known = self.known
-        return [np.frombuffer(b"".join([known[word] for word in words]), np.int32) for words in split]
+            self._learn(missing)
+        known = self.known.new
+        out = [np.frombuffer(b"".join([known[word] for word in words]), np.int32) for words in split]
+        self.known.settle()
+        return out
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """All rows at once: the pieces' bytes are gathered from one array."""
@@ -157,15 +157,6 @@ class PieceCodec:
         return out
 
 
-def encode_frames(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        codec = PieceCodec.of(path)
-        texts = frame["_text"].tolist()
-        for part in text_slices(texts):
-            ids = codec.encode(texts[part])
-            yield frame.iloc[part].drop(columns="_text").assign(ids=ids, decoded=codec.decode(ids))
-
-
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` (their text) to the documents.
 
@@ -174,10 +165,16 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     Repeated rows come out as often as they came; an input column named ``ids`` or
     ``decoded`` is replaced, others stay. An empty table gives an empty result.
     """
-    prepare_workers(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
+    ship_package(docs.sparkSession)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return map_texts(docs, rest, fields, lambda frames: encode_frames(frames, path))
+
+    def results(texts: list[str]) -> list:
+        codec = PieceCodec.of(path)
+        ids = codec.encode(texts)
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))), codec.decode(ids)]
+
+    return map_texts(docs, fields, results)
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:
