@@ -27,16 +27,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
-from gradeloom.llm.common import prepare_workers
-from gradeloom.session import materialize
+from gradeloom.llm.common import Carried, Remembered, text_slices
+from gradeloom.session import materialize, ship_package
 
 #: Pieces of one length that are ranked by one sort.
 RANK_GROUP = 50_000
-#: Distinct words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 550_000
-#: Unicode's White_Space; Python's split() also cuts at U+001C to U+001F, which the tokenizer keeps.
-KEPT_CONTROLS = "\x1c\x1d\x1e\x1f"
-_words_of = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
+#: Bytes of parts and their ids that a worker remembers.
+KEPT_BYTES = 64 << 20
+#: The tokenizer's split, as this module reads it for texts up to U+024F: letters
+#: (Python's letters and digits without digits and these numbers), one digit, or signs.
+LATIN_NUMBERS = "\xb2\xb3\xb9\xbc\xbd\xbe"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+SPLIT = rf"{CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
+_ascii_parts = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+_latin_parts = re.compile(rf"{CONTRACTIONS}|[^\W\d_{LATIN_NUMBERS}]+|[\d{LATIN_NUMBERS}]|(?:[^\w\t-\r \x85\xa0\u2028\u2029]|_)+").findall
+_beyond_latin = re.compile("[^\0-\u024f\u2010-\u2029\u20ac]").search
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -48,12 +53,12 @@ def byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Token ids of a text as the tokenizers library gives them, each distinct word merged once.
+    """Token ids of a text as the tokenizers library gives them, each distinct part merged once.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so a
-    text's ids are those of its words in order. Normalisation (NFC, lower case), the split
-    into letters, digits and signs, and the merges are those of the vocabulary file; special
-    tokens in a text are found as the library finds them.
+    The tokenizer's own split cuts a text into parts (words of letters, digits, runs of signs)
+    and drops white space; no merge crosses a part's ends, so a text's ids are those of its
+    parts in order. Normalisation (NFC, lower case), the split and the merges are those of the
+    vocabulary file; special tokens in a text are found as the library finds them.
     """
 
     def __init__(self, path: str):
@@ -62,11 +67,11 @@ class WordEncoder:
         model = spec["model"]
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
-        if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or byte_level["add_prefix_space"] or model["continuing_subword_prefix"]:
+        if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or split["pattern"]["Regex"] != SPLIT or byte_level["add_prefix_space"] or model["continuing_subword_prefix"]:
             raise ValueError("only lower-casing byte-level BPE with word ends is supported")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.parts_of = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = {x["content"]: np.array([x["id"]], np.uint32).tobytes() for x in spec["added_tokens"]}
         self.special_of = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         pairs = {}
         for rank, merge in enumerate(model["merges"]):
@@ -76,8 +81,7 @@ class WordEncoder:
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + end] for x in letters], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = Remembered(KEPT_BYTES)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -85,54 +89,46 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _split(self, word: str) -> list[str]:
-        if word.isascii():
-            lower = word.lower()
-            return [lower] if lower.isalpha() else self.parts_of(lower)
-        word = unicodedata.normalize("NFC", word)
-        return self.parts_of("".join([x.lower() for x in word]))  # by character: no final sigma
-
-    def _learn(self, words: list[str]) -> None:
-        cut = {}
-        for word in words:
-            if "<|" in word:
-                pieces = self.special_of.split(word)
-                cut[word] = [part for x in pieces for part in ([x] if x in self.special else self._split(x))]
-            else:
-                cut[word] = self._split(word)
-        new = sorted({part for parts in cut.values() for part in parts}.difference(self.parts, self.special))
-        if new:
-            data = [part.encode() for part in new]
-            lengths = np.fromiter(map(len, data), np.int64, len(data))
-            flat = np.frombuffer(b"".join(data), np.uint8)
-            symbols, ends = self.inner[flat], np.cumsum(lengths) - 1
-            symbols[ends] = self.last[flat[ends]]
-            merged, counts = encode_words(symbols, lengths, self.table)
-            self.parts.update(zip(new, sliced(merged.astype(np.uint32), counts), strict=True))
-        known = self.parts | {x: np.array([i], np.uint32).tobytes() for x, i in self.special.items()} if any("<|" in x for x in words) else self.parts
-        for word, parts in cut.items():
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+    def split(self, text: str) -> list[str]:
+        """The text's parts, in lower case."""
+        if text.isascii():
+            return _ascii_parts(text.lower())
+        if _beyond_latin(text) is None:  # such a text is in NFC
+            return _latin_parts(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        return self.parts_of("".join([x.lower() for x in text]) if "\u03a3" in text else text.lower())  # no final sigma
+
+    def _learn(self, parts: list[str]) -> None:
+        data = [part.encode("utf-8", "surrogatepass") for part in parts]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        symbols, ends = self.inner[flat], np.cumsum(lengths) - 1
+        symbols[ends] = self.last[flat[ends]]
+        merged, counts = encode_words(symbols, lengths, self.table)
+        self.known.learn(parts, sliced(merged.astype(np.uint32), counts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_words_of(text) if any(x in text for x in KEPT_CONTROLS) else text.split() for text in texts]
-        missing = set().union(*split).difference(self.words) if split else set()
-        if len(self.words) + len(missing) > KEPT_WORDS:
-            self.words.clear()
-            self.parts.clear()
-            missing = set().union(*split)
+        # Special tokens are parts of their own, at every second place.
+        cut = [self.special_of.split(text) if "<|" in text else [text] for text in texts]
+        split = [self.split(x) for pieces in cut for x in pieces[::2]]
+        missing = self.known.missing(set().union(*split))
         if missing:
-            self._learn(list(missing))
-        words = self.words
-        return [b"".join([words[word] for word in parts]) for parts in split]
+            self._learn(missing)
+        known = self.known.new
+        encoded = iter([b"".join([known[part] for part in parts]) for parts in split])
+        out = [next(encoded) + b"".join([self.special[x] + next(encoded) for x in pieces[1::2]]) for pieces in cut]
+        self.known.settle()
+        return out
 
 
 def cut_pieces(frames: Iterator[pd.DataFrame], path: str, size: int, end_id: int) -> Iterator[pd.DataFrame]:
     end = np.array([end_id], np.uint32).tobytes()
     for frame in frames:
         encoder = WordEncoder.of(path)
-        rows = []
-        for doc_id, row_key, ids in zip(frame["doc_id"], frame["row_key"], encoder.encode(frame["text"].tolist()), strict=True):
+        texts, rows = frame["text"].tolist(), []
+        encoded = (ids for part in text_slices(texts) for ids in encoder.encode(texts[part]))
+        for doc_id, row_key, ids in zip(frame["doc_id"], frame["row_key"], encoded, strict=True):
             ids += end
             tokens = len(ids) // 4
             for start in range(0, tokens, size):
@@ -229,9 +225,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
     length are taken whole. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    prepare_workers(spark)
+    ship_package(spark)
     # The id travels as text: pandas would round large numbers next to nulls.
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
+    texts = Carried(docs, ["doc_id", "text"], []).df.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     cut = texts.mapInPandas(lambda frames: cut_pieces(frames, path, size, end_id), "doc_id string, row_key long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(cut, "pieces")
     rests = pieces.filter(F.col("length") < size)

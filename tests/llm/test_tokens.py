@@ -49,11 +49,21 @@ def test_odd_texts_equal_the_libraries(library):
     assert [np.frombuffer(x, np.uint32).tolist() for x in own] == [tokenizer.encode(x, add_special_tokens=False).ids for x in ODD]
 
 
-def test_memory_of_words_starts_anew(monkeypatch, library):
-    monkeypatch.setattr(sentencepieces, "KEPT_WORDS", 3)
+def test_words_are_remembered_up_to_a_bound(monkeypatch, library):
+    monkeypatch.setattr(sentencepieces, "KEPT_BYTES", 700)
     codec = PieceCodec(PIECES)
     for text in ("one two three", "four five six", "one two seven"):
         assert codec.encode([text])[0].tolist() == library.encode(text)
+        assert len(codec.known.new) + len(codec.known.old) <= 6
+
+
+def test_latin_parts_equal_the_tokenizers_pattern():
+    """The quick patterns for texts up to U+024F, with every such character next to letters, digits and signs."""
+    encoder = WordEncoder.of(WORDS)
+    for char in [*map(chr, range(0x250)), *"\u2010\u2019\u2028\u2029\u20ac"]:
+        text = f"ab{char}cd {char}{char}1{char}2 -{char}- a'll{char}'s _{char}_"
+        text = text.lower() if char != "\u03a3" else text
+        assert encoder.split(text) == encoder.parts_of(text), ascii(char)
 
 
 def test_rounds_equal_single_merges():
