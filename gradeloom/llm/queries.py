@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 5) == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, unlabelled=docs.filter(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

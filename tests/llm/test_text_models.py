@@ -1,5 +1,6 @@
 """Held-out accuracy of the two learned operators, and their edge cases."""
 
+import math
 import os
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import queries
+from gradeloom.llm import language_mixture, queries, toxicity
 from gradeloom.llm.common import crc_fold
 from gradeloom.llm.language_mixture import fit_languages, identify_languages, mixtures, trigrams
 from gradeloom.llm.toxicity import ToxicityModel, fit_numpy, fit_toxicity, score_toxicity, text_words, word_features
@@ -103,7 +104,76 @@ def test_toxicity_edges(spark):
     got = score_toxicity(df, model).collect()
     assert {(r["predicted"]) for r in got} == {0} and all(0 <= r["score"] <= 1 for r in got) and len(got) == 4
     assert score_toxicity(df.limit(0), model).count() == 0
-    assert fit_numpy([], [], 0.1).weights == {}
+    assert model.weights == {}
+
+
+def test_fit_equals_plain_gradient_steps():
+    """The learner's steps with dense matrices and losses written out."""
+    rng = np.random.default_rng(2)
+    n_features, prior = 12, 0.1
+    dense = [(rng.random((n, n_features)) < share).astype(float) for n, share in ((30, 0.4), (80, 0.15))]
+    weight, bias = fit_numpy(*[[np.flatnonzero(row).astype(np.int32) for row in x] for x in dense], n_features, prior)
+    w, b = np.zeros(n_features), math.log(prior / (1 - prior))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    for t in range(1, toxicity.STEPS + 1):
+        grads, risks = [], []
+        for x, sign in ((dense[0], -1), (dense[0], 1), (dense[1], 1)):  # positives as such, as negatives; unlabelled as negatives
+            z = x @ w + b
+            risks.append(np.mean([math.log1p(math.exp(sign * a)) for a in z]))
+            each = sign / (1 + np.exp(-sign * z)) / len(x)
+            grads.append(np.append(x.T @ each, each.sum()))
+        negative = risks[2] - prior * risks[1]
+        g = prior * grads[0] + grads[2] - prior * grads[1] if negative >= -toxicity.TOLERANCE else prior * grads[1] - grads[2]
+        g[:-1] += toxicity.DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    assert weight == pytest.approx(w, abs=1e-9) and bias == pytest.approx(b, abs=1e-9)
+
+
+def test_unlabelled_texts_are_drawn_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(7, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    drawn = toxicity.sampled_texts(docs, labels, docs.filter("doc_id <> 3"), 5, 100).collect()
+    assert sorted(r["text"] for r in drawn if r["positive"]) == ["text 0"]
+    rest = [r["text"] for r in drawn if not r["positive"]]
+    assert len(rest) == 19 and "text 3" not in rest
+
+
+def test_mixture_equals_plain_em():
+    """Proportions of one text by loops over its trigrams, for every set of languages."""
+    rng = np.random.default_rng(5)
+    table = rng.dirichlet(np.full(language_mixture.BUCKETS, 0.05), 3)
+    table = np.vstack([table, np.full(language_mixture.BUCKETS, 1 / language_mixture.BUCKETS)]).astype(np.float32)
+    table = np.maximum(table, 1e-7)
+    model = language_mixture.LanguageModel(["a", "b", "c"], table)
+    text = "one text of a few words, and of some more"
+    _, buckets, _ = trigrams([text])
+    n = len(buckets)
+
+    def em(chosen):
+        share = dict.fromkeys(chosen, 1 / len(chosen))
+        for _ in range(language_mixture.EM_STEPS):
+            total = dict.fromkeys(chosen, 0.0)
+            for x in buckets:
+                mass = {j: share[j] * float(table[j, x]) for j in chosen}
+                for j in chosen:
+                    total[j] += mass[j] / sum(mass.values())
+            share = {j: total[j] / n for j in chosen}
+        return share, sum(math.log(sum(share[j] * float(table[j, x]) for j in chosen)) for x in buckets)
+
+    alone = [sum(math.log(float(table[j, x])) for x in buckets) for j in range(4)]
+    first = int(np.argmax(alone))
+    full, _ = em(range(4))
+    order = [first, *sorted((j for j in range(4) if j != first), key=lambda j: -full[j])]
+    best, best_share = alone[first], {first: 1.0}
+    for size in range(2, 5):
+        share, likelihood = em(order[:size])
+        gained = likelihood - language_mixture.PENALTY * (size - 1) * math.log(n + 1) / 2
+        if gained > best:
+            best, best_share = gained, share
+    got, _, _ = mixtures([text], model)
+    assert got[0] == pytest.approx([best_share.get(j, 0.0) for j in range(4)], abs=1e-4)
 
 
 def test_words_of_a_text_score_once():
