@@ -3,8 +3,9 @@
 A rule is a host and a path prefix. Its literal tokens are the labels of its host and
 the complete segments of its path; each rule is filed under the token that the fewest
 URLs of the table hold. A URL's own tokens fetch its candidate rules, and only those
-run their regular expression. All of it is one projection of the URL column: no
-shuffle, no Python.
+run their regular expression. With up to ``PLAN_RULES`` rules all of it is one projection of
+the URL column, without a shuffle; longer lists are a table that Spark sends to every task
+while it is small, and the URLs' tokens are joined with it. No Python in either.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import ascii_lower, with_outputs
+from gradeloom.llm.common import Carried, ascii_lower, named, with_outputs
 
-#: The rule list is part of the plan, so its length is bounded.
-MAX_RULES = 2000
+#: Up to so many rules are part of the plan; longer lists are joined as a table, with the same verdicts.
+PLAN_RULES = 2000
 
 
 @dataclass(frozen=True)
@@ -65,9 +66,13 @@ def token_counts(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> d
     known = sorted({token for rule in rules for token in rule.tokens})
     if not known:
         return {}
-    held = F.array_intersect(url_tokens(F.col(url_col)), F.array(*[F.lit(x) for x in known]))
-    counted = pages.select(F.explode(held).alias("token")).groupBy("token").count().collect()
-    return {row["token"]: row["count"] for row in counted}
+    tokens = url_tokens(pages[f"`{url_col}`"])
+    if len(rules) <= PLAN_RULES:
+        found = pages.select(F.explode(F.array_intersect(tokens, F.array(*[F.lit(x) for x in known]))).alias("token"))
+    else:
+        own = pages.sparkSession.createDataFrame([(x,) for x in known], "token string")
+        found = pages.select(F.explode(F.array_distinct(tokens)).alias("token")).join(own, "token")
+    return {row["token"]: row["count"] for row in found.groupBy("token").count().collect()}
 
 
 def rarest_token_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
@@ -85,17 +90,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     The longest fitting rule wins, and a later text in sort order where two are as long;
     without a fitting rule ``rule`` is null and the verdict is ``default``. A null URL, or
     one without ``://``, has an empty host and path, so no rule fits it. Each row is judged
-    alone: repeated rows get the same verdict. An input column with the name of an output
-    is replaced; other columns stay. An empty table gives an empty result.
+    alone: repeated rows get the same verdict. An input column with the name of an output, in
+    any case of letters, is replaced; other columns stay. An empty table gives an empty result.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the plan holds {MAX_RULES} at most")
-    url = F.col(url_col)
+    url = pages[f"`{url_col}`"]
     host, path = url_host(url), url_path(url)
     outputs = {"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
     if not rules:
         return with_outputs(pages, outputs)
     index = rarest_token_index(rules, token_counts(pages, rules, url_col))
+    if len(rules) > PLAN_RULES:
+        return _filter_by_table(pages, index, url_col, default)
 
     def literal(rule: Rule) -> Column:
         parts = {"length": len(rule.text), "rule": rule.text, "verdict": rule.verdict, "pattern": rule.pattern}
@@ -107,3 +112,18 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     best = F.array_max(F.filter(candidates, lambda rule: F.rlike(F.concat(host, path), rule["pattern"])))
     outputs |= {"rule": best["rule"], "verdict": F.coalesce(best["verdict"], F.lit(default))}
     return with_outputs(pages, outputs)
+
+
+def _filter_by_table(pages: DataFrame, index: dict[str, list[Rule]], url_col: str, default: str) -> DataFrame:
+    """The same for a long list: distinct URLs' tokens meet the rules filed under them in a join."""
+    rows = [(token, len(rule.text), rule.text, rule.verdict, rule.pattern) for token, found in sorted(index.items()) for rule in found]
+    filed = pages.sparkSession.createDataFrame(rows, "token string, length int, rule string, verdict string, pattern string")
+    held = Carried(pages, [url_col], ["host", "path", "rule", "verdict"])
+    url = F.col(url_col)
+    urls = held.df.select(url.alias("url")).filter(F.col("url").contains("://")).distinct()
+    asked = urls.select("url", F.concat(url_host(F.col("url")), url_path(F.col("url"))).alias("whole"), F.explode(F.array_distinct(url_tokens(F.col("url")))).alias("token"))
+    met = asked.join(filed, "token").filter(F.rlike(F.col("whole"), F.col("pattern")))
+    best = met.groupBy(F.col("url").alias("met_url")).agg(F.max(F.struct("length", "rule", "verdict")).alias("best"))
+    joined = held.df.join(best, url == F.col("met_url"), "left")
+    outputs = [url_host(url).alias("host"), url_path(url).alias("path"), F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")]
+    return named(joined, held.rest, outputs)

@@ -37,7 +37,7 @@ URLS = [
 def test_url_rules(spark):
     pages = spark.createDataFrame([(a, b, "kept", "mine") for a, b, *_ in URLS], "page_id long, url string, other string, rule string")
     got = url_filters.filter_urls(pages, queries.URL_RULES)
-    assert got.columns == ["page_id", "url", "other", "rule", "host", "path", "verdict"]
+    assert got.columns == ["page_id", "url", "other", "host", "path", "rule", "verdict"]
     assert sorted(map(repr, [(r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()])) == sorted(map(repr, URLS))
     assert url_filters.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
     assert {r["verdict"] for r in url_filters.filter_urls(pages, [], default="block").collect()} == {"block"}
@@ -51,12 +51,17 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert {k: [r.path for r in v] for k, v in url_filters.rarest_token_index(rules, counts).items()} == {"p:x": ["/x/y"], "p:z": ["/z/"]}
 
 
-def test_rule_bounds(spark):
-    pages = spark.createDataFrame([("u",)], "url string")
+def test_rules_need_a_token(spark):
     with pytest.raises(ValueError):
-        url_filters.filter_urls(pages, [Rule("a", "/", "block")] * (url_filters.MAX_RULES + 1))
-    with pytest.raises(ValueError):
-        url_filters.filter_urls(pages, [Rule("", "/", "block")])
+        url_filters.filter_urls(spark.createDataFrame([("u",)], "url string"), [Rule("", "/", "block")])
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(a, b, "kept", "mine") for a, b, *_ in URLS], "page_id long, url string, other string, Rule string")
+    expected = sorted(map(repr, url_filters.filter_urls(pages, queries.URL_RULES).collect()))
+    monkeypatch.setattr(url_filters, "PLAN_RULES", 2)
+    assert sorted(map(repr, url_filters.filter_urls(pages, queries.URL_RULES).collect())) == expected
+    assert url_filters.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
 def test_lines_of_many_documents_go(spark):
