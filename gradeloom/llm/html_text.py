@@ -1,18 +1,25 @@
 """Main text of web pages by template deduction over the pages of each host.
 
-A token is a tag with its path from the root. Its occurrence vector says how often each
-page of the host holds it; tokens with equal vectors form an equivalence class. The class
-of tokens that every page holds just once is the host's template, and classes that occur
-with others in equal numbers nest in its parts. What stands between the template's tokens
-is a slot. Slots whose text keeps coming back from page to page belong to the template
-too (menus, notices, adverts); slots whose texts are nearly all different, on a host with
-enough pages to tell, hold the pages' own text. That holds inside an article too.
+A token is the opening or the closing of an element, told apart by the path from the root.
+Its occurrence vector says how often each page of the host holds it; tokens with equal
+vectors form an equivalence class. The class of what every page holds just once is the frame
+of the host's template; classes of several elements that at least half of the pages hold
+nest in it. A class is valid if on nearly all of its pages its tokens stand in one order, over
+and over in that order if they come back, and if its spans and those of other classes do not
+overlap; tokens of other classes are taken as the pages' own.
+
+What stands between a token of the template and the next is a slot. Slots whose text keeps
+coming back from page to page belong to the template too (menus, notices, adverts); slots
+whose texts are nearly all different, on a host with enough pages to tell, hold the pages'
+own text. That holds inside an article too.
 
 Pages of a host with the same texts in the same order are copies and count once.
 Vectors are not gathered: two sums of hashes of (page, number) stand for one, so that
-a host with very many pages needs no large group. What HTML itself says (articles,
-navigation, forms, names of classes) decides only where a host has too few pages to tell
-for a slot; what is never shown as text (scripts, comments, options) is left out anyway.
+a host with very many pages needs no large group; and since a template token is on half of
+the pages, a host's template is no larger than twice the tokens of its average page. What
+HTML itself says (articles, navigation, forms, names of classes) decides only where a host
+has too few pages to tell for a slot; what is never shown as text (scripts, comments,
+options) is left out anyway. Reading a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -23,20 +30,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import prepare_workers
+from gradeloom.llm.common import Carried, named, text_slices
 from gradeloom.llm.url_filters import url_host
-from gradeloom.session import materialize
+from gradeloom.session import Scratch, ship_package
 
 #: A slot is the template's if so many of its texts are seen and each distinct one comes back this often.
 MIN_TEXTS, MIN_REPEATS = 8, 4
 #: A slot holds own text if its host has so many pages and so large a share of its texts is distinct.
 #: So few repeats in so many pages are not to be had from a list of a hundred notices.
 OWN_PAGES, OWN_SHARE = 32, 0.9
+#: A class is valid if it is in order on such a share of its pages.
+VALID_SHARE = 0.9
 #: Templates are sent to every task up to so many rows, and joined by host beyond.
 BROADCAST_ROWS = 50_000
 
@@ -55,162 +65,287 @@ NAMES = (
     "subscribe subscription toolbar widget widgets"
 ).split()
 _left_out_name = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(map(re.escape, NAMES))})(?:$|[\s_-])", re.I)
-_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_markup = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+#: The rest of a tag; quoted values may hold its end.
+_rest_of_tag = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>", re.S)
 _attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _digits = re.compile(r"[\d/]+")
-#: Below so many levels an element shares its parent's path.
-MAX_DEPTH = 40
+_raw_end = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
+OPEN, CLOSE, TEXT = 0, 1, 2
+_keys: dict[tuple[int, str], int] = {}
+
+
+def digest(data: str) -> int:
+    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def path_key(parent: int, step: str) -> int:
+    """A number for the path that leads from ``parent`` over ``step``."""
+    found = _keys.get((parent, step))
+    if found is None:
+        if len(_keys) >= 50_000:
+            _keys.clear()
+        found = _keys[parent, step] = digest(f"{parent}/{step}")
+    return found
 
 
 class Element:
-    __slots__ = ("depth", "hidden", "main", "out", "path", "tag")
+    """An open element; ``paragraph`` and ``item`` are the places in the stack of what a new block ends."""
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool, depth: int, hidden: bool = False):
-        self.tag, self.path, self.out, self.main, self.depth, self.hidden = tag, path, out, main, depth, hidden
+    __slots__ = ("close", "hidden", "item", "key", "main", "out", "paragraph", "tag")
+
+    def __init__(self, parent: Element | None, tag: str, names: str, at: int):
+        self.tag = tag
+        self.key = path_key(parent.key, f"{tag}.{_digits.sub('#', names)}" if names else tag) if parent else 0
+        self.close = ~self.key
+        inline = tag in INLINE
+        self.paragraph = at if tag == "p" else parent.paragraph if parent and inline else 0
+        self.item = at if tag == "li" else parent.item if parent and (inline or tag == "p") else 0
+        self.main = parent is not None and (parent.main or tag in ("article", "main"))
+        self.hidden = parent is not None and (parent.hidden or tag in HIDDEN)
+        self.out = parent is not None and (parent.out or tag in LEFT_OUT or (tag == "header" and not parent.main) or (names != "" and tag not in ("html", "body") and _left_out_name.search(names) is not None))
 
 
 def read_page(page: str) -> Iterator[tuple[str, Element, str]]:
-    """("open", element, ""), ("text", element, text) and ("break", element, "") in page order.
+    """("open", element, ""), ("close", element, ""), ("text", element, text) and ("break", element, "") in page order.
 
     Ends that are left out are put in: a paragraph ends before the next block, an element
-    with its parent. ``out`` marks what HTML says is no main text, ``main`` what it says is,
-    ``hidden`` what is not shown as text.
+    with its parent, all with the page. ``out`` marks what HTML says is no main text, ``main``
+    what it says is, ``hidden`` what is not shown as text. Once a quoted value has no end, the
+    rest of the page's tags end at their first ``>``; where there is none, ``<`` is text.
     """
-    stack = [Element("", "", False, False, 0)]
-    at = 0
+    stack = [Element(None, "", "", 0)]
+    is_open: Counter = Counter()
+    at, quotes, last_end = 0, True, page.rfind(">")
+
+    def cut(to: int) -> Iterator[tuple[str, Element, str]]:
+        while len(stack) > to:
+            element = stack.pop()
+            is_open[element.tag] -= 1
+            yield "close", element, ""
+
     while at < len(page):
-        found = _token.match(page, at)
-        at = found.end()
+        found = _markup.match(page, at)
         tag = found.group(2)
+        start, at = at, found.end()
         if tag is None:
             text = found.group()
             if text[0] != "<" or len(text) == 1:
                 yield "text", stack[-1], text
             continue
+        rest = _rest_of_tag.match(page, at) if quotes and at <= last_end else None
+        if rest:
+            attributes, at = rest.group(1), rest.end()
+        elif at <= last_end:
+            quotes, end = False, page.index(">", at)
+            attributes, at = page[at:end], end + 1
+        else:
+            at = start + 1
+            yield "text", stack[-1], "<"
+            continue
         tag = tag.lower()
         if found.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if is_open[tag]:
+                to = len(stack) - 1
+                while stack[to].tag != tag:
+                    to -= 1
+                yield from cut(to)
             if tag not in INLINE:
                 yield "break", stack[-1], ""
             continue
         if tag in ENDS_PARAGRAPH or tag == "li":
-            same = "p" if tag != "li" else "li"
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == same:
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE and stack[i].tag != "p":
-                    break
+            ended = stack[-1].item if tag == "li" else stack[-1].paragraph
+            if ended:
+                yield from cut(ended)
         parent = stack[-1]
-        names = " ".join(a or b or c for _, a, b, c in _attribute.findall(found.group(3))) if found.group(3) else ""
-        main = parent.main or tag in ("article", "main")
-        out = parent.out or tag in LEFT_OUT or (tag == "header" and not parent.main) or (names != "" and tag not in ("html", "body") and _left_out_name.search(names) is not None)
-        path = f"{parent.path}/{tag}" + (f".{_digits.sub('#', names)}" if names else "")
-        element = Element(tag, path if parent.depth < MAX_DEPTH else parent.path, out, main, parent.depth + 1, parent.hidden or tag in HIDDEN)
+        names = " ".join(a or b or c for _, a, b, c in _attribute.findall(attributes)) if attributes else ""
+        element = Element(parent, tag, names, len(stack))
         yield "open", element, ""
         if tag == "br":
             yield "text", parent, " "
         elif tag not in INLINE:
             yield "break", element, ""
         if tag in RAW:
-            at = _find_end(page, tag, at)
-        elif tag not in VOID and not found.group(3).endswith("/"):
+            end = _raw_end[tag].search(page, at)
+            at = end.end() if end else len(page)
+            yield "close", element, ""
+        elif tag in VOID or attributes.endswith("/"):
+            yield "close", element, ""
+        else:
             stack.append(element)
-
-
-def _find_end(page: str, tag: str, at: int) -> int:
-    """Where the end tag of a raw element begins, or the end of the page."""
-    found = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-    return found.end() if found else len(page)
+            is_open[tag] += 1
+    yield from cut(1)
 
 
 def squeezed(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def text_digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
+def page_events(page: str) -> tuple[list[int], list[int], int]:
+    """A page's tokens and its texts' digests in order, their kinds, and a digest of all texts."""
+    ids, kinds, said = [], [], hashlib.blake2b(digest_size=8)
+    for kind, element, text in read_page(page):
+        if kind == "open":
+            ids.append(element.key)
+            kinds.append(OPEN)
+        elif kind == "close":
+            ids.append(element.close)
+            kinds.append(CLOSE)
+        elif kind == "text" and not element.hidden and (short := squeezed(text)):
+            ids.append(digest(short))
+            kinds.append(TEXT)
+            said.update(ids[-1].to_bytes(8, "little", signed=True))
+    return ids, kinds, int.from_bytes(said.digest(), "little", signed=True)
+
+
+def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host page_key said ids kinds`` of each page."""
+    for batch in batches:
+        pages = batch.column("html").to_pylist()
+        for part in text_slices(pages):
+            own = batch.slice(part.start, part.stop - part.start)
+            ids, kinds, said = zip(*map(page_events, pages[part]), strict=True)
+            columns = [own.column("host"), own.column("page_key"), pa.array(said, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page_key", "said", "ids", "kinds"])
 
-def observe_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page: its tokens with their numbers, its texts by path, and itself.
 
-    The row of kind "page" has a digest of all texts in their order.
-    """
-    for frame in frames:
-        rows = []
-        for host, page_key, page in zip(frame["host"], frame["page_key"], frame["html"], strict=True):
-            tokens: Counter = Counter()
-            texts: Counter = Counter()
-            said = hashlib.blake2b(digest_size=8)
-            for kind, element, text in read_page(page):
-                if kind == "open":
-                    tokens[element.path] += 1
-                elif kind == "text" and not element.hidden and (short := squeezed(text)):
-                    digest = text_digest(short)
-                    texts[element.path, digest] += 1
-                    said.update(digest.to_bytes(8, "little", signed=True))
-            rows += [(host, "text", path, page_key, digest, n) for (path, digest), n in texts.items()]
-            rows += [(host, "token", path, page_key, 0, n) for path, n in tokens.items()]
-            rows.append((host, "page", "", page_key, int.from_bytes(said.digest(), "little", signed=True), 1))
-        yield pd.DataFrame(rows, columns=["host", "kind", "path", "page_key", "digest", "n"])
+def distinct_pages(seen: DataFrame) -> DataFrame:
+    """One page, that with the smallest key, for all that say the same on a host."""
+    first = seen.groupBy("host", "said").agg(F.min("page_key").alias("page_key")).select("host", "page_key")
+    return seen.join(first, ["host", "page_key"], "left_semi").dropDuplicates(["host", "page_key"])
 
 
 def equivalence_classes(seen: DataFrame) -> DataFrame:
     """Each token's class: tokens of a host whose occurrence vectors are equal.
 
-    ``host path pages occurrences vector``; the sums stay in a long up to 2 ** 31 pages.
+    ``host token opens pages occurrences vector``; the sums stay in a long up to 2 ** 31 pages.
     """
+    tokens = seen.select("host", "page_key", F.explode(F.arrays_zip("ids", "kinds")).alias("event")).filter(F.col("event.kinds") != TEXT)
+    counted = tokens.groupBy("host", "page_key", F.col("event.ids").alias("token"), (F.col("event.kinds") == OPEN).alias("opens")).agg(F.count(F.lit(1)).alias("n"))
     held = F.xxhash64("page_key", "n")
     low, high = held.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(held, 32)
-    return seen.filter(F.col("kind") == "token").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("occurrences"), F.struct(F.sum(low).alias("low"), F.sum(high).alias("high")).alias("vector"))
+    vector = F.struct(F.sum(low).alias("low"), F.sum(high).alias("high")).alias("vector")
+    return counted.groupBy("host", "token", "opens").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("occurrences"), vector)
 
 
-def distinct_pages(seen: DataFrame) -> DataFrame:
-    """The rows of one page, that with the smallest key, for all that say the same on a host."""
-    first = seen.filter(F.col("kind") == "page").groupBy("host", "digest").agg(F.min("page_key").alias("page_key")).select("host", "page_key")
-    return seen.join(first, ["host", "page_key"], "left_semi").dropDuplicates(["host", "kind", "path", "page_key", "digest"])
+def template_classes(classes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``host token class``: the frame, and classes of two elements or more on at least half of the pages."""
+    sizes = classes.groupBy("host", "vector").agg(F.sum(F.col("opens").cast("int")).alias("elements"))
+    joined = classes.join(hosts, "host").join(sizes, ["host", "vector"])
+    frame = (F.col("pages") == F.col("host_pages")) & (F.col("occurrences") == F.col("pages"))
+    nested = (F.col("elements") >= 2) & (F.col("pages") * 2 >= F.col("host_pages"))
+    return joined.filter(frame | nested).select("host", "token", F.xxhash64("vector").alias("class"))
 
 
-def deduce_templates(seen: DataFrame) -> DataFrame:
-    """One row for each slot of each host: ``host slot own``, own being false for the template's
-    and null where the host's pages do not tell.
+def invalid_classes(ids: np.ndarray, of_class: dict[int, int], members: dict[int, int]) -> set[int]:
+    """The classes whose tokens are out of order on a page, or whose spans overlap with another's.
 
-    Template tokens are the class of what every page holds once. A nested class (two tokens
-    at least, with one vector) hangs below the deepest template token on its path, and so
-    does every text; the texts' repeats decide about each of them.
+    The first round of a class on a page is its order; every further round must repeat it,
+    and each round must begin and end within one gap of every class that is around it.
     """
-    classes = equivalence_classes(seen)
-    hosts = seen.filter(F.col("kind") == "page").groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    sizes = classes.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("members"))
-    joined = classes.join(hosts, "host").join(sizes, ["host", "vector"])
-    once_each = (F.col("pages") == F.col("host_pages")) & (F.col("occurrences") == F.col("pages"))
-    nested = (F.col("members") >= 2) & (F.col("pages") * 2 >= F.col("host_pages"))
-    template = joined.filter(once_each | nested).select("host", F.col("path").alias("slot"))
-    texts = seen.filter(F.col("kind") == "text").groupBy("host", "path", "digest").agg(F.sum("n").alias("n"))
-    by_path = texts.groupBy("host", "path").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("distinct_texts"))
-    steps = F.split("path", "/")
-    above = by_path.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))))
-    deepest = above.join(template, ["host", "slot"]).groupBy("host", "path", "texts", "distinct_texts").agg(F.max_by("slot", F.length("slot")).alias("slot"))
-    summed = deepest.groupBy("host", "slot").agg(F.sum("texts").alias("texts"), F.sum("distinct_texts").alias("distinct_texts")).join(hosts, "host")
-    repeats = (F.col("texts") >= MIN_TEXTS) & (F.col("texts") >= MIN_REPEATS * F.col("distinct_texts"))
-    differs = (F.col("host_pages") >= OWN_PAGES) & (F.col("texts") >= OWN_PAGES) & (F.col("distinct_texts") >= OWN_SHARE * F.col("texts"))
-    return summed.select("host", "slot", F.when(repeats, F.lit(False)).when(differs, F.lit(True)).alias("own"))
+    order: dict[int, list[int]] = {}
+    place: Counter = Counter()
+    around: list[int] = []  # classes with a round begun, innermost last
+    bad: set[int] = set()
+    for token in ids:
+        kind = of_class.get(token)
+        if kind is None or kind in bad:
+            continue
+        known, size, at = order.setdefault(kind, []), members[kind], place[kind]
+        if len(known) < size:
+            known.append(token)
+        elif known[at] != token:
+            bad.add(kind)
+        if at == 0:
+            around.append(kind)
+        while around and around[-1] in bad:
+            around.pop()
+        if kind not in bad and around[-1] != kind:  # it goes on while another one, begun later, is not over
+            bad.add(around.pop())
+            while around and around[-1] != kind:
+                bad.add(around.pop())
+        place[kind] = (at + 1) % size
+        if place[kind] == 0 and around and around[-1] == kind:
+            around.pop()
+    return bad.union(kind for kind in around if place[kind])
+
+
+def orders_of(ids: np.ndarray, of_class: dict[int, int]) -> dict[int, int]:
+    """A digest of the order in which each class's tokens first come on a page."""
+    orders: dict[int, list[int]] = {}
+    for token in dict.fromkeys(ids):
+        if token in of_class:
+            orders.setdefault(of_class[token], []).append(token)
+    return {kind: digest(repr(tokens)) for kind, tokens in orders.items()}
+
+
+def check_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host class order bad`` of each page: how its classes stand on it."""
+    for batch in batches:
+        hosts, kinds, orders, bads = [], [], [], []
+        for host, ids, template in zip(*(batch.column(c).to_pylist() for c in ("host", "ids", "template")), strict=True):
+            of_class = {x["token"]: x["class"] for x in template}
+            bad = invalid_classes(ids, of_class, Counter(of_class.values()))
+            for kind, order in orders_of(ids, of_class).items():
+                hosts.append(host)
+                kinds.append(kind)
+                orders.append(order)
+                bads.append(kind in bad)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int64()), pa.array(orders, pa.int64()), pa.array(bads, pa.bool_())], names=["host", "class", "order", "bad"])
+
+
+def slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host slot text`` of each text of a page: the template token that it follows, 0 before the first."""
+    for batch in batches:
+        hosts, slots, texts = [], [], []
+        for host, ids, kinds, template in zip(*(batch.column(c).to_pylist() for c in ("host", "ids", "kinds", "template")), strict=True):
+            tokens, slot = {x["token"] for x in template or ()}, 0
+            for x, kind in zip(ids, kinds, strict=True):
+                if kind == TEXT:
+                    hosts.append(host)
+                    slots.append(slot)
+                    texts.append(x)
+                elif x in tokens:
+                    slot = x
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), pa.array(texts, pa.int64())], names=["host", "slot", "text"])
+
+
+def with_template(pages: DataFrame, template: DataFrame, how: str) -> DataFrame:
+    """Each page with its host's rows of ``template`` as one array, bounded by the size of pages.
+
+    Spark sends the templates to every task up to ``BROADCAST_ROWS`` rows; beyond, the join is
+    by host, and adaptive execution splits a host with very many pages.
+    """
+    fields = [c for c in template.columns if c != "host"]
+    gathered = template.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("template"))
+    if template.count() <= BROADCAST_ROWS:
+        gathered = F.broadcast(gathered)
+    return pages.join(gathered, "host", how)
+
 
+def deduce_templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each token of each host's template: ``host slot own``.
 
-def slot_of(path: str, slots: dict[str, bool | None]) -> bool | None:
-    """Whether the deepest slot on the path holds the pages' own text; None if that is not known."""
-    while path:
-        if path in slots:
-            return slots[path]
-        path = path.rpartition("/")[0]
-    return None
+    ``own`` tells of the slot after the token: false if it is the template's, true if the pages'
+    own, null where the host's pages do not tell.
+    """
+    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    candidates = scratch.write(template_classes(equivalence_classes(seen), hosts), "candidate-classes")
+    checked = with_template(seen.select("host", "ids"), candidates, "inner").mapInArrow(check_classes, "host string, class long, order long, bad boolean")
+    ordered = checked.groupBy("host", "class", "order").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("bad")).alias("fit"))
+    valid = ordered.groupBy("host", "class").agg(F.sum("n").alias("n"), F.max("fit").alias("fit")).filter(F.col("fit") >= VALID_SHARE * F.col("n")).select("host", "class")
+    template = scratch.write(candidates.join(valid, ["host", "class"], "left_semi").select("host", "token"), "template-tokens")
+    texts = with_template(seen, template, "left").mapInArrow(slot_texts, "host string, slot long, text long")
+    each = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"))
+    summed = each.groupBy("host", "slot").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("distinct_texts")).join(hosts, "host")
+    repeats = (F.col("texts") >= MIN_TEXTS) & (F.col("texts") >= MIN_REPEATS * F.col("distinct_texts"))
+    differs = (F.col("host_pages") >= OWN_PAGES) & (F.col("texts") >= OWN_PAGES) & (F.col("distinct_texts") >= OWN_SHARE * F.col("texts"))
+    judged = summed.select("host", "slot", F.when(repeats, F.lit(False)).when(differs, F.lit(True)).alias("own"))
+    tokens = template.withColumnRenamed("token", "slot").unionByName(hosts.select("host", F.lit(0).cast("long").alias("slot")))
+    return tokens.join(judged, ["host", "slot"], "left")
 
 
-def main_text(page: str, slots: dict[str, bool | None]) -> str:
+def main_text(page: str, slots: dict[int, bool | None]) -> str:
     """The page's own blocks by its host's slots.
 
     Where a slot is not known, HTML's hints decide: what they leave out goes, and if the page
@@ -220,6 +355,7 @@ def main_text(page: str, slots: dict[str, bool | None]) -> str:
     blocks: list[tuple[bool, bool | None, str]] = []
     parts: list[str] = []
     kind_of: tuple[bool, bool | None] | None = None
+    own = slots.get(0)
 
     def close() -> None:
         nonlocal kind_of
@@ -232,7 +368,6 @@ def main_text(page: str, slots: dict[str, bool | None]) -> str:
         if kind == "break":
             close()
         elif kind == "text" and not element.hidden:
-            own = slot_of(element.path, slots)
             if element.out and not own:
                 continue
             if text.isspace() or ("&" in text and not squeezed(text)):
@@ -242,6 +377,10 @@ def main_text(page: str, slots: dict[str, bool | None]) -> str:
             elif kind_of[1] is not True and own is not False:
                 kind_of = (kind_of[0], own)
             parts.append(text)
+        elif kind == "open":
+            own = slots.get(element.key, own)
+        elif kind == "close":
+            own = slots.get(element.close, own)
     close()
     in_main = any(main and own is not False for main, own, _ in blocks)
     chosen = [text for main, own, text in blocks if own or (own is None and (main or not in_main))]
@@ -255,27 +394,32 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Blocks are trimmed, with one space for white space inside and an empty line between
     them; character references are decoded. A null ``html`` is an empty page, with an empty
     text; pages with a null or odd ``url`` form one host. Repeated rows get equal texts; an
-    input column named like an output is replaced, others stay. An empty table gives an
-    empty result.
+    input column named like an output, in any case of letters, is replaced, others stay. An
+    empty table gives an empty result.
     """
     spark = pages.sparkSession
-    prepare_workers(spark)
-    source = F.coalesce("html", F.lit(""))
-    host = url_host(F.col("url"))
-    observed = pages.select(host.alias("host"), F.xxhash64(source).alias("page_key"), source.alias("html"))
-    seen = materialize(observed.mapInPandas(observe_frames, "host string, kind string, path string, page_key long, digest long, n int"), "page-tokens")
-    slots = materialize(deduce_templates(materialize(distinct_pages(seen), "distinct-pages")), "templates")
-    templates = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "own"))).alias("_slots"))
-    if slots.count() <= BROADCAST_ROWS:
-        templates = F.broadcast(templates)
-    rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    keyed = pages.select(*rest, source.alias("_html"), host.alias("_host"))
-    joined = keyed.join(templates.withColumnRenamed("host", "_host"), "_host", "left")
-    schema = T.StructType([*pages.select(rest).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [main_text(page, dict(slots or {})) for page, slots in zip(frame["_html"], frame["_slots"], strict=True)]
-            yield frame[rest].assign(text=texts, n_chars=[len(x) for x in texts])
-
-    return joined.select(*rest, "_html", "_slots").mapInPandas(extract, schema)
+    ship_package(spark)
+    scratch = Scratch(spark, "html-text")
+    held = Carried(pages, ["url", "html"], ["text", "n_chars"])
+    source, host = F.coalesce("html", F.lit("")), url_host(F.col("url"))
+    observed = held.df.select(host.alias("host"), F.xxhash64(source).alias("page_key"), source.alias("html"))
+    seen = scratch.write(observed.mapInArrow(observe, "host string, page_key long, said long, ids array<long>, kinds array<byte>"), "page-events")
+    single = scratch.write(distinct_pages(seen), "distinct-pages")
+    slots = scratch.write(deduce_templates(single, scratch), "slots")
+    scratch.drop("page-events", "distinct-pages", "candidate-classes", "template-tokens")
+    rest = held.without("html")
+    keyed = held.df.select(*[x for x, _ in rest], host.alias("host"), source.alias("html"))
+    joined = with_template(keyed, slots, "left").select(*[x for x, _ in rest], "html", "template")
+    added = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    schema = T.StructType([*joined.drop("html", "template").schema.fields, *added])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources = batch.column("html").to_pylist()
+            for part in text_slices(sources):
+                own = batch.slice(part.start, part.stop - part.start)
+                templates = own.column("template").to_pylist()
+                texts = [main_text(page, {x["slot"]: x["own"] for x in template or ()}) for page, template in zip(sources[part], templates, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
+
+    return named(joined.mapInArrow(extract, schema), rest, ["text", "n_chars"])

@@ -1,10 +1,11 @@
 import html
 import os
 import re
+import time
 
 import pytest
 
-from gradeloom.llm.html_text import equivalence_classes, extract_main_text, main_text, observe_frames, read_page
+from gradeloom.llm.html_text import equivalence_classes, extract_main_text, invalid_classes, main_text, page_events, read_page
 
 DIR = "/root/testdata/sf0.001"
 
@@ -49,10 +50,27 @@ def test_blocks(page, text):
     assert main_text(page, {}) == text
 
 
-def test_deep_pages_stay_small():
+def test_deep_pages():
     page = "<div>" * 5000 + "x" + "</div>" * 5000
-    assert max(len(e.path) for _, e, _ in read_page(page)) < 400
-    assert main_text(page, {}) == "x"
+    assert main_text(page, {}) == "x" and len({e.key for _, e, _ in read_page(page)}) == 5001
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<div>" * 50_000 + "</p>" * 50_000, '<a " > "' * 50_000, "<a '" * 100_000 + ">", "<p><td>" + "<b>" * 50_000 + "<hr>" * 50_000])
+def test_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page, {})
+    page_events(page)
+    assert time.process_time() - began < 20  # a quadratic reader takes many minutes
+
+
+def test_valid_classes_are_ordered_and_nested():
+    classes = {1: "f", 2: "f", 3: "f", 10: "n", 11: "n", 20: "m", 21: "m"}
+    members = {"f": 3, "n": 2, "m": 2}
+    assert invalid_classes([1, 10, 11, 10, 11, 2, 7, 20, 21, 3], classes, members) == set()
+    assert invalid_classes([1, 10, 11, 11, 10, 2, 3], classes, members) == {"n"}
+    assert invalid_classes([1, 10, 2, 11, 3], classes, members) == {"n"}
+    assert invalid_classes([1, 2, 10, 20, 11, 21, 3], classes, members) >= {"m"}
+    assert invalid_classes([1, 2, 10, 3], classes, members) == {"n"}
 
 
 def test_template_slots_without_telling_names(spark):
@@ -65,13 +83,36 @@ def test_template_slots_without_telling_names(spark):
 
 
 def test_equal_vectors_make_a_class(spark):
-    import pandas as pd
-
     pages = ["<body><ul><li><a>x</a></ul></body>", "<body><ul><li><a>x</a><li><a>y</a></ul><i>z</i></body>"]
-    seen = spark.createDataFrame(next(observe_frames(iter([pd.DataFrame({"host": "h", "page_key": [1, 2], "html": pages})]))))
-    by = {r["path"]: r for r in equivalence_classes(seen).collect()}
-    assert by["/body"]["vector"] == by["/body/ul"]["vector"] != by["/body/ul/li"]["vector"]
-    assert by["/body/ul/li"]["vector"] == by["/body/ul/li/a"]["vector"] and by["/body/ul/li"]["occurrences"] == 3
+    rows = [("h", i, said, ids, kinds) for i, (ids, kinds, said) in enumerate(map(page_events, pages))]
+    seen = spark.createDataFrame(rows, "host string, page_key long, said long, ids array<long>, kinds array<byte>")
+    by = {r["token"]: r for r in equivalence_classes(seen).collect()}
+    of = {}
+    for kind, element, _ in read_page(pages[1]):
+        if kind == "open":
+            of.setdefault(element.tag, by[element.key])
+    assert of["body"]["vector"] == of["ul"]["vector"] != of["li"]["vector"] != of["i"]["vector"]
+    assert of["li"]["vector"] == of["a"]["vector"] and of["li"]["occurrences"] == 3 and of["i"]["pages"] == 1
+
+
+def test_templates_decide_where_names_tell_nothing(spark, monkeypatch):
+    """All tags and classes are neutral: without the templates the menus and notices stay in."""
+    page = "<body><div><div>Home</div><div>About us</div></div><div><div><div>Title {0}</div><div>By writer {0}</div></div><div>Words {0}</div></div><div><div>Call now</div></div></body>"
+    page = page.replace("<div>", "<div class={c}>")
+    pages = []
+    for i in range(40):
+        text = page
+        for at in range(page.count("{c}")):
+            text = text.replace("{c}", f"k{'abcdefghijkl'[at]}", 1)
+        pages.append(text.format(i))
+    assert extracted(spark, pages) == [f"Title {i}\n\nBy writer {i}\n\nWords {i}" for i in range(40)]
+    assert main_text(pages[3], {}) == "Home\n\nAbout us\n\nTitle 3\n\nBy writer 3\n\nWords 3\n\nCall now"
+
+
+def test_slots_are_told_apart_by_place(spark):
+    """One and the same path holds a slogan before the title and own text after it."""
+    page = "<body><div><p>Best in town</p><h1>Title {0}</h1><p>Own {0}</p></div></body>"
+    assert extracted(spark, [page.format(i) for i in range(40)]) == [f"Title {i}\n\nOwn {i}" for i in range(40)]
 
 
 def test_edges(spark):
