@@ -5,9 +5,12 @@ hash picks, so that an edit changes only the digests around it. A sketch is a sm
 of cells; a digest adds itself to one cell in each of three parts. The cells of two texts
 are subtracted, and what differs is peeled off: a cell with one digest left gives it away,
 which frees others. If the peeling sticks, the pair is sketched again in four times the
-cells. The digests recovered say how many the two texts share.
+cells, until the table has room for all digests of both; a pair that sticks even then is
+compared digest by digest. The digests recovered say how many the two texts share.
 
-The smallest sketch, which has a fixed size, is the fingerprint.
+The smallest sketch, of fixed size, is the fingerprint. Two fingerprints alone give back a
+few digests of difference (``fingerprint_difference``); for likenesses of texts that differ
+more, the larger sketches are made from the texts again.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gradeloom.llm.common import BATCH_CHARS, prepare_workers
+from gradeloom.llm.common import BATCH_CHARS, Carried
+from gradeloom.session import Scratch, ship_package
 
 PARTS = 3
 #: Cells in each part of the smallest sketch; a retry has GROWTH times as many.
@@ -34,7 +37,9 @@ OWN_WORDS = 16
 #: A piece has so many words at most; a longer word than LONG_WORD is cut at one character in so many.
 LONGEST_PIECE, LONG_WORD, CHARS_PER_PART = 16, 48, 16
 #: Documents dealt to one task, about.
-BUCKET_DOCS, MAX_BUCKETS = 20_000, 1 << 16
+TASK_DOCS = 20_000
+#: Beyond so many times the digests of both texts a table is not made larger.
+MOST_ROOM = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _SALTS = np.cumsum(np.full(PARTS, _B, np.uint64), dtype=np.uint64)
@@ -172,6 +177,12 @@ class SketchSet:
         only_l, only_r = np.zeros(len(lefts), np.int64), np.zeros(len(lefts), np.int64)
         open_, cells = np.arange(len(lefts)), FIRST_CELLS
         while len(open_):
+            full = PARTS * cells > MOST_ROOM * (size_l[open_] + size_r[open_]) + 64
+            for at in open_[full].tolist():
+                left, right = self.keys[self.at[lefts[at]] : self.at[lefts[at] + 1]], self.keys[self.at[rights[at]] : self.at[rights[at] + 1]]
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                only_l[at], only_r[at] = len(left) - shared, len(right) - shared
+            open_ = open_[~full]
             # A difference in sizes that is larger than the table can't come off it.
             fits = np.abs(size_l[open_] - size_r[open_]) <= PARTS * cells
             now = open_[fits]
@@ -187,6 +198,17 @@ class SketchSet:
         return (size_l - only_l) / np.maximum(size_l + only_r, 1) + ((size_l + size_r) == 0)
 
 
+def fingerprint_difference(left: str, right: str) -> tuple[int, int] | None:
+    """How many digests only the left and only the right text has, from their fingerprints; None if they differ by too much."""
+    size = PARTS * FIRST_CELLS
+    tables = []
+    for text in (left, right):
+        data = base64.b64decode(text)
+        tables.append([np.frombuffer(data, kind, size, at).astype(wide) for kind, at, wide in (("<i4", 0, np.int64), ("<u8", 4 * size, np.uint64), ("<u8", 12 * size, np.uint64))])
+    only_left, only_right, clean = peel(tuple(a - b for a, b in zip(*tables, strict=True)), 1, FIRST_CELLS)
+    return (int(only_left[0]), int(only_right[0])) if clean[0] else None
+
+
 def edited_text(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many of the next text."""
     quarter = len(text) // 4
@@ -217,76 +239,82 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> pd.Da
 
 
 def sketch_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come in order within a bucket; its last one is the next bucket's first, for its text alone."""
+    """Rows come in order; each but the last is compared with the one after it.
+
+    The first row's text, and the whole last row, are given back as well (``place`` first and
+    last): the last one's next is the first of the partition that follows.
+    """
+    from pyspark import TaskContext
+
     held: tuple | None = None
+    part = TaskContext.get().partitionId()
+
+    def edge(place: str, row: tuple) -> pd.DataFrame:
+        missing = dict.fromkeys(SKETCHED, [None])
+        return pd.DataFrame(missing | {"doc_id": [row[0]], "n_chars": [len(row[1])], "part": [part], "place": [place], "text": [row[1]]})
+
+    def inner(rows: list[tuple], following: list[str]) -> pd.DataFrame:
+        return fingerprint_rows([x for x, _ in rows], [x for _, x in rows], following).assign(part=part, place="inner", text=None)
+
     for frame in frames:
-        ids, texts, following, chars = [], [], [], 0
-        for row in zip(frame["bucket"], frame["doc_id"], frame["text"], frame["is_next"], strict=True):
-            if held is not None and held[0] == row[0] and not held[3]:
-                ids.append(held[1])
-                texts.append(held[2])
-                following.append(row[2])
-                chars += len(held[2])
+        rows, following, chars = [], [], 0
+        for row in zip(frame["doc_id"], frame["text"], strict=True):
+            if held is None:
+                yield edge("first", row)
+            else:
+                rows.append(held)
+                following.append(row[1])
+                chars += len(held[1])
                 if chars > BATCH_CHARS:
-                    yield fingerprint_rows(ids, texts, following)
-                    ids, texts, following, chars = [], [], [], 0
+                    yield inner(rows, following)
+                    rows, following, chars = [], [], 0
             held = row
-        if ids:
-            yield fingerprint_rows(ids, texts, following)
+        if rows:
+            yield inner(rows, following)
+    if held is not None:
+        yield edge("last", held)
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``key``; looks at about 2 sqrt(n) of them."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    slices = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+def join_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield fingerprint_rows(frame["doc_id"].tolist(), frame["text"].tolist(), frame["following"].tolist())
 
-    def literals(values: list[int]) -> Column:
-        return F.array(*[F.lit(x).cast("long") for x in values])
 
-    part = F.greatest(F.size(F.filter(literals([x[0] for x in slices]), lambda b: b <= key)) - 1, F.lit(0))
-    inside = F.array(*[literals(x) for x in slices])[part]
-    return part * step + F.size(F.filter(inside, lambda b: b <= key))
+SKETCH_SCHEMA = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SKETCHED = [field.split()[0] for field in SKETCH_SCHEMA.split(", ")]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row for each document: its sketch, that of its edited text, and how alike they are.
 
     Returns ``doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited
-    near_next``. The next document is the next by ``doc_id`` (by text among equal ids, null
-    ids before all others), the first after the last one, and itself in a table of one. A
-    null text is an empty one; two empty texts have likeness 1. Other columns are ignored. An
-    empty table gives an empty result.
-
-    Documents are dealt by ranges of ``doc_id``. The bounds of the ranges and the first id of
-    each come from passes over the ids alone; the first document of each range is sent to
-    the range before as well, so that the text is shuffled once.
+    near_next``. The next document is the next by ``doc_id`` (by a hash of the text, then by
+    place in the table among equal ids; null ids before all others), the first after the last
+    one, and itself in a table of one. A null text is an empty one; two empty texts have
+    likeness 1. Other columns are ignored. An empty table gives an empty result.
+
+    Documents are dealt by ranges of this order, so the text is shuffled once, and rows that
+    share an id may lie in several ranges. A range's last document needs the next range's
+    first: those two texts of each range are kept, and joined by the ranges' numbers.
     """
     spark = docs.sparkSession
-    prepare_workers(spark)
-    lowest = -(1 << 63)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
-    schema = T.StructType.fromDDL("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    n_docs = docs.count()
-    if not n_docs:
-        return spark.createDataFrame([], schema)
-    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // BUCKET_DOCS))
-    steps = [i / buckets for i in range(1, buckets)]
-    found = keyed.agg(F.percentile_approx("key", F.array(*[F.lit(x) for x in steps]), F.lit(20 * buckets)).alias("b")).first()["b"] if steps else []
-    bounds = sorted(set(found))
-    bucket = bucket_of(F.col("key"), bounds)
-    firsts = {r["bucket"]: r["first"] for r in keyed.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.min("key").alias("first")).collect()}  # one row a bucket
-    held = sorted(firsts)
-    before = dict(zip(held, [held[-1], *held], strict=False))
-    first_of = F.array(*[F.lit(firsts.get(i)).cast("long") for i in range(len(bounds) + 1)])
-    before_of = F.array(*[F.lit(before.get(i)).cast("int") for i in range(len(bounds) + 1)])
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("is_next"))
-    ahead = F.struct(before_of[F.col("bucket")].alias("bucket"), F.lit(True).alias("is_next"))
-    places = F.when(F.col("key") == first_of[F.col("bucket")], F.array(own, ahead)).otherwise(F.array(own))
-    dealt = keyed.withColumn("bucket", bucket.cast("int")).select("doc_id", "key", "text", F.explode(places).alias("place"))
-    rows = dealt.select("place.bucket", "place.is_next", "key", "doc_id", "text").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "is_next", "key", "text")
+    ship_package(spark)
+    scratch = Scratch(spark, "fingerprints")
+    held = Carried(docs, ["doc_id", "text"], []).df
+    texts = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("row_no")]
+    keyed = texts.withColumns({"text_hash": F.xxhash64("text"), "row_no": F.monotonically_increasing_id()})
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_DOCS))
+    dealt = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     # The id travels as text: pandas would round large numbers next to nulls.
-    sent = rows.select("bucket", F.col("doc_id").cast("string").alias("doc_id"), "text", "is_next")
-    found = sent.mapInPandas(sketch_frames, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    sent = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    made = scratch.write(sent.mapInPandas(sketch_frames, f"{SKETCH_SCHEMA}, part int, place string, text string"), "ranges")
+    # One row for each range: which one follows, and the first after the last.
+    parts = made.filter("place = 'first'").select("part")
+    ahead = Window.orderBy("part")
+    order_of = parts.select("part", F.coalesce(F.lead("part").over(ahead), F.first("part").over(ahead)).alias("next_part"))
+    firsts = made.filter("place = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
+    lasts = made.filter("place = 'last'").select("part", "doc_id", "text").join(order_of, "part").join(firsts, "next_part")
+    edges = lasts.select("doc_id", "text", "following").mapInPandas(join_frames, SKETCH_SCHEMA)
+    found = made.filter("place = 'inner'").select(*SKETCHED).unionByName(edges)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -66,9 +66,29 @@ def test_single_and_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in twice) == [5, 5, 6]
 
 
-def test_buckets_follow_bounds(spark):
-    bounds = [3, 5, 9, 12, 40, 41, 77]
-    df = spark.createDataFrame([(x,) for x in range(-2, 90)], "k long")
-    for n in range(len(bounds) + 1):
-        got = [r[0] for r in df.select(fingerprints.bucket_of(df.k, bounds[:n])).collect()]
-        assert got == [sum(b <= x for b in bounds[:n]) for x in range(-2, 90)]
+def test_stuck_pairs_are_compared_digest_by_digest(monkeypatch):
+    """No table peels: the loop still ends, with the same likenesses."""
+    texts = random_texts(20)
+    left, right = np.arange(10), np.arange(10, 20)
+    expected = SketchSet(texts).likeness(left, right).tolist()
+    monkeypatch.setattr(fingerprints, "peel", lambda table, n, cells: (np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)))
+    assert SketchSet(texts).likeness(left, right).tolist() == expected
+
+
+def test_fingerprints_give_small_differences_back():
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40))
+    other = text + "\nnew line"
+    sketches = SketchSet([text, other, text, "all of it is something else\n" * 9]).fingerprints()
+    a, b = digest_set(text), digest_set(other)
+    assert fingerprints.fingerprint_difference(sketches[0], sketches[2]) == (0, 0)
+    assert fingerprints.fingerprint_difference(sketches[0], sketches[1]) == (len(a - b), len(b - a))
+    assert fingerprints.fingerprint_difference(sketches[0], sketches[3]) is None
+
+
+def test_one_id_on_most_rows(spark):
+    """Rows with one id are dealt to several tasks and still follow each other in one ring."""
+    texts = [f"text number {i} of many" for i in range(200)]
+    rows = [(7, t) for t in texts] + [(1, "low"), (9, "high")]
+    got = fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    assert len({r["fingerprint"] for r in got}) == 202
