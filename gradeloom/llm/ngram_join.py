@@ -1,11 +1,13 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of word n-grams, hashed. All n-grams have one order, rare ones first
-by a count-min sketch over the corpus. Two sets that are as alike as asked for share at
-least l n-grams among the first ``n - ceil(t * n) + l`` of each, for any l. Every document
-picks its own l: a longer prefix meets more documents, but has to share more n-grams with
-each of them before their sets are compared. It takes the l whose estimated cost, from the
-sketch's counts, is least. Which of a pair's two documents decides is fixed by their sizes.
+A document is its set of word n-grams, hashed. All n-grams have one order, rare ones first:
+an n-gram occurs no more often than a count-min sketch of all n-grams says, nor than its
+rarest word does by a sketch of all words, and the smaller of the two stands for it. Two sets
+that are as alike as asked for share at least l n-grams among the first
+``n - ceil(t * n) + l`` of each, for any l. Every document picks its own l: a longer prefix
+meets more documents, but has to share more n-grams with each of them before their sets are
+compared. It takes the l whose estimated cost, from the sketches' counts, is least. Which of a
+pair's two documents decides is fixed by their sizes.
 
 Equal sets form a class and are compared as one. To find the groups that links form without
 making all pairs inside large ones, documents are first compared with one pivot of those
@@ -16,21 +18,22 @@ made, all of them, so that no link between groups is lost.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import prepare_workers, text_slices
+from gradeloom.llm.common import Carried, text_slices
 from gradeloom.llm.fingerprints import mix, run_hashes
-from gradeloom.session import materialize
+from gradeloom.session import Scratch, ship_package
 
-#: Counters of the count-min sketch: its size is fixed, its counts are of all rows.
-SKETCH_BITS = 20
+#: Counters of the n-grams' sketch, by how many there are, and of the words'; counts are of all rows.
+LEAST_BITS, MOST_BITS, WORD_BITS = 16, 22, 20
 CHUNK = 1 << 16
 #: The longest prefixes share so many n-grams.
 MAX_MATCHES = 4
@@ -38,9 +41,11 @@ MAX_MATCHES = 4
 PIVOT_ROUNDS = 1
 #: An n-gram's rows of one label are many from here on.
 LARGE_LABEL = 64
-#: Bits of the filter that tells which texts to read again for comparison.
-FILTER_BITS = 23
+#: Bits of the filter that tells which texts to read again for comparison, by how many there are.
+LEAST_FILTER, MOST_FILTER = 18, 27
 _HASH_BITS = 54
+#: Ranks are logarithms to base 2, times this.
+RANK_SCALE = 2000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -59,6 +64,11 @@ class Likeness:
         if not (1 <= self.words < len(_ODD) and 1 <= self.percent <= 100):
             raise ValueError(f"1 to {len(_ODD) - 1} words, 1 to 100 percent: {self}")
 
+    @property
+    def band_width(self) -> float:
+        """Linked sets' sizes differ by so much at most, as logarithms."""
+        return max(-math.log(self.percent / 100) + 1e-9, 0.01)
+
     def needed(self, n: Column) -> Column:
         """ceil(percent * n / 100)"""
         return F.floor((n * self.percent + 99) / 100).cast("int")
@@ -90,18 +100,21 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.searchsorted(starts, np.append(1, ends + 1)))
 
 
-def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams in order, and which text each belongs to."""
+def shingles(texts: list[str], words: int, word_rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all n-grams, which text each belongs to, and the least ``word_rank`` of its words (0 without)."""
     hashes, counts = word_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
+    rank = word_rank[word_slot(hashes)] if word_rank is not None else np.zeros(len(hashes), np.uint16)
     n = len(hashes)
-    grams, of = np.empty(0, np.uint64), np.empty(0, np.int64)
+    grams, of, least = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
     if n >= words:
         total = np.zeros(n - words + 1, np.uint64)
+        rarest = rank[: n - words + 1].copy()
         for j in range(words):
             total += hashes[j : n - words + 1 + j] * _ODD[j]
+            np.minimum(rarest, rank[j : n - words + 1 + j], out=rarest)
         whole = owner[: n - words + 1] == owner[words - 1 :]
-        grams, of = mix(total)[whole], owner[: n - words + 1][whole]
+        grams, of, least = mix(total)[whole], owner[: n - words + 1][whole], rarest[whole]
     short = np.flatnonzero((counts > 0) & (counts < words))
     if len(short):
         first = np.append(0, np.cumsum(counts))
@@ -110,23 +123,37 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
             own = hashes[first[i] : first[i + 1]]
             extra.append((own * _ODD[: len(own)]).sum(dtype=np.uint64) ^ np.uint64(len(own) * int(_ODD[7]) % (1 << 64)))
         grams, of = np.append(grams, mix(np.array(extra, np.uint64))), np.append(of, short)
-    return grams >> np.uint64(64 - _HASH_BITS), of
+        least = np.append(least, np.array([rank[first[i] : first[i + 1]].min() for i in short.tolist()], np.uint16))
+    return grams >> np.uint64(64 - _HASH_BITS), of, least
 
 
 def distinct_shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's set, sorted by hash, one after the other, and the sets' sizes; up to 1024 texts."""
-    grams, of = shingles(texts, words)
+    grams, of, _ = shingles(texts, words)
     keys = np.sort((of.astype(np.uint64) << np.uint64(_HASH_BITS)) | grams)
     if len(keys):
         keys = keys[np.append(True, keys[1:] != keys[:-1])]
     return keys & np.uint64((1 << _HASH_BITS) - 1), np.bincount((keys >> np.uint64(_HASH_BITS)).astype(np.int64), minlength=len(texts))
 
 
-def class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Equal sets have equal ids."""
+def ranked_shingles(texts: list[str], words: int, ranks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``distinct_shingles``, and each n-gram's place in the order of all: the smaller of the two sketches' ranks."""
+    grams, of, least = shingles(texts, words, ranks[1 << bits :])
+    keys = (of.astype(np.uint64) << np.uint64(_HASH_BITS)) | grams
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    grams = keys[new] & np.uint64((1 << _HASH_BITS) - 1)
+    rank = np.minimum(ranks[gram_slot(grams, bits)], least[order][new])
+    return grams, np.bincount((keys[new] >> np.uint64(_HASH_BITS)).astype(np.int64), minlength=len(texts)), rank
+
+
+def class_ids(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each set."""
     starts = np.append(0, np.cumsum(sizes))[:-1]
-    sums = [np.where(sizes > 0, np.add.reduceat(np.append(mix(grams ^ salt), np.uint64(0)), starts), np.uint64(0)) for salt in _ODD[5:7]]
-    return (mix(sums[0] + sizes.astype(np.uint64) * _ODD[3]) ^ sums[1]).astype(np.int64)
+    sums = [np.where(sizes > 0, np.add.reduceat(np.append(mix(grams ^ salt), np.uint64(0)), starts), np.uint64(0)) for salt in _ODD[4:7]]
+    first = mix(sums[0] + sizes.astype(np.uint64) * _ODD[3]) ^ sums[1]
+    return first.astype(np.int64), mix(sums[2] ^ (sums[0] << np.uint64(1))).astype(np.int64)
 
 
 def batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -134,8 +161,12 @@ def batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame.iloc[part]
 
 
-def sketch_slot(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def gram_slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def word_slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -146,27 +177,42 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
 
 
-def count_sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """How often each slot's n-grams occur in the corpus; every text is counted.
+def sketch_bits(texts: DataFrame) -> int:
+    """Enough counters for about every second n-gram of the corpus to have its own, up to ``MOST_BITS``."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(chars / 12).bit_length()))
 
-    Each task counts into a sketch of fixed size, and sketches are added sixteen at a time.
+
+def rank_table(texts: DataFrame, words: int, bits: int) -> np.ndarray:
+    """How often each slot's n-grams, and then each slot's words, occur: on a fine logarithmic scale of 16 bits.
+
+    Every text is counted. Each task counts into sketches of fixed size, and sixteen of them
+    are added at a time; the driver gets the ranks only.
     """
+    size = (1 << bits) + (1 << WORD_BITS)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(size, np.uint32)
         for frame in frames:
             for part in batches(frame):
-                grams, _ = shingles(part["text"].tolist(), words)
-                counts += np.bincount(sketch_slot(grams), minlength=len(counts))
-        packed = [pack_counts(counts[at : at + CHUNK]) for at in range(0, len(counts), CHUNK)]
-        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "chunk": range(len(packed)), "counts": packed})
+                own = part["text"].tolist()
+                np.add.at(counts, gram_slot(shingles(own, words)[0], bits), 1)
+                np.add.at(counts, word_slot(word_hashes(own)[0]) + (1 << bits), 1)
+        for at in range(0, size, CHUNK):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "chunk": [at // CHUNK], "counts": [pack_counts(counts[at : at + CHUNK])]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpack_counts(x) for x in group["counts"])
         return pd.DataFrame({"part": [group["part"].iloc[0] // 16], "chunk": [group["chunk"].iloc[0]], "counts": [pack_counts(total)]})
 
+    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for chunk, data in zip(frame["chunk"], frame["counts"], strict=True):
+                ranks = np.floor(np.log2(1.0 + unpack_counts(data)) * RANK_SCALE).astype("<u2")
+                yield pd.DataFrame({"chunk": [chunk], "ranks": [zlib.compress(ranks.tobytes(), 1)]})
+
     schema = "part int, chunk int, counts binary"
     counted = texts.mapInPandas(count, schema)
     tasks = texts.rdd.getNumPartitions()
@@ -175,17 +221,12 @@ def count_sketch(texts: DataFrame, words: int) -> np.ndarray:
         tasks = -(-tasks // 16)
         if tasks <= 1:
             break
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in counted.collect():  # the one sketch, in chunks
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] += unpack_counts(bytes(row["counts"]))
+    out = np.zeros(size, np.uint16)
+    for row in counted.mapInPandas(rank, "chunk int, ranks binary").collect():  # the one table, in chunks
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(row["ranks"])), "<u2")
     return out
 
 
-def rank_table(counts: np.ndarray) -> np.ndarray:
-    """Counts on a fine logarithmic scale of 16 bits: the n-grams' order."""
-    return np.floor(np.log2(1.0 + counts) * 2000).astype(np.uint16)
-
-
 def best_matches(rank: np.ndarray, size: int, usual: float, like: Likeness) -> int:
     """The number of shared n-grams to ask for, by estimated cost: rows met, and sets to compare.
 
@@ -195,19 +236,18 @@ def best_matches(rank: np.ndarray, size: int, usual: float, like: Likeness) -> i
     most = min(MAX_MATCHES, size - base + 1, len(rank) - base + 1)
     if most <= 1:
         return 1
-    met = np.cumsum(np.maximum(np.exp2(rank[: base + most - 1] / 2000.0) - usual, 0.0) + 1e-3)
+    met = np.cumsum(np.maximum(np.exp2(rank[: base + most - 1] / RANK_SCALE) - usual, 0.0) + 1e-3)
     return 1 + int(np.argmin([met[base + m - 2] * (1 + size / (256 * m)) for m in range(1, most + 1)]))
 
 
-def prefix_frames(frames: Iterator[pd.DataFrame], ranks: np.ndarray, usual: float, like: Likeness) -> Iterator[pd.DataFrame]:
+def prefix_frames(frames: Iterator[pd.DataFrame], ranks: np.ndarray, bits: int, usual: float, like: Likeness) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part in batches(frame):
-            grams, sizes = distinct_shingles(part["text"].tolist(), like.words)
+            grams, sizes, rank = ranked_shingles(part["text"].tolist(), like.words, ranks, bits)
             n_docs = len(part)
             owner = np.repeat(np.arange(n_docs), sizes)
             starts = np.append(0, np.cumsum(sizes))
-            of_class = class_ids(grams, sizes)
-            rank = ranks[sketch_slot(grams)]
+            of_class, check = class_ids(grams, sizes)
             order = np.lexsort((grams, rank, owner))
             grams, rank = grams[order], rank[order]
             tokens, need = [], np.zeros(n_docs, np.int32)
@@ -218,18 +258,19 @@ def prefix_frames(frames: Iterator[pd.DataFrame], ranks: np.ndarray, usual: floa
                 tokens.append(grams[at : at + longest].astype(np.int64) if size else np.empty(0, np.int64))
                 if size:
                     need[i] = best_matches(rank[at : at + longest], size, usual, like)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "size": sizes, "class_id": of_class, "need": need, "tokens": tokens})
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "size": sizes, "class_id": of_class, "check": check, "need": need, "tokens": tokens})
 
 
 def set_frames(frames: Iterator[pd.DataFrame], held: np.ndarray, words: int) -> Iterator[pd.DataFrame]:
     """Sets of the texts whose key the filter holds."""
     for frame in frames:
-        bit = frame["key"].to_numpy().astype(np.int64) & ((1 << FILTER_BITS) - 1)
+        bit = frame["key"].to_numpy().astype(np.int64) & (8 * len(held) - 1)
         chosen = frame[(held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
         for part in batches(chosen):
             grams, sizes = distinct_shingles(part["text"].tolist(), words)
             ends = np.cumsum(sizes)
-            yield pd.DataFrame({"class_id": class_ids(grams, sizes), "grams": [grams[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]})
+            class_key, check = class_ids(grams, sizes)
+            yield pd.DataFrame({"class_key": class_key, "check": check, "grams": [grams[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]})
 
 
 def verify_frames(frames: Iterator[pd.DataFrame], like: Likeness) -> Iterator[pd.DataFrame]:
@@ -242,48 +283,57 @@ def verify_frames(frames: Iterator[pd.DataFrame], like: Likeness) -> Iterator[pd
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """A filter of fixed size for ``key``; more keys only let more rows pass."""
-    bit = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    """A filter for ``key`` with eight bits or more for each, up to a fixed size; more keys only let more rows pass."""
+    bits = min(MOST_FILTER, max(LEAST_FILTER, (8 * keys.count()).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    held = np.zeros(1 << (bits - 3), np.uint8)
     for row in keys.groupBy((bit / 32768).cast("int").alias("chunk")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect():
         held[row["chunk"] * 4096 : (row["chunk"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return held
 
 
-def link_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """Those of the candidate pairs (``left right``, class ids) whose sets are alike enough."""
+def link_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, like: Likeness, scratch: Scratch, turn: int) -> DataFrame:
+    """Those of the candidate pairs (``left right``, class ids) whose sets are alike enough.
+
+    The texts of the classes' first documents are read again; a filter keeps most others out.
+    """
     spark = pairs.sparkSession
-    involved = pairs.select(F.col("left").alias("class_id")).unionByName(pairs.select(F.col("right").alias("class_id"))).distinct().join(nodes.select("class_id", F.col("first_doc").alias("doc_id")), "class_id")
-    involved = materialize(involved.withColumn("key", F.xxhash64("doc_id")), "compared")
-    held = spark.sparkContext.broadcast(bit_filter(involved))
+    ids = pairs.select(F.col("left").alias("class_id")).unionByName(pairs.select(F.col("right").alias("class_id"))).distinct()
+    involved = scratch.write(ids.join(nodes.select("class_id", "class_key", "check", F.xxhash64("first_doc").alias("key")), "class_id"), f"compared-{turn}")
+    held = spark.sparkContext.broadcast(bit_filter(involved))  # 2 ** MOST_FILTER bits at most
     words = like.words
-    read = texts.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id")).select("key", "text").mapInPandas(lambda frames: set_frames(frames, held.value, words), "class_id long, grams binary")
-    sets = materialize(read.join(involved.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"]), "sets")
+    read = texts.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id")).select("key", "text").mapInPandas(lambda frames: set_frames(frames, held.value, words), "class_key long, check long, grams binary")
+    sets = scratch.write(read.join(involved.select("class_id", "class_key", "check"), ["class_key", "check"]).select("class_id", "grams").dropDuplicates(["class_id"]), f"sets-{turn}")
     joined = pairs.join(sets.select(F.col("class_id").alias("left"), F.col("grams").alias("left_grams")), "left").join(sets.select(F.col("class_id").alias("right"), F.col("grams").alias("right_grams")), "right")
-    return materialize(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), "links")
+    links = scratch.write(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), f"links-{turn}")
+    held.destroy()
+    scratch.drop(f"compared-{turn}", f"sets-{turn}")
+    return links
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``class_id label``: the smallest class id of each one's component, for classes with links.
 
     Large stars and small stars in turn until nothing changes: every class points to the
     smallest neighbour, first those above it, then those below. Edges live in tables; the
     driver sees only their number and check sum.
     """
-    edges = materialize(links.select(F.greatest("left", "right").alias("up"), F.least("left", "right").alias("down")).filter("up != down").distinct(), "edges")
-    state = None
+    name = f"edges-{uuid.uuid4().hex}"
+    edges = scratch.write(links.select(F.greatest("left", "right").alias("up"), F.least("left", "right").alias("down")).filter("up != down").distinct(), name)
+    state, turn = None, 0
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("up", "down"))).first()
         if now == state or not now[0]:
             break
-        state = now
+        state, turn = now, turn + 1
         both = edges.unionByName(edges.select(F.col("down").alias("up"), F.col("up").alias("down")))
         least = both.groupBy("up").agg(F.min("down").alias("least")).withColumn("least", F.least("up", "least"))
         large = both.filter("down > up").join(least, "up").select(F.col("down").alias("up"), F.col("least").alias("down")).filter("up != down").distinct()
-        large = materialize(large, "large-stars")
+        large = scratch.write(large, f"{name}-large-{turn}")
         lowest = large.groupBy("up").agg(F.min("down").alias("least"))
         small = large.join(lowest, "up").select(F.greatest("down", "least").alias("up"), F.least("down", "least").alias("down"))
-        edges = materialize(small.unionByName(lowest.select("up", F.col("least").alias("down"))).filter("up != down").distinct(), "small-stars")
+        edges = scratch.write(small.unionByName(lowest.select("up", F.col("least").alias("down"))).filter("up != down").distinct(), f"{name}-small-{turn}")
+        scratch.drop(f"{name}-large-{turn}", f"{name}-small-{turn - 1}" if turn > 1 else name)
     return edges.groupBy(F.col("up").alias("class_id")).agg(F.min("down").alias("label"))
 
 
@@ -304,7 +354,7 @@ def pivot_pairs(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
     First that is the one that holds the n-gram earliest in its order, and so has the fewest
     rare n-grams of its own: the middle of a group of near copies. Then it is the first by hash.
     """
-    width = -math.log(like.percent / 100) + 1e-9
+    width = like.band_width
     banded = rows.withColumn("band", F.floor(F.log("size") / width + turn / 2).cast("int"))
     order = F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "class_id"))
     pivots = banded.groupBy("token", "band").agg(F.min_by(F.struct("class_id", "size", "label"), order).alias("pivot"))
@@ -317,37 +367,61 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str], like: Likeness, once: bool
     """Rows of ``a`` and ``b`` that share an n-gram early enough, as ``left right need``.
 
     Left is the larger set. If a pair shares ``overlap`` n-grams, the first ``need`` of them
-    stand no later than ``size - overlap + need - 1`` in either.
+    stand no later than ``size - overlap + need - 1`` in either. Rows meet by bands of sizes,
+    since sets of one pair are no more than one band apart.
     """
     columns = [c for c in a.columns if c not in keys]
-    joined = a.join(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns]), keys)
+    width = like.band_width
+    band = F.floor(F.log("size") / width).cast("int")
+    reached = [band, band - 1] if once else [band - 1, band, band + 1]  # of two rows, the one behind looks for the one ahead
+    joined = a.withColumn("band", band).join(b.select(*keys, F.explode(F.array(*reached)).alias("band"), *[F.col(c).alias(f"b_{c}") for c in columns]), [*keys, "band"])
     ahead = F.struct("size", "class_id") > F.struct(F.col("b_size"), F.col("b_class_id"))
     need = F.when(ahead, F.col("need")).otherwise(F.col("b_need"))
     shared = like.overlap(F.col("size"), F.col("b_size"))
     fits = (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * like.percent) & (F.col("pos") < F.col("size") - shared + need) & (F.col("b_pos") < F.col("b_size") - shared + need)
     apart = F.col("label") != F.col("b_label") if "label" in columns else F.lit(True)
-    found = joined.filter(fits & apart & (ahead | F.lit(not once)))
+    found = joined.filter(fits & apart & (~ahead if once else F.lit(True)))
     left, right = F.when(ahead, F.col("class_id")).otherwise(F.col("b_class_id")), F.when(ahead, F.col("b_class_id")).otherwise(F.col("class_id"))
     return found.select(left.alias("left"), right.alias("right"), need.alias("need"))
 
 
-def remaining_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
+def remaining_pairs(rows: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
     """All pairs across labels that share as many early n-grams as the larger set asks for.
 
     Where many rows of one label hold an n-gram, labels meet first and then their rows, so
     that the rows of one label do not meet each other.
     """
     rows = rows.select("token", "label", "class_id", "size", "need", "pos")
-    large = materialize(rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_LABEL).select("token", "label"), "large-labels")
-    light, heavy = rows.join(large, ["token", "label"], "left_anti"), rows.join(large, ["token", "label"], "left_semi")
-    meets = large.join(large.withColumnRenamed("label", "other"), "token").filter("label < other")
-    first = heavy.join(meets, ["token", "label"]).drop("label")
-    second = heavy.join(meets.select("token", F.col("label").alias("_label"), F.col("other").alias("label")), ["token", "label"]).select("token", F.col("label").alias("other"), "class_id", "size", "need", "pos", F.col("_label"))
-    met = _met(light, light, ["token"], like, once=True).unionByName(_met(heavy, light, ["token"], like, once=False))
-    met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False))
+    large = scratch.write(rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_LABEL).select("token", "label"), "large-labels")
+    light = rows.join(large, ["token", "label"], "left_anti")
+    met = _met(light, light, ["token"], like, once=True)
+    if not large.isEmpty():
+        heavy = rows.join(large, ["token", "label"], "left_semi")
+        meets = large.join(large.withColumnRenamed("label", "other"), "token").filter("label < other")
+        first = heavy.join(meets, ["token", "label"]).drop("label")
+        second = heavy.join(meets.select("token", F.col("label").alias("_label"), F.col("other").alias("label")), ["token", "label"]).select("token", F.col("label").alias("other"), "class_id", "size", "need", "pos", F.col("_label"))
+        met = met.unionByName(_met(heavy, light, ["token"], like, once=False))
+        met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False))
     return met.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("left", "right")
 
 
+def with_class_ids(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``class_id``: equal for equal sets, by 128 bits of digest, and for no others.
+
+    It is the first 64 bits unless two sets that differ in the other 64 share them; those get
+    new numbers until no two share one.
+    """
+    numbered, turn = prefixes.withColumn("class_id", F.col("class_key")), 0
+    while True:
+        sets = numbered.groupBy("class_id").agg(F.min(F.struct("class_key", "check")).alias("a"), F.max(F.struct("class_key", "check")).alias("b"))
+        shared = scratch.write(sets.filter("a != b").select(F.col("class_id").alias("shared_id")), f"shared-ids-{turn}")
+        if shared.isEmpty():
+            return numbered
+        turn += 1
+        joined = numbered.join(shared, F.col("class_id") == F.col("shared_id"), "left")
+        numbered = joined.withColumn("class_id", F.when(F.col("shared_id").isNull(), F.col("class_id")).otherwise(F.xxhash64(F.lit(turn), "class_key", "check"))).drop("shared_id")
+
+
 def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     """One row for each document: ``doc_id n_shingles component_id``.
 
@@ -360,41 +434,51 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    prepare_workers(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = count_sketch(texts.select("text"), like.words)
-    ranks = spark.sparkContext.broadcast(rank_table(counts))  # 2 ** SKETCH_BITS numbers
-    usual = float(np.median(counts)) + 1
+    ship_package(spark)
+    scratch = Scratch(spark, "ngram-join")
+    held = Carried(docs, ["doc_id", "text"], []).df
+    texts = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bits = sketch_bits(texts)
+    table = rank_table(texts.select("text"), like.words, bits)
+    usual = float(np.exp2(np.median(table[: 1 << bits]) / RANK_SCALE))
+    ranks = spark.sparkContext.broadcast(table)  # 2 ** MOST_BITS + 2 ** WORD_BITS numbers of 16 bits at most
+    del table
     # The id travels as text: pandas would round large numbers next to nulls.
     sent = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = sent.mapInPandas(lambda frames: prefix_frames(frames, ranks.value, usual, like), "doc_id string, size long, class_id long, need int, tokens array<long>")
-    prefixes = materialize(found.withColumn("doc_id", F.col("doc_id").cast("long")), "prefixes")
+    found = sent.mapInPandas(lambda frames: prefix_frames(frames, ranks.value, bits, usual, like), "doc_id string, size long, class_id long, check long, need int, tokens array<long>")
+    found = found.withColumnRenamed("class_id", "class_key").withColumn("doc_id", F.col("doc_id").cast("long"))
+    prefixes = with_class_ids(scratch.write(found.withColumn("row_no", F.monotonically_increasing_id()), "prefixes"), scratch)
+    ranks.destroy()
     usable = prefixes.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    nodes = materialize(usable.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")), "classes")
-    copies = usable.select("class_id", "doc_id").join(nodes.filter("copies > 1").select("class_id", "first_doc"), "class_id").filter("doc_id != first_doc").select("class_id", "doc_id").distinct()
+    # One row stands for a class; copies never meet by their class, however many there are.
+    numbered = F.struct("doc_id", "row_no", "class_key", "check")
+    nodes = usable.groupBy("class_id").agg(F.min(numbered).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = scratch.write(nodes.select("class_id", "copies", F.col("first.doc_id").alias("first_doc"), "first.row_no", "first.class_key", "first.check"), "classes")
     base = F.col("size") - like.needed(F.col("size")) + 1
-    single = usable.join(copies, ["class_id", "doc_id"], "left_anti")
+    single = prefixes.join(nodes.select("row_no"), "row_no", "left_semi")
     rows = single.select("class_id", F.col("size").cast("int").alias("size"), "need", base.cast("int").alias("base"), F.posexplode("tokens").alias("pos", "token"))
     rows = rows.filter(F.col("pos") < F.col("base") + MAX_MATCHES - 1).select("token", "class_id", "size", "need", "pos")
-    common = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-tokens")
-    shared = materialize(rows.join(common, "token", "left_semi"), "shared-rows")
+    common = scratch.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-tokens")
+    shared = scratch.write(rows.join(common, "token", "left_semi"), "shared-rows")
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         grouped = labelled(shared, labels)
-        open_ = materialize(grouped.join(mixed_tokens(grouped), "token", "left_semi"), "open-rows")
-        made = pivot_pairs(open_, like, turn) if turn < PIVOT_ROUNDS else remaining_pairs(open_, like)
-        new = link_pairs(materialize(made, "candidates"), texts, nodes, like)
+        open_ = scratch.write(grouped.join(mixed_tokens(grouped), "token", "left_semi"), f"open-rows-{turn}")
+        made = pivot_pairs(open_, like, turn) if turn < PIVOT_ROUNDS else remaining_pairs(open_, like, scratch)
+        new = link_pairs(scratch.write(made, f"candidates-{turn}"), texts, nodes, like, scratch, turn)
         links = new if links is None else links.unionByName(new)
-        labels = materialize(connected(links), "labels")
+        labels = scratch.write(connected(links, scratch), f"labels-{turn}")
+        scratch.drop(f"open-rows-{turn}", f"candidates-{turn}")
+    scratch.drop("shared-tokens", "shared-rows")
     grouped = nodes.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     smallest = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    return _with_components(prefixes, grouped, smallest)
+    return _with_components(prefixes, grouped, smallest, scratch)
 
 
-def _with_components(prefixes: DataFrame, grouped: DataFrame, smallest: DataFrame) -> DataFrame:
-    """Only classes whose component is not their own document's id go into the last join."""
+def _with_components(prefixes: DataFrame, grouped: DataFrame, smallest: DataFrame, scratch: Scratch) -> DataFrame:
+    """Only classes whose component is not their own document's id go into the last join, which splits hot classes."""
     moved = grouped.join(smallest, "label").filter((F.col("copies") > 1) | (F.col("component_id") != F.col("first_doc"))).select("class_id", "component_id")
     rows = prefixes.select("doc_id", F.col("size").alias("n_shingles"), "class_id")
-    joined = rows.join(materialize(moved, "moved"), "class_id", "left")
+    joined = rows.join(scratch.write(moved, "moved"), "class_id", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     return joined.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,8 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradeloom.llm import ngram_join
-from gradeloom.llm.ngram_join import Likeness, connected, distinct_shingles, jaccard_components, word_hashes
+from gradeloom.llm import ngram_join, queries
+from gradeloom.llm.ngram_join import Likeness, connected, distinct_shingles, jaccard_components, ranked_shingles, shingles, with_class_ids, word_hashes
+from gradeloom.session import Scratch
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -100,7 +102,7 @@ def test_words_and_sets(texts):
 
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 400), (300, 400)]
-    got = {r["class_id"]: r["label"] for r in connected(spark.createDataFrame(links, "left long, right long")).collect()}
+    got = {r["class_id"]: r["label"] for r in connected(spark.createDataFrame(links, "left long, right long"), Scratch(spark, "t")).collect()}
     assert all(got[i] == 0 for i in range(1, 21)) and all(got[100 + i] == 100 for i in range(1, 30)) and got[500] == got[400] == 300
 
 
@@ -118,3 +120,43 @@ def test_large_labels_meet_others(spark, monkeypatch, large):
     monkeypatch.setattr(ngram_join, "LARGE_LABEL", large)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(df, Likeness(3, 75)).collect())) == brute_components(docs, 3, 75)
+
+
+def test_identical_sets_only(spark):
+    docs = corpus(4, 80)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, Likeness(3, 100)).collect())) == brute_components(docs, 3, 100)
+
+
+def test_order_is_the_smaller_of_both_sketches():
+    texts = ["a b c d a b c d", "x y", "a b c x"]
+    bits = 16
+    rng = np.random.default_rng(3)
+    ranks = rng.integers(0, 60_000, (1 << bits) + (1 << ngram_join.WORD_BITS)).astype(np.uint16)
+    grams, sizes, rank = ranked_shingles(texts, 3, ranks, bits)
+    plain, plain_sizes = distinct_shingles(texts, 3)
+    assert grams.tolist() == plain.tolist() and sizes.tolist() == plain_sizes.tolist()
+    hashes, _ = word_hashes(texts)
+    of_word = dict(zip([w for t in texts for w in t.split()], ranks[ngram_join.word_slot(hashes) + (1 << bits)].tolist(), strict=True))
+    expected = {}
+    for text in texts:
+        words = text.split()
+        for i in range(max(1, len(words) - 2)):
+            part = words[i : i + 3]
+            gram = shingles([" ".join(part)], 3)[0]
+            expected[int(gram[0])] = min(int(ranks[int(gram[0]) & ((1 << bits) - 1)]), *(of_word[w] for w in part))
+    assert rank.tolist() == [expected[x] for x in grams.tolist()]
+
+
+def test_sets_that_share_64_bits_are_told_apart(spark):
+    rows = [(1, 5, 1), (2, 5, 2), (3, 5, 1), (4, 6, 9)]
+    df = spark.createDataFrame(rows, "n long, class_key long, check long")
+    got = {r["n"]: r["class_id"] for r in with_class_ids(df, Scratch(spark, "t")).collect()}
+    assert got[1] == got[3] != got[2] and len(set(got.values())) == 3 and got[4] == 6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_registered_query_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    expected = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85)
+    assert sorted(map(tuple, queries.QUERIES["op8_ngram_join"](spark, "/root/testdata/sf0.01").collect())) == expected
