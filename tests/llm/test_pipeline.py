@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from gradeloom.llm import stages
 from gradeloom.llm.packing import WordEncoder
 from gradeloom.llm.vocabularies import vocabulary
 from tests.llm.test_ngram_join import brute_components
@@ -22,7 +23,7 @@ def test_stages_one_by_one(spark):
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DIR).cache()
-        assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.columns == stages.COLUMNS
         kept[name] = {r["doc_id"]: r for r in docs.collect()}
     before, deduped = kept["toxicity"], kept["line_dedup"]
     assert set(kept["language_id"]) >= set(before) == set(deduped)
@@ -46,4 +47,27 @@ def test_stages_one_by_one(spark):
 
 def test_rejected_documents(spark):
     docs = spark.createDataFrame([(1, "12345 67", "en", "s", 8), (2, "the words are of a language", "en", "s", 27), (3, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [2]
+    assert [r["doc_id"] for r in stages.language_id(spark, docs, "").collect()] == [2]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_with_one_id_are_judged_by_their_own_texts(spark):
+    w, u, x = ("one two three four five six", "quite another text of seven words", "and a third one that is long enough")
+    rows = [(1, w), (3, w), (3, u), (7, x), (7, x), (None, w), (None, "only here and with no id at all"), (None, None), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in stages.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, w), (3, u), (7, x), (None, rows[6][1]), (None, None), (4, None), (5, "")], key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_take_nulls_extra_columns_and_empty_tables(spark, stage):
+    rows = [(1, "The words of a text", "en", "s", 19), (1, "The words of a text", "en", "s", 19), (None, None, None, None, None), (2, "", None, "s", 0), (3, "long " * 40_000, "en", None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], f"{SCHEMA}, Component_id int, _text string, length double")
+    got = stage(spark, docs, DIR)
+    if stage is not stages.packed_sequences:
+        assert got.columns == stages.COLUMNS
+    assert got.count() >= 1
+    assert stage(spark, docs.limit(0), DIR).count() == 0
