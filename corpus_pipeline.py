@@ -2,60 +2,23 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the columns of
-``documents``.
+``documents``. The stages themselves are in ``gradeloom.llm.stages``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gradeloom.llm import language_mixture, line_dedup, ngram_join, packing, toxicity
-from gradeloom.llm.common import crc_fold
-from gradeloom.llm.vocabularies import vocabulary
-from gradeloom.session import materialize
+from gradeloom.llm import stages
+from gradeloom.session import Scratch
 from gradeloom.sources.tables import table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: without a letter, or of what no language explains by nine tenths."""
-    model = language_mixture.fit_languages(docs)
-    found = language_mixture.identify_languages(docs.select(COLUMNS), model, keep_text=True)
-    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS)
-
-
-def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic; learns from the labels outside the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_fold(F.col("doc_id"), 5) != 0)
-    model = toxicity.fit_toxicity(docs, labels)
-    return toxicity.score_toxicity(docs.select(COLUMNS), model, keep_text=True).filter(F.col("predicted") == 0).select(COLUMNS)
-
-
-def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that at least ten documents hold; the documents stay."""
-    kept = line_dedup.drop_common_lines(docs.select(COLUMNS), min_docs=10, min_chars=1)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; five words, similarity 0.8."""
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), ngram_join.Likeness(words=5, percent=80))
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
-
-
-def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
-
-
 STAGES = [
-    ("language_id", language_id),
-    ("toxicity", toxic_documents),
-    ("line_dedup", common_lines),
-    ("ngram_jaccard_join", near_duplicates),
-    ("packing", packed_sequences),
+    ("language_id", stages.language_id),
+    ("toxicity", stages.toxic_documents),
+    ("line_dedup", stages.common_lines),
+    ("ngram_jaccard_join", stages.near_duplicates),
+    ("packing", stages.packed_sequences),
 ]
 
 #: SQL expresses neither the language model nor the classifier; tests hold run() against a brute-force version.
@@ -63,7 +26,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; the tables between stages are deleted as soon as the next one is written."""
+    scratch = Scratch(spark, "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
