@@ -100,14 +100,15 @@ SQL = {
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), asked AS (
+            SELECT DISTINCT vec_id AS query_id, v FROM usable WHERE vec_id % 50 = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-            WHERE q.vec_id % 50 = 0
+            SELECT q.query_id, q.v AS query, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM asked q JOIN usable c ON q.query_id <> c.vec_id AND len(q.v) = len(c.v)
         )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+        QUALIFY row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) <= 5""",
     "op2_line_dedup": f"""
         WITH cut AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents

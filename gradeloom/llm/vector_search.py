@@ -1,10 +1,17 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-The file is a table of blocks. A block holds up to ``block_rows`` vectors as exact
-integers and, beside them, as quantised cells: each component's cell number on the
-block's own grid. A search scans the cells for bounds of every score, then reads exact
-vectors in the order of their bounds until no unread one can enter the result. Blocks of
-queries meet blocks of vectors, so no task holds more than one of each at a time.
+The file is a table of blocks. A block holds the cells of up to ``block_rows`` vectors: each
+component's cell number, one byte, on the block's own grid. A search scans the cells for
+bounds of every score; a part of the file is scanned first, so that for the rest each query
+knows a score that its kth best reaches at least, and blocks and vectors below it drop out.
+What is left is read exactly, by id, in the order of the bounds: first the best few of each
+query, then all that may still reach the kth score of those.
+
+Blocks of queries meet blocks of cells, so no task holds more than one of each at a time. The
+queries are sent to each group of blocks, cells are dealt once, and the exact vectors of no
+more than the candidates are moved. Equal vectors differ in their ids alone: those that can be
+among the best ``k`` of any query are kept, so a vector with very many copies makes no more
+candidates than another.
 """
 
 from __future__ import annotations
@@ -12,17 +19,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import arrow_batches
-from gradeloom.session import materialize
+from gradeloom.llm.common import Carried, arrow_batches, digest_columns
+from gradeloom.session import Scratch
 
 BLOCK_ROWS = 4096
-CELL_BITS = 6
-READ_STEP = 32
-BLOCK_SCHEMA = "block string, dim int, ids binary, exact binary, cells binary, low binary, width binary"
+CELL_BITS = 8
+#: One block in so many is scanned first.
+FIRST_SHARE = 64
+#: So many times k vectors of each query are read before the others.
+FIRST_READ = 4
+#: Queries whose bounds are held at once.
+SCANNED_QUERIES = 256
+FILE_SCHEMA = "dim int, keys binary, ids binary, cells binary, low binary, width binary"
+QUERY_SCHEMA = "dim int, query_keys binary, query_ids binary, floors binary, queries binary"
+BOUNDS_SCHEMA = "query_key long, key long, low double, high double"
 
 
 def usable(vector: Column) -> Column:
@@ -35,108 +50,175 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
 
 
-def pack_block(name: str, ids: np.ndarray, exact: np.ndarray) -> dict:
-    """One row of the file: exact integers, their cells, and the grid of the cells."""
-    low = exact.min(axis=0)
-    width = (exact.max(axis=0) - low) // (1 << CELL_BITS) + 1
-    cells = ((exact - low) // width).astype(np.uint8)
-    return {"block": name, "dim": exact.shape[1], "ids": ids.tobytes(), "exact": exact.tobytes(), "cells": cells.tobytes(), "low": low.tobytes(), "width": width.tobytes()}
+def exact_rows(table: DataFrame, scale: int) -> DataFrame:
+    """``vec_id row`` of all rows that take part."""
+    held = Carried(table, ["vec_id", "embedding"], []).df
+    return held.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("row"))
 
 
-def pack_blocks(frames: Iterator[pd.DataFrame], block_rows: int) -> Iterator[pd.DataFrame]:
-    waiting: dict[int, tuple[list, list]] = {}
+def candidates(vectors: DataFrame, scale: int, k: int) -> DataFrame:
+    """The rows that can be among some query's best ``k``, with a ``key`` of their own.
 
-    def packed(ids: list, rows: list) -> pd.DataFrame:
-        exact = np.array(rows, dtype=np.int64).reshape(len(rows), -1)
-        name = f"{min(ids)}-{max(ids)}-{len(ids)}-{exact.shape[1]}-{abs(int(np.bitwise_xor.reduce(np.array(ids))))}"
-        return pd.DataFrame([pack_block(name, np.array(ids, dtype=np.int64), exact)])
+    Of equal vectors these are the first by id: ``k`` besides those of any one id, which may be
+    the query's own. Both limits are kept within each task before anything is shuffled.
+    """
+    one, two = digest_columns(F.col("row"))
+    rows = exact_rows(vectors, scale).withColumns({"one": one, "two": two})
+    same_id = Window.partitionBy("one", "two", "vec_id").orderBy("vec_id")
+    same_row = Window.partitionBy("one", "two").orderBy("vec_id")
+    for window, most in ((same_id, k), (same_row, 2 * k)):
+        rows = rows.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= most).drop("place")
+    return rows.select(F.monotonically_increasing_id().alias("key"), "vec_id", "row")
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str], block_rows: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The vectors ``row`` of one length, up to ``block_rows`` at a time, with their other columns."""
+    waiting: dict[int, list[pa.RecordBatch]] = {}
+
+    def whole(dim: int, parts: list[pa.RecordBatch]) -> tuple[np.ndarray, list[np.ndarray]]:
+        block = pa.Table.from_batches(parts).combine_chunks()
+        rows = np.concatenate([x.flatten().to_numpy() for x in block.column("row").chunks]).reshape(block.num_rows, dim)
+        return rows, [block.column(name).to_numpy() for name in names]
+
+    for batch in batches:
+        dims = pc.list_value_length(batch.column("row")).to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = batch.filter(pa.array(dims == dim))
+            held = waiting.setdefault(dim, [])
+            while own.num_rows:
+                room = block_rows - sum(x.num_rows for x in held)
+                held.append(own.slice(0, room))
+                own = own.slice(room)
+                if sum(x.num_rows for x in held) == block_rows:
+                    yield whole(dim, held)
+                    held.clear()
+    for dim, held in waiting.items():
+        if held:
+            yield whole(dim, held)
+
+
+def record(**values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x], pa.int32()) for x in values.values()], names=list(values))
+
+
+def file_block(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """One row of the file: cells and their grid."""
+    low = rows.min(axis=0)
+    width = (rows.max(axis=0) - low) // (1 << CELL_BITS) + 1
+    return record(dim=rows.shape[1], keys=keys, ids=ids, cells=((rows - low) // width).astype(np.uint8), low=low, width=width)
+
+
+def file_frames(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    for rows, (keys, ids) in blocks_of(batches, ["key", "vec_id"], block_rows):
+        yield file_block(rows, keys, ids)
 
-    for frame in frames:
-        for vec_id, row in zip(frame["vec_id"], frame["row"], strict=True):
-            ids, rows = waiting.setdefault(len(row), ([], []))
-            ids.append(vec_id)
-            rows.append(row)
-            if len(ids) == block_rows:
-                yield packed(*waiting.pop(len(row)))
-    for ids, rows in waiting.values():
-        yield packed(ids, rows)
 
+def query_frames(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    for rows, (keys, ids, floors) in blocks_of(batches, ["query_key", "query_id", "floor"], block_rows):
+        yield record(dim=rows.shape[1], query_keys=keys, query_ids=ids, floors=floors, queries=rows)
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, block: dict, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's ``k`` best vectors of one block."""
+
+def scan_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, block: dict, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries' places, vectors' places, low bounds, high bounds) of what may be among the best ``k``.
+
+    That is what reaches the query's floor, and the kth best low bound in the block.
+    """
     dim = queries.shape[1]
-    ids = np.frombuffer(block["ids"], dtype=np.int64)
-    exact = np.frombuffer(block["exact"], dtype=np.int64).reshape(len(ids), dim)
-    cells = np.frombuffer(block["cells"], dtype=np.uint8).reshape(len(ids), dim)
-    low, width = (np.frombuffer(block[x], dtype=np.int64) for x in ("low", "width"))
+    ids, low, width = (np.frombuffer(block[x], np.int64) for x in ("ids", "low", "width"))
+    cells = np.frombuffer(block["cells"], np.uint8).reshape(len(ids), dim)
     half = (width - 1) / 2
-    centre = low + cells * width + half
-    out: list[tuple[int, int, int]] = []
-    for start in range(0, len(query_ids), 256):
-        part, part_ids = queries[start : start + 256], query_ids[start : start + 256]
-        middle = part.astype(np.float64) @ centre.T
-        slack = np.abs(part) @ half + 1e-9 * (np.abs(middle).max(initial=0) + 1)
-        middle[part_ids[:, None] == ids[None, :]] = -np.inf
-        worst = middle - slack[:, None]
-        floor = np.full(len(part), -np.inf)
+    centre = None
+    reach = width * ((1 << CELL_BITS) - 1) / 2 + half
+    box = low + reach
+    for start in range(0, len(queries), SCANNED_QUERIES):
+        part = queries[start : start + SCANNED_QUERIES].astype(np.float64)
+        error = 1e-9 * (np.abs(part) @ (np.abs(box) + reach) + 1)
+        floor = floors[start : start + SCANNED_QUERIES]
+        open_ = np.flatnonzero(part @ box + np.abs(part) @ reach + error >= floor)  # the others can't be served by any vector of the block
+        if not len(open_):
+            continue
+        if centre is None:
+            centre = (low + cells * width + half).T
+        part, floor, own = part[open_], floor[open_], query_ids[start + open_]
+        middle = part @ centre
+        middle[own[:, None] == ids[None, :]] = -np.inf
+        slack = np.abs(part) @ half + error[open_]
         if len(ids) > k:
-            floor = np.partition(worst, len(ids) - k, axis=1)[:, len(ids) - k]
-        best = middle + slack[:, None]
-        for i in range(len(part)):
-            places = np.flatnonzero((best[i] >= floor[i]) & (best[i] > -np.inf))
-            places = places[np.lexsort((ids[places], -best[i, places]))]
-            scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
-            for at in range(0, len(places), READ_STEP):
-                if len(scores) == k and best[i, places[at]] < scores[-1]:
-                    break  # no unread vector can reach the kth score
-                read = places[at : at + READ_STEP]
-                scores, found = np.concatenate([scores, exact[read] @ part[i]]), np.concatenate([found, ids[read]])
-                order = np.lexsort((found, -scores))[:k]
-                scores, found = scores[order], found[order]
-            out += [(int(part_ids[i]), int(v), int(s)) for v, s in zip(found, scores, strict=True)]
-    return out
-
-
-def search_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for row in frame.to_dict("records"):
-            query_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
-            queries = np.frombuffer(row["queries"], dtype=np.int64).reshape(len(query_ids), row["dim"])
-            yield pd.DataFrame(search_block(query_ids, queries, row, k), columns=["query_id", "vec_id", "score"])
-
-
-def vector_file(vectors: DataFrame, scale: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The vector-approximation file of all usable rows, written to the shared folder."""
-    rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("row"))
-    with arrow_batches(vectors.sparkSession, block_rows):
-        return materialize(rows.mapInPandas(lambda frames: pack_blocks(frames, block_rows), BLOCK_SCHEMA), "vector-file")
+            floor = np.maximum(floor, np.partition(middle, len(ids) - k, axis=1)[:, len(ids) - k] - slack)
+        at, vector = np.nonzero((middle + slack[:, None] >= floor[:, None]) & (middle > -np.inf))
+        found = middle[at, vector]
+        yield start + open_[at], vector, found - slack[at], found + slack[at]
+
+
+def scan_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            query_keys, query_ids = (np.frombuffer(row[x], np.int64) for x in ("query_keys", "query_ids"))
+            queries, floors = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), row["dim"]), np.frombuffer(row["floors"], np.float64)
+            keys = np.frombuffer(row["keys"], np.int64)
+            for query, vector, low, high in scan_block(queries, query_ids, floors, row, k):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_keys[query], keys[vector], low, high)], names=["query_key", "key", "low", "high"])
+
+
+def scanned(filed: DataFrame, asked: DataFrame, k: int, block_rows: int, scratch: Scratch, name: str) -> DataFrame:
+    """Bounds of what may be among each query's best ``k`` in the blocks of ``filed``.
+
+    Each block of queries goes to every group of blocks of the file, which are dealt once.
+    """
+    spark = asked.sparkSession
+    groups = max(1, min(filed.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = scratch.write(asked.mapInArrow(lambda batches: query_frames(batches, block_rows), QUERY_SCHEMA), f"{name}-queries")
+    left = filed.withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(groups)))
+    right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    with arrow_batches(spark, 4):  # rows of megabytes
+        return scratch.write(left.join(right, ["dim", "part"]).drop("part").mapInArrow(lambda batches: scan_pairs(batches, k), BOUNDS_SCHEMA), name)
+
+
+def kth(rows: DataFrame, k: int, value: str, name: str) -> DataFrame:
+    """``query_key`` and its kth largest ``value``, where there are so many."""
+    order = Window.partitionBy("query_key").orderBy(F.col(value).desc())
+    placed = rows.select("query_key", value).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return placed.filter(F.col("place") == k).select("query_key", F.col(value).alias(name))
 
 
 def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query's ``k`` highest integer inner products over ``vectors``, exactly.
 
     Components become ``floor(scale * x)``. Returns ``query_id rank vec_id score``; ties go
-    to the smaller ``vec_id``; all rows where there are fewer than ``k``. The row with the
-    query's own ``vec_id`` is no candidate. Rows whose id or vector is null, or whose vector
+    to the smaller ``vec_id``; all rows where there are fewer than ``k``. Rows with the
+    query's own ``vec_id`` are no candidates. Rows whose id or vector is null, or whose vector
     holds a null or non-finite component, take no part, and vectors of different lengths
-    never meet. A repeated row is a candidate as often as it occurs. Other columns are
-    ignored. Empty tables give an empty result. Scores must fit a long: components up to
-    about 2 ** 20 do.
+    never meet. A repeated row is a candidate as often as it occurs, but asks once; rows with
+    one ``vec_id`` and different vectors ask each for itself, under the same ``query_id``. Other
+    columns are ignored. Empty tables give an empty result. Scores must fit a long:
+    components up to about 2 ** 20 do.
     """
     spark = vectors.sparkSession
-    n_queries = queries.count()
-    wanted = queries.select("vec_id", "embedding").repartition(max(1, -(-n_queries // block_rows)))
-    asked = vector_file(wanted, scale, block_rows).select(F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("exact").alias("queries"))
-    filed = vector_file(vectors, scale, block_rows)
-    names = [row["query_block"] for row in asked.select("query_block").distinct().collect()]  # one for each block_rows queries
-    if not names:
-        names = [""]
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = filed.withColumn("query_block", F.explode(F.array(*[F.lit(x) for x in names]))).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    right = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    with arrow_batches(spark, 8):
-        pairs = left.join(right, ["query_block", "dim", "part"]).select("dim", "ids", "exact", "cells", "low", "width", "query_ids", "queries")
-        found = pairs.mapInPandas(lambda frames: search_pairs(frames, k), "query_id long, vec_id long, score long")
-        scored = materialize(found, "block-results")  # inside: small batches, for rows of megabytes
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scratch = Scratch(spark, "vector-search")
+    exact = scratch.write(candidates(vectors, scale, k), "exact")
+    with arrow_batches(spark, block_rows):
+        filed = scratch.write(exact.mapInArrow(lambda batches: file_frames(batches, block_rows), FILE_SCHEMA), "file")
+    one_each = exact_rows(queries, scale).distinct().repartition(max(1, -(-queries.count() // block_rows)))
+    asked = scratch.write(one_each.select(F.monotonically_increasing_id().alias("query_key"), F.col("vec_id").alias("query_id"), "row"), "asked")
+
+    none = F.lit(float("-inf"))
+    early = F.pmod(F.xxhash64("keys"), F.lit(FIRST_SHARE)) == 0
+    first = scanned(filed.filter(early), asked.withColumn("floor", none), k, block_rows, scratch, "first-scan")
+    floors = asked.join(kth(first, k, "low", "known"), "query_key", "left").withColumn("floor", F.coalesce("known", none)).drop("known")
+    rest = scanned(filed.filter(~early), floors, k, block_rows, scratch, "second-scan")
+    bounds = first.unionByName(rest)
+    reached = bounds.join(kth(bounds, k, "low", "bar"), "query_key", "left").filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar")))
+    order = Window.partitionBy("query_key").orderBy(F.col("high").desc(), "key")
+    queue = scratch.write(reached.select("query_key", "key", "high", F.row_number().over(order).alias("place")), "queue")
+
+    def read(rows: DataFrame) -> DataFrame:
+        product = F.aggregate(F.zip_with("row", "query", lambda x, y: x * y), F.lit(0).cast("long"), lambda total, x: total + x)
+        known = rows.select("query_key", "key").join(exact, "key").join(asked.select("query_key", "query_id", F.col("row").alias("query")), "query_key")
+        return known.select("query_key", "query_id", "vec_id", product.alias("score"))
+
+    best = scratch.write(read(queue.filter(F.col("place") <= FIRST_READ * k)), "first-read")
+    later = queue.filter(F.col("place") > FIRST_READ * k).join(kth(best, k, "score", "bar"), "query_key").filter(F.col("high") >= F.col("bar"))
+    by_score = Window.partitionBy("query_key").orderBy(F.col("score").desc(), F.col("vec_id"))
+    ranked = best.unionByName(read(later)).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from gradeloom.llm.vector_search import search_block, pack_block, top_k_inner_product
+from gradeloom.llm import vector_search
+from gradeloom.llm.vector_search import file_block, scan_block, top_k_inner_product
 
 SCHEMA = "vec_id long, embedding array<float>, extra string"
 
@@ -44,11 +45,37 @@ def test_empty_tables(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_block_bounds_lose_nothing(seed):
+@pytest.mark.parametrize("spread", [300, 300_000])
+def test_bounds_lose_nothing(seed, spread):
     rng = np.random.default_rng(seed)
-    exact = rng.integers(-300, 300, size=(500, 16))
-    block = pack_block("b", np.arange(500), exact)
-    found = search_block(np.array([7, 900]), exact[[7, 8]], block, 5)
-    for qid, q in ((7, exact[7]), (900, exact[8])):
-        best = sorted((-int(v @ q), j) for j, v in enumerate(exact) if j != qid)[:5]
-        assert sorted((-s, v) for i, v, s in found if i == qid) == best
+    exact = rng.integers(-spread, spread, size=(500, 16))
+    block = {k: v[0] for k, v in file_block(exact, np.arange(500), np.arange(500)).to_pydict().items()}
+    asked, ids = exact[[7, 8]], np.array([7, 900])
+    scores = asked @ exact.T
+    best = [sorted((-int(s), j) for j, s in enumerate(row) if j != i)[:5] for i, row in zip(ids, scores, strict=True)]
+    for floors in (np.full(2, -np.inf), np.array([-row[4][0] for row in best], float)):
+        found = [x for part in scan_block(asked, ids, floors, block, 5) for x in zip(*part, strict=True)]
+        for q, row in enumerate(best):
+            kept = {int(v): (low, high) for i, v, low, high in found if i == q}
+            assert {j for _, j in row} <= set(kept)
+            assert all(low <= scores[q, v] <= high for v, (low, high) in kept.items())
+    assert not list(scan_block(asked, ids, np.full(2, 1e18), block, 5))
+
+
+def test_repeated_rows_ask_once_and_are_candidates_as_often(spark):
+    same = [1.0, 0.5]
+    rows = [(0, same), (0, same), (1, same), (1, same), (2, same), (3, [0.25, 0.25]), (4, [1.0, 0.0])]
+    assert got(spark, rows, 5, {0}) == [(0, 1, 1, 81920), (0, 2, 1, 81920), (0, 3, 2, 81920), (0, 4, 4, 65536), (0, 5, 3, 24576)]
+    many = [(1, same)] * 20 + [(2, same), (3, same)]
+    assert got(spark, many, 3, {1}) == [(1, 1, 2, 81920), (1, 2, 3, 81920)]
+    assert [x[2] for x in got(spark, many, 3, {2})] == [1, 1, 1]
+
+
+def test_floors_of_a_first_scan_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)]
+    asked = {0, 50, 100}
+    for share in (1, 2, 1000):
+        monkeypatch.setattr(vector_search, "FIRST_SHARE", share)
+        monkeypatch.setattr(vector_search, "CELL_BITS", 3)
+        assert got(spark, rows, 4, asked, block_rows=16) == brute(rows, 4, asked)
