@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,18 @@ def text_slices(texts: list[str], rows: int = 512, chars: int = BATCH_CHARS) ->
         yield slice(start, len(texts))
 
 
+def batch_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """As ``text_slices``, of an Arrow batch by the lengths of one of its columns."""
+    start = held = 0
+    for i, size in enumerate(pc.utf8_length(batch.column(column)).to_pylist()):
+        if i > start and (held + size > BATCH_CHARS or i - start >= 512):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def map_texts(docs: DataFrame, added: list[T.StructField], results: Callable[[list[str]], list], keep_text: bool = False) -> DataFrame:
     """The documents with the columns ``added`` that ``results`` gives for each part of their texts (null: empty).
 
@@ -102,27 +115,29 @@ def map_texts(docs: DataFrame, added: list[T.StructField], results: Callable[[li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for part in text_slices(texts):
-                own = batch.slice(part.start, part.stop - part.start)
-                found = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(results(texts[part]), types, strict=True)]
+            for own in batch_slices(batch, "_text"):
+                texts = own.column("_text").to_pylist()
+                found = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(results(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], *found], names=schema.names)
 
     return named(sent.mapInArrow(run, schema), rest, names)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that JVM and worker hold at once where an operator runs its own job.
+TEXT_ROWS = 500
 
 
 @contextmanager
-def arrow_batches(spark, rows: int):
-    """Arrow batches of so many rows at most for what is run inside; for rows of megabytes.
+def arrow_batches(spark, rows: int = TEXT_ROWS):
+    """Arrow batches of so many rows at most for the jobs that are run inside; a lower setting stays.
 
-    Elsewhere Spark's own bound holds, 64 MB a batch (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    For what runs later, in the caller's jobs, Spark's own bound holds: 64 MB a batch
+    (``spark.sql.execution.arrow.maxBytesPerBatch``).
     """
     ship_package(spark)
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import BATCH_CHARS, Carried
-from gradeloom.session import Scratch, ship_package
+from gradeloom.llm.common import BATCH_CHARS, Carried, arrow_batches
+from gradeloom.session import Scratch
 
 PARTS = 3
 #: Cells in each part of the smallest sketch; a retry has GROWTH times as many.
@@ -298,7 +298,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first: those two texts of each range are kept, and joined by the ranges' numbers.
     """
     spark = docs.sparkSession
-    ship_package(spark)
     scratch = Scratch(spark, "fingerprints")
     held = Carried(docs, ["doc_id", "text"], []).df
     texts = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -308,7 +307,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     dealt = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     # The id travels as text: pandas would round large numbers next to nulls.
     sent = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    made = scratch.write(sent.mapInPandas(sketch_frames, f"{SKETCH_SCHEMA}, part int, place string, text string"), "ranges")
+    with arrow_batches(spark):
+        made = scratch.write(sent.mapInPandas(sketch_frames, f"{SKETCH_SCHEMA}, part int, place string, text string"), "ranges")
     # One row for each range: which one follows, and the first after the last.
     parts = made.filter("place = 'first'").select("part")
     ahead = Window.orderBy("part")

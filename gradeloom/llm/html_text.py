@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import Carried, named, text_slices
+from gradeloom.llm.common import Carried, arrow_batches, batch_slices, named
 from gradeloom.llm.url_filters import url_host
 from gradeloom.session import Scratch, ship_package
 
@@ -201,10 +201,8 @@ def page_events(page: str) -> tuple[list[int], list[int], int]:
 def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``host page_key said ids kinds`` of each page."""
     for batch in batches:
-        pages = batch.column("html").to_pylist()
-        for part in text_slices(pages):
-            own = batch.slice(part.start, part.stop - part.start)
-            ids, kinds, said = zip(*map(page_events, pages[part]), strict=True)
+        for own in batch_slices(batch, "html"):
+            ids, kinds, said = zip(*map(page_events, own.column("html").to_pylist()), strict=True)
             columns = [own.column("host"), own.column("page_key"), pa.array(said, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "page_key", "said", "ids", "kinds"])
 
@@ -403,7 +401,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     held = Carried(pages, ["url", "html"], ["text", "n_chars"])
     source, host = F.coalesce("html", F.lit("")), url_host(F.col("url"))
     observed = held.df.select(host.alias("host"), F.xxhash64(source).alias("page_key"), source.alias("html"))
-    seen = scratch.write(observed.mapInArrow(observe, "host string, page_key long, said long, ids array<long>, kinds array<byte>"), "page-events")
+    with arrow_batches(spark):
+        seen = scratch.write(observed.mapInArrow(observe, "host string, page_key long, said long, ids array<long>, kinds array<byte>"), "page-events")
     single = scratch.write(distinct_pages(seen), "distinct-pages")
     slots = scratch.write(deduce_templates(single, scratch), "slots")
     scratch.drop("page-events", "distinct-pages", "candidate-classes", "template-tokens")
@@ -415,11 +414,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources = batch.column("html").to_pylist()
-            for part in text_slices(sources):
-                own = batch.slice(part.start, part.stop - part.start)
-                templates = own.column("template").to_pylist()
-                texts = [main_text(page, {x["slot"]: x["own"] for x in template or ()}) for page, template in zip(sources[part], templates, strict=True)]
+            for own in batch_slices(batch, "html"):
+                sources, templates = own.column("html").to_pylist(), own.column("template").to_pylist()
+                texts = [main_text(page, {x["slot"]: x["own"] for x in template or ()}) for page, template in zip(sources, templates, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
     return named(joined.mapInArrow(extract, schema), rest, ["text", "n_chars"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import BATCH_CHARS, Carried, map_texts, text_slices
+from gradeloom.llm.common import BATCH_CHARS, Carried, arrow_batches, map_texts, text_slices
 from gradeloom.session import ship_package
 
 BUCKET_BITS = 16
@@ -98,11 +98,11 @@ def fit_languages(labelled: DataFrame) -> LanguageModel:
     The driver gets one number for each language and bucket at most, ``MAX_LANGUAGES`` x
     ``BUCKETS``; as many go out to every task, so more languages than that are an error.
     """
-    ship_package(labelled.sparkSession)
     held = Carried(labelled, ["text", "lang"], []).df
     rows = held.select("text", F.col("lang").cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counted = rows.mapInPandas(count_frames, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.mapInPandas(packed_counts, "lang string, buckets binary, counts binary").collect()
+    with arrow_batches(labelled.sparkSession):
+        found = counted.mapInPandas(packed_counts, "lang string, buckets binary, counts binary").collect()
     languages = sorted({row["lang"] for row in found})
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")

@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Carried, text_slices
+from gradeloom.llm.common import Carried, arrow_batches, text_slices
 from gradeloom.llm.fingerprints import mix, run_hashes
-from gradeloom.session import Scratch, ship_package
+from gradeloom.session import Scratch
 
 #: Counters of the n-grams' sketch, by how many there are, and of the words'; counts are of all rows.
 LEAST_BITS, MOST_BITS, WORD_BITS = 16, 22, 20
@@ -303,9 +303,11 @@ def link_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, like: Liken
     held = spark.sparkContext.broadcast(bit_filter(involved))  # 2 ** MOST_FILTER bits at most
     words = like.words
     read = texts.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id")).select("key", "text").mapInPandas(lambda frames: set_frames(frames, held.value, words), "class_key long, check long, grams binary")
-    sets = scratch.write(read.join(involved.select("class_id", "class_key", "check"), ["class_key", "check"]).select("class_id", "grams").dropDuplicates(["class_id"]), f"sets-{turn}")
+    with arrow_batches(spark):
+        sets = scratch.write(read.join(involved.select("class_id", "class_key", "check"), ["class_key", "check"]).select("class_id", "grams").dropDuplicates(["class_id"]), f"sets-{turn}")
     joined = pairs.join(sets.select(F.col("class_id").alias("left"), F.col("grams").alias("left_grams")), "left").join(sets.select(F.col("class_id").alias("right"), F.col("grams").alias("right_grams")), "right")
-    links = scratch.write(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), f"links-{turn}")
+    with arrow_batches(spark):
+        links = scratch.write(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), f"links-{turn}")
     held.destroy()
     scratch.drop(f"compared-{turn}", f"sets-{turn}")
     return links
@@ -434,12 +436,12 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ship_package(spark)
     scratch = Scratch(spark, "ngram-join")
     held = Carried(docs, ["doc_id", "text"], []).df
     texts = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bits = sketch_bits(texts)
-    table = rank_table(texts.select("text"), like.words, bits)
+    with arrow_batches(spark):
+        table = rank_table(texts.select("text"), like.words, bits)
     usual = float(np.exp2(np.median(table[: 1 << bits]) / RANK_SCALE))
     ranks = spark.sparkContext.broadcast(table)  # 2 ** MOST_BITS + 2 ** WORD_BITS numbers of 16 bits at most
     del table
@@ -447,7 +449,9 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     sent = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found = sent.mapInPandas(lambda frames: prefix_frames(frames, ranks.value, bits, usual, like), "doc_id string, size long, class_id long, check long, need int, tokens array<long>")
     found = found.withColumnRenamed("class_id", "class_key").withColumn("doc_id", F.col("doc_id").cast("long"))
-    prefixes = with_class_ids(scratch.write(found.withColumn("row_no", F.monotonically_increasing_id()), "prefixes"), scratch)
+    with arrow_batches(spark):
+        prefixes = scratch.write(found.withColumn("row_no", F.monotonically_increasing_id()), "prefixes")
+    prefixes = with_class_ids(prefixes, scratch)
     ranks.destroy()
     usable = prefixes.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     # One row stands for a class; copies never meet by their class, however many there are.

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
-from gradeloom.llm.common import Carried, Remembered, text_slices
-from gradeloom.session import materialize, ship_package
+from gradeloom.llm.common import Carried, Remembered, arrow_batches, text_slices
+from gradeloom.session import materialize
 
 #: Pieces of one length that are ranked by one sort.
 RANK_GROUP = 50_000
@@ -225,11 +225,11 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
     length are taken whole. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ship_package(spark)
     # The id travels as text: pandas would round large numbers next to nulls.
     texts = Carried(docs, ["doc_id", "text"], []).df.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     cut = texts.mapInPandas(lambda frames: cut_pieces(frames, path, size, end_id), "doc_id string, row_key long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = materialize(cut, "pieces")
+    with arrow_batches(spark):
+        pieces = materialize(cut, "pieces")
     rests = pieces.filter(F.col("length") < size)
     histogram = {row["length"]: row["count"] for row in rests.groupBy("length").count().collect()}  # size rows at most
     places = Places(packing_patterns(histogram, size))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import language_mixture, line_dedup, ngram_join, packing, toxicity
-from gradeloom.llm.common import crc_fold, digest_columns
+from gradeloom.llm.common import arrow_batches, crc_fold, digest_columns
 from gradeloom.llm.vocabularies import vocabulary
 from gradeloom.session import materialize
 from gradeloom.sources.tables import table
@@ -18,6 +18,12 @@ from gradeloom.sources.tables import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def written(docs: DataFrame, label: str) -> DataFrame:
+    """The documents, made and written in batches of few texts, so that workers and JVM hold few at a time."""
+    with arrow_batches(docs.sparkSession):
+        return materialize(docs, label)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: without a letter, or of what no language explains by nine tenths.
 
@@ -26,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = language_mixture.fit_languages(docs)
     found = language_mixture.identify_languages(docs.select(COLUMNS), model, keep_text=True)
-    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS)
+    return written(found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS), "language-id")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_fold(F.col("doc_id"), 5) != 0)
     model = toxicity.fit_toxicity(docs, labels, unlabelled=docs.filter(crc_fold(F.col("doc_id"), 5) != 0))
-    return toxicity.score_toxicity(docs.select(COLUMNS), model, keep_text=True).filter(F.col("predicted") == 0).select(COLUMNS)
+    return written(toxicity.score_toxicity(docs.select(COLUMNS), model, keep_text=True).filter(F.col("predicted") == 0).select(COLUMNS), "toxicity")
 
 
 def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.common import ENTRY_BYTES, Carried, map_texts
+from gradeloom.llm.common import ENTRY_BYTES, Carried, arrow_batches, map_texts
 from gradeloom.session import Scratch, ship_package
 
 #: Bounds of the sample: confirmed toxic rows, and rows taken without their label.
@@ -162,7 +162,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     document make it toxic if one does. Null ids, labels and texts take no part. Without a
     toxic row the model scores about 0.
     """
-    ship_package(docs.sparkSession)
     texts = Carried(docs, ["doc_id", "text"], []).df.select("doc_id", "text")
     pool = texts if unlabelled is None else Carried(unlabelled, ["doc_id"], []).df
     known = Carried(labels, ["doc_id", "toxic"], []).df.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -172,7 +171,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     prior = min(0.5, max(1e-3, counted["toxic"] / counted["n"]))
     sample = sampled_texts(texts, known, pool, max_positive, max_unlabelled)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    features = scratch.write(sample.mapInPandas(feature_frames, "positive boolean, features binary"), "features")
+    with arrow_batches(docs.sparkSession):
+        features = scratch.write(sample.mapInPandas(feature_frames, "positive boolean, features binary"), "features")
     sizes = {row["positive"]: row["count"] for row in features.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
