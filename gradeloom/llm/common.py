@@ -119,6 +119,7 @@ def map_texts(docs: DataFrame, added: list[T.StructField], results: Callable[[li
                 texts = own.column("_text").to_pylist()
                 found = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(results(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], *found], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return named(sent.mapInArrow(run, schema), rest, names)
 

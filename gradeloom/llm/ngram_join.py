@@ -102,8 +102,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(texts: list[str], words: int, word_rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams, which text each belongs to, and the least ``word_rank`` of its words (0 without)."""
-    hashes, counts = word_hashes(texts)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    return grams_of(*word_hashes(texts), words, word_rank)
+
+
+def grams_of(hashes: np.ndarray, counts: np.ndarray, words: int, word_rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingles``, from the hashes of the words and how many each text has."""
+    owner = np.repeat(np.arange(len(counts)), counts)
     rank = word_rank[word_slot(hashes)] if word_rank is not None else np.zeros(len(hashes), np.uint16)
     n = len(hashes)
     grams, of, least = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
@@ -197,9 +201,9 @@ def rank_table(texts: DataFrame, words: int, bits: int) -> np.ndarray:
         counts = np.zeros(size, np.uint32)
         for frame in frames:
             for part in batches(frame):
-                own = part["text"].tolist()
-                np.add.at(counts, gram_slot(shingles(own, words)[0], bits), 1)
-                np.add.at(counts, word_slot(word_hashes(own)[0]) + (1 << bits), 1)
+                hashes, n_words = word_hashes(part["text"].tolist())
+                np.add.at(counts, gram_slot(grams_of(hashes, n_words, words)[0], bits), 1)
+                np.add.at(counts, word_slot(hashes) + (1 << bits), 1)
         for at in range(0, size, CHUNK):
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "chunk": [at // CHUNK], "counts": [pack_counts(counts[at : at + CHUNK])]})
 
@@ -306,7 +310,7 @@ def link_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, like: Liken
     with arrow_batches(spark):
         sets = scratch.write(read.join(involved.select("class_id", "class_key", "check"), ["class_key", "check"]).select("class_id", "grams").dropDuplicates(["class_id"]), f"sets-{turn}")
     joined = pairs.join(sets.select(F.col("class_id").alias("left"), F.col("grams").alias("left_grams")), "left").join(sets.select(F.col("class_id").alias("right"), F.col("grams").alias("right_grams")), "right")
-    with arrow_batches(spark):
+    with arrow_batches(spark, 64):  # rows of two sets
         links = scratch.write(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), f"links-{turn}")
     held.destroy()
     scratch.drop(f"compared-{turn}", f"sets-{turn}")

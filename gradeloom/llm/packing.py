@@ -124,8 +124,8 @@ class WordEncoder:
 
 def cut_pieces(frames: Iterator[pd.DataFrame], path: str, size: int, end_id: int) -> Iterator[pd.DataFrame]:
     end = np.array([end_id], np.uint32).tobytes()
+    encoder = WordEncoder.of(path)
     for frame in frames:
-        encoder = WordEncoder.of(path)
         texts, rows = frame["text"].tolist(), []
         encoded = (ids for part in text_slices(texts) for ids in encoder.encode(texts[part]))
         for doc_id, row_key, ids in zip(frame["doc_id"], frame["row_key"], encoded, strict=True):
@@ -135,6 +135,7 @@ def cut_pieces(frames: Iterator[pd.DataFrame], path: str, size: int, end_id: int
                 piece = ids[4 * start : 4 * (start + size)]
                 rows.append((doc_id, row_key, start, len(piece) // 4, zlib.crc32(piece), tokens))
         yield pd.DataFrame(rows, columns=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+    encoder.known = Remembered(KEPT_BYTES)  # the worker may have other things to do next
 
 
 def packing_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
