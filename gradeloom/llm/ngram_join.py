@@ -41,6 +41,8 @@ MAX_MATCHES = 4
 PIVOT_ROUNDS = 1
 #: An n-gram's rows of one label are many from here on.
 LARGE_LABEL = 64
+#: An n-gram has many rows of different labels from here on; they meet by bands of sizes.
+CROWDED = 256
 #: Bits of the filter that tells which texts to read again for comparison, by how many there are.
 LEAST_FILTER, MOST_FILTER = 18, 27
 _HASH_BITS = 54
@@ -369,18 +371,22 @@ def pivot_pairs(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
     return counted.filter((F.col("n") >= 2) | (F.col("size") <= 8)).select("left", "right")
 
 
-def _met(a: DataFrame, b: DataFrame, keys: list[str], like: Likeness, once: bool) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, keys: list[str], like: Likeness, once: bool, banded: bool = False) -> DataFrame:
     """Rows of ``a`` and ``b`` that share an n-gram early enough, as ``left right need``.
 
     Left is the larger set. If a pair shares ``overlap`` n-grams, the first ``need`` of them
-    stand no later than ``size - overlap + need - 1`` in either. Rows meet by bands of sizes,
-    since sets of one pair are no more than one band apart.
+    stand no later than ``size - overlap + need - 1`` in either. Where an n-gram has many rows
+    they meet by bands of sizes, since sets of one pair are no more than one band apart; fewer
+    rows are not worth sending to several bands. With ``once``, ``a`` and ``b`` are the same
+    rows, and of two of them the one behind looks for the one ahead.
     """
     columns = [c for c in a.columns if c not in keys]
-    width = like.band_width
-    band = F.floor(F.log("size") / width).cast("int")
-    reached = [band, band - 1] if once else [band - 1, band, band + 1]  # of two rows, the one behind looks for the one ahead
-    joined = a.withColumn("band", band).join(b.select(*keys, F.explode(F.array(*reached)).alias("band"), *[F.col(c).alias(f"b_{c}") for c in columns]), [*keys, "band"])
+    other = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
+    if banded:
+        band = F.floor(F.log("size") / like.band_width).cast("int")
+        b_band = F.floor(F.log("b_size") / like.band_width).cast("int")
+        a, other = a.withColumn("band", band), other.withColumn("band", F.explode(F.array(*([b_band, b_band - 1] if once else [b_band - 1, b_band, b_band + 1]))))
+    joined = a.join(other, [*keys, "band"] if banded else keys)
     ahead = F.struct("size", "class_id") > F.struct(F.col("b_size"), F.col("b_class_id"))
     need = F.when(ahead, F.col("need")).otherwise(F.col("b_need"))
     shared = like.overlap(F.col("size"), F.col("b_size"))
@@ -400,14 +406,19 @@ def remaining_pairs(rows: DataFrame, like: Likeness, scratch: Scratch) -> DataFr
     rows = rows.select("token", "label", "class_id", "size", "need", "pos")
     large = scratch.write(rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_LABEL).select("token", "label"), "large-labels")
     light = rows.join(large, ["token", "label"], "left_anti")
-    met = _met(light, light, ["token"], like, once=True)
+    crowded = scratch.write(light.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("token"), "crowded-tokens")
+    if crowded.isEmpty():
+        met = _met(light, light, ["token"], like, once=True)
+    else:
+        many, few = light.join(crowded, "token", "left_semi"), light.join(crowded, "token", "left_anti")
+        met = _met(few, few, ["token"], like, once=True).unionByName(_met(many, many, ["token"], like, once=True, banded=True))
     if not large.isEmpty():
         heavy = rows.join(large, ["token", "label"], "left_semi")
         meets = large.join(large.withColumnRenamed("label", "other"), "token").filter("label < other")
         first = heavy.join(meets, ["token", "label"]).drop("label")
         second = heavy.join(meets.select("token", F.col("label").alias("_label"), F.col("other").alias("label")), ["token", "label"]).select("token", F.col("label").alias("other"), "class_id", "size", "need", "pos", F.col("_label"))
-        met = met.unionByName(_met(heavy, light, ["token"], like, once=False))
-        met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False))
+        met = met.unionByName(_met(heavy, light, ["token"], like, once=False, banded=True))
+        met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False, banded=True))
     return met.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("left", "right")
 
 

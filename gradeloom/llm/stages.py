@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import language_mixture, line_dedup, ngram_join, packing, toxicity
-from gradeloom.llm.common import arrow_batches, crc_fold, digest_columns
+from gradeloom.llm.common import TEXT_ROWS, crc_fold, digest_columns
 from gradeloom.llm.vocabularies import vocabulary
-from gradeloom.session import materialize
+from gradeloom.session import materialize, ship_package
 from gradeloom.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def written(docs: DataFrame, label: str) -> DataFrame:
-    """The documents, made and written in batches of few texts, so that workers and JVM hold few at a time."""
-    with arrow_batches(docs.sparkSession):
-        return materialize(docs, label)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_texts(spark: SparkSession) -> None:
+    """From here on this session's Python stages get few texts at a time, as five operators share an executor.
+
+    Whole texts pass through the first two stages, and are written by the caller's job, so the
+    session has to hold the setting until then; ``corpus_pipeline.run`` puts the old one back.
+    """
+    ship_package(spark)
+    spark.conf.set(BATCH, str(min(TEXT_ROWS, int(spark.conf.get(BATCH)))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The languages are learned from all rows with a text and a ``lang``. Null and empty texts
     go; repeated rows stay or go together. Where no row has a ``lang``, no document stays.
     """
+    few_texts(spark)
     model = language_mixture.fit_languages(docs)
     found = language_mixture.identify_languages(docs.select(COLUMNS), model, keep_text=True)
-    return written(found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS), "language-id")
+    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("other_share") <= 0.9)).select(COLUMNS)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts hold no word that tells, and stay. Without a toxic label all stay.
     """
+    few_texts(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_fold(F.col("doc_id"), 5) != 0)
     model = toxicity.fit_toxicity(docs, labels, unlabelled=docs.filter(crc_fold(F.col("doc_id"), 5) != 0))
-    return written(toxicity.score_toxicity(docs.select(COLUMNS), model, keep_text=True).filter(F.col("predicted") == 0).select(COLUMNS), "toxicity")
+    return toxicity.score_toxicity(docs.select(COLUMNS), model, keep_text=True).filter(F.col("predicted") == 0).select(COLUMNS)
 
 
 def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
