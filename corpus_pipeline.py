@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the tables between stages are deleted as soon as the next one is written."""
+    batch = spark.conf.get(stages.BATCH)
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
@@ -34,4 +35,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             scratch.drop(before)
         before = name
+    spark.conf.set(stages.BATCH, batch)
     return STAGES[-1][1](spark, docs, sf_dir)
