@@ -213,22 +213,20 @@ def rank_table(texts: DataFrame, words: int, bits: int) -> np.ndarray:
         total = sum(unpack_counts(x) for x in group["counts"])
         return pd.DataFrame({"part": [group["part"].iloc[0] // 16], "chunk": [group["chunk"].iloc[0]], "counts": [pack_counts(total)]})
 
-    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for chunk, data in zip(frame["chunk"], frame["counts"], strict=True):
-                ranks = np.floor(np.log2(1.0 + unpack_counts(data)) * RANK_SCALE).astype("<u2")
-                yield pd.DataFrame({"chunk": [chunk], "ranks": [zlib.compress(ranks.tobytes(), 1)]})
+    def rank(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(unpack_counts(x) for x in group["counts"])
+        ranks = np.floor(np.log2(1.0 + total) * RANK_SCALE).astype("<u2")
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "ranks": [zlib.compress(ranks.tobytes(), 1)]})
 
     schema = "part int, chunk int, counts binary"
     counted = texts.mapInPandas(count, schema)
     tasks = texts.rdd.getNumPartitions()
-    while True:
+    while tasks > 16:
         counted = counted.groupBy((F.col("part") / 16).cast("int").alias("_group"), "chunk").applyInPandas(lambda g: add(g), schema)
         tasks = -(-tasks // 16)
-        if tasks <= 1:
-            break
+    ranked = counted.groupBy("chunk").applyInPandas(lambda g: rank(g), "chunk int, ranks binary")
     out = np.zeros(size, np.uint16)
-    for row in counted.mapInPandas(rank, "chunk int, ranks binary").collect():  # the one table, in chunks
+    for row in ranked.collect():  # the one table, in chunks
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(row["ranks"])), "<u2")
     return out
 
