@@ -41,8 +41,8 @@ MAX_MATCHES = 4
 PIVOT_ROUNDS = 1
 #: An n-gram's rows of one label are many from here on.
 LARGE_LABEL = 64
-#: An n-gram has many rows of different labels from here on; they meet by bands of sizes.
-CROWDED = 256
+#: An n-gram has many rows from here on: they meet by bands of sizes, which sends them three times instead of once.
+CROWDED = 4096
 #: Bits of the filter that tells which texts to read again for comparison, by how many there are.
 LEAST_FILTER, MOST_FILTER = 18, 27
 _HASH_BITS = 54

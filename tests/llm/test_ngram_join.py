@@ -114,7 +114,7 @@ def test_prefix_matches_cost():
     assert ngram_join.best_matches(np.full(54, rank[-1]), 400, 1.0, like) > 1  # all are frequent: share more
 
 
-@pytest.mark.parametrize(("large", "crowded"), [(1, 256), (64, 1)])
+@pytest.mark.parametrize(("large", "crowded"), [(1, 4096), (64, 1)])
 def test_large_labels_and_crowded_tokens_meet_others(spark, monkeypatch, large, crowded):
     docs = corpus(11, 140)
     monkeypatch.setattr(ngram_join, "LARGE_LABEL", large)
