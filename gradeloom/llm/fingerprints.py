@@ -163,13 +163,16 @@ class SketchSet:
         return self.keys[places], np.repeat(np.arange(len(texts)), sizes)
 
     def fingerprints(self) -> list[str]:
+        return [base64.b64encode(x).decode() for x in self.smallest()]
+
+    def smallest(self) -> list[bytes]:
         """The smallest sketch of each text: counts, sums and check sums of its cells."""
         n = len(self.sizes)
         table = empty_table(n, FIRST_CELLS)
         add_keys(table, self.keys, np.repeat(np.arange(n), self.sizes), np.ones(len(self.keys), np.int64), FIRST_CELLS)
         counts, sums, checks = (x.reshape(n, -1) for x in table)
         rows = zip(counts.astype("<i4"), sums.astype("<u8"), checks.astype("<u8"), strict=True)
-        return [base64.b64encode(a.tobytes() + b.tobytes() + c.tobytes()).decode() for a, b, c in rows]
+        return [a.tobytes() + b.tobytes() + c.tobytes() for a, b, c in rows]
 
     def likeness(self, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
         """Digests that each pair shares, over all that it has; 1 for two empty texts."""
@@ -224,12 +227,12 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> pd.Da
     next_at = np.arange(1, n + 1)
     next_at[beyond] = 2 * n + np.arange(len(beyond))
     own, changed = np.arange(n), np.arange(n, 2 * n)
-    prints = sketches.fingerprints()
+    prints = sketches.smallest()
     return pd.DataFrame(
         {
             "doc_id": ids,
             "n_chars": [len(x) for x in texts],
-            "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited],
+            "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in edited],
             "fingerprint": prints[:n],
             "edited_fingerprint": prints[n : 2 * n],
             "near_edited": sketches.likeness(own, changed),
@@ -280,7 +283,7 @@ def join_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield fingerprint_rows(frame["doc_id"].tolist(), frame["text"].tolist(), frame["following"].tolist())
 
 
-SKETCH_SCHEMA = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SKETCH_SCHEMA = "doc_id string, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 SKETCHED = [field.split()[0] for field in SKETCH_SCHEMA.split(", ")]
 
 
@@ -317,4 +320,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     lasts = made.filter("place = 'last'").select("part", "doc_id", "text").join(order_of, "part").join(firsts, "next_part")
     edges = lasts.select("doc_id", "text", "following").mapInPandas(join_frames, SKETCH_SCHEMA)
     found = made.filter("place = 'inner'").select(*SKETCHED).unionByName(edges)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    shown = {"doc_id": F.col("doc_id").cast("long"), "edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")}
+    return found.select(*[shown.get(c, F.col(c)).alias(c) for c in SKETCHED])

@@ -55,6 +55,7 @@ def test_operator_equals_brute_force(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["near_edited"] == pytest.approx(likeness(t, edited))
         assert got[i]["near_next"] == pytest.approx(likeness(t, following))
+    assert got[150]["fingerprint"] == SketchSet([texts[20]]).fingerprints()[0]
     assert got[150]["fingerprint"] == got[20 * 7 % 101]["fingerprint"] != got[21 * 7 % 101]["fingerprint"]
     assert fingerprint_documents(df.limit(0)).count() == 0
 
