@@ -320,5 +320,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     lasts = made.filter("place = 'last'").select("part", "doc_id", "text").join(order_of, "part").join(firsts, "next_part")
     edges = lasts.select("doc_id", "text", "following").mapInPandas(join_frames, SKETCH_SCHEMA)
     found = made.filter("place = 'inner'").select(*SKETCHED).unionByName(edges)
-    shown = {"doc_id": F.col("doc_id").cast("long"), "edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")}
+    shown = {"doc_id": F.col("doc_id").cast("long"), "edited_sha256": F.lower(F.hex("edited_sha256")), **{c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}}
     return found.select(*[shown.get(c, F.col(c)).alias(c) for c in SKETCHED])
