@@ -22,6 +22,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -274,7 +276,7 @@ def set_frames(frames: Iterator[pd.DataFrame], held: np.ndarray, words: int) ->
             grams, sizes = distinct_shingles(part["text"].tolist(), words)
             ends = np.cumsum(sizes)
             class_key, check = class_ids(grams, sizes)
-            yield pd.DataFrame({"class_key": class_key, "check": check, "grams": [grams[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]})
+            yield pd.DataFrame({"key": part["key"].to_numpy(), "class_key": class_key, "check": check, "grams": [grams[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]})
 
 
 def verify_frames(frames: Iterator[pd.DataFrame], like: Likeness) -> Iterator[pd.DataFrame]:
@@ -306,14 +308,16 @@ def link_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, like: Liken
     involved = scratch.write(ids.join(nodes.select("class_id", "class_key", "check", F.xxhash64("first_doc").alias("key")), "class_id"), f"compared-{turn}")
     held = spark.sparkContext.broadcast(bit_filter(involved))  # 2 ** MOST_FILTER bits at most
     words = like.words
-    read = texts.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id")).select("key", "text").mapInPandas(lambda frames: set_frames(frames, held.value, words), "class_key long, check long, grams binary")
+    read = texts.filter(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id")).select("key", "text").mapInPandas(lambda frames: set_frames(frames, held.value, words), "key long, class_key long, check long, grams binary")
     with arrow_batches(spark):
-        sets = scratch.write(read.join(involved.select("class_id", "class_key", "check"), ["class_key", "check"]).select("class_id", "grams").dropDuplicates(["class_id"]), f"sets-{turn}")
+        sets = scratch.write(read.join(involved, ["key", "class_key", "check"]).select("class_id", "grams"), f"sets-{turn}")
+    if not sets.groupBy("class_id").count().filter("count > 1").isEmpty():  # rows that share id and text
+        sets = scratch.write(sets.dropDuplicates(["class_id"]), f"single-sets-{turn}")
     joined = pairs.join(sets.select(F.col("class_id").alias("left"), F.col("grams").alias("left_grams")), "left").join(sets.select(F.col("class_id").alias("right"), F.col("grams").alias("right_grams")), "right")
     with arrow_batches(spark, 64):  # rows of two sets
         links = scratch.write(joined.select("left", "right", "left_grams", "right_grams").mapInPandas(lambda frames: verify_frames(frames, like), "left long, right long"), f"links-{turn}")
     held.destroy()
-    scratch.drop(f"compared-{turn}", f"sets-{turn}")
+    scratch.drop(f"compared-{turn}", f"sets-{turn}", f"single-sets-{turn}")
     return links
 
 
@@ -379,12 +383,13 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str], like: Likeness, once: bool
     rows, and of two of them the one behind looks for the one ahead.
     """
     columns = [c for c in a.columns if c not in keys]
-    other = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
     if banded:
         band = F.floor(F.log("size") / like.band_width).cast("int")
-        b_band = F.floor(F.log("b_size") / like.band_width).cast("int")
-        a, other = a.withColumn("band", band), other.withColumn("band", F.explode(F.array(*([b_band, b_band - 1] if once else [b_band - 1, b_band, b_band + 1]))))
-    joined = a.join(other, [*keys, "band"] if banded else keys)
+        a, b = a.withColumn("band", band), b.withColumn("band", F.explode(F.array(*([band, band - 1] if once else [band - 1, band, band + 1]))))
+        keys = [*keys, "band"]
+    # Columns get their names after the join: so the same rows are shuffled once for both sides.
+    same = reduce(and_, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    joined = a.alias("a").join(b.alias("b"), same).select("a.*", *[F.col(f"b.{c}").alias(f"b_{c}") for c in columns])
     ahead = F.struct("size", "class_id") > F.struct(F.col("b_size"), F.col("b_class_id"))
     need = F.when(ahead, F.col("need")).otherwise(F.col("b_need"))
     shared = like.overlap(F.col("size"), F.col("b_size"))
@@ -415,7 +420,7 @@ def remaining_pairs(rows: DataFrame, like: Likeness, scratch: Scratch) -> DataFr
         meets = large.join(large.withColumnRenamed("label", "other"), "token").filter("label < other")
         first = heavy.join(meets, ["token", "label"]).drop("label")
         second = heavy.join(meets.select("token", F.col("label").alias("_label"), F.col("other").alias("label")), ["token", "label"]).select("token", F.col("label").alias("other"), "class_id", "size", "need", "pos", F.col("_label"))
-        met = met.unionByName(_met(heavy, light, ["token"], like, once=False, banded=True))
+        met = met.unionByName(_met(heavy, light.join(large.select("token"), "token", "left_semi"), ["token"], like, once=False, banded=True))
         met = met.unionByName(_met(first, second.drop("_label").distinct(), ["token", "other"], like, once=False, banded=True))
     return met.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("left", "right")
 
@@ -480,7 +485,8 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         grouped = labelled(shared, labels)
-        open_ = scratch.write(grouped.join(mixed_tokens(grouped), "token", "left_semi"), f"open-rows-{turn}")
+        # At first each class is a group of its own, so all shared n-grams are in several groups.
+        open_ = grouped if labels is None else scratch.write(grouped.join(mixed_tokens(grouped), "token", "left_semi"), f"open-rows-{turn}")
         made = pivot_pairs(open_, like, turn) if turn < PIVOT_ROUNDS else remaining_pairs(open_, like, scratch)
         new = link_pairs(scratch.write(made, f"candidates-{turn}"), texts, nodes, like, scratch, turn)
         links = new if links is None else links.unionByName(new)
