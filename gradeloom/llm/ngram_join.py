@@ -482,6 +482,9 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     rows = rows.filter(F.col("pos") < F.col("base") + MAX_MATCHES - 1).select("token", "class_id", "size", "need", "pos")
     common = scratch.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-tokens")
     shared = scratch.write(rows.join(common, "token", "left_semi"), "shared-rows")
+    # From here on prefixes are needed no more, and take more room than anything else.
+    members = scratch.write(prefixes.select("doc_id", F.col("size").alias("n_shingles"), "class_id"), "members")
+    scratch.drop("prefixes", "shared-tokens")
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         grouped = labelled(shared, labels)
@@ -492,16 +495,15 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         labels = scratch.write(connected(links, scratch), f"labels-{turn}")
         scratch.drop(f"open-rows-{turn}", f"candidates-{turn}")
-    scratch.drop("shared-tokens", "shared-rows")
+    scratch.drop("shared-rows")
     grouped = nodes.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     smallest = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    return _with_components(prefixes, grouped, smallest, scratch)
+    return _with_components(members, grouped, smallest, scratch)
 
 
-def _with_components(prefixes: DataFrame, grouped: DataFrame, smallest: DataFrame, scratch: Scratch) -> DataFrame:
+def _with_components(members: DataFrame, grouped: DataFrame, smallest: DataFrame, scratch: Scratch) -> DataFrame:
     """Only classes whose component is not their own document's id go into the last join, which splits hot classes."""
     moved = grouped.join(smallest, "label").filter((F.col("copies") > 1) | (F.col("component_id") != F.col("first_doc"))).select("class_id", "component_id")
-    rows = prefixes.select("doc_id", F.col("size").alias("n_shingles"), "class_id")
-    joined = rows.join(scratch.write(moved, "moved"), "class_id", "left")
+    joined = members.join(scratch.write(moved, "moved"), "class_id", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     return joined.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
