@@ -48,6 +48,8 @@ CROWDED = 4096
 #: Bits of the filter that tells which texts to read again for comparison, by how many there are.
 LEAST_FILTER, MOST_FILTER = 18, 27
 _HASH_BITS = 54
+#: Bytes of each hash that a coded set holds as they are.
+LOW_BYTES = 5
 #: Ranks are logarithms to base 2, times this.
 RANK_SCALE = 2000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -156,6 +158,28 @@ def ranked_shingles(texts: list[str], words: int, ranks: np.ndarray, bits: int)
     return grams, np.bincount((keys[new] >> np.uint64(_HASH_BITS)).astype(np.int64), minlength=len(texts)), rank
 
 
+def code_set(grams: np.ndarray) -> bytes:
+    """A sorted set in six bytes for each n-gram: how many, the low five bytes of each, then the steps of the bits above.
+
+    A step is one byte, after a 255 for every 255 that it is larger; these are 64 at most in a set.
+    """
+    low = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+    steps = np.diff((grams >> np.uint64(8 * LOW_BYTES)).astype(np.int64), prepend=0)
+    larger = steps // 255
+    coded = np.full(len(steps) + int(larger.sum()), 255, np.uint8)
+    coded[np.cumsum(larger + 1) - 1] = steps % 255
+    return len(grams).to_bytes(4, "little") + low.tobytes() + coded.tobytes()
+
+
+def decode_set(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    coded = np.frombuffer(data, np.uint8)[4:]
+    grams = np.zeros((n, 8), np.uint8)
+    grams[:, :LOW_BYTES] = coded[: n * LOW_BYTES].reshape(n, LOW_BYTES)
+    steps = coded[n * LOW_BYTES :]
+    return grams.view("<u8").ravel() | (np.cumsum(steps, dtype=np.uint64)[steps != 255] << np.uint64(8 * LOW_BYTES))
+
+
 def class_ids(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit digests of each set."""
     starts = np.append(0, np.cumsum(sizes))[:-1]
@@ -276,13 +300,13 @@ def set_frames(frames: Iterator[pd.DataFrame], held: np.ndarray, words: int) ->
             grams, sizes = distinct_shingles(part["text"].tolist(), words)
             ends = np.cumsum(sizes)
             class_key, check = class_ids(grams, sizes)
-            yield pd.DataFrame({"key": part["key"].to_numpy(), "class_key": class_key, "check": check, "grams": [grams[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]})
+            yield pd.DataFrame({"key": part["key"].to_numpy(), "class_key": class_key, "check": check, "grams": [code_set(grams[b - n : b]) for b, n in zip(ends, sizes, strict=True)]})
 
 
 def verify_frames(frames: Iterator[pd.DataFrame], like: Likeness) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        lefts = [np.frombuffer(x, np.uint64) for x in frame["left_grams"]]
-        rights = [np.frombuffer(x, np.uint64) for x in frame["right_grams"]]
+        lefts = [decode_set(x) for x in frame["left_grams"]]
+        rights = [decode_set(x) for x in frame["right_grams"]]
         sizes = np.array([[len(a), len(b)] for a, b in zip(lefts, rights, strict=True)]).reshape(-1, 2).sum(axis=1)
         shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(lefts, rights, strict=True)], np.int64)
         yield frame.loc[like.linked(shared, sizes - shared), ["left", "right"]]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gradeloom.llm import ngram_join, queries
-from gradeloom.llm.ngram_join import Likeness, connected, distinct_shingles, jaccard_components, ranked_shingles, shingles, with_class_ids, word_hashes
+from gradeloom.llm.ngram_join import Likeness, code_set, connected, decode_set, distinct_shingles, jaccard_components, ranked_shingles, shingles, with_class_ids, word_hashes
 from gradeloom.session import Scratch
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -43,6 +43,14 @@ def brute_components(docs, n, percent):
     return sorted((i, len(s), root(i)) for i, s in sets)
 
 
+@given(st.sets(st.one_of(st.integers(0, 300), st.integers(0, (1 << 54) - 1), st.integers((1 << 54) - 9, (1 << 54) - 1)), max_size=80))
+def test_coded_sets_come_back(values):
+    grams = np.array(sorted(values), np.uint64)
+    coded = code_set(grams)
+    assert decode_set(coded).tolist() == grams.tolist()
+    assert len(coded) <= 4 + 6 * len(grams) + 64
+
+
 def corpus(seed, n=160):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
