@@ -387,12 +387,16 @@ def pivot_pairs(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
 
     First that is the one that holds the n-gram earliest in its order, and so has the fewest
     rare n-grams of its own: the middle of a group of near copies. Then it is the first by hash.
+    In the first round (0) each class is a group of its own.
     """
     width = like.band_width
-    banded = rows.withColumn("band", F.floor(F.log("size") / width + turn / 2).cast("int"))
-    order = F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "class_id"))
-    pivots = banded.groupBy("token", "band").agg(F.min_by(F.struct("class_id", "size", "label"), order).alias("pivot"))
-    met = banded.join(pivots, ["token", "band"]).filter((F.col("label") != F.col("pivot.label")) & (F.least("size", "pivot.size") * 100 >= F.greatest("size", "pivot.size") * like.percent))
+    columns = ["class_id", "size"] if turn == 0 else ["class_id", "size", "label"]
+    banded = rows.select("token", F.floor(F.log("size") / width + turn / 2).cast("int").alias("band"), "pos", *columns)
+    # Class ids are digests themselves, so of several rows at one place the first has no meaning.
+    order = F.col("pos") if turn == 0 else F.xxhash64(F.lit(turn), "class_id")
+    pivots = banded.groupBy("token", "band").agg(F.min(F.struct(order.alias("order"), *columns)).alias("pivot"))
+    apart = F.col("class_id") != F.col("pivot.class_id") if turn == 0 else F.col("label") != F.col("pivot.label")
+    met = banded.drop("pos").join(pivots, ["token", "band"]).filter(apart & (F.least("size", "pivot.size") * 100 >= F.greatest("size", "pivot.size") * like.percent))
     counted = met.groupBy(F.col("class_id").alias("left"), F.col("pivot.class_id").alias("right")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return counted.filter((F.col("n") >= 2) | (F.col("size") <= 8)).select("left", "right")
 
