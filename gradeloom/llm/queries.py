@@ -6,9 +6,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import fingerprints, html_text, language_mixture, line_dedup, ngram_join, packing, sentencepieces, toxicity, url_filters, vector_search
+from gradeloom.llm import conversation_repair, fingerprints, html_text, language_mixture, line_dedup, ngram_join, packing, periodic_runs, sentencepieces, token_files, toxicity, url_filters, vector_search
 from gradeloom.llm.common import crc_fold
 from gradeloom.llm.vocabularies import vocabulary
+from gradeloom.session import Scratch
 from gradeloom.sources.tables import table
 
 URL_RULES = [
@@ -77,6 +78,62 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
 
 
+def with_repeated_ends(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the crc32 of their id (null: of nothing), end in copies of some of their words."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    hit = docs.withColumn("crc", crc).withColumn("words", F.when(F.col("crc") % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")))
+    n = F.size("words")
+    sized = hit.withColumn("n", n).withColumn("g", F.floor(F.col("crc") / 10)).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    sized = sized.withColumn("rest", F.col("n") - F.col("a")).withColumn("p", (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    piece = F.slice("words", F.col("a") + 1, F.col("p"))
+    copies = F.slice(F.flatten(F.array_repeat(piece, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest"))
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), copies), " ")).otherwise(F.coalesce("text", F.lit("")))
+    return sized.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(with_repeated_ends(docs))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # Greatest length, then smallest start, then smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    named = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.less")
+    return named.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.back")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """A quarter of the rows, by the crc32 of their conversation and turn, is dropped, emptied, cut, repeated or given to the user."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    rows = turns.withColumn("damage", kind).filter("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_conversations(damaged_turns(turns), turns.select("conv_id"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = Scratch(spark, "token-files").folder
+    token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), folder, end_id=0)
+    return token_files.read_checksums(spark, folder)
+
+
 QUERIES = {
     "op1_vector_search": op1_vector_search,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +145,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_files": op13_token_files,
     "pipeline": corpus_pipeline.run,
 }
 
