@@ -141,11 +141,11 @@ class Grammar:
                 todo.pop()
         return self.known[key]
 
-    def reduce(self, texts: list[bytes]) -> np.ndarray:
+    def reduce(self, texts: list[bytes], rules: int = RULES) -> np.ndarray:
         """One symbol for each text (bytes are symbols, no text is empty)."""
         flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-        for _ in range(RULES):  # Re-Pair
+        for _ in range(rules):  # Re-Pair
             inside = owner[:-1] == owner[1:]
             many = len(self.left)
             pairs = flat[:-1][inside] * many + flat[1:][inside]
@@ -188,7 +188,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], segment_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows in order to segments: consecutive rows of one conversation."""
     from pyspark import TaskContext
 
@@ -202,7 +202,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "kind", "h1", "h2", "text")), strict=True):
-            if own and (own[0][0] != row[0] or len(own) == SEGMENT_ROWS or chars > SEGMENT_CHARS):
+            if own and (own[0][0] != row[0] or len(own) == segment_rows or chars > SEGMENT_CHARS):
                 out.append(closed())
                 waiting += chars
                 own, seg, chars = [], seg + 1, 0
@@ -221,7 +221,7 @@ MATRIX_SCHEMA = "conv_id long, part int, seg int, kinds binary, costs array<long
 _MATRIX = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("seg", pa.int32()), ("kinds", pa.binary()), ("costs", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64())), ("audits", pa.list_(pa.string()))])
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrices(batches: Iterator[pa.RecordBatch], rules: int) -> Iterator[pa.RecordBatch]:
     """Each segment's matrix, by one grammar for the segments of a batch."""
     for batch in batches:
         kinds = []
@@ -235,7 +235,7 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [x.translate(_MUST_GO) for x in kinds]
         texts = list(dict.fromkeys(plain))
         grammar = Grammar()
-        symbols = dict(zip(texts, grammar.reduce(texts).tolist(), strict=True))
+        symbols = dict(zip(texts, grammar.reduce(texts, rules).tolist(), strict=True))
         written = {}
         for text, symbol in symbols.items():
             costs, ranks = grammar.costs[symbol], grammar.ranks[symbol]
@@ -353,7 +353,7 @@ def _repaired(batches: Iterator[pa.RecordBatch], as_turns: bool) -> Iterator[pa.
         yield _batch(out, schema)
 
 
-def _pass(turns: DataFrame, conversations: DataFrame | None, as_turns: bool) -> DataFrame:
+def _pass(turns: DataFrame, conversations: DataFrame | None, as_turns: bool, segment_rows: int, rules: int) -> DataFrame:
     spark = turns.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "conversations")
@@ -370,14 +370,14 @@ def _pass(turns: DataFrame, conversations: DataFrame | None, as_turns: bool) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // TASK_ROWS))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "role", "kind", "h1", "h2", "text")
     with arrow_batches(spark):
-        segments = scratch.write(dealt.mapInArrow(_segments, SEGMENT_SCHEMA), "segments")
+        segments = scratch.write(dealt.mapInArrow(partial(_segments, segment_rows=segment_rows), SEGMENT_SCHEMA), "segments")
     # Rows whose role and text came earlier in the conversation, among those that come more than once.
     seen = segments.select("part", "seg", F.inline("seen"))
     place = F.struct("part", "seg", "at")
     firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
     again = seen.join(firsts, ["h1", "h2"]).filter(place > F.col("first")).groupBy("part", "seg").agg(F.collect_list("at").alias("again"))
     light = segments.select("conv_id", "part", "seg", "kinds").join(again, ["part", "seg"], "left").select("conv_id", "part", "seg", "kinds", "again")
-    matrices = light.mapInArrow(_matrices, MATRIX_SCHEMA)
+    matrices = light.mapInArrow(partial(_matrices, rules=rules), MATRIX_SCHEMA)
     by_turn = given.select("conv_id", "turn").distinct().groupBy("conv_id")
     heads = by_turn.agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).alias("gaps"))
     if conversations is not None:
@@ -392,7 +392,7 @@ def _pass(turns: DataFrame, conversations: DataFrame | None, as_turns: bool) ->
     return streamed.mapInArrow(partial(_repaired, as_turns=as_turns), TURN_SCHEMA if as_turns else REPORT_SCHEMA)
 
 
-def repair_conversations(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+def repair_conversations(turns: DataFrame, conversations: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS, rules: int = RULES) -> DataFrame:
     """One row for each ``conv_id``: its faults, the cheapest edits and a digest of the repaired turns.
 
     ``turns`` has ``conv_id turn role text``; a null role or text is one space. Rows are taken by
@@ -403,12 +403,14 @@ def repair_conversations(turns: DataFrame, conversations: DataFrame | None = Non
     neighbours whose roles do not begin with su, ua or au. ``cost`` and ``audit`` are those of the
     module's text; ``repaired_sha256`` is of the repaired ``role:text``, joined by line feeds.
 
+    ``segment_rows`` and ``rules`` (Re-Pair rules of a batch) change the work, not the result.
+
     Ids of ``conversations`` (a table with ``conv_id``) without a row have zeros, an empty audit
     and the digest of nothing. A null ``conv_id`` is an id of its own. Other columns are ignored; an
     empty table gives an empty result. The digest of one conversation is made in one task, as
     its turns pass in order; a segment's turns, and the audits that lead to each state, are held.
     """
-    return _pass(turns, conversations, as_turns=False)
+    return _pass(turns, conversations, False, segment_rows, rules)
 
 
 def repaired_turns(turns: DataFrame) -> DataFrame:
@@ -416,4 +418,4 @@ def repaired_turns(turns: DataFrame) -> DataFrame:
 
     ``edit`` is K for a kept turn, R for one with a new role, I for an inserted one with an empty text.
     """
-    return _pass(turns, None, as_turns=True)
+    return _pass(turns, None, True, SEGMENT_ROWS, RULES)

@@ -181,7 +181,7 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 BLOCK_SCHEMA = "part int, block int, dictionary_sha256 string, id_bytes int, first_doc long, last_doc long, start long, n_tokens long, doc_ids array<long>, ends array<long>, tokens array<long>, frames binary"
 
 
-def _pack(frames: Iterator[pa.RecordBatch], digest: str, id_bytes: int) -> Iterator[pa.RecordBatch]:
+def _pack(frames: Iterator[pa.RecordBatch], digest: str, id_bytes: int, block_docs: int) -> Iterator[pa.RecordBatch]:
     """Blocks of consecutive frames; ``start`` counts this part's tokens."""
     from pyspark import TaskContext
 
@@ -204,7 +204,7 @@ def _pack(frames: Iterator[pa.RecordBatch], digest: str, id_bytes: int) -> Itera
             tokens.append(n)
             held.append(frame)
             size += len(frame)
-            if size > BLOCK_BYTES or len(ids) == BLOCK_DOCS:
+            if size > BLOCK_BYTES or len(ids) == block_docs:
                 yield closed()
                 block, start = block + 1, start + sum(tokens)
                 ids, tokens, held, size = [], [], [], 0
@@ -212,12 +212,12 @@ def _pack(frames: Iterator[pa.RecordBatch], digest: str, id_bytes: int) -> Itera
         yield closed()
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
+def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, block_docs: int = BLOCK_DOCS) -> None:
     """Encode whole texts (null: empty), end each with ``end_id`` and write them to ``folder``.
 
     ``path`` is the vocabulary file. Documents come in ascending ``doc_id``, null ids first;
     rows with one id in the order of a hash of their text, each as a document of its own.
-    Other columns are ignored. An empty table gives files without a block.
+    A block has at most ``block_docs`` of them. Other columns are ignored. An empty table gives files without a block.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("row_no")]
     dealt = framed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
-    dealt.mapInArrow(lambda frames: _pack(frames, digest, id_bytes), BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    dealt.mapInArrow(lambda frames: _pack(frames, digest, id_bytes, block_docs), BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     scratch.drop("frames")
     # One row for each part.
     own = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))

@@ -105,13 +105,11 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 @pytest.mark.parametrize("rows, rules", [(4_096, 240), (2, 240), (3, 0)])
-def test_made_up_conversations_in_segments(spark, tmp_path, monkeypatch, rows, rules):
-    monkeypatch.setattr(repair, "SEGMENT_ROWS", rows)
-    monkeypatch.setattr(repair, "RULES", rules)
+def test_made_up_conversations_in_segments(spark, rows, rules):
     table = made_up(rows)
-    folder = f"{tmp_path}/conversations.parquet"
-    spark.createDataFrame([(*x, 5, "x") for x in table], f"{SCHEMA}, kind int, CONVERSATION string").repartition(3).write.parquet(folder)
-    assert answer(op12_conversation_repair(spark, str(tmp_path))) == brute(table)
+    turns = spark.createDataFrame([(*x, 5, "x") for x in table], f"{SCHEMA}, kind int, CONVERSATION string").repartition(3)
+    found = repair.repair_conversations(damaged_turns(turns), turns.select("conv_id", "kind"), rows, rules)
+    assert answer(found) == brute(table)
 
 
 def test_all_dropped_and_empty_table(spark, tmp_path):

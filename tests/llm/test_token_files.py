@@ -67,11 +67,10 @@ def test_query_equals_the_library_on_the_whole_table(spark, library):
     assert sorted(map(tuple, op13_token_files(spark, SMALL).collect())) == expected(library, rows)
 
 
-def test_blocks_single_documents_and_nulls(spark, library, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "BLOCK_DOCS", 5)
+def test_blocks_single_documents_and_nulls(spark, library, tmp_path):
     rows = [(i * 3, f"document {i} " * (i % 9) + "\n\n é") for i in range(60)] + [(None, "no id"), (200, None), (201, ""), (202, "long " * 60_000)]
     spark.createDataFrame([(*x, "y") for x in rows], f"{SCHEMA}, Frames string").repartition(4).write.parquet(f"{tmp_path}/in")
-    files.write_token_files(spark.read.parquet(f"{tmp_path}/in"), PATH, f"{tmp_path}/out")
+    files.write_token_files(spark.read.parquet(f"{tmp_path}/in"), PATH, f"{tmp_path}/out", block_docs=5)
     back = files.read_checksums(spark, f"{tmp_path}/out")
     assert sorted(map(tuple, back.collect()), key=lambda x: x[1]) == expected(library, rows)
     texts = dict(rows)
