@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.functions.text import edit_credit, word_ngrams
+from gradeloom.operators.asof import as_of
 from gradeloom.session import materialize, ship_package
 
 #: Marked examples, and vectors, that a task holds at a time.
 EXEMPLAR_BLOCK = 4096
 #: Vectors whose scores against a block are held at once.
 SCORED_ROWS = 512
+#: Parts that blocks are dealt to, at most: tasks that compare blocks at one time.
+PARTS = 256
+#: Bands up to this number are sent to every task.
+BROADCAST_BANDS = 10_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -35,17 +40,27 @@ def grade_edit_distance(answers: DataFrame, key: DataFrame, on: str, answer: str
 
 
 def rubric_coverage(answers: DataFrame, rubric: DataFrame, answer_key: str, answer: str, item_key: str, passage: str, n: int, min_share: float) -> DataFrame:
-    """How much of each criterion's word n-grams an answer holds, from ``min_share`` on.
+    """How much of each criterion's word n-grams an answer holds, from ``min_share`` (over 0) on.
 
-    N-grams travel as 128-bit digests. The answers' are joined with the rubric's as soon as
-    they are made, and made distinct after that; Spark sends the rubric to every task while it
-    is small enough, and shuffles both sides by digest beyond.
+    N-grams travel as 128-bit digests. Of the answers' only those that the rubric has are kept,
+    once for each answer, however many criteria share them. A criterion with ``t`` n-grams of which ``m``
+    are wanted is met by no answer that lacks its ``t - m + 1`` rarest ones, so answers and
+    criteria meet by those alone, and are then compared in full: an n-gram that very many answers
+    and criteria hold costs one row for each answer, not for each pair.
     """
     digest = ["gram1", "gram2"]
-    items = word_ngrams(rubric, item_key, passage, n).distinct()
+    items = materialize(word_ngrams(rubric, item_key, passage, n).distinct(), "rubric")
+    grams = items.select(*digest).distinct()
+    held = materialize(word_ngrams(answers, answer_key, answer, n).join(grams, digest, "left_semi").distinct(), "held")
+    often = held.groupBy(*digest).agg(F.count(F.lit(1)).alias("often"))
     totals = items.groupBy(item_key).agg(F.count(F.lit(1)).alias("grams_total"))
-    met = word_ngrams(answers, answer_key, answer, n).join(items, digest).select(answer_key, item_key, *digest).distinct()
-    found = met.groupBy(answer_key, item_key).agg(F.count(F.lit(1)).alias("grams_found"))
+    place = F.row_number().over(Window.partitionBy(item_key).orderBy("often", *digest))
+    lacking = F.col("grams_total") - F.ceil(F.col("grams_total") * F.lit(min_share) - 1e-9) + 1
+    # An n-gram in no answer has a place as well: nobody meets by it.
+    ranked = items.join(often, digest, "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("place", place)
+    rarest = ranked.join(totals, item_key).filter(F.col("place") <= lacking).filter("often > 0").select(item_key, *digest)
+    met = held.join(rarest, digest).select(answer_key, item_key).distinct()
+    found = met.join(items, item_key).join(held, [answer_key, *digest]).groupBy(answer_key, item_key).agg(F.count(F.lit(1)).alias("grams_found"))
     share = F.col("grams_found") / F.col("grams_total")
     return found.join(totals, item_key).select(answer_key, item_key, "grams_total", "grams_found", share.alias("share")).filter(F.col("share") >= min_share)
 
@@ -109,7 +124,15 @@ def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str
         dim = (F.octet_length("vectors") / (8 * F.size("keys"))).cast("int")
         return packed.select("*", dim.alias("dim")).select(*[F.col(c).alias(prefix + c) for c in [*packed.columns, "dim"]])
 
-    pairs = blocks(vectors, F.lit(None), "").drop("labels").crossJoin(blocks(exemplars, F.col(label), "near_")).filter("dim = near_dim")
+    own, near_blocks = blocks(vectors, F.lit(None), "").drop("labels"), blocks(exemplars, F.col(label), "near_")
+    # Every block meets every other one: the blocks of the larger table are dealt to parts, those of the smaller one go to each.
+    sizes = own.count(), near_blocks.count()
+    parts = max(1, min(max(sizes), PARTS))
+    dealt, copied = F.pmod(F.xxhash64("keys", "vectors"), F.lit(parts).cast("bigint")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    near_dealt = F.pmod(F.xxhash64("near_keys", "near_vectors"), F.lit(parts).cast("bigint"))
+    own = own.withColumn("part", dealt if sizes[0] >= sizes[1] else copied)
+    near_blocks = near_blocks.withColumn("near_part", copied if sizes[0] >= sizes[1] else near_dealt)
+    pairs = own.join(near_blocks, (F.col("part") == F.col("near_part")) & (F.col("dim") == F.col("near_dim")))
     schema = T.StructType([T.StructField("key", key_type), T.StructField("near_key", key_type), T.StructField("near_label", label_type), T.StructField("score", T.DoubleType())])
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "4")  # rows of megabytes
@@ -138,9 +161,34 @@ def weighted_score(marks: DataFrame, keys: list[str], mark: str, weight: Column,
     return marks.groupBy(*keys).agg((F.sum(earned * weight) / F.nullif(F.sum(F.lit(cap) * weight), F.lit(0.0))).alias("score"))
 
 
-def grade_bands(scores: DataFrame, score: str, bands: list[tuple[str, float, float]]) -> DataFrame:
-    """The band with ``low <= score < high``; null outside all bands. The list is part of the plan."""
-    band = F.lit(None).cast("string")
-    for name, low, high in reversed(bands):
-        band = F.when((F.col(score) >= low) & (F.col(score) < high), F.lit(name)).otherwise(band)
-    return scores.withColumn("band", band)
+def grade_bands(scores: DataFrame, score: str, bands: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Adds the ``band`` with ``low <= score < high`` for the row's ``by`` columns; null outside all bands.
+
+    ``bands`` has ``by``, ``band``, ``low`` and ``high``; a null ``high`` is open. Bands that overlap, or
+    end at or before their beginning, raise an error; gaps are allowed. Null scores and keys have no band.
+
+    As bands don't overlap, only the last one that begins at or below the score can hold it. Up to
+    ``BROADCAST_BANDS`` of them, counted first, go to every task; beyond, scores and bands meet by an
+    as-of join. Neither compares all scores with all bands.
+    """
+    by = by or []
+    known = materialize(bands.filter("low is not null").select(*by, "band", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), "bands")
+    following = F.lead("low").over(Window.partitionBy(*by).orderBy("low"))
+    wrong = known.withColumn("_next", following).filter("high <= low or low = _next or high > _next or (high is null and _next is not null)")
+    bad = wrong.select(*by, "band", "low", "high").head(3)
+    if bad:
+        raise ValueError(f"bands overlap or are empty: {[tuple(row) for row in bad]}")
+    value = F.col(score).cast("double")
+    inside = (value >= F.col("_band.low")) & (F.col("_band.high").isNull() | (value < F.col("_band.high")))
+    if known.count() > BROADCAST_BANDS:
+        keyed = scores.withColumns({"_score": value, "_key": F.lit(0)})
+        placed = as_of(keyed, known.withColumns({"_band": F.struct("band", "low", "high"), "_key": F.lit(0)}), [*by, "_key"], "_score", "low", ["_band"])
+    else:
+        listed = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("low", "high", "band"))).alias("_bands"))
+        if by:
+            placed = scores.join(F.broadcast(listed), by, "left")
+        else:
+            placed = scores.withColumn("_one", F.lit(1)).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one", "left")
+        below = F.filter("_bands", lambda x: x["low"] <= value)
+        placed = placed.withColumn("_band", F.try_element_at(below, F.lit(-1)))
+    return placed.select(*scores.columns, F.when(inside, F.col("_band.band")).alias("band"))

@@ -12,12 +12,14 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.functions.text import C_KEYWORDS, C_PARTS, C_TOKENS
-from gradeloom.operators import answers, feedback, grading, reports
+from gradeloom.operators import answers, copies, deadlines, feedback, grading, reports
 from gradeloom.session import shared_dir, ship_package
 from gradeloom.sources import pages, sinks
 from gradeloom.sources.tables import table
+from gradeloom.streaming import arrivals
 
 NEWEST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 BANDS = [("A", 300000.0, 1e12), ("B", 200000.0, 300000.0), ("C", 100000.0, 200000.0), ("D", 0.0, 100000.0)]
@@ -101,6 +103,23 @@ def p04_transcribe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.transcribe_pages(images, _recognise, "page_id long, text string, confidence double")
 
 
+def _recognise_or_fail(batch: pd.DataFrame) -> pd.DataFrame:
+    """As ``_recognise``; it can't read a page whose number ends in 7."""
+    bad = batch["page_id"][batch["page_id"] % 10 == 7]
+    if len(bad):
+        raise ValueError(f"page {bad.iloc[0]} is unreadable")
+    return _recognise(batch)
+
+
+def p04b_quarantined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts and failures as one table."""
+    ship_package(spark)
+    images = table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    read, failed = pages.transcribe_with_quarantine(images, _recognise_or_fail, schema, "page_id")
+    return read.withColumn("reason", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
 def p05_missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     expected = turns.groupBy("conv_id").agg(F.max("turn").alias("expected"))
@@ -161,7 +180,19 @@ def p15_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p16_grade_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grading.grade_bands(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", BANDS)
+    bands = spark.createDataFrame(BANDS, "band string, low double, high double")
+    return grading.grade_bands(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", bands)
+
+
+def p16b_bands_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each priority has bands of its own: five of 80,000 with a gap before the last, which is open."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    step = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    steps = orders.select("o_orderpriority").distinct().select("o_orderpriority", step.alias("step"))
+    low = F.col("step") * 80000.0 + F.length("o_orderpriority") * 1000.0
+    high = F.when(F.col("step") < 4, low + F.when(F.col("step") == 3, 60000.0).otherwise(80000.0))
+    bands = steps.select("o_orderpriority", F.concat(F.lit("band "), F.col("step").cast("string")).alias("band"), low.alias("low"), high.alias("high"))
+    return grading.grade_bands(orders, "o_totalprice", bands, ["o_orderpriority"])
 
 
 def p17_score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +258,62 @@ def p26_common_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.common_faults(latest_lines(spark, sf_dir), "l_linenumber", "l_partkey", F.col("l_quantity") < 25, 5)
 
 
+COPY_RULES = {"k": 10, "window": 6, "common": 10}
+
+
+def p27_copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return copies.copy_pairs(docs, "doc_id", "text", **COPY_RULES, min_shared=4, min_share=0.5)
+
+
+def p27b_copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return copies.copy_classes(docs, "doc_id", "text", **COPY_RULES)
+
+
+def p28_streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive in three steps; between them the stream ends and starts again from its checkpoint."""
+    folder = _scratch(spark, "arrivals")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # Pages of one answer arrive in different steps.
+    for step in range(3):
+        turns.filter(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == step).write.mode("append").parquet(f"{folder}/in")
+        store = arrivals.AnswerStore(spark, folder, ["conv_id"], "turn", "text", buckets=8)
+        arrivals.keep_answers(arrivals.read_arrivals(spark, f"{folder}/in", turns.schema), store, f"{folder}/checkpoint").awaitTermination()
+    return store.answers().select("conv_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "n_pages")
+
+
+def p28b_streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive day by day in three steps, and are counted by six hours and kind."""
+    folder = _scratch(spark, "counts")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("arrived_at"), "event_type")
+    part = F.when(F.dayofmonth("arrived_at") <= 10, 0).when(F.dayofmonth("arrived_at") <= 20, 1).otherwise(2)
+    for step in range(3):
+        events.filter(part == step).write.mode("append").parquet(f"{folder}/in")
+        stream = arrivals.read_arrivals(spark, f"{folder}/in", events.schema)
+        counts = arrivals.arrivals_by_window(stream, ["event_type"], "arrived_at", "2 days", "6 hours")
+        arrivals.keep_counts(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    found = arrivals.latest_counts(spark, f"{folder}/counts", ["event_type"])
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+def p29_late_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is an attempt by its customer at the assessment of its priority.
+
+    The deadline announced with the first order of a month is twelve days later. Every seventh order
+    is an extension for its customer from five days before it to five days after, or for ever.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    announced = orders.groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.min("o_orderdate").alias("effective_from"))
+    due = announced.select("o_orderpriority", "effective_from", F.expr("effective_from + interval 12 days").alias("deadline"))
+    until = F.when(F.col("o_orderkey") % 14 != 0, F.expr("o_orderdate + interval 5 days"))
+    extended = orders.filter(F.col("o_orderkey") % 7 == 0).select(
+        "o_orderpriority", "o_custkey", F.expr("o_orderdate - interval 5 days").alias("valid_from"), until.alias("valid_to"), (1 + F.col("o_orderkey") % 4).cast("int").alias("days")
+    )
+    placed = deadlines.effective_deadlines(orders, due, extended, "o_orderpriority", "o_custkey", "o_orderdate")
+    return deadlines.late_penalties(placed, "o_totalprice", "o_orderdate", 0.1, 0.5)
+
+
 QUERIES = {name: job for name, job in list(globals().items()) if name[:1] == "p" and name[1:3].isdigit()}
 
 _LATEST = """latest AS (
@@ -258,6 +345,23 @@ def _grams(source: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(words[i:i+7], ' ') AS gram FROM ({starts})"
 
 
+_PRINTS = f"""cut AS (
+        SELECT doc_id, array_to_string([CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') THEN ' ' ELSE x END
+                                        FOR x IN regexp_extract_all(text, {_quoted(C_PARTS)})], '') AS kept FROM documents
+    ), tokens AS (
+        SELECT doc_id, [CASE WHEN length(x) > 1 AND x[1] IN ('"', chr(39)) THEN '"'
+                             WHEN regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({", ".join(map(_quoted, C_KEYWORDS))}) THEN 'v'
+                             WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END
+                        FOR x IN regexp_extract_all(coalesce(kept, ''), {_quoted(f"{copies.LITERAL}|{C_TOKENS}")})] AS t FROM cut
+    ), hashed AS (
+        SELECT doc_id, [CAST('0x' || substr(md5(array_to_string(t[i:i + 9], ' ')), 1, 15) AS BIGINT) FOR i IN range(1, greatest(len(t) - 8, 1))] AS h FROM tokens
+    ), prints AS (
+        SELECT doc_id, CASE WHEN len(h) = 0 THEN CAST([] AS BIGINT[])
+                            ELSE list_sort(list_distinct([list_min(h[i:i + 5]) FOR i IN range(1, greatest(len(h) - 5, 1) + 1)])) END AS p FROM hashed
+    ), leaders AS (SELECT p, min(doc_id) AS class_id FROM prints WHERE len(p) > 0 GROUP BY p),
+    held AS (SELECT class_id, unnest(p) AS print FROM leaders),
+    often AS (SELECT print, count(*) > 10 AS is_common FROM held GROUP BY print)"""
+
 SQL = {
     "p00_flagship_score_report": f"""
         WITH {_LATEST}, {_SCORES}, {_PLACED}
@@ -281,6 +385,10 @@ SQL = {
     "p04_transcribe_pages": """
         SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS text,
                1 / (1 + CAST(octet_length(encode(coalesce(html, ''))) AS DOUBLE) / 1000) AS confidence FROM pages""",
+    "p04b_quarantined_pages": """
+        SELECT page_id, CASE WHEN page_id % 10 <> 7 THEN CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) END AS text,
+               CASE WHEN page_id % 10 <> 7 THEN 1 / (1 + CAST(octet_length(encode(coalesce(html, ''))) AS DOUBLE) / 1000) END AS confidence,
+               CASE WHEN page_id % 10 = 7 THEN 'ValueError: page ' || page_id || ' is unreadable' END AS reason FROM pages""",
     "p05_missing_pages": """
         WITH wanted AS (SELECT conv_id, unnest(range(1, max(turn) + 1)) AS turn FROM conversations GROUP BY conv_id),
              got AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1))
@@ -331,6 +439,12 @@ SQL = {
         SELECT o_orderkey, o_totalprice,
                CASE {" ".join(f"WHEN o_totalprice >= {low:.1f} AND o_totalprice < {high:.1f} THEN '{name}'" for name, low, high in BANDS)} END AS band
         FROM orders""",
+    "p16b_bands_by_section": """
+        WITH steps AS (SELECT o_orderpriority, unnest(range(5)) AS step FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+        bands AS (SELECT o_orderpriority, 'band ' || step AS band, step * 80000.0 + length(o_orderpriority) * 1000.0 AS low,
+                         CASE WHEN step = 4 THEN 1e300 WHEN step = 3 THEN 60000.0 ELSE 80000.0 END AS width FROM steps)
+        SELECT o_orderkey, orders.o_orderpriority, o_totalprice, band FROM orders LEFT JOIN bands
+          ON orders.o_orderpriority = bands.o_orderpriority AND o_totalprice >= low AND o_totalprice < low + width""",
     "p17_score_rollup": f"""
         WITH {_PLACED}
         SELECT r_name, n_name, count(*) AS n, avg(o_totalprice) AS mean_score,
@@ -389,4 +503,40 @@ SQL = {
         SELECT l_linenumber, l_partkey, n_missed, place FROM (
             SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY n_missed DESC, l_partkey) AS place FROM counted)
         WHERE place <= 5""",
+    "p27_copy_pairs": f"""
+        WITH {_PRINTS}, rare AS (SELECT class_id, print FROM held JOIN often USING (print) WHERE NOT is_common),
+        sizes AS (SELECT class_id, count(*) AS n FROM rare GROUP BY class_id),
+        shared AS (SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) AS shared FROM rare a JOIN rare b ON a.print = b.print AND a.class_id < b.class_id GROUP BY ALL)
+        SELECT class_a, class_b, a.n AS prints_a, b.n AS prints_b, shared, shared::DOUBLE / least(a.n, b.n) AS share
+        FROM shared JOIN sizes a ON class_a = a.class_id JOIN sizes b ON class_b = b.class_id
+        WHERE shared >= 4 AND shared::DOUBLE / least(a.n, b.n) >= 0.5""",
+    "p27b_copy_classes": f"""
+        WITH {_PRINTS}, counted AS (SELECT class_id, count(*) FILTER (WHERE is_common) AS n_common FROM held JOIN often USING (print) GROUP BY class_id)
+        SELECT doc_id, coalesce(class_id, doc_id) AS class_id, len(p) AS n_prints, coalesce(n_common, 0) AS n_common
+        FROM prints LEFT JOIN leaders USING (p) LEFT JOIN counted USING (class_id)""",
+    "p28_streamed_answers": """
+        SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY turn, text), '')) AS text_md5, count(text) AS n_pages
+        FROM conversations GROUP BY conv_id""",
+    "p28b_streamed_counts": """
+        SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""",
+    "p29_late_penalties": """
+        WITH due AS (
+            SELECT o_orderpriority, min(o_orderdate) AS effective_from, min(o_orderdate) + INTERVAL 12 DAYS AS deadline
+            FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate)
+        ), extended AS (
+            SELECT o_orderpriority, o_custkey, o_orderdate - INTERVAL 5 DAYS AS valid_from,
+                   CASE WHEN o_orderkey % 14 <> 0 THEN o_orderdate + INTERVAL 5 DAYS END AS valid_to, 1 + o_orderkey % 4 AS days
+            FROM orders WHERE o_orderkey % 7 = 0
+        ), longest AS (
+            SELECT o.o_orderkey, max(days) AS days FROM orders o JOIN extended e ON o.o_orderpriority = e.o_orderpriority AND o.o_custkey = e.o_custkey
+               AND e.valid_from <= o.o_orderdate AND (e.valid_to IS NULL OR o.o_orderdate < e.valid_to) GROUP BY o.o_orderkey
+        ), placed AS (
+            SELECT o.*, deadline, coalesce(days, 0)::INTEGER AS extra_days FROM orders o
+            ASOF LEFT JOIN due d ON o.o_orderpriority = d.o_orderpriority AND o.o_orderdate >= d.effective_from
+            LEFT JOIN longest USING (o_orderkey)
+        ), late AS (
+            SELECT *, greatest(ceil((epoch(o_orderdate) - epoch(deadline) - extra_days * 86400) / 86400), 0)::BIGINT AS days_late FROM placed
+        )
+        SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, o_totalprice, deadline, extra_days, days_late,
+               least(days_late * 0.1::DOUBLE, 0.5::DOUBLE) AS penalty, o_totalprice * (1 - least(days_late * 0.1::DOUBLE, 0.5::DOUBLE)) AS final_score FROM late""",
 }

@@ -57,10 +57,10 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """As ``materialize``; the name must be new in this folder."""
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """As ``materialize``; the name must be new in this folder. ``by`` names partition columns."""
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

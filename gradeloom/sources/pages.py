@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+from gradeloom.session import Scratch
+
 
 def scan_page_images(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
     """Files below ``directory`` with path, time, length and content.
@@ -52,3 +55,48 @@ def transcribe_pages(pages: DataFrame, recognise: Callable[[pd.DataFrame], pd.Da
                         yield on_error(page)
 
     return pages.mapInPandas(run, schema)
+
+
+def transcribe_with_quarantine(
+    pages: DataFrame, recognise: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType, key: str, folder: str | None = None, rows_per_call: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """``(transcripts, failures)``: what the recogniser gives, and the pages that it fails on by themselves.
+
+    Pages are handed over ``rows_per_call`` at a time. A call that raises is made again for each half of
+    its pages, and so on, so a bad page among ``n`` costs about ``2 log2(n)`` calls more and the others
+    are still read in batches. A page that fails alone is a row of ``failures``: its ``key`` and the
+    error's type and text as ``reason``. A call that gives another number of rows than it had pages
+    counts as failed. Both are tables below ``folder`` (the shared scratch folder if there
+    is none), written in one pass: recognition is not run again when they are read.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "transcripts")
+    if folder is not None:
+        scratch.folder = folder
+    names, key_type = schema.fieldNames(), pages.schema[key].dataType
+    both = StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("_failed_key", key_type), T.StructField("_reason", T.StringType())])
+
+    def attempt(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            found = recognise(frame)
+            if len(found) != len(frame):
+                raise ValueError(f"{len(found)} rows for {len(frame)} pages")
+            yield found.assign(_failed_key=None, _reason=None)
+        except Exception as error:
+            if len(frame) == 1:
+                yield pd.DataFrame({**dict.fromkeys(names, [None]), "_failed_key": [frame[key].iloc[0]], "_reason": [f"{type(error).__name__}: {error}"]})
+            else:
+                middle = len(frame) // 2
+                yield from attempt(frame.iloc[:middle])
+                yield from attempt(frame.iloc[middle:])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), rows_per_call):
+                yield from attempt(frame.iloc[start : start + rows_per_call])
+
+    told = F.col("_reason").isNotNull().alias("failed")
+    written = scratch.write(pages.mapInPandas(run, both).select("*", told), "all", "failed")
+    transcripts = written.filter("not failed").select(*names)
+    failures = written.filter("failed").select(F.col("_failed_key").alias(key), F.col("_reason").alias("reason"))
+    return transcripts, failures

@@ -72,7 +72,7 @@ def test_duplicate_mark_and_cap(spark):
 
 def test_bands_have_open_ends(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "x double")
-    got = [r["band"] for r in grading.grade_bands(df, "x", [("low", 0.0, 0.5), ("high", 0.5, 1.0)]).collect()]
+    got = [r["band"] for r in grading.grade_bands(df, "x", spark.createDataFrame([("low", 0.0, 0.5), ("high", 0.5, 1.0)], "band string, low double, high double")).collect()]
     assert got == ["low", "high", None, None]
 
 
