@@ -9,17 +9,16 @@ and over in that order if they come back, and if its spans and those of other cl
 overlap; tokens of other classes are taken as the pages' own.
 
 What stands between a token of the template and the next is a slot. Slots whose text keeps
-coming back from page to page belong to the template too (menus, notices, adverts); slots
-whose texts are nearly all different, on a host with enough pages to tell, hold the pages'
-own text. That holds inside an article too.
+coming back from page to page belong to the template too (menus, notices, adverts), inside an
+article as well; the other slots are extracted.
 
 Pages of a host with the same texts in the same order are copies and count once.
 Vectors are not gathered: two sums of hashes of (page, number) stand for one, so that
 a host with very many pages needs no large group; and since a template token is on half of
-the pages, a host's template is no larger than twice the tokens of its average page. What
-HTML itself says (articles, navigation, forms, names of classes) decides only where a host
-has too few pages to tell for a slot; what is never shown as text (scripts, comments,
-options) is left out anyway. Reading a page takes time in proportion to its length.
+the pages, a host's template is no larger than twice the tokens of its average page. Of the slots that
+are left, what HTML itself calls no main text (menus, forms, sidebars, readers' comments and the like)
+is out on every host, however many pages it has and whatever their texts are; what is never shown
+as text (scripts, comments, options) is out anyway. Reading a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -42,9 +41,6 @@ from gradeloom.session import Scratch, ship_package
 
 #: A slot is the template's if so many of its texts are seen and each distinct one comes back this often.
 MIN_TEXTS, MIN_REPEATS = 8, 4
-#: A slot holds own text if its host has so many pages and so large a share of its texts is distinct.
-#: So few repeats in so many pages are not to be had from a list of a hundred notices.
-OWN_PAGES, OWN_SHARE = 32, 0.9
 #: A class is valid if it is in order on such a share of its pages.
 VALID_SHARE = 0.9
 #: Templates are sent to every task up to so many rows, and joined by host beyond.
@@ -59,12 +55,19 @@ LEFT_OUT = frozenset("aside button dialog fieldset footer form label legend menu
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Names of classes, ids and roles of what isn't main text.
 NAMES = (
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist contentinfo cookie cookies "
-    "consent complementary copyright disqus dialog footer gdpr header menu modal masthead nav navbar navigation newsletter notice notices pager pagination "
-    "popup promo promoted promotion related replies reply respond search share sharing sidebar side-bar site-header site-footer skip-link social sponsor sponsored "
-    "subscribe subscription toolbar widget widgets"
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist contentinfo cookie cookies "
+    "consent complementary copyright disqus dialog footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination "
+    "popup promo promoted promotion replies reply respond sidebar side-bar site-header site-footer skip-link sponsor sponsored subscribe subscription"
 ).split()
-_left_out_name = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(map(re.escape, NAMES))})(?:$|[\s_-])", re.I)
+#: Names that are no main text outside an article, and names of what is main text only where a page has no other.
+HEADERS, BESIDE = "header masthead".split(), "byline-share related search share sharing social toolbar widget widgets".split()
+
+
+def _name_of(names: list[str]) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(map(re.escape, names))})(?:$|[\s_-])", re.I)
+
+
+_left_out_name, _header_name, _beside_name = _name_of(NAMES), _name_of(HEADERS), _name_of(BESIDE)
 _markup = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
 #: The rest of a tag; quoted values may hold its end.
 _rest_of_tag = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>", re.S)
@@ -92,7 +95,7 @@ def path_key(parent: int, step: str) -> int:
 class Element:
     """An open element; ``paragraph`` and ``item`` are the places in the stack of what a new block ends."""
 
-    __slots__ = ("close", "hidden", "item", "key", "main", "out", "paragraph", "tag")
+    __slots__ = ("beside", "close", "hidden", "item", "key", "main", "out", "paragraph", "tag")
 
     def __init__(self, parent: Element | None, tag: str, names: str, at: int):
         self.tag = tag
@@ -103,7 +106,10 @@ class Element:
         self.item = at if tag == "li" else parent.item if parent and (inline or tag == "p") else 0
         self.main = parent is not None and (parent.main or tag in ("article", "main"))
         self.hidden = parent is not None and (parent.hidden or tag in HIDDEN)
-        self.out = parent is not None and (parent.out or tag in LEFT_OUT or (tag == "header" and not parent.main) or (names != "" and tag not in ("html", "body") and _left_out_name.search(names) is not None))
+        named = names != "" and tag not in ("html", "body")
+        top = tag == "header" or (named and _header_name.search(names) is not None)
+        self.out = parent is not None and (parent.out or tag in LEFT_OUT or (top and not parent.main) or (named and _left_out_name.search(names) is not None))
+        self.beside = parent is not None and (parent.beside or (named and _beside_name.search(names) is not None))
 
 
 def read_page(page: str) -> Iterator[tuple[str, Element, str]]:
@@ -111,7 +117,7 @@ def read_page(page: str) -> Iterator[tuple[str, Element, str]]:
 
     Ends that are left out are put in: a paragraph ends before the next block, an element
     with its parent, all with the page. ``out`` marks what HTML says is no main text, ``main``
-    what it says is, ``hidden`` what is not shown as text. Once a quoted value has no end, the
+    what it says is, ``beside`` what is main text only for want of other, ``hidden`` what is not shown as text. Once a quoted value has no end, the
     rest of the page's tags end at their first ``>``; where there is none, ``<`` is text.
     """
     stack = [Element(None, "", "", 0)]
@@ -324,8 +330,7 @@ def with_template(pages: DataFrame, template: DataFrame, how: str) -> DataFrame:
 def deduce_templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each token of each host's template: ``host slot own``.
 
-    ``own`` tells of the slot after the token: false if it is the template's, true if the pages'
-    own, null where the host's pages do not tell.
+    ``own`` tells of the slot after the token: false if it is the template's, null if not.
     """
     hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     candidates = scratch.write(template_classes(equivalence_classes(seen), hosts), "candidate-classes")
@@ -335,10 +340,9 @@ def deduce_templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
     template = scratch.write(candidates.join(valid, ["host", "class"], "left_semi").select("host", "token"), "template-tokens")
     texts = with_template(seen, template, "left").mapInArrow(slot_texts, "host string, slot long, text long")
     each = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"))
-    summed = each.groupBy("host", "slot").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("distinct_texts")).join(hosts, "host")
+    summed = each.groupBy("host", "slot").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("distinct_texts"))
     repeats = (F.col("texts") >= MIN_TEXTS) & (F.col("texts") >= MIN_REPEATS * F.col("distinct_texts"))
-    differs = (F.col("host_pages") >= OWN_PAGES) & (F.col("texts") >= OWN_PAGES) & (F.col("distinct_texts") >= OWN_SHARE * F.col("texts"))
-    judged = summed.select("host", "slot", F.when(repeats, F.lit(False)).when(differs, F.lit(True)).alias("own"))
+    judged = summed.select("host", "slot", F.when(repeats, F.lit(False)).alias("own"))
     tokens = template.withColumnRenamed("token", "slot").unionByName(hosts.select("host", F.lit(0).cast("long").alias("slot")))
     return tokens.join(judged, ["host", "slot"], "left")
 
@@ -346,13 +350,14 @@ def deduce_templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
 def main_text(page: str, slots: dict[int, bool | None]) -> str:
     """The page's own blocks by its host's slots.
 
-    Where a slot is not known, HTML's hints decide: what they leave out goes, and if the page
-    has blocks in an article or a main element, so does what stands outside. A block is
-    template only if all of it is. A page with nothing but template is read by the hints alone.
+    What HTML calls no main text never comes out. Of the rest the blocks of articles and main elements are
+    the text if they have any outside the template; else all blocks outside the template, those of
+    names like ``related`` or ``widget`` last. A block is template only if all of it is. A page with
+    nothing but template is read without slots.
     """
-    blocks: list[tuple[bool, bool | None, str]] = []
+    blocks: list[tuple[bool, bool, bool, str]] = []
     parts: list[str] = []
-    kind_of: tuple[bool, bool | None] | None = None
+    kind_of: tuple[bool, bool, bool] | None = None
     own = slots.get(0)
 
     def close() -> None:
@@ -365,25 +370,26 @@ def main_text(page: str, slots: dict[int, bool | None]) -> str:
     for kind, element, text in read_page(page):
         if kind == "break":
             close()
-        elif kind == "text" and not element.hidden:
-            if element.out and not own:
-                continue
+        elif kind == "text" and not element.hidden and not element.out:
             if text.isspace() or ("&" in text and not squeezed(text)):
                 pass  # white space tells nothing
             elif not kind_of:
-                kind_of = (element.main, own)
-            elif kind_of[1] is not True and own is not False:
-                kind_of = (kind_of[0], own)
+                kind_of = (element.main, element.beside, own is False)
+            elif kind_of[2] and own is not False:
+                kind_of = (*kind_of[:2], False)
             parts.append(text)
         elif kind == "open":
             own = slots.get(element.key, own)
         elif kind == "close":
             own = slots.get(element.close, own)
     close()
-    in_main = any(main and own is not False for main, own, _ in blocks)
-    chosen = [text for main, own, text in blocks if own or (own is None and (main or not in_main))]
-    chosen = chosen or [text for main, _, text in blocks if main] or [text for _, _, text in blocks]
-    return "\n\n".join(chosen)
+    for template in (False, True):
+        for beside in (False, True):
+            found = [(main, text) for main, aside, repeated, text in blocks if repeated <= template and aside <= beside]
+            chosen = [text for main, text in found if main] or [text for _, text in found]
+            if chosen:
+                return "\n\n".join(chosen)
+    return ""
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -150,3 +150,27 @@ def test_copies_of_pages_count_once(spark):
     numbers = [*range(10), *[99] * 200]
     pages = [page.format(i) + "<!-- {} -->".format(at % 3) for at, i in enumerate(numbers)]
     assert extracted(spark, pages) == [f"Title {i}\n\nText {i}" for i in numbers]
+
+
+READERS = """<body><nav><a>Home</a></nav><article><header class="entry-header"><h1>Title {0}</h1></header><p>Own {0}</p>
+<form><label>Your ref {0}</label></form></article><div class=box>Beside {0}</div>
+<section id=comments class=comments><p>Reader says {0}</p></section><aside class=sidebar>See also story {0}</aside><footer>Until {0}</footer></body>"""
+
+
+@pytest.mark.parametrize("pages", [1, 5, 31, 32, 40, 400])
+def test_readers_comments_sidebars_and_forms_are_out_on_every_host(spark, pages):
+    assert extracted(spark, [READERS.format(i) for i in range(pages)]) == [f"Title {i}\n\nOwn {i}" for i in range(pages)]
+
+
+@pytest.mark.parametrize("pages", [1, 31, 40])
+def test_pages_without_an_article_leave_out_the_same(spark, pages):
+    page = READERS.replace("article>", "div>").replace(" class=\"entry-header\"", "").replace("header>", "div>")
+    assert extracted(spark, [page.format(i) for i in range(pages)]) == [f"Title {i}\n\nOwn {i}\n\nBeside {i}" for i in range(pages)]
+    only = "<body><nav>Menu {0}</nav><footer>Until {0}</footer></body>"
+    assert extracted(spark, [only.format(i) for i in range(pages)]) == [""] * pages
+
+
+def test_names_of_what_stands_beside_are_text_only_for_want_of_other():
+    assert main_text("<div class=related>See</div><p>Text</p>", {}) == "Text"
+    assert main_text("<div class=related>See</div>", {}) == "See"
+    assert main_text("<article><p>Text</p><div class=share>Tell</div></article><p>x</p>", {}) == "Text"
