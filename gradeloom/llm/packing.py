@@ -13,6 +13,7 @@ so a length that very many pieces share is not sorted in one task.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import unicodedata
@@ -25,6 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gradeloom.llm.bpe import MergeTable, encode_words, sliced
 from gradeloom.llm.common import Carried, Remembered, arrow_batches, text_slices
@@ -45,6 +47,14 @@ _beyond_latin = re.compile("[^\0-\u024f\u2010-\u2029\u20ac]").search
 _encoders: dict[str, WordEncoder] = {}
 
 
+@functools.cache
+def _unassigned():
+    """Finds code points that Python's tables do not know: the tokenizer's tables may be newer."""
+    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)), bool, 0x110000)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], known, [True]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]").search
+
+
 def byte_letters() -> list[str]:
     """Byte-level BPE writes byte b as the b-th letter: itself if it can be seen, else one from 256 on."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -58,7 +68,8 @@ class WordEncoder:
     The tokenizer's own split cuts a text into parts (words of letters, digits, runs of signs)
     and drops white space; no merge crosses a part's ends, so a text's ids are those of its
     parts in order. Normalisation (NFC, lower case), the split and the merges are those of the
-    vocabulary file; special tokens in a text are found as the library finds them.
+    vocabulary file; special tokens in a text are found as the library finds them. Texts with code
+    points that Python's tables do not have go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -70,6 +81,7 @@ class WordEncoder:
         if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or split["pattern"]["Regex"] != SPLIT or byte_level["add_prefix_space"] or model["continuing_subword_prefix"]:
             raise ValueError("only lower-casing byte-level BPE with word ends is supported")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.library = Tokenizer.from_file(path)
         self.parts_of = regex.compile(split["pattern"]["Regex"]).findall
         self.special = {x["content"]: np.array([x["id"]], np.uint32).tobytes() for x in spec["added_tokens"]}
         self.special_of = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -109,6 +121,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        odd = [bool(_beyond_latin(text) and _unassigned()(text)) for text in texts]
+        if any(odd):
+            rest = iter(self.encode([text for text, x in zip(texts, odd, strict=True) if not x]))
+            return [np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes() if x else next(rest) for text, x in zip(texts, odd, strict=True)]
         # Special tokens are parts of their own, at every second place.
         cut = [self.special_of.split(text) if "<|" in text else [text] for text in texts]
         split = [self.split(x) for pieces in cut for x in pieces[::2]]

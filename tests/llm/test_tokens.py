@@ -151,3 +151,26 @@ def test_every_control_and_space_equals_the_library():
     tokenizer = Tokenizer.from_file(WORDS)
     own = WordEncoder(WORDS).encode(texts)
     assert [np.frombuffer(x, np.uint32).tolist() for x in own] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_every_code_point_between_letters_has_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(WORDS), WordEncoder.of(WORDS)
+    points = [c for c in range(0x32000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}B {chr(c)}{chr(c)}1" for c in points]
+    found = tokenizer.encode_batch(texts, add_special_tokens=False)
+    own = [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode(texts)]
+    assert not [hex(c) for c, x, y in zip(points, own, found, strict=True) if x != y.ids]
+    mixed = ["plain text", "a\u0558B", "Écu 中 text"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode(mixed)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in mixed]
+
+
+@pytest.mark.parametrize("name", ["sf0.001"])
+def test_ids_of_the_whole_table_equal_the_libraries(spark, library, name):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = [row["text"] for row in spark.read.parquet(f"/root/testdata/{name}/documents.parquet").select("text").collect()]
+    assert [x.tolist() for x in PieceCodec.of(PIECES).encode(texts)] == library.encode(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in WordEncoder.of(WORDS).encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
