@@ -30,10 +30,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = spark.conf.get(stages.BATCH)
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.drop(before)
-        before = name
-    spark.conf.set(stages.BATCH, batch)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+            if before:
+                scratch.drop(before)
+            before = name
+    finally:
+        spark.conf.set(stages.BATCH, batch)
     return STAGES[-1][1](spark, docs, sf_dir)

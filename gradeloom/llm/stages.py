@@ -67,7 +67,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group: that with the smallest id, null after all others; five words, similarity 0.8.
 
     Rows are told apart by id and text, so rows that share an id are judged by their own texts.
-    Of rows with the same id and text one stays. Null and empty texts are like nothing, and stay.
+    Null and empty texts are like nothing, and stay. Of rows with the same id and the same text,
+    null and empty ones too, one stays.
     """
     key, check = digest_columns(F.col("doc_id"), F.col("text"))
     rows = docs.select(COLUMNS).withColumns({"row_key": key, "row_check": check})
