@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -145,6 +146,17 @@ def arrow_batches(spark, rows: int = TEXT_ROWS):
         spark.conf.set(_BATCH, before)
 
 
+def release_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of jobs whose result is written.
+
+    Its cleaner deletes them soon after the driver has collected its garbage, which may be long in
+    coming. The scheduler holds on to its last job, so a job of one row comes first.
+    """
+    spark.range(1).count()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: What a word and its ids take besides their own letters and bytes, about.
 ENTRY_BYTES = 200
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Carried, arrow_batches, text_slices
+from gradeloom.llm.common import Carried, arrow_batches, release_shuffles, text_slices
 from gradeloom.llm.fingerprints import mix, run_hashes
 from gradeloom.session import Scratch
 
@@ -504,15 +504,22 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
     numbered = F.struct("doc_id", "row_no", "class_key", "check")
     nodes = usable.groupBy("class_id").agg(F.min(numbered).alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = scratch.write(nodes.select("class_id", "copies", F.col("first.doc_id").alias("first_doc"), "first.row_no", "first.class_key", "first.check"), "classes")
+    members = scratch.write(prefixes.select("doc_id", F.col("size").alias("n_shingles"), "class_id"), "members")
+    single = scratch.write(prefixes.join(nodes.select("row_no"), "row_no", "left_semi").select("row_no", "class_id", "size", "need", "tokens"), "single-prefixes")
+    # From here on the prefixes of copies are needed no more.
+    scratch.drop("prefixes")
+    release_shuffles(spark)
     base = F.col("size") - like.needed(F.col("size")) + 1
-    single = prefixes.join(nodes.select("row_no"), "row_no", "left_semi")
-    rows = single.select("class_id", F.col("size").cast("int").alias("size"), "need", base.cast("int").alias("base"), F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.filter(F.col("pos") < F.col("base") + MAX_MATCHES - 1).select("token", "class_id", "size", "need", "pos")
+    # Most n-grams stand in one row: they are shuffled with its number alone, what else belongs to a row joins those that are shared.
+    rows = single.select("row_no", base.cast("int").alias("base"), F.posexplode("tokens").alias("pos", "token"))
+    rows = rows.filter(F.col("pos") < F.col("base") + MAX_MATCHES - 1).select("token", "row_no", "pos")
+    about = single.select("row_no", "class_id", F.col("size").cast("int").alias("size"), "need")
     common = scratch.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-tokens")
-    shared = scratch.write(rows.join(common, "token", "left_semi"), "shared-rows")
-    # From here on prefixes are needed no more, and take more room than anything else.
-    members = scratch.write(prefixes.select("doc_id", F.col("size").alias("n_shingles"), "class_id"), "members")
-    scratch.drop("prefixes", "shared-tokens")
+    release_shuffles(spark)  # counting tokens shuffles as much as what comes next
+    shared = rows.join(common, "token", "left_semi").join(about, "row_no").select("token", "class_id", "size", "need", "pos")
+    shared = scratch.write(shared, "shared-rows")
+    scratch.drop("single-prefixes", "shared-tokens")
+    release_shuffles(spark)
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         grouped = labelled(shared, labels)
@@ -523,6 +530,7 @@ def jaccard_components(docs: DataFrame, like: Likeness) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         labels = scratch.write(connected(links, scratch), f"labels-{turn}")
         scratch.drop(f"open-rows-{turn}", f"candidates-{turn}")
+        release_shuffles(spark)
     scratch.drop("shared-rows")
     grouped = nodes.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     smallest = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
