@@ -8,10 +8,11 @@ What is left is read exactly, by id, in the order of the bounds: first the best
 query, then all that may still reach the kth score of those.
 
 Blocks of queries meet blocks of cells, so no task holds more than one of each at a time. The
-queries are sent to each group of blocks, cells are dealt once, and the exact vectors of no
-more than the candidates are moved. Equal vectors differ in their ids alone: those that can be
-among the best ``k`` of any query are kept, so a vector with very many copies makes no more
-candidates than another.
+file is made where the vectors are read, without a shuffle; its cells are dealt to groups, and
+the queries are sent to each group. Exact vectors are shuffled where candidates are read, unless
+these are few enough for Spark to broadcast. Equal vectors differ in their ids alone: those that
+can't be among the best ``k`` of any query are left out of the scans, so a vector with very many
+copies makes no more candidates than another.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ FIRST_SHARE = 64
 FIRST_READ = 4
 #: Queries whose bounds are held at once.
 SCANNED_QUERIES = 256
-FILE_SCHEMA = "dim int, keys binary, ids binary, cells binary, low binary, width binary"
+FILE_SCHEMA = "dim int, block long, keys binary, ids binary, cells binary, low binary, width binary"
 QUERY_SCHEMA = "dim int, query_keys binary, query_ids binary, floors binary, queries binary"
 BOUNDS_SCHEMA = "query_key long, key long, low double, high double"
 
@@ -56,19 +57,21 @@ def exact_rows(table: DataFrame, scale: int) -> DataFrame:
     return held.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("row"))
 
 
-def candidates(vectors: DataFrame, scale: int, k: int) -> DataFrame:
-    """The rows that can be among some query's best ``k``, with a ``key`` of their own.
+def surplus_by_block(exact: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """``block surplus``: keys of rows that can't be among any query's best ``k``, by ranges of ``block_rows`` keys.
 
-    Of equal vectors these are the first by id: ``k`` besides those of any one id, which may be
-    the query's own. Both limits are kept within each task before anything is shuffled.
+    Of equal vectors those can that are first by id: ``k`` besides those of any one id, which may
+    be the query's own. Both limits are kept within each task before anything is shuffled, and
+    what is shuffled are digests, ids and keys, not vectors.
     """
-    one, two = digest_columns(F.col("row"))
-    rows = exact_rows(vectors, scale).withColumns({"one": one, "two": two})
-    same_id = Window.partitionBy("one", "two", "vec_id").orderBy("vec_id")
-    same_row = Window.partitionBy("one", "two").orderBy("vec_id")
+    seen = exact.select("one", "two", "vec_id", "key")
+    same_id = Window.partitionBy("one", "two", "vec_id").orderBy("key")
+    same_row = Window.partitionBy("one", "two").orderBy("vec_id", "key")
+    first = seen
     for window, most in ((same_id, k), (same_row, 2 * k)):
-        rows = rows.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= most).drop("place")
-    return rows.select(F.monotonically_increasing_id().alias("key"), "vec_id", "row")
+        first = first.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= most).drop("place")
+    others = seen.select("key").join(first.select("key"), "key", "left_anti")
+    return others.groupBy(F.floor(F.col("key") / F.lit(block_rows)).cast("long").alias("block")).agg(F.collect_list("key").alias("surplus"))
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str], block_rows: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -97,20 +100,41 @@ def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str], block_rows: i
             yield whole(dim, held)
 
 
+def key_ranges(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows that follow each other and whose keys lie in one range of ``block_rows``, with its number."""
+    held: list[pa.RecordBatch] = []
+    number = -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = batch.column("key").to_numpy() // block_rows
+        cuts = (np.flatnonzero(np.diff(numbers)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if held and numbers[start] != number:
+                yield number, held
+                held = []
+            number = int(numbers[start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield number, held
+
+
 def record(**values: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x], pa.int32()) for x in values.values()], names=list(values))
+    kinds = {"dim": pa.int32(), "block": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([x], kinds[name]) if name in kinds else pa.array([x.tobytes()], pa.binary()) for name, x in values.items()], names=list(values))
 
 
-def file_block(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def file_block(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, number: int = 0) -> pa.RecordBatch:
     """One row of the file: cells and their grid."""
     low = rows.min(axis=0)
     width = (rows.max(axis=0) - low) // (1 << CELL_BITS) + 1
-    return record(dim=rows.shape[1], keys=keys, ids=ids, cells=((rows - low) // width).astype(np.uint8), low=low, width=width)
+    return record(dim=rows.shape[1], block=number, keys=keys, ids=ids, cells=((rows - low) // width).astype(np.uint8), low=low, width=width)
 
 
 def file_frames(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
-    for rows, (keys, ids) in blocks_of(batches, ["key", "vec_id"], block_rows):
-        yield file_block(rows, keys, ids)
+    for number, parts in key_ranges(batches, block_rows):
+        for rows, (keys, ids) in blocks_of(parts, ["key", "vec_id"], block_rows):
+            yield file_block(rows, keys, ids, number)
 
 
 def query_frames(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
@@ -157,6 +181,13 @@ def scan_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             query_keys, query_ids = (np.frombuffer(row[x], np.int64) for x in ("query_keys", "query_ids"))
             queries, floors = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), row["dim"]), np.frombuffer(row["floors"], np.float64)
             keys = np.frombuffer(row["keys"], np.int64)
+            if row["surplus"]:
+                kept = ~np.isin(keys, row["surplus"])
+                if not kept.any():
+                    continue
+                row["ids"] = np.frombuffer(row["ids"], np.int64)[kept].tobytes()
+                row["cells"] = np.frombuffer(row["cells"], np.uint8).reshape(len(keys), row["dim"])[kept].tobytes()
+                keys = keys[kept]
             for query, vector, low, high in scan_block(queries, query_ids, floors, row, k):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_keys[query], keys[vector], low, high)], names=["query_key", "key", "low", "high"])
 
@@ -196,9 +227,11 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5, scal
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vector-search")
-    exact = scratch.write(candidates(vectors, scale, k), "exact")
+    one, two = digest_columns(F.col("row"))
+    exact = scratch.write(exact_rows(vectors, scale).select(F.monotonically_increasing_id().alias("key"), "vec_id", "row", one.alias("one"), two.alias("two")), "exact")
     with arrow_batches(spark, block_rows):
-        filed = scratch.write(exact.mapInArrow(lambda batches: file_frames(batches, block_rows), FILE_SCHEMA), "file")
+        cells = scratch.write(exact.select("key", "vec_id", "row").mapInArrow(lambda batches: file_frames(batches, block_rows), FILE_SCHEMA), "file")
+    filed = cells.join(scratch.write(surplus_by_block(exact, k, block_rows), "surplus"), "block", "left").drop("block")
     one_each = exact_rows(queries, scale).distinct().repartition(max(1, -(-queries.count() // block_rows)))
     asked = scratch.write(one_each.select(F.monotonically_increasing_id().alias("query_key"), F.col("vec_id").alias("query_id"), "row"), "asked")
 
@@ -211,6 +244,7 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5, scal
     reached = bounds.join(kth(bounds, k, "low", "bar"), "query_key", "left").filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar")))
     order = Window.partitionBy("query_key").orderBy(F.col("high").desc(), "key")
     queue = scratch.write(reached.select("query_key", "key", "high", F.row_number().over(order).alias("place")), "queue")
+    scratch.drop("file", "surplus", "first-scan", "first-scan-queries", "second-scan", "second-scan-queries")
 
     def read(rows: DataFrame) -> DataFrame:
         product = F.aggregate(F.zip_with("row", "query", lambda x, y: x * y), F.lit(0).cast("long"), lambda total, x: total + x)
@@ -221,4 +255,6 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5, scal
     later = queue.filter(F.col("place") > FIRST_READ * k).join(kth(best, k, "score", "bar"), "query_key").filter(F.col("high") >= F.col("bar"))
     by_score = Window.partitionBy("query_key").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = best.unionByName(read(later)).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = scratch.write(ranked.select("query_id", "rank", "vec_id", "score"), "found")
+    scratch.drop("exact", "asked", "queue", "first-read")
+    return found

@@ -1,12 +1,21 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.llm import vector_search
 from gradeloom.llm.vector_search import file_block, scan_block, top_k_inner_product
+from gradeloom.session import Scratch, shared_dir
 
 SCHEMA = "vec_id long, embedding array<float>, extra string"
 
 
+def shared_path(spark):
+    return urlparse(shared_dir(spark)).path
+
+
 def brute(rows, k, asked):
     ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
@@ -79,3 +88,34 @@ def test_floors_of_a_first_scan_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(vector_search, "FIRST_SHARE", share)
         monkeypatch.setattr(vector_search, "CELL_BITS", 3)
         assert got(spark, rows, 4, asked, block_rows=16) == brute(rows, 4, asked)
+
+
+def test_copies_over_many_blocks_and_lengths(spark):
+    """Most rows are copies of one vector, blocks are small, and two lengths lie in the same ranges of keys."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [0.5, 0.25, -0.5] if i % 3 else rng.normal(size=3 + i % 2).round(1).tolist()) for i in range(240)]
+    rows += [(7, [0.5, 0.25, -0.5])] * 30
+    asked = {0, 1, 7, 90, 150}
+    assert sorted(set(got(spark, rows, 5, asked, block_rows=7))) == sorted(set(brute(rows, 5, asked)))
+
+
+def test_no_vector_is_shuffled_before_the_file_is_made(spark):
+    df = spark.createDataFrame([(i % 5, [1.0, float(i % 2)], "x") for i in range(40)], "vec_id long, embedding array<float>, extra string")
+    one, two = vector_search.digest_columns(F.col("row"))
+    exact = vector_search.exact_rows(df, 256).select(F.monotonically_increasing_id().alias("key"), "vec_id", "row", one.alias("one"), two.alias("two"))
+    assert "Exchange" not in exact._jdf.queryExecution().executedPlan().toString()
+    exact = Scratch(spark, "vectors").write(exact, "exact")
+    surplus = vector_search.surplus_by_block(exact, 2, 8)
+    assert "row#" not in surplus._jdf.queryExecution().executedPlan().toString()
+    dropped = {key for r in surplus.collect() for key in r["surplus"]}
+    kept = [(r["row"], r["vec_id"]) for r in exact.collect() if r["key"] not in dropped]
+    # Each of the two vectors has four rows of each id: two rows of ids 0 and 1 are kept.
+    assert sorted(kept) == sorted(([256, 256 * odd], i) for odd in (0, 1) for i in (0, 0, 1, 1))
+    assert all(key // 8 == r["block"] for r in surplus.collect() for key in r["surplus"])
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark):
+    before = set(Path(shared_path(spark)).glob("vector-search-*"))
+    got(spark, [(i, [1.0, i / 10]) for i in range(60)], 3, {0, 50})
+    (own,) = set(Path(shared_path(spark)).glob("vector-search-*")) - before
+    assert [x.name for x in own.iterdir()] == ["found"]
