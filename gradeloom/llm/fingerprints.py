@@ -8,9 +8,10 @@ which frees others. If the peeling sticks, the pair is sketched again in four ti
 cells, until the table has room for all digests of both; a pair that sticks even then is
 compared digest by digest. The digests recovered say how many the two texts share.
 
-The smallest sketch, of fixed size, is the fingerprint. Two fingerprints alone give back a
-few digests of difference (``fingerprint_difference``); for likenesses of texts that differ
-more, the larger sketches are made from the texts again.
+A text's fingerprint is the smallest sketch of it alone, tried in steps of a quarter, from
+which all its digests can be peeled. So it depends on the text only, and two fingerprints are
+enough for any pair: their digests are peeled off, sketched in tables of one size, subtracted
+and peeled, as those of two texts are (``fingerprint_likeness``).
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ from gradeloom.llm.common import BATCH_CHARS, Carried, arrow_batches
 from gradeloom.session import Scratch
 
 PARTS = 3
-#: Cells in each part of the smallest sketch; a retry has GROWTH times as many.
+#: Cells in each part of a pair's first sketch; a retry has GROWTH times as many.
 FIRST_CELLS, GROWTH = 4, 4
+#: Bits of a digest. A cell of a fingerprint has a count of one byte and the digests' sum.
+KEY_BITS = 32
+CELL_BYTES = 1 + KEY_BITS // 8
 #: One word in so many ends a piece of a long paragraph.
-WORDS_PER_PIECE = 4
+WORDS_PER_PIECE = 12
 #: The first words of a text are pieces of their own, so that short texts have several.
 OWN_WORDS = 16
 #: A piece has so many words at most; a longer word than LONG_WORD is cut at one character in so many.
-LONGEST_PIECE, LONG_WORD, CHARS_PER_PART = 16, 48, 16
+LONGEST_PIECE, LONG_WORD, CHARS_PER_PART = 48, 48, 16
 #: Documents dealt to one task, about.
 TASK_DOCS = 20_000
 #: Beyond so many times the digests of both texts a table is not made larger.
@@ -100,16 +104,25 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pieces, owner = pieces[order], owner[order]
     new = np.append(True, (pieces[1:] != pieces[:-1]) | (owner[1:] != owner[:-1]))
     copy = np.arange(len(pieces)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return mix(pieces + copy.astype(np.uint64) * _A), np.bincount(owner, minlength=len(texts))
+    keys = mix(pieces + copy.astype(np.uint64) * _A) >> np.uint64(64 - KEY_BITS)
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))
+    return keys[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def cells_of(keys: np.ndarray, owner: np.ndarray, cells: int) -> np.ndarray:
-    """Where each key goes in the flat table of all owners: one place in each part."""
-    at = [(mix(keys + salt) % np.uint64(cells)).astype(np.int64) + p * cells for p, salt in enumerate(_SALTS)]
-    return np.stack(at) + owner * (PARTS * cells)
+def table_starts(cells: np.ndarray) -> np.ndarray:
+    """Where each owner's cells begin in the flat table of all owners; ``cells`` are those of one part, by owner."""
+    return PARTS * (np.cumsum(cells) - cells)
 
 
-def add_keys(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, sign: np.ndarray, cells: int) -> None:
+def cells_of(keys: np.ndarray, owner: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Where each key goes in the flat table: one place in each part."""
+    own, start = cells[owner], table_starts(cells)[owner]
+    return np.stack([(mix(keys + salt) % own.astype(np.uint64)).astype(np.int64) + p * own + start for p, salt in enumerate(_SALTS)])
+
+
+def add_keys(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, sign: np.ndarray, cells: np.ndarray) -> None:
     counts, sums, checks = table
     factor = sign.astype(np.uint64)  # -1 wraps, as sums do
     for at in cells_of(keys, owner, cells):
@@ -118,22 +131,23 @@ def add_keys(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray,
         np.add.at(checks, at, mix(keys + _C) * factor)
 
 
-def empty_table(owners: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = owners * PARTS * cells
+def empty_table(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = PARTS * int(cells.sum())
     return np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
 
 
-def peel(table: tuple[np.ndarray, np.ndarray, np.ndarray], owners: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def peel(table: tuple[np.ndarray, np.ndarray, np.ndarray], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Take digests off the difference of sketches: on the left, on the right only, and whether all came off."""
     counts, sums, checks = table
-    per = PARTS * cells
+    owners = len(cells)
+    owner_of = np.repeat(np.arange(owners), PARTS * cells)
     left, right = np.zeros(owners, np.int64), np.zeros(owners, np.int64)
     at = np.flatnonzero(np.abs(counts) == 1)
     while len(at):
         sign = counts[at]
         keys = sums[at] * sign.astype(np.uint64)
         pure = (np.abs(sign) == 1) & (mix(keys + _C) == checks[at] * sign.astype(np.uint64))
-        keys, sign, owner = keys[pure], sign[pure], at[pure] // per
+        keys, sign, owner = keys[pure], sign[pure], owner_of[at[pure]]
         if not len(keys):
             break
         order = np.lexsort((keys, owner))
@@ -145,7 +159,7 @@ def peel(table: tuple[np.ndarray, np.ndarray, np.ndarray], owners: int, cells: i
         add_keys(table, keys, owner, -sign, cells)
         at = np.unique(cells_of(keys, owner, cells))
         at = at[np.abs(counts[at]) == 1]
-    clean = ((counts == 0) & (sums == 0) & (checks == 0)).reshape(owners, per).all(axis=1)
+    clean = np.logical_and.reduceat((counts == 0) & (sums == 0) & (checks == 0), table_starts(cells))
     return left, right, clean
 
 
@@ -153,8 +167,18 @@ class SketchSet:
     """Digests of many texts, with the cells that any of them needs."""
 
     def __init__(self, texts: list[str]):
-        self.keys, self.sizes = digests(texts)
-        self.at = np.append(0, np.cumsum(self.sizes))
+        self._hold(*digests(texts))
+
+    def _hold(self, keys: np.ndarray, sizes: np.ndarray) -> None:
+        self.keys, self.sizes = keys, sizes
+        self.at = np.append(0, np.cumsum(sizes))
+
+    @classmethod
+    def of_digests(cls, sets: list[np.ndarray]) -> SketchSet:
+        """As of texts that have these digests."""
+        held = cls([])
+        held._hold(np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64))
+        return held
 
     def gathered(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[texts]
@@ -162,20 +186,37 @@ class SketchSet:
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[texts] - ends + sizes, sizes)
         return self.keys[places], np.repeat(np.arange(len(texts)), sizes)
 
-    def fingerprints(self) -> list[str]:
-        return [base64.b64encode(x).decode() for x in self.smallest()]
+    def packed(self) -> list[bytes]:
+        """The digests of each text, a few bytes each."""
+        keys = self.keys.astype("<u4")
+        return [keys[start:end].tobytes() for start, end in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
 
-    def smallest(self) -> list[bytes]:
-        """The smallest sketch of each text: counts, sums and check sums of its cells."""
-        n = len(self.sizes)
-        table = empty_table(n, FIRST_CELLS)
-        add_keys(table, self.keys, np.repeat(np.arange(n), self.sizes), np.ones(len(self.keys), np.int64), FIRST_CELLS)
-        counts, sums, checks = (x.reshape(n, -1) for x in table)
-        rows = zip(counts.astype("<i4"), sums.astype("<u8"), checks.astype("<u8"), strict=True)
-        return [a.tobytes() + b.tobytes() + c.tobytes() for a, b, c in rows]
+    def fingerprints(self) -> list[str]:
+        return [base64.b64encode(x).decode() for x in self.peelable()]
 
-    def likeness(self, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-        """Digests that each pair shares, over all that it has; 1 for two empty texts."""
+    def peelable(self) -> list[bytes]:
+        """The smallest sketch of each text that gives all its digests back: counts and sums of its cells."""
+        found = [b""] * len(self.sizes)
+        cells = self.sizes * 9 // 20 + 1
+        open_ = np.arange(len(self.sizes))
+        while len(open_):
+            own = cells[open_]
+            keys, owner = self.gathered(open_)
+            table = empty_table(own)
+            add_keys(table, keys, owner, np.ones(len(keys), np.int64), own)
+            starts = table_starts(own)
+            fits = np.maximum.reduceat(table[0], starts) < 256
+            counts, sums = table[0].astype(np.uint8), table[1].astype("<u4")
+            done = peel(table, own)[2] & fits
+            for i in np.flatnonzero(done).tolist():
+                at = slice(starts[i], starts[i] + PARTS * own[i])
+                found[open_[i]] = counts[at].tobytes() + sums[at].tobytes()
+            open_ = open_[~done]
+            cells[open_] += cells[open_] // 4 + 1
+        return found
+
+    def differences(self, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many digests only the left and only the right text of each pair has."""
         size_l, size_r = self.sizes[lefts], self.sizes[rights]
         only_l, only_r = np.zeros(len(lefts), np.int64), np.zeros(len(lefts), np.int64)
         open_, cells = np.arange(len(lefts)), FIRST_CELLS
@@ -190,26 +231,58 @@ class SketchSet:
             fits = np.abs(size_l[open_] - size_r[open_]) <= PARTS * cells
             now = open_[fits]
             if len(now):
-                table = empty_table(len(now), cells)
+                each = np.full(len(now), cells)
+                table = empty_table(each)
                 for texts, sign in ((lefts[now], 1), (rights[now], -1)):
                     keys, owner = self.gathered(texts)
-                    add_keys(table, keys, owner, np.full(len(keys), sign, np.int64), cells)
-                left, right, clean = peel(table, len(now), cells)
+                    add_keys(table, keys, owner, np.full(len(keys), sign, np.int64), each)
+                left, right, clean = peel(table, each)
                 only_l[now[clean]], only_r[now[clean]] = left[clean], right[clean]
                 open_ = np.concatenate([open_[~fits], now[~clean]])
             cells *= GROWTH
+        return only_l, only_r
+
+    def likeness(self, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+        """Digests that each pair shares, over all that it has; 1 for two empty texts."""
+        size_l, size_r = self.sizes[lefts], self.sizes[rights]
+        only_l, only_r = self.differences(lefts, rights)
         return (size_l - only_l) / np.maximum(size_l + only_r, 1) + ((size_l + size_r) == 0)
 
 
-def fingerprint_difference(left: str, right: str) -> tuple[int, int] | None:
-    """How many digests only the left and only the right text has, from their fingerprints; None if they differ by too much."""
-    size = PARTS * FIRST_CELLS
-    tables = []
-    for text in (left, right):
-        data = base64.b64decode(text)
-        tables.append([np.frombuffer(data, kind, size, at).astype(wide) for kind, at, wide in (("<i4", 0, np.int64), ("<u8", 4 * size, np.uint64), ("<u8", 12 * size, np.uint64))])
-    only_left, only_right, clean = peel(tuple(a - b for a, b in zip(*tables, strict=True)), 1, FIRST_CELLS)
-    return (int(only_left[0]), int(only_right[0])) if clean[0] else None
+def fingerprint_digests(fingerprint: str) -> np.ndarray:
+    """All digests of a text, peeled off its fingerprint."""
+    data = base64.b64decode(fingerprint)
+    size, rest = divmod(len(data), CELL_BYTES)
+    if rest or not size or size % PARTS:
+        raise ValueError("not a fingerprint of this module")
+    counts = np.frombuffer(data, np.uint8, size).copy()
+    sums = np.frombuffer(data, "<u4", size, size).astype(np.uint32)
+    cells = np.array([size // PARTS])
+    found = [np.empty(0, np.uint32)]
+    at = np.flatnonzero(counts == 1)
+    while len(at):
+        keys = np.unique(sums[at])
+        found.append(keys)
+        if sum(map(len, found)) > size:
+            break  # more digests than cells never peel: the cells are not those of a text
+        for places in cells_of(keys.astype(np.uint64), np.zeros(len(keys), np.int64), cells):
+            np.subtract.at(counts, places, np.uint8(1))
+            np.subtract.at(sums, places, keys)
+        at = np.flatnonzero(counts == 1)
+    if counts.any() or sums.any():
+        raise ValueError("not a fingerprint of this module")
+    return np.sort(np.concatenate(found)).astype(np.uint64)
+
+
+def fingerprint_difference(left: str, right: str) -> tuple[int, int]:
+    """How many digests only the left and only the right text has, from their fingerprints alone."""
+    only_left, only_right = SketchSet.of_digests([fingerprint_digests(left), fingerprint_digests(right)]).differences(np.array([0]), np.array([1]))
+    return int(only_left[0]), int(only_right[0])
+
+
+def fingerprint_likeness(left: str, right: str) -> float:
+    """Digests that two texts share, over all that they have, from their fingerprints alone."""
+    return float(SketchSet.of_digests([fingerprint_digests(left), fingerprint_digests(right)]).likeness(np.array([0]), np.array([1]))[0])
 
 
 def edited_text(text: str, following: str) -> str:
@@ -227,14 +300,14 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> pd.Da
     next_at = np.arange(1, n + 1)
     next_at[beyond] = 2 * n + np.arange(len(beyond))
     own, changed = np.arange(n), np.arange(n, 2 * n)
-    prints = sketches.smallest()
+    packed = sketches.packed()
     return pd.DataFrame(
         {
             "doc_id": ids,
             "n_chars": [len(x) for x in texts],
             "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in edited],
-            "fingerprint": prints[:n],
-            "edited_fingerprint": prints[n : 2 * n],
+            "own_digests": packed[:n],
+            "edited_digests": packed[n : 2 * n],
             "near_edited": sketches.likeness(own, changed),
             "near_next": sketches.likeness(own, next_at),
         }
@@ -283,8 +356,22 @@ def join_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield fingerprint_rows(frame["doc_id"].tolist(), frame["text"].tolist(), frame["following"].tolist())
 
 
-SKETCH_SCHEMA = "doc_id string, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+def print_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The fingerprints, from the digests."""
+    for frame in frames:
+        for start in range(0, len(frame), PRINTED_ROWS):
+            rows = frame.iloc[start : start + PRINTED_ROWS]
+            sets = [np.frombuffer(x, "<u4").astype(np.uint64) for x in [*rows["own_digests"], *rows["edited_digests"]]]
+            prints = SketchSet.of_digests(sets).fingerprints()
+            yield rows.assign(fingerprint=prints[: len(rows)], edited_fingerprint=prints[len(rows) :])[PRINTED]
+
+
+SKETCH_SCHEMA = "doc_id string, n_chars long, edited_sha256 binary, own_digests binary, edited_digests binary, near_edited double, near_next double"
 SKETCHED = [field.split()[0] for field in SKETCH_SCHEMA.split(", ")]
+PRINT_SCHEMA = "doc_id string, n_chars long, edited_sha256 binary, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PRINTED = [field.split()[0] for field in PRINT_SCHEMA.split(", ")]
+#: Rows whose fingerprints are made at once.
+PRINTED_ROWS = 500
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -294,11 +381,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     near_next``. The next document is the next by ``doc_id`` (by a hash of the text, then by
     place in the table among equal ids; null ids before all others), the first after the last
     one, and itself in a table of one. A null text is an empty one; two empty texts have
-    likeness 1. Other columns are ignored. An empty table gives an empty result.
+    likeness 1. Other columns are ignored. An empty table gives an empty result. Both likenesses
+    are those that ``fingerprint_likeness`` gives for the published strings.
 
     Documents are dealt by ranges of this order, so the text is shuffled once, and rows that
     share an id may lie in several ranges. A range's last document needs the next range's
-    first: those two texts of each range are kept, and joined by the ranges' numbers.
+    first: those two texts of each range are kept, and joined by the ranges' numbers. Only digests
+    are written in between; the fingerprints are made from them in the caller's job.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
@@ -320,5 +409,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     lasts = made.filter("place = 'last'").select("part", "doc_id", "text").join(order_of, "part").join(firsts, "next_part")
     edges = lasts.select("doc_id", "text", "following").mapInPandas(join_frames, SKETCH_SCHEMA)
     found = made.filter("place = 'inner'").select(*SKETCHED).unionByName(edges)
-    shown = {"doc_id": F.col("doc_id").cast("long"), "edited_sha256": F.lower(F.hex("edited_sha256")), **{c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}}
-    return found.select(*[shown.get(c, F.col(c)).alias(c) for c in SKETCHED])
+    shown = {"doc_id": F.col("doc_id").cast("long"), "edited_sha256": F.lower(F.hex("edited_sha256"))}
+    return found.mapInPandas(print_frames, PRINT_SCHEMA).select(*[shown.get(c, F.col(c)).alias(c) for c in PRINTED])

@@ -6,6 +6,7 @@ import pytest
 
 from gradeloom.llm import fingerprints
 from gradeloom.llm.fingerprints import SketchSet, digests, edited_text, fingerprint_documents
+from gradeloom.llm.queries import QUERIES
 
 
 def digest_set(text):
@@ -72,18 +73,36 @@ def test_stuck_pairs_are_compared_digest_by_digest(monkeypatch):
     texts = random_texts(20)
     left, right = np.arange(10), np.arange(10, 20)
     expected = SketchSet(texts).likeness(left, right).tolist()
-    monkeypatch.setattr(fingerprints, "peel", lambda table, n, cells: (np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)))
+    monkeypatch.setattr(fingerprints, "peel", lambda table, cells: (np.zeros(len(cells), int), np.zeros(len(cells), int), np.zeros(len(cells), bool)))
     assert SketchSet(texts).likeness(left, right).tolist() == expected
 
 
-def test_fingerprints_give_small_differences_back():
-    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40))
-    other = text + "\nnew line"
-    sketches = SketchSet([text, other, text, "all of it is something else\n" * 9]).fingerprints()
-    a, b = digest_set(text), digest_set(other)
-    assert fingerprints.fingerprint_difference(sketches[0], sketches[2]) == (0, 0)
-    assert fingerprints.fingerprint_difference(sketches[0], sketches[1]) == (len(a - b), len(b - a))
-    assert fingerprints.fingerprint_difference(sketches[0], sketches[3]) is None
+def test_fingerprints_alone_give_digests_and_differences_back():
+    texts = random_texts(60) + ["\n".join(f"line {i} of a long text" for i in range(9000))]
+    prints = SketchSet(texts).fingerprints()
+    sets = [digest_set(x) for x in texts]
+    assert [set(fingerprints.fingerprint_digests(x).tolist()) for x in prints] == sets
+    for a in range(0, len(texts), 7):
+        for b in (0, 5, a, len(texts) - 1):
+            assert fingerprints.fingerprint_difference(prints[a], prints[b]) == (len(sets[a] - sets[b]), len(sets[b] - sets[a]))
+            assert fingerprints.fingerprint_likeness(prints[a], prints[b]) == pytest.approx(likeness(texts[a], texts[b]))
+    # What a text's fingerprint is does not depend on the texts beside it.
+    assert SketchSet(texts[10:12]).fingerprints() == prints[10:12]
+
+
+@pytest.mark.parametrize("broken", ["", "AAAA", "AQEBAQAAAAIAAAADAAAA", "AQAAAQAAAAAAAAAAAAAA"])
+def test_other_strings_are_no_fingerprints(broken):
+    with pytest.raises(ValueError, match="not a fingerprint"):
+        fingerprints.fingerprint_digests(broken)
+
+
+def test_published_strings_carry_the_likenesses_of_every_given_row(spark):
+    """Near_edited and near_next of the whole query, from the published strings alone."""
+    rows = sorted(QUERIES["op6_fingerprints"](spark, "/root/testdata/sf0.01").collect(), key=lambda r: r["doc_id"])
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    for row, following in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert row["near_edited"] == fingerprints.fingerprint_likeness(row["fingerprint"], row["edited_fingerprint"])
+        assert row["near_next"] == fingerprints.fingerprint_likeness(row["fingerprint"], following["fingerprint"])
 
 
 def test_one_id_on_most_rows(spark):
