@@ -152,6 +152,7 @@ QUERIES = {
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
     "op1_vector_search": """
@@ -202,4 +203,31 @@ SQL = {
         )
         SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fits
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule DESC) = 1""",
+    # Equal sets are one class; classes that share a shingle are counted, and links are followed until nothing new is reached.
+    "op8_ngram_join": f"""
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), sets AS (
+            SELECT doc_id, list_sort(list_distinct(list_zip(words, words[2:], words[3:], words[4:])[1:greatest(len(words) - 3, least(len(words), 1))])) AS held
+            FROM cut
+        ), classed AS (
+            SELECT doc_id, held, CASE WHEN len(held) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY held) END AS class FROM sets
+        ), classes AS (
+            SELECT class, held FROM classed WHERE doc_id = class
+        ), grams AS (
+            SELECT class, len(held) AS size, unnest(held) AS gram FROM classes
+        ), links AS (
+            SELECT a.class AS one, b.class AS other
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.class <> b.class
+            WHERE 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+            GROUP BY a.class, b.class, a.size, b.size
+            HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))
+        ), reached(class, other) AS (
+            SELECT class, class FROM classes
+            UNION
+            SELECT r.class, l.other FROM reached r JOIN links l ON r.other = l.one
+        ), components AS (
+            SELECT class, min(other) AS component_id FROM reached GROUP BY class
+        )
+        SELECT doc_id, CAST(len(held) AS BIGINT) AS n_shingles, component_id FROM classed JOIN components USING (class)""",
 }
