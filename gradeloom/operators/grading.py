@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from gradeloom.session import materialize, ship_package
 EXEMPLAR_BLOCK = 4096
 #: Vectors whose scores against a block are held at once.
 SCORED_ROWS = 512
-#: Parts that blocks are dealt to, at most: tasks that compare blocks at one time.
+#: Cells of the grid that blocks are dealt to, at most: tasks that compare blocks at one time.
 PARTS = 256
 #: Bands up to this number are sent to every task.
 BROADCAST_BANDS = 10_000
@@ -86,6 +87,17 @@ def _pack(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.Rec
         yield packed(held, schema)
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` highest scores, highest first, equal ones as they stand; only those are sorted."""
+    if scores.shape[1] <= k or np.isnan(scores).any():
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    above, level = scores > least, scores == least
+    level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)
+    places = np.nonzero(above | level)[1].reshape(len(scores), k)
+    return np.take_along_axis(places, np.argsort(-np.take_along_axis(scores, places, 1), axis=1, kind="stable"), 1)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks: every vector's best ``k`` of the block of examples."""
     for batch in batches:
@@ -94,12 +106,19 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             vectors, matrix = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(n, -1) for c, n in (("vectors", len(keys)), ("near_vectors", len(near_keys))))
             for start in range(0, len(keys), SCORED_ROWS):
                 scores = vectors[start : start + SCORED_ROWS] @ matrix.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best = _best(scores, k)
                 at, flat = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
                 found = [keys.take(pa.array(start + at)), near_keys.take(pa.array(flat)), labels.take(pa.array(flat)), pa.array(scores[at, flat])]
                 yield pa.RecordBatch.from_arrays(found, names=["key", "near_key", "near_label", "score"])
 
 
+def _grid(n_own: int, n_near: int, cells: int) -> tuple[int, int]:
+    """Rows and columns, of ``cells`` at most, for which the fewest copies of blocks are made."""
+    cells = max(1, min(cells, n_own * n_near))
+    rows = max(1, min(n_own, cells, round(math.sqrt(cells * n_own / max(1, n_near)))))
+    return rows, max(1, min(n_near, cells // rows))
+
+
 def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """The label that most of the ``k`` most similar marked examples bear.
 
@@ -108,8 +127,8 @@ def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str
     no part on either side, and vectors of different lengths never meet; a vector that meets
     no example has no row. Keys and labels may be of any type that sorts. Tasks pack both
     tables into blocks of fixed size, one row each, and meet one pair of blocks at a time;
-    each pair gives every vector its best ``k``. Nothing of either table goes to the driver,
-    but for tables so small that Spark broadcasts them.
+    each pair gives every vector its best ``k``. Pairs are made by a shuffle and a merge join, so nothing
+    of either table goes to the driver, however small it is.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -125,14 +144,13 @@ def grade_by_exemplar(vectors: DataFrame, exemplars: DataFrame, k: int, key: str
         return packed.select("*", dim.alias("dim")).select(*[F.col(c).alias(prefix + c) for c in [*packed.columns, "dim"]])
 
     own, near_blocks = blocks(vectors, F.lit(None), "").drop("labels"), blocks(exemplars, F.col(label), "near_")
-    # Every block meets every other one: the blocks of the larger table are dealt to parts, those of the smaller one go to each.
-    sizes = own.count(), near_blocks.count()
-    parts = max(1, min(max(sizes), PARTS))
-    dealt, copied = F.pmod(F.xxhash64("keys", "vectors"), F.lit(parts).cast("bigint")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-    near_dealt = F.pmod(F.xxhash64("near_keys", "near_vectors"), F.lit(parts).cast("bigint"))
-    own = own.withColumn("part", dealt if sizes[0] >= sizes[1] else copied)
-    near_blocks = near_blocks.withColumn("near_part", copied if sizes[0] >= sizes[1] else near_dealt)
-    pairs = own.join(near_blocks, (F.col("part") == F.col("near_part")) & (F.col("dim") == F.col("near_dim")))
+    # Every block meets every other one in one cell of a grid: a vector's block goes to each cell of its row, an example's to each of its column.
+    rows, columns = _grid(own.count(), near_blocks.count(), PARTS)
+    row, column = (F.pmod(F.xxhash64(*held), F.lit(n).cast("bigint")) for held, n in ((["keys", "vectors"], rows), (["near_keys", "near_vectors"], columns)))
+    own = own.withColumn("part", F.explode(F.sequence(row * columns, row * columns + (columns - 1))))
+    near_blocks = near_blocks.withColumn("near_part", F.explode(F.sequence(column, column + (rows - 1) * columns, F.lit(columns).cast("bigint"))))
+    # Spark takes the copies of a table for no larger than the table, and would send them all through the driver.
+    pairs = own.hint("merge").join(near_blocks, (F.col("part") == F.col("near_part")) & (F.col("dim") == F.col("near_dim")))
     schema = T.StructType([T.StructField("key", key_type), T.StructField("near_key", key_type), T.StructField("near_label", label_type), T.StructField("score", T.DoubleType())])
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "4")  # rows of megabytes

@@ -1,5 +1,6 @@
 """Jobs on keys that very many rows share, and pages that a recogniser fails on."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import types as T
@@ -66,6 +67,39 @@ def test_blocks_of_examples_are_dealt_to_parts(spark, monkeypatch):
         assert got[i] == min(set(votes), key=lambda x: (-votes.count(x), x))
 
 
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """Tables of a few kB, whose copies for all cells Spark takes to be no larger."""
+    monkeypatch.setattr(grading, "EXEMPLAR_BLOCK", 4)
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(70)], "id long, v array<double>, label int").repartition(3)
+    seen = {}
+    real = grading.materialize
+
+    def noted(table, label):
+        seen[label] = plan_of(table)
+        return real(table, label)
+
+    monkeypatch.setattr(grading, "materialize", noted)
+    kept = grading.grade_by_exemplar(df.filter("id % 4 = 0"), df.filter("id % 4 > 0"), 3, "id", "v", "label").collect()
+    assert "Broadcast" not in seen["nearest"] and "hashpartitioning(part" in seen["nearest"]
+    monkeypatch.setattr(grading, "PARTS", 1)
+    assert sorted(kept) == sorted(grading.grade_by_exemplar(df.filter("id % 4 = 0"), df.filter("id % 4 > 0"), 3, "id", "v", "label").collect())
+
+
+@pytest.mark.parametrize("n_own, n_near", [(0, 5), (5, 0), (1, 1), (3, 1000), (1000, 3), (30, 120), (500, 2000), (7, 11)])
+def test_the_grid_of_blocks_makes_few_copies(n_own, n_near):
+    rows, columns = grading._grid(n_own, n_near, 256)
+    assert 1 <= rows <= max(1, n_own) and 1 <= columns <= max(1, n_near) and rows * columns <= 256
+    # Copies grow with the tables and not with their product.
+    assert n_own * columns + n_near * rows <= 2 * (256 * max(1, n_own) * max(1, n_near)) ** 0.5 + 2 * (n_own + n_near)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 9, 10])
+def test_best_places_equal_a_whole_sort(k):
+    rng = np.random.default_rng(k)
+    for scores in (rng.normal(size=(40, 9)), rng.integers(0, 3, (40, 9)).astype(float), np.zeros((3, 9)), np.where(rng.random((40, 9)) < 0.2, np.nan, 1.0), np.where(rng.random((40, 9)) < 0.5, -np.inf, 0.0)):
+        assert (grading._best(scores, k) == np.argsort(-scores, axis=1, kind="stable")[:, :k]).all()
+
+
 SCHEMA = T.StructType([T.StructField("page", T.LongType()), T.StructField("text", T.StringType())])
 
 
