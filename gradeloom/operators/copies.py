@@ -8,22 +8,44 @@ tokens in a row share a fingerprint, wherever the stretch stands, so functions m
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import hashlib
+import re
+import string
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.functions.text import C_KEYWORDS, C_TOKENS, without_comments
-from gradeloom.session import materialize
+from gradeloom.functions.text import C_FRACTION, C_KEYWORDS, C_PARTS, C_TOKENS, without_comments
+from gradeloom.session import materialize, ship_package
 
 #: String and character literals come before all other tokens.
 LITERAL = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 #: Bits of a fingerprint that come from the hash's hexadecimal digits.
 DIGITS = 15
+#: What a token can be once names, numbers and literals are equal; a literal is a quotation mark.
+KINDS = [b"v", b"0", *(x.encode() for x in [*C_KEYWORDS, *string.punctuation.replace("_", "")])]
+_NAME, _NUMBER, _BLANK = 0, 1, 255
+#: The kind of a token that begins with a byte, unless it is a keyword.
+_BYTES = np.full(256, _BLANK, np.uint8)
+_BYTES[list((string.ascii_letters + "_").encode())], _BYTES[list(string.digits.encode())] = _NAME, _NUMBER
+_BYTES[[x[0] for x in KINDS[2 + len(C_KEYWORDS) :]]] = range(2 + len(C_KEYWORDS), len(KINDS))
+#: Keywords, of eight letters at most, as numbers in order, and their kinds.
+_KEYWORDS, _KEYWORD_KINDS = map(np.array, zip(*sorted((np.uint64(int.from_bytes(x.encode(), "little")), np.uint8(2 + i)) for i, x in enumerate(C_KEYWORDS)), strict=True))
+_PARTS, _LITERAL, _FRACTION, _POINT = (re.compile(x.encode()) for x in (C_PARTS, LITERAL, C_FRACTION, r"[0-9]\.[0-9]"))
+#: Bytes of text whose tokens a task holds at a time, but for a single longer text.
+AT_ONCE = 1 << 22
 
 
 def c_token_stream(text: Column) -> Column:
-    """Tokens without comments; names are ``v``, numbers ``0``, literals ``"``; keywords and signs stay."""
+    """Tokens without comments; names are ``v``, numbers ``0``, literals ``"``; keywords and signs stay.
+
+    ``fingerprints`` reads the same tokens in batches, many times faster and with literals of any length.
+    """
     tokens = F.regexp_extract_all(without_comments(text), F.lit(f"{LITERAL}|{C_TOKENS}"), F.lit(0))
 
     def plain(token: Column) -> Column:
@@ -35,49 +57,97 @@ def c_token_stream(text: Column) -> Column:
     return F.transform(tokens, plain)
 
 
-def sliding(df: DataFrame, source: str, target: str, width: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
-    """Adds ``target``: what ``combine`` makes of every ``width`` neighbours in the array ``source``.
-
-    Stretches of one, two, four, ... neighbours are made from two halves each and put together
-    to the width, so the work is the array's length times the logarithm of the width. Every step is a
-    column of its own, made once for a row.
-    """
-
-    def joined(left: str, right: str, apart: int) -> Column:
-        held = F.greatest(F.least(F.size(left), F.size(right) - apart), F.lit(0))
-        return F.zip_with(F.slice(left, F.lit(1), held), F.slice(right, F.lit(1 + apart), held), combine)
-
-    steps, made, power, have = df, "", 1, 0
-    here = source
-    while power <= width:
-        if width & power:
-            if not made:
-                made, have = here, power
-            else:
-                steps = steps.withColumn(f"_{target}_to{power}", joined(here, made, power))
-                made, have = f"_{target}_to{power}", have + power
-        power *= 2
-        if power <= width:
-            steps = steps.withColumn(f"_{target}_{power}", joined(here, here, power // 2))
-            here = f"_{target}_{power}"
-    return steps.select(*df.columns, F.col(made).alias(target))
+def _kinds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, as places in ``KINDS``, and where each text's begin (and the last one's end)."""
+    clean = []
+    for text in texts:
+        if b"//" in text or b"/*" in text:
+            text = b"".join([b" " if x.startswith((b"//", b"/*")) else x for x in _PARTS.findall(text)])
+        if b'"' in text or b"'" in text:
+            text = _LITERAL.sub(b'"', text)
+        clean.append(_FRACTION.sub(b"0", text) if _POINT.search(text) else text)
+    # A blank keeps neighbours apart, and eight at the end let every name be read as eight bytes.
+    held = np.frombuffer(b" ".join([b"", *clean]) + b" " * 9, np.uint8)
+    kind = _BYTES[held]
+    name, digit = kind == _NAME, kind == _NUMBER
+    word = name | digit
+    begins = np.zeros(len(held), bool)
+    begins[1:] = (kind[1:] != _BLANK) & ~(word[1:] & word[:-1])
+    # Where digits begin a word, a name begins with its first letter.
+    runs, letters = np.flatnonzero(digit[1:] & ~digit[:-1]) + 1, np.flatnonzero(name[1:] & digit[:-1]) + 1
+    begins[letters] = begins[runs[np.searchsorted(runs, letters) - 1]]
+    at = np.flatnonzero(begins)
+    found = kind[at]
+    names = np.flatnonzero(found == _NAME)
+    ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    length = ends[np.searchsorted(ends, at[names], side="right")] - at[names]
+    names, length = names[length <= 8], length[length <= 8]
+    eight = np.zeros(len(names), np.uint64)
+    for i in range(8):
+        eight |= np.where(i < length, held[at[names] + i], 0).astype(np.uint64) << np.uint64(8 * i)
+    place = np.minimum(np.searchsorted(_KEYWORDS, eight), len(_KEYWORDS) - 1)
+    is_keyword = _KEYWORDS[place] == eight
+    found[names[is_keyword]] = _KEYWORD_KINDS[place[is_keyword]]
+    return found, np.searchsorted(at, np.cumsum([0, *(len(x) + 1 for x in clean)]))
+
+
+def _hashes(kinds: np.ndarray, begins: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each text the leading digits of the MD5 of every ``k`` tokens' kinds, written with spaces between; equal runs are hashed once."""
+    grams, size, width = kinds.astype(np.int64), len(KINDS), 1
+    while width < k and width < len(kinds):
+        if size > 2**31:
+            listed = pa.array(grams).dictionary_encode()
+            grams, size = listed.indices.to_numpy().astype(np.int64), len(listed.dictionary)
+        step = min(width, k - width)
+        grams, size, width = grams[:-step] * size + grams[step:], size * size, width + step
+    # Runs that reach into the next text are none.
+    counts = np.maximum(np.diff(begins) - (k - 1), 0)
+    ends = np.cumsum(counts)
+    at = np.arange(counts.sum()) + np.repeat(begins[:-1] - (ends - counts), counts)
+    listed = pa.array(grams[at]).dictionary_encode()
+    places = listed.indices.to_numpy()
+    example = np.zeros(len(listed.dictionary), np.int64)
+    example[places] = at
+    written = (b" ".join([KINDS[x] for x in kinds[i : i + k]]) for i in example)
+    values = np.array([int(hashlib.md5(x).hexdigest()[:DIGITS], 16) for x in written], np.int64)
+    return np.split(values[places], ends[:-1])
+
+
+def _winnowed(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The last column's texts become their sets of fingerprints."""
+
+    def least(hashes: np.ndarray) -> np.ndarray:
+        # The least of ``width`` neighbours; an answer with fewer hashes than a window has their least one.
+        width, whole = 1, min(window, len(hashes))
+        while width < whole:
+            step = min(width, whole - width)
+            hashes, width = np.minimum(hashes[:-step], hashes[step:]), width + step
+        return np.unique(hashes)
+
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
+        part = (np.cumsum(sizes) - sizes) // AT_ONCE
+        sets = []
+        for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+            kinds, begins = _kinds([texts[int(i)].as_py() or b"" for i in rows])
+            sets += map(least, _hashes(kinds, begins, k) if len(rows) else [])
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed], names=[*batch.schema.names[:-1], "prints"])
 
 
 def fingerprints(answers: DataFrame, key: str, text: str, k: int, window: int, within: list[str]) -> DataFrame:
     """``within key prints``: the set of each answer's fingerprints, sorted; empty for fewer than ``k`` tokens.
 
     The set of the least hashes of all windows is what winnowing keeps; an answer with fewer hashes
-    than a window has their least one.
+    than a window has their least one. Answers are read where they are, in Arrow batches and as bytes:
+    no letter beyond ASCII is part of a token.
     """
-    none = F.array().cast("array<string>")
-    tokens = answers.select(*within, key, F.coalesce(c_token_stream(F.col(text)), none).alias("_tokens"))
-    grams = sliding(tokens, "_tokens", "_grams", k, lambda a, b: F.concat_ws(" ", a, b))
-    hashed = grams.select(*within, key, F.transform("_grams", lambda x: F.substring(F.md5(x.cast("binary")), 1, DIGITS)).alias("_hashes"))
-    least = sliding(hashed, "_hashes", "_least", window, lambda a, b: F.least(a, b))
-    # Digits of one length sort as the numbers do; those that are kept become numbers.
-    few = F.when(F.size("_hashes") > 0, F.array(F.array_min("_hashes"))).otherwise(none)
-    kept = least.select(*within, key, F.when(F.size("_hashes") < window, few).otherwise(F.array_distinct("_least")).alias("_kept"))
-    return kept.select(*within, key, F.array_sort(F.transform("_kept", lambda x: F.conv(x, 16, 10).cast("bigint"))).alias("prints"))
+    ship_package(answers.sparkSession)
+    sent = answers.select(*within, key, F.col(text).cast("binary").alias("_text"))
+    schema = T.StructType([*sent.schema.fields[:-1], T.StructField("prints", T.ArrayType(T.LongType()))])
+    return sent.mapInArrow(lambda batches: _winnowed(batches, k, window), schema)
 
 
 def copy_classes(answers: DataFrame, key: str, text: str, k: int = 10, window: int = 6, common: int = 10, within: list[str] | None = None) -> DataFrame:

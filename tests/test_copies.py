@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,45 @@ def test_fingerprints_equal_a_loop(spark, k, window):
     df = answers(spark, list(enumerate(texts)))
     got = {r["id"]: r["prints"] for r in copies.fingerprints(df, "id", "text", k, window, []).collect()}
     assert got == {i: winnowed(x, k, window) for i, x in enumerate(texts)}
+
+
+def test_a_literal_longer_than_a_stack_is_one_token(spark):
+    code = "int f(int n) { return n * (n - 1) / 2 + g(n); }"
+    rows = [(1, f'{code} s = "{"x" * 300_000}"; {code}'), (2, f'{code} s = "y"; {code}'), (3, f"/* {'*' * 300_000} */ {code}"), (4, code)]
+    got = {r["id"]: r["prints"] for r in copies.fingerprints(answers(spark, rows), "id", "text", 8, 4, []).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len(got[1]) > len(got[4]) > 0
+
+
+def batch_of(texts):
+    return pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+
+
+def test_a_run_of_tokens_is_hashed_once_for_many_texts(monkeypatch):
+    """Work on hashes grows with unlike runs and not with texts."""
+    hashed = []
+    real = hashlib.md5
+    monkeypatch.setattr(copies.hashlib, "md5", lambda x: hashed.append(x) or real(x))
+    once = next(copies._winnowed(iter([batch_of([SORT.encode()])]), 8, 4)).to_pylist()
+    n = len(hashed)
+    many = next(copies._winnowed(iter([batch_of([renamed(SORT).encode() if i % 2 else SORT.encode() for i in range(500)])]), 8, 4)).to_pylist()
+    assert len(hashed) == 2 * n == 2 * len(set(hashed)) and {tuple(r["prints"]) for r in many} == {tuple(once[0]["prints"])}
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 22])
+def test_tokens_in_batches_equal_the_loop(monkeypatch, at_once):
+    monkeypatch.setattr(copies, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    pieces = ["int ", "x", " = ", "1.5", ".2", "1.2.3.4", "10for", "x1.5", "0x1F", "continue", "continued", '"a b"', "// c\n", "/* d */", "/*", "*/", "/", "*", "\\", "\n", "while", "(", "}", "_", "'", '"', "é", "中", "\0", "a"]
+    for k, window in [(1, 1), (2, 9), (5, 3), (11, 6), (40, 2)]:
+        texts = ["".join(rng.choices(pieces, k=rng.randrange(90))) for _ in range(60)] + ["", "x"]
+        got = next(copies._winnowed(iter([batch_of([x.encode() for x in texts] + [None])]), k, window)).to_pylist()
+        assert [r["prints"] for r in got] == [*(winnowed(x, k, window) for x in texts), []]
+    assert next(copies._winnowed(iter([batch_of([])]), 3, 2)).num_rows == 0
+    assert next(copies._winnowed(iter([batch_of([b"\xff\xfe int \x80x = 1.5;", b"int x = 1;"])]), 3, 2)).to_pylist()[0]["prints"] == winnowed("int x = 1;", 3, 2)
+
+
+def test_the_column_of_tokens_is_what_batches_read(spark):
+    texts = ['for (int i = 0; s[i] != \'\\0\'; i++) printf("a // b", x_1, 2.5); // end', SORT, renamed(SEARCH), OTHER, "1.2.3 10for x1.5 3e5 .5 continue_ 'a' it's"]
+    stream = [r[0] for r in answers(spark, list(enumerate(texts))).orderBy("id").select(copies.c_token_stream(F.col("text"))).collect()]
+    kinds, begins = copies._kinds([x.encode() for x in texts])
+    assert stream == [[copies.KINDS[x].decode() for x in kinds[a:b]] for a, b in zip(begins, begins[1:], strict=False)]
