@@ -128,3 +128,11 @@ def test_the_column_of_tokens_is_what_batches_read(spark):
     stream = [r[0] for r in answers(spark, list(enumerate(texts))).orderBy("id").select(copies.c_token_stream(F.col("text"))).collect()]
     kinds, begins = copies._kinds([x.encode() for x in texts])
     assert stream == [[copies.KINDS[x].decode() for x in kinds[a:b]] for a, b in zip(begins, begins[1:], strict=False)]
+
+
+def test_classes_of_answers_with_long_and_broken_literals(spark):
+    """Literals of any length, and with a carriage return after a backslash as in the SQL, are one token."""
+    tail = "int f(int n) { while (n > 1) { n = n / 2 + g(n - 1) * 3; } return n; }"
+    long, broken, short = f'char *s = "{"x y " * 50_000}"; {tail}', f'char *t = "a\\\rb"; {tail}', f'char *u = "z"; {tail}'
+    got = {r["id"]: tuple(r)[1:] for r in copies.copy_classes(answers(spark, [(4, long), (3, broken), (5, short), (6, tail)]), "id", "text", k=8, window=4).collect()}
+    assert got[4] == got[3] == got[5] == (3, len(winnowed(short, 8, 4)), 0) and got[6][0] == 6
