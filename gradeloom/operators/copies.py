@@ -12,11 +12,13 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,10 +161,13 @@ def copy_classes(answers: DataFrame, key: str, text: str, k: int = 10, window: i
     given code, or all of one source; ``n_common`` tells which answers hold much of it.
     """
     within = within or []
-    members, prints = _classes(answers, key, text, k, window, common, within)
-    counted = prints.groupBy("class_key").agg(F.count(F.when(F.col("is_common"), 1)).alias("n_common"))
+    members, rare = _classes(answers, key, text, k, window, common, within)
+    counted = rare.groupBy("class_key").agg(F.count(F.lit(1)).alias("n_rare"))
     named = members.join(counted, "class_key", "left")
-    return named.select(*within, key, F.coalesce("class_id", key).alias("class_id"), F.col("n_prints").cast("bigint").alias("n_prints"), F.coalesce("n_common", F.lit(0)).alias("n_common"))
+    n_prints = F.col("n_prints").cast("bigint")
+    # What is not rare is common; answers without a group have nothing in common.
+    n_common = F.when(_all_known(within), n_prints - F.coalesce("n_rare", F.lit(0))).otherwise(F.lit(0))
+    return named.select(*within, key, F.coalesce("class_id", key).alias("class_id"), n_prints.alias("n_prints"), n_common.alias("n_common"))
 
 
 def copy_pairs(
@@ -178,8 +183,7 @@ def copy_pairs(
     texts take no part.
     """
     within = within or []
-    _, prints = _classes(answers, key, text, k, window, common, within)
-    rare = prints.filter(~F.col("is_common"))
+    _, rare = _classes(answers, key, text, k, window, common, within)
     sizes = rare.groupBy("class_key").agg(F.first("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     # As many classes as ``common`` at most in a list.
     held = rare.groupBy(*within, "print").agg(F.array_sort(F.collect_list(F.struct("class_id", "class_key"))).alias("classes")).filter(F.size("classes") > 1)
@@ -193,8 +197,37 @@ def copy_pairs(
     return shared.select(*within, "class_a", "class_b", "prints_a", "prints_b", "shared", share.alias("share")).filter(F.col("share") >= min_share)
 
 
+def _listed(batches: Iterator[pa.RecordBatch], common: int, n_within: int) -> Iterator[pa.RecordBatch]:
+    """The last column's sets become rows ``print n_held``, one for each set; but one in all, with their number, if more than ``common`` of those read at a time hold a fingerprint."""
+    for batch in batches:
+        sets = batch.column(batch.num_columns - 1)
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) * 8 // AT_ONCE
+        begins = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sets)]
+        seen: dict[str, int] = {}
+        groups = np.array([seen.setdefault(repr(x), len(seen)) for x in zip(*(x.to_pylist() for x in batch.columns[:n_within]), strict=True)], np.int64)
+        for first, end in zip(begins, begins[1:], strict=False):
+            prints, rows = sets.slice(first, end - first).flatten().to_numpy(), np.repeat(np.arange(first, end), sizes[first:end])
+            places = pa.array(prints).dictionary_encode().indices.to_numpy()
+            if n_within:
+                places = pa.array(places * np.int64(len(seen)) + groups[rows]).dictionary_encode().indices.to_numpy()
+            counts = np.bincount(places)
+            example = np.zeros(len(counts), np.int64)
+            example[places] = np.arange(len(places))
+            many = counts > common
+            kept = ~many[places]
+            kept[example] = True
+            n_held = np.where(many, counts, 1)[places[kept]]
+            at = pa.array(rows[kept])
+            yield pa.RecordBatch.from_arrays([*(x.take(at) for x in batch.columns[:-1]), pa.array(prints[kept]), pa.array(n_held)], names=[*batch.schema.names[:-1], "print", "n_held"])
+
+
+def _all_known(columns: list[str]) -> Column:
+    return reduce(and_, (F.col(x).isNotNull() for x in columns), F.lit(True))
+
+
 def _classes(answers: DataFrame, key: str, text: str, k: int, window: int, common: int, within: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Members with their class, and the fingerprints of each class, told if common."""
+    """Members with their class, and ``within class_key class_id print``: what is not common of each class's fingerprints."""
     made = fingerprints(answers, key, text, k, window, within)
     # 128 bits of the group and all fingerprints; answers without any have no class.
     whole = F.sha2(F.concat_ws(",", F.to_json(F.struct(*within)) if within else F.lit(""), F.array_join(F.col("prints").cast("array<string>"), ",")).cast("binary"), 256)
@@ -202,6 +235,10 @@ def _classes(answers: DataFrame, key: str, text: str, k: int, window: int, commo
     members = materialize(keyed, "fingerprints")
     # All answers of a class have the same fingerprints.
     leaders = members.filter(F.col("class_key").isNotNull()).groupBy(*within, "class_key").agg(F.min(key).alias("class_id"), F.first("prints").alias("prints"))
-    prints = leaders.select(*within, "class_key", "class_id", F.explode("prints").alias("print"))
-    held = prints.groupBy(*within, "print").agg((F.count(F.lit(1)) > common).alias("is_common"))
-    return members.select(*within, key, "n_prints", "class_key").join(leaders.select("class_key", "class_id"), "class_key", "left"), prints.join(held, [*within, "print"])
+    sent = leaders.filter(_all_known(within)).select(*within, "class_key", "class_id", "prints")
+    schema = T.StructType([*sent.schema.fields[:-1], T.StructField("print", T.LongType()), T.StructField("n_held", T.LongType())])
+    listed = sent.mapInArrow(lambda batches: _listed(batches, common, len(within)), schema)
+    # What is common where it is listed comes as one row, so no task reads a row for each class that holds it.
+    held = listed.withColumn("n_held", F.sum("n_held").over(Window.partitionBy(*within, "print")))
+    rare = held.filter(F.col("n_held") <= common).drop("n_held")
+    return members.select(*within, key, "n_prints", "class_key").join(leaders.select("class_key", "class_id"), "class_key", "left"), rare

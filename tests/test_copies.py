@@ -136,3 +136,56 @@ def test_classes_of_answers_with_long_and_broken_literals(spark):
     long, broken, short = f'char *s = "{"x y " * 50_000}"; {tail}', f'char *t = "a\\\rb"; {tail}', f'char *u = "z"; {tail}'
     got = {r["id"]: tuple(r)[1:] for r in copies.copy_classes(answers(spark, [(4, long), (3, broken), (5, short), (6, tail)]), "id", "text", k=8, window=4).collect()}
     assert got[4] == got[3] == got[5] == (3, len(winnowed(short, 8, 4)), 0) and got[6][0] == 6
+
+
+def sets_of(rows):
+    return pa.record_batch([pa.array([x for x, _ in rows]), pa.array([f"key {i}" for i in range(len(rows))]), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["task", "class_key", "prints"])
+
+
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 22])
+def test_a_fingerprint_of_very_many_classes_is_one_row(monkeypatch, at_once):
+    """Rows that meet by a common fingerprint grow with the batches and not with the classes."""
+    monkeypatch.setattr(copies, "AT_ONCE", at_once)
+    rows = [("ab"[i % 3 == 0], [7, 1_000 + i // 4, 2_000 + i]) for i in range(300)]
+    got = [r for b in copies._listed(iter([sets_of(rows[:200]).slice(0, 150), sets_of(rows).slice(150), sets_of([])]), 3, 1) for r in b.to_pylist()]
+    counts = {}
+    for r in got:
+        counts[r["task"], r["print"]] = counts.get((r["task"], r["print"]), 0) + r["n_held"]
+    assert counts == {(t, x): sum(t == u and x in held for u, held in rows) for t, own in rows for x in own}
+    assert sorted((r["class_key"], r["print"]) for r in got if r["print"] >= 1_000) == sorted((f"key {i}", x) for i, (_, own) in enumerate(rows) for x in own[1:])
+    if at_once > 100:
+        assert sum(r["print"] == 7 for r in got) == 4
+
+
+def test_classes_need_no_join_by_fingerprint(spark):
+    df = answers(spark, [(i, SORT + f"{'x + ' * i} 1;") for i in range(30)])
+    plan = copies.copy_classes(df, "id", "text", k=8, window=4, common=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not [x for x in plan.splitlines() if "Join" in x and "print#" in x]
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 4, 10_000])
+def test_what_is_common_equals_a_loop(spark, rows_at_once):
+    """Fingerprints of as many classes as ``common`` and of one more, in batches of few answers, by group and without."""
+    rng = random.Random(5)
+    parts = [f"a{' + b' * i} {'*' * (i % 4)} c[{i}]{' / d' * (i % 5)}; while (x) {{ y{'(' * (i % 7)} }}" for i in range(14)]
+    rows = [(i, rng.choice("ppq") if i % 9 else None, rng.choice([0, 1, None]), " ".join(rng.sample(parts, rng.randrange(5)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, task string, part int, text string").repartition(5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, numbers = spark.conf.get(name), set()
+    spark.conf.set(name, str(rows_at_once))
+    try:
+        for within in ([], ["task"], ["task", "part"]):
+            got = {r["id"]: (r["class_id"], r["n_prints"], r["n_common"]) for r in copies.copy_classes(df, "id", "text", 6, 3, 4, within).collect()}
+            own = {i: ((task, part)[: len(within)], tuple(winnowed(text, 6, 3))) for i, task, part, text in rows}
+            classes, held = {}, {}
+            for i in sorted(own, reverse=True):
+                classes[own[i]] = i
+            for group, prints in classes:
+                for x in prints:
+                    held[group, x] = held.get((group, x), 0) + 1
+            expected = {i: (classes[c] if c[1] else i, len(c[1]), 0 if None in c[0] else sum(held[c[0], x] > 4 for x in c[1])) for i, c in own.items()}
+            assert got == expected
+            numbers |= set(held.values())
+        assert {4, 5} <= numbers
+    finally:
+        spark.conf.set(name, before)
