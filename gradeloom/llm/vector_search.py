@@ -8,15 +8,16 @@ What is left is read exactly, by id, in the order of the bounds: first the best
 query, then all that may still reach the kth score of those.
 
 Blocks of queries meet blocks of cells, so no task holds more than one of each at a time. The
-file is made where the vectors are read, without a shuffle; its cells are dealt to groups, and
-the queries are sent to each group. Exact vectors are shuffled where candidates are read, unless
-these are few enough for Spark to broadcast. Equal vectors differ in their ids alone: those that
-can't be among the best ``k`` of any query are left out of the scans, so a vector with very many
-copies makes no more candidates than another.
+file is made where the vectors are read, without a shuffle; its cells and the queries are dealt
+to a grid and meet by a merge join. So do exact vectors and their candidates: no vector goes
+through the driver, however small its table is. Equal vectors differ in their ids alone: those
+that can't be among the best ``k`` of any query are left out of the scans, so a vector with very
+many copies makes no more candidates than another.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ def surplus_by_block(exact: DataFrame, k: int, block_rows: int) -> DataFrame:
     first = seen
     for window, most in ((same_id, k), (same_row, 2 * k)):
         first = first.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= most).drop("place")
-    others = seen.select("key").join(first.select("key"), "key", "left_anti")
+    others = seen.select("key").hint("merge").join(first.select("key"), "key", "left_anti")
     return others.groupBy(F.floor(F.col("key") / F.lit(block_rows)).cast("long").alias("block")).agg(F.collect_list("key").alias("surplus"))
 
 
@@ -192,18 +193,33 @@ def scan_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_keys[query], keys[vector], low, high)], names=["query_key", "key", "low", "high"])
 
 
+def grid(n_queries: int, n_blocks: int, cells: int) -> tuple[int, int]:
+    """Rows and columns, of ``cells`` at most, for which the least is copied; a block of queries is eight times one of the file."""
+    cells = max(1, min(cells, n_queries * n_blocks))
+    rows = max(1, min(n_queries, cells, round(math.sqrt(8 * cells * n_queries / max(1, n_blocks)))))
+    return rows, max(1, min(n_blocks, cells // rows))
+
+
+def dealt(keys: str, n: int) -> Column:
+    """One of ``n`` places for a block, whether it is scanned first or not."""
+    return F.pmod(F.xxhash64(F.lit("dealt"), keys), F.lit(n).cast("long"))
+
+
 def scanned(filed: DataFrame, asked: DataFrame, k: int, block_rows: int, scratch: Scratch, name: str) -> DataFrame:
     """Bounds of what may be among each query's best ``k`` in the blocks of ``filed``.
 
-    Each block of queries goes to every group of blocks of the file, which are dealt once.
+    Each block of queries meets each of the file in one cell of a grid: it goes to every cell of
+    its row, a block of the file to every cell of its column.
     """
     spark = asked.sparkSession
-    groups = max(1, min(filed.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks = scratch.write(asked.mapInArrow(lambda batches: query_frames(batches, block_rows), QUERY_SCHEMA), f"{name}-queries")
-    left = filed.withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(groups)))
-    right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    rows, columns = grid(blocks.count(), filed.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    row, column = dealt("query_keys", rows), dealt("keys", columns)
+    left = blocks.withColumn("part", F.explode(F.sequence(row * columns, row * columns + (columns - 1))))
+    right = filed.withColumn("part", F.explode(F.sequence(column, column + (rows - 1) * columns, F.lit(columns).cast("long"))))
     with arrow_batches(spark, 4):  # rows of megabytes
-        return scratch.write(left.join(right, ["dim", "part"]).drop("part").mapInArrow(lambda batches: scan_pairs(batches, k), BOUNDS_SCHEMA), name)
+        # Spark takes the copies of a table for no larger than the table, and would send them all through the driver.
+        return scratch.write(left.hint("merge").join(right, ["dim", "part"]).drop("part").mapInArrow(lambda batches: scan_pairs(batches, k), BOUNDS_SCHEMA), name)
 
 
 def kth(rows: DataFrame, k: int, value: str, name: str) -> DataFrame:
@@ -248,7 +264,8 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5, scal
 
     def read(rows: DataFrame) -> DataFrame:
         product = F.aggregate(F.zip_with("row", "query", lambda x, y: x * y), F.lit(0).cast("long"), lambda total, x: total + x)
-        known = rows.select("query_key", "key").join(exact, "key").join(asked.select("query_key", "query_id", F.col("row").alias("query")), "query_key")
+        # Equal vectors take next to nothing in a file: its size doesn't tell what a broadcast of them would hold.
+        known = rows.select("query_key", "key").hint("merge").join(exact, "key").hint("merge").join(asked.select("query_key", "query_id", F.col("row").alias("query")), "query_key")
         return known.select("query_key", "query_id", "vec_id", product.alias("score"))
 
     best = scratch.write(read(queue.filter(F.col("place") <= FIRST_READ * k)), "first-read")

@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -114,6 +115,42 @@ def test_no_vector_is_shuffled_before_the_file_is_made(spark):
     assert all(key // 8 == r["block"] for r in surplus.collect() for key in r["surplus"])
 
 
+def test_no_vector_is_broadcast(spark, monkeypatch):
+    """Tables of a few kB, whose copies for all groups of blocks Spark takes to be no larger."""
+    plans, real = {}, Scratch.write
+
+    def noted(self, df, name, *by):
+        plans[name] = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return real(self, df, name, *by)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    got(spark, [(i, [1.0, i / 10, float(i % 3)]) for i in range(120)], 3, set(range(0, 120, 7)), block_rows=8)
+    sent = {name: {c.split("#")[0] for x in re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan) for c in x.split(", ")} for name, plan in plans.items()}
+    assert {"first-scan", "second-scan", "first-read", "found"} <= set(sent)
+    assert not any(x & {"row", "query", "queries", "cells"} for x in sent.values()), sent
+    assert all(re.search(r"SortMergeJoin\nLeft keys \[2\]: \[dim", plans[name]) for name in ("first-scan", "second-scan"))
+
+
+@pytest.mark.parametrize("n_queries, n_blocks", [(0, 5), (5, 0), (1, 1), (1, 1000), (4, 152), (1000, 3), (75, 3700)])
+def test_the_grid_of_blocks_copies_little(n_queries, n_blocks):
+    rows, columns = vector_search.grid(n_queries, n_blocks, 200)
+    assert 1 <= rows <= max(1, n_queries) and 1 <= columns <= max(1, n_blocks) and rows * columns <= 200
+    # What is copied grows with the tables and not with their product.
+    assert 8 * n_queries * columns + n_blocks * rows <= 2 * (200 * 8 * max(1, n_queries) * max(1, n_blocks)) ** 0.5 + 16 * n_queries + 2 * n_blocks
+
+
+def test_many_blocks_of_queries_meet_all_blocks_of_the_file(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4 + (i % 3 == 0)).round(2).tolist()) for i in range(130)]
+    assert got(spark, rows, 4, set(range(0, 130, 2)), block_rows=6) == brute(rows, 4, set(range(0, 130, 2)))
+
+
+def test_blocks_of_the_first_scan_are_dealt_to_all_places(spark):
+    blocks = spark.range(20_000).select(F.col("id").cast("string").cast("binary").alias("keys"))
+    early = blocks.filter(F.pmod(F.xxhash64("keys"), F.lit(vector_search.FIRST_SHARE)) == 0)
+    assert early.select(vector_search.dealt("keys", 8)).distinct().count() == 8
+
+
 def test_only_the_result_stays_in_the_shared_folder(spark):
     before = set(Path(shared_path(spark)).glob("vector-search-*"))
     got(spark, [(i, [1.0, i / 10]) for i in range(60)], 3, {0, 50})
